@@ -92,14 +92,15 @@ def _take_share(groups: DataFrame, share: float, seed: int | Column, by: Sequenc
 
 
 def _assign_folds(groups: DataFrame, n_folds: int, seed: int) -> DataFrame:
-    """Deal the groups of each label out in turn, starting where the previous label stopped."""
-    placed = _rank_in_label(groups, seed)
-    labels = _label_table(groups)
-    before = Window.partitionBy().orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
-    starts = labels.select("label", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    joined = lookup(placed, starts, ["label"], ["group_id"])
-    fold = F.pmod(F.col("place") - 1 + F.col("start"), F.lit(n_folds)).cast("int")
-    return joined.select("group_id", fold.alias("fold"))
+    """Deal the groups out in turn, label after label, in hash order inside a label.
+
+    The place in (label, hash) order does it all: each label continues where the
+    previous one stopped, so fold sizes and label counts differ by at most one.
+    """
+    keyed = groups.withColumn("__key", hash_key(seed, "group_id"))
+    order = [F.col("label"), F.col("__key"), F.col("group_id")]
+    placed = ranked(keyed, [], order, [F.col("label"), hash_bucket(F.col("__key"))], rank="place")
+    return placed.select("group_id", F.pmod(F.col("place") - 1, F.lit(n_folds)).cast("int").alias("fold"))
 
 
 # --- schemes ----------------------------------------------------------------

@@ -258,7 +258,10 @@ WITH s AS (SELECT *, CAST(substr(slide_id, 7) AS BIGINT) % 3 AS own FROM v_manif
 r AS (SELECT CAST(k AS INT) AS fold, group_id, slide_id, CASE WHEN own = k THEN 'val' ELSE 'train' END AS role FROM s, range(3) t(k))
 SELECT fold, group_id AS id, 'group in several roles' AS rule, count(DISTINCT role) AS n FROM r GROUP BY 1, 2 HAVING count(DISTINCT role) > 1
 UNION ALL SELECT fold, slide_id, 'slide placed twice', count(*) FROM r GROUP BY 1, 2 HAVING count(*) > 1"""),
-    "Q5_no_leakage": "SELECT CAST(0 AS BIGINT) AS n_violations",
+    "Q5_no_leakage": with_views("v_manifest v_group", f"""{_KFOLD},
+r AS (SELECT k AS fold, s.group_id, slide_id, CASE WHEN s.fold = k THEN 'val' ELSE 'train' END AS role FROM split s, range(5) t(k))
+SELECT count(*) AS n_violations FROM (SELECT fold, group_id FROM r GROUP BY 1, 2 HAVING count(DISTINCT role) > 1
+  UNION ALL SELECT fold, slide_id FROM r GROUP BY 1, 2 HAVING count(*) > 1)"""),
     "U1_union_repeats": with_views("v_manifest", " UNION ALL ".join(f"SELECT slide_id, CAST({r} AS INT) AS repeat, {_hash_case(42 + r)} AS split FROM v_manifest" for r in range(3))),
     "U4_all_training_ids": with_views("v_manifest v_group", f"{_KFOLD_TEST} SELECT DISTINCT slide_id FROM split WHERE fold <> -1"),
     "W1_small_labels": with_views("v_manifest", """
