@@ -71,8 +71,9 @@ def resample(
     cells = _cells(preds, unit, by, score)
     if mode == "poisson":
         rows = cells.withColumn("b", _repeats(n_bootstrap))
-        weight = poisson_weight(uniform(seed, "b", "unit"))
-        drawn = rows.withColumn("n", F.col("n") * weight).filter("n > 0")
+        # The generator keeps the optimizer from repeating the digest for every quantile step.
+        rows = rows.withColumn("u", F.explode(F.array(uniform(seed, "b", "unit"))))
+        drawn = rows.withColumn("n", F.col("n") * poisson_weight(F.col("u"))).filter("n > 0").drop("u")
     elif mode == "exact":
         units = cells.select(*by, "unit").distinct().withColumn("__key", hash_key(seed, "unit"))
         numbered = ranked(

@@ -56,25 +56,23 @@ def _to_top_band(by: Sequence[str] = ("slide_id",)) -> Column:
 def attention_pool(
     patches: DataFrame, logit: str = "logit", features: str = "features", by: Sequence[str] = ("slide_id",)
 ) -> DataFrame:
-    """Softmax-weighted sum of the patch vectors per slide.
+    """Softmax-weighted mean of the patch vectors per slide.
 
-    Sums are kept per (slide, band of logits) and rescaled at the end, so the
-    maximum is not needed first and the wide column is not shuffled.
+    A weighted mean is kept per (slide, band of logits) and the few bands of a slide
+    are averaged with rescaled weights, so the maximum is not needed first and the
+    wide column is not shuffled.  Means, not sums, keep all numbers at feature scale.
     """
     rows = patches.select(
         *by, _band(F.col(logit)).alias("band"), _in_band(F.col(logit)).alias("w"), _vector(features).alias("v")
     )
     bands = rows.groupBy(*by, "band").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), Summarizer.sum(F.col("v"), F.col("w")).alias("v")
+        F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), Summarizer.mean(F.col("v"), F.col("w")).alias("v")
     )
-    scaled = bands.withColumn("f", _to_top_band(by))
+    scaled = bands.withColumn("w", F.col("w") * _to_top_band(by))
     pooled = scaled.groupBy(*by).agg(
-        F.sum("n").alias("n_patches"),
-        F.sum(F.col("w") * F.col("f")).alias("w"),
-        Summarizer.sum(F.col("v"), F.col("f")).alias("v"),
+        F.sum("n").alias("n_patches"), Summarizer.mean(F.col("v"), F.col("w")).alias("v")
     )
-    mean = F.transform(vector_to_array("v"), lambda x: x / F.col("w"))
-    return pooled.select(*by, "n_patches", mean.alias("embedding"))
+    return pooled.select(*by, "n_patches", vector_to_array("v").alias("embedding"))
 
 
 def bag_softmax(df: DataFrame, logit_col: str = "logit") -> DataFrame:

@@ -47,10 +47,10 @@ SELECT event_id AS slide_id, user_id AS patient_id, CAST(event_id % 5 AS INT) AS
        (value + 20 * label) / (value + 20 * label + 50.0) AS prob_1
 FROM (SELECT *, CASE WHEN event_type IN ('purchase', 'error') THEN 1 ELSE 0 END AS label FROM events)""",
     "v_pred_multi": """
-SELECT slide_id, label, list_transform(a, x -> x / total) AS probs
+SELECT slide_id, label, list_transform(a, lambda x: x / total) AS probs
 FROM (SELECT *, a[1] + a[2] + a[3] + a[4] + a[5] + a[6] + a[7] + a[8] + a[9] + a[10] AS total FROM (
   SELECT vec_id AS slide_id, label,
-         list_transform(embedding[1:10], x -> abs(CAST(x AS DOUBLE))) AS a FROM embeddings))""",
+         list_transform(embedding[1:10], lambda x: abs(CAST(x AS DOUBLE))) AS a FROM embeddings))""",
     "v_patches": """
 SELECT l_suppkey AS slide_id,
        CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity,
@@ -60,7 +60,7 @@ SELECT l_suppkey AS slide_id,
 FROM lineitem""",
     "v_embed": """
 SELECT vec_id // 25 AS slide_id, CAST(vec_id % 25 AS INT) AS patch_idx,
-       list_transform(embedding, x -> CAST(x AS DOUBLE)) AS features, label
+       list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS features, label
 FROM embeddings""",
     "v_timing": "SELECT event_type AS phase, value AS ms FROM events",
 }
