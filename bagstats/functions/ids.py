@@ -24,7 +24,7 @@ SLIDE_SUFFIXES = (
     ".tiff",
     ".vsi",
 )
-_SUFFIX_PATTERN = "(?i)(" + "|".join(re.escape(s) for s in SLIDE_SUFFIXES) + ")$"
+_SUFFIX_PATTERN = r"(?i)\.(" + "|".join(s[1:] for s in SLIDE_SUFFIXES) + ")$"
 
 
 def _column(col: str | Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bagstats.functions.ids import normalize_slide_id
@@ -90,9 +90,10 @@ def restrict_to_manifest(
         source = F.col(filename_col).cast("string")
     else:
         raise ValueError(f"Neither '{id_col}' nor '{filename_col}' found. Available: {manifest.columns}")
-    bad = source.isNull() | (F.trim(source) == "")
-    checked = F.when(bad, F.raise_error(F.lit("manifest holds a null or empty slide id")).cast("string"))
-    wanted = manifest.select(normalize_slide_id(checked.otherwise(source)).alias("slide_id")).distinct()
+    listed = manifest.select(source.alias("__raw")).distinct()
+    bad = F.col("__raw").isNull() | (F.trim("__raw") == "")
+    failure = F.raise_error(F.lit("manifest holds a null or empty slide id")).cast("string")
+    wanted = listed.select(F.when(bad, failure).otherwise(normalize_slide_id("__raw")).alias("slide_id"))
     return df.join(wanted, "slide_id", "left_semi")
 
 

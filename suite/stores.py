@@ -224,7 +224,7 @@ def stream_once(spark, sf):
 
 
 def stream_once_watermark(spark, sf):
-    rows = _stream(spark, sf, "events").select(F.col("event_id").alias("slide_id"), "ts")
+    rows = _stream(spark, sf, "events").select(F.col("user_id").alias("slide_id"), F.col("ts").cast("timestamp"))
     return _drained(J.stream_ingest_diff(rows, "enc-1", "ts", "365 days"), "stream-mark").select("slide_id", "fingerprint")
 
 
@@ -312,7 +312,7 @@ r AS (SELECT sha256(concat_ws('|', 'slide_id,n_patches,raw_patches,feat_dim,coor
 SELECT substr(sha256(fingerprint || '|cap=200;strategy=random'), 1, 20) AS fingerprint FROM r"""),
     "R1_stream_score": None,
     "R2_stream_ingest_diff": "SELECT DISTINCT user_id AS slide_id, 'enc-1' AS fingerprint FROM events",
-    "R2_stream_ingest_watermark": "SELECT DISTINCT event_id AS slide_id, 'enc-1' AS fingerprint FROM events",
+    "R2_stream_ingest_watermark": "SELECT DISTINCT user_id AS slide_id, 'enc-1' AS fingerprint FROM events",
 }
 
 
