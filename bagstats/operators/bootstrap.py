@@ -66,7 +66,11 @@ def resample(
     score: str = "prob_1",
     mode: str = "exact",
 ) -> DataFrame:
-    """``b, label, pred, score, n`` of every resample."""
+    """``b, label, pred, score, n`` of every resample, not yet added up.
+
+    Each metric adds the rows up on the map side by the columns it needs: the
+    confusion metrics shuffle a few rows per repeat, only the AUROC needs scores.
+    """
     by = list(by)
     cells = _cells(preds, unit, by, score)
     if mode == "poisson":
@@ -86,7 +90,7 @@ def resample(
         drawn = draws.join(known, [*by, "unit_no"])
     else:
         raise ValueError(f"Unknown resampling mode '{mode}'. Use 'exact' or 'poisson'.")
-    return drawn.groupBy(*by, "b", "label", "pred", "score").agg(F.sum("n").alias("n"))
+    return drawn.select(*by, "b", "label", "pred", "score", "n")
 
 
 def _metric_rows(cells: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:

@@ -69,12 +69,12 @@ def filter_rule(df: DataFrame, rule: str, flag: str = "matched") -> DataFrame:
     if "&" in rule or "|" in rule.replace("||", ""):
         raise ValueError(f"Use 'and' / 'or' instead of '&' / '|' in the rule: {rule!r}")
     try:
-        out = df.withColumn(flag, F.coalesce(F.expr(rule), F.lit(False)))
+        kind = df.select(F.expr(rule)).dtypes[0][1]
     except Exception as exc:
         raise ValueError(f"Failed to evaluate rule {rule!r}: {exc}") from exc
-    if dict(out.dtypes)[flag] != "boolean":
-        raise ValueError(f"Rule {rule!r} is not a predicate")
-    return out
+    if kind != "boolean":
+        raise ValueError(f"Rule {rule!r} is not a predicate but has type {kind}")
+    return df.withColumn(flag, F.coalesce(F.expr(rule), F.lit(False)))
 
 
 def restrict_to_manifest(

@@ -190,13 +190,13 @@ def custom_kfold_split(
     flagged = expand_to_groups(filter_rule(manifest, test_filter, "is_test"), "is_test")
     test = flagged.filter("is_test").drop("is_test")
     pool = flagged.filter(~F.col("is_test")).drop("is_test")
+    placed = map_back(pool, _assign_folds(group_majority_label(pool), n_folds, seed))
+    placed = placed.withColumn("split", F.lit("train_val_pool"))
+    out = test.withColumn("fold", F.lit(TEST_FOLD)).withColumn("split", F.lit("test")).unionByName(placed)
     enough = pool.agg(F.count(F.lit(1))).scalar() >= F.lit(n_folds)
     message = F.lit(f"Not enough slides remain for {n_folds} folds after removing the test set")
-    folds = _assign_folds(group_majority_label(pool), n_folds, seed)
-    guarded = folds.withColumn("fold", F.when(enough, F.col("fold")).otherwise(F.raise_error(message).cast("int")))
-    placed = map_back(pool, guarded).withColumn("split", F.lit("train_val_pool"))
-    fixed = test.withColumn("fold", F.lit(TEST_FOLD)).withColumn("split", F.lit("test"))
-    return fixed.unionByName(placed)
+    checked = F.when(enough, F.col("fold")).otherwise(F.raise_error(message).cast("int"))
+    return out.withColumn("fold", checked)
 
 
 def hash_threshold_split(df: DataFrame, ratios: dict[str, float], seed: int = 42, key: str = "group_id") -> DataFrame:
