@@ -43,20 +43,7 @@ def running_sums(
     base = base.select("*", *[c.alias(f"__v_{n}") for n, c in sums.items()])
 
     pieces = base.groupBy(*by, *marks).agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in sums])
-    offsets = None
-    for depth in range(len(marks), 0, -1):
-        keys = [*by, *marks[:depth]]
-        table = pieces
-        if depth < len(marks):
-            table = pieces.groupBy(*keys).agg(*[F.sum(f"__s_{n}").alias(f"__s_{n}") for n in sums])
-        parent = Window.partitionBy(*keys[:-1])
-        ordered = parent.orderBy(keys[-1]).rowsBetween(*_EARLIER)
-        whole = parent.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        columns = [_or_zero(F.sum(f"__s_{n}").over(ordered)).alias(f"__b{depth}_{n}") for n in sums]
-        if depth == 1:
-            columns += [F.sum(f"__s_{n}").over(whole).alias(f"{n}_total") for n in sums]
-        table = table.select(*keys, *columns)
-        offsets = table if offsets is None else offsets.join(table, keys)
+    offsets = _level_offsets(pieces, by, marks, list(sums))
 
     local = Window.partitionBy(*by, *marks).orderBy(*order).rowsBetween(*_EARLIER)
     inside = base.select("*", *[_or_zero(F.sum(f"__v_{n}").over(local)).alias(f"__in_{n}") for n in sums])
@@ -71,6 +58,34 @@ def running_sums(
     )
 
 
+def _level_offsets(pieces: DataFrame, by: list[str], marks: list[str], names: list[str]) -> DataFrame:
+    """Sum of everything before each piece, one column ``__b<depth>_<name>`` per level, and group totals.
+
+    A level is summed inside its parent, so no window sees more than one parent's
+    pieces.  The parents are the first rows of that same window: both uses read one shuffle.
+    """
+    parent = Window.partitionBy(*by, *marks[:-1])
+    ordered = parent.orderBy(marks[-1])
+    depth = len(marks)
+    table = pieces.select(
+        *by,
+        *marks,
+        F.row_number().over(ordered).alias("__first"),
+        *[_or_zero(F.sum(f"__s_{n}").over(ordered.rowsBetween(*_EARLIER))).alias(f"__b{depth}_{n}") for n in names],
+        *[F.sum(f"__s_{n}").over(parent).alias(f"__whole_{n}") for n in names],
+    )
+    if depth == 1:
+        return table.select(
+            *by, *marks, *[f"__b1_{n}" for n in names], *[F.col(f"__whole_{n}").alias(f"{n}_total") for n in names]
+        )
+    parents = table.filter("__first = 1").select(
+        *by, *marks[:-1], *[F.col(f"__whole_{n}").alias(f"__s_{n}") for n in names]
+    )
+    upper = _level_offsets(parents, by, marks[:-1], names)
+    fine = table.select(*by, *marks, *[f"__b{depth}_{n}" for n in names])
+    return fine.join(upper, [*by, *marks[:-1]])
+
+
 def ranked(
     df: DataFrame,
     by: Sequence[str],
@@ -94,16 +109,21 @@ def lookup(
     spread_by: Sequence[str],
     copies: int | None = None,
     how: str = "inner",
+    keep_salt: str | None = None,
 ) -> DataFrame:
     """Join a long table to a one-row-per-key table without gathering a hot key in one task.
 
-    The long side is salted by ``spread_by`` and the short side repeated per salt.
-    No broadcast is forced: adaptive execution may choose one from the measured size.
+    The long side is salted by ``spread_by`` and the short side repeated per salt, so
+    the short side should be much shorter.  No broadcast is forced: adaptive execution
+    may choose one from the measured size.  ``keep_salt`` names the salt column to
+    keep, so that :func:`keep_lowest` can go on with the same partitioning.
     """
     copies = copies or _pieces(big, 64)
-    salted = big.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(copies)))
-    repeated = small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint"))))
-    return salted.join(repeated, [*on, "__salt"], how).drop("__salt")
+    salt = keep_salt or "__salt"
+    salted = big.withColumn(salt, F.pmod(F.xxhash64(*spread_by), F.lit(copies)))
+    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint"))
+    joined = salted.join(small.withColumn(salt, F.explode(salts)), [*on, salt], how)
+    return joined if keep_salt else joined.drop(salt)
 
 
 def keep_lowest(
@@ -111,26 +131,36 @@ def keep_lowest(
     by: Sequence[str],
     order: Sequence[Column],
     quota: int | Column,
-    spread_by: Sequence[str],
-    copies: int | None = None,
+    spread_by: Sequence[str] = (),
+    salt: str | None = None,
+    place: str | None = None,
 ) -> DataFrame:
     """First ``quota`` rows of every group.
 
-    Each salt of a group keeps its own first ``quota`` rows, so the final pass
-    sees at most ``copies * quota`` rows of a group whatever the group's size.
+    Each salt of a group keeps its own first ``quota`` rows, so the final pass sees
+    at most salts * quota rows of a group whatever the group's size.  ``salt`` names
+    an existing salt column; ``place`` keeps the row number under that name.
     """
-    copies = copies or _pieces(df, 512)
     limit = F.lit(quota) if isinstance(quota, int) else quota
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(copies)))
-    near = Window.partitionBy(*by, "__salt").orderBy(*order)
+    mark = salt or "__salt"
+    if salt is None:
+        df = df.withColumn(mark, F.pmod(F.xxhash64(*spread_by), F.lit(_pieces(df, 64))))
+    near = Window.partitionBy(*by, mark).orderBy(*order)
     final = Window.partitionBy(*by).orderBy(*order)
-    return (
-        salted.withColumn("__place", F.row_number().over(near))
+    out = (
+        df.withColumn("__place", F.row_number().over(near))
         .filter(F.col("__place") <= limit)
+        .drop(mark)
         .withColumn("__place", F.row_number().over(final))
         .filter(F.col("__place") <= limit)
-        .drop("__salt", "__place")
     )
+    return out.withColumnRenamed("__place", place) if place else out.drop("__place")
+
+
+def spread_out(df: DataFrame, *by: str) -> DataFrame:
+    """Full shuffle width before rows are multiplied: adaptive execution sizes partitions by what
+    goes in, so a small table would otherwise be exploded by one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 def category_grid(counts: DataFrame, left: str, right: str) -> DataFrame:

@@ -16,7 +16,7 @@ from bagstats.functions.keys import hash_bucket, hash_key, normal, uniform, unif
 from bagstats.functions.spread import keep_lowest, lookup, ranked, running_sums
 
 KEY = ["slide_id", "patch_idx"]
-_WHOLE_SLIDE = -1  # cell number used when the grid is finer than the budget
+_WHOLE_SLIDE = -1  # pool of a slide whose grid is finer than the budget
 
 
 # --- selection helpers ------------------------------------------------------
@@ -79,19 +79,34 @@ def _axis_cell(kind: str, value: Column, low: Column, high: Column, grid: int) -
     return F.greatest(F.least(index, F.lit(grid - 1)), F.lit(0))
 
 
-def _gridded(patches: DataFrame, kind: str, k: int, grid: int) -> tuple[DataFrame, DataFrame]:
+_SALT = "__spread"
+
+
+def _gridded(patches: DataFrame, kind: str, grid: int) -> tuple[DataFrame, DataFrame]:
     """Patches with their cell, and the cell table with sizes (at most grid * grid rows per slide)."""
-    placed = lookup(_narrow(patches, "x", "y"), _extent(patches), ["slide_id"], ["patch_idx"])
+    placed = lookup(
+        _narrow(patches, "x", "y"), _extent(patches), ["slide_id"], ["patch_idx"], keep_salt=_SALT
+    )
     cell_x = _axis_cell(kind, F.col("x"), F.col("min_x"), F.col("max_x"), grid)
     cell_y = _axis_cell(kind, F.col("y"), F.col("min_y"), F.col("max_y"), grid)
     cell = (cell_x * F.lit(grid) + cell_y).cast("int")
-    placed = placed.select(*KEY, "n", cell.alias("cell"))
-    cells = placed.groupBy("slide_id", "cell").agg(
-        F.count(F.lit(1)).alias("n_cell"), F.max("n").alias("n")
-    )
+    placed = placed.select(*KEY, _SALT, "n", cell.alias("cell"))
+    cells = placed.groupBy("slide_id", "cell").agg(F.count(F.lit(1)).alias("n_cell"), F.max("n").alias("n"))
     return placed.drop("n"), cells
 
 
+def _first_per_cell(placed: DataFrame, quotas: DataFrame, k: int, seed: int) -> DataFrame:
+    """The first k patches of every cell in hash order with ``place`` and their cell's quota.
+
+    No quota exceeds k, so nothing that could be chosen is lost, and a cell that
+    holds most of a slide is down to k rows before the quotas are joined.
+    """
+    keyed = placed.withColumn("__key", hash_key(seed, "slide_id", "patch_idx"))
+    order = [F.col("__key"), F.col("patch_idx")]
+    first = keep_lowest(keyed, ["slide_id", "cell"], order, k, salt=_SALT, place="place")
+    return first.join(quotas, ["slide_id", "cell"])
+
+
 def _greedy(cells: DataFrame, amount: Column, room: Column, order: Sequence[Column]) -> Column:
     """What each cell takes of ``amount`` when cells are served in order up to their room."""
     before = Window.partitionBy("slide_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -139,14 +154,7 @@ def _even_budgets(cells: DataFrame, k: int, seed: int) -> DataFrame:
     return rows.withColumn("quota", F.least(base + extra, F.col("n_cell")))
 
 
-def _fill_cells(placed: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
-    """The first ``quota`` patches of every cell in hash order; a cell may hold most of a slide."""
-    table = quotas.select("slide_id", "cell", "n", "quota")
-    joined = lookup(placed, table, ["slide_id", "cell"], ["patch_idx"])
-    return keep_lowest(joined, ["slide_id", "cell"], _draw_order(seed), F.col("quota"), ["patch_idx"])
-
-
-def _keep_all_when_small(cells: DataFrame, quotas: DataFrame, k: int) -> DataFrame:
+def _keep_all_when_small(quotas: DataFrame, k: int) -> DataFrame:
     quota = F.when(F.col("n") <= k, F.col("n_cell")).otherwise(F.col("quota"))
     return quotas.withColumn("quota", quota)
 
@@ -157,36 +165,42 @@ def cap_spatial_sqrt(patches: DataFrame, k: int, grid: int = 32, seed: int = 42)
     A bag with no more than k patches stays whole; with at least k occupied cells
     the k patches are drawn from the whole bag.
     """
-    placed, cells = _gridded(patches, "sqrt", k, grid)
-    slide = Window.partitionBy("slide_id")
-    counted = cells.withColumn("n_cells", F.count(F.lit(1)).over(slide))
+    placed, cells = _gridded(patches, "sqrt", grid)
+    counted = cells.withColumn("n_cells", F.count(F.lit(1)).over(Window.partitionBy("slide_id")))
     too_fine = (F.col("n_cells") >= k) & (F.col("n") > k)
-    budgets = _keep_all_when_small(cells, _sqrt_budgets(counted.filter(~too_fine), k), k)
-    merged = counted.filter(too_fine)
-    fine = merged.select("slide_id", "cell", "n", F.lit(k).cast("bigint").alias("quota"), F.lit(_WHOLE_SLIDE).alias("draw"))
-    table = budgets.select("slide_id", "cell", "n", "quota", F.col("cell").alias("draw")).unionByName(fine)
-    joined = lookup(placed, table, ["slide_id", "cell"], ["patch_idx"])
-    chosen = keep_lowest(joined, ["slide_id", "draw"], _draw_order(seed), F.col("quota"), ["patch_idx"])
-    return _select_back(patches, chosen)
+    budgets = _keep_all_when_small(_sqrt_budgets(counted, k), k).withColumn("whole", too_fine)
+    rows = _first_per_cell(placed, budgets.select("slide_id", "cell", "quota", "whole"), k, seed)
+    rows = rows.filter(F.col("whole") | (F.col("place") <= F.col("quota")))
+    pool = F.when(F.col("whole"), F.lit(_WHOLE_SLIDE)).otherwise(F.col("cell"))
+    rows = rows.withColumn("pool", pool)
+    turn = F.row_number().over(Window.partitionBy("slide_id", "pool").orderBy("__key", "patch_idx"))
+    return _select_back(patches, rows.withColumn("turn", turn).filter(F.col("turn") <= k))
 
 
 def cap_spatial_proportional(patches: DataFrame, k: int, grid: int = 32, seed: int = 0) -> DataFrame:
     """k patches per bag over a grid, each cell in proportion to its size."""
-    placed, cells = _gridded(patches, "proportional", k, grid)
-    quotas = _keep_all_when_small(cells, _proportional_budgets(cells, k), k)
-    return _select_back(patches, _fill_cells(placed, quotas, seed))
+    placed, cells = _gridded(patches, "proportional", grid)
+    quotas = _keep_all_when_small(_proportional_budgets(cells, k), k)
+    rows = _first_per_cell(placed, quotas.select("slide_id", "cell", "quota"), k, seed)
+    return _select_back(patches, rows.filter(F.col("place") <= F.col("quota")))
 
 
 def cap_spatial_even(patches: DataFrame, k: int, grid: int = 32, seed: int = 42) -> DataFrame:
-    """k patches per bag spread evenly over the occupied cells, topped up at random."""
-    placed, cells = _gridded(patches, "even", k, grid)
-    quotas = _keep_all_when_small(cells, _even_budgets(cells, k, seed), k)
-    chosen = _fill_cells(placed, quotas, seed).select(*KEY)
-    taken = quotas.groupBy("slide_id").agg(F.sum("quota").alias("taken"))
-    need = taken.filter(F.col("taken") < k).select("slide_id", (F.lit(k) - F.col("taken")).alias("need"))
-    unused = lookup(placed.select(*KEY), need, ["slide_id"], ["patch_idx"]).join(chosen, KEY, "left_anti")
-    top_up = keep_lowest(unused, ["slide_id"], _draw_order(seed), F.col("need"), ["patch_idx"])
-    return _select_back(patches, chosen.unionByName(top_up.select(*KEY)))
+    """k patches per bag spread evenly over the occupied cells, topped up at random.
+
+    A cell gives the top-up at most ``need`` patches beyond its quota, and quota plus
+    need never exceed k, so the last window sees few rows of a slide.
+    """
+    placed, cells = _gridded(patches, "even", grid)
+    quotas = _keep_all_when_small(_even_budgets(cells, k, seed), k)
+    taken = F.sum("quota").over(Window.partitionBy("slide_id"))
+    need = F.when(F.col("n") > k, F.lit(k) - taken).otherwise(F.lit(0))
+    quotas = quotas.select("slide_id", "cell", "quota", need.alias("need"))
+    rows = _first_per_cell(placed, quotas, k, seed).filter(F.col("place") <= F.col("quota") + F.col("need"))
+    rows = rows.withColumn("spare", F.col("place") > F.col("quota"))
+    turn = F.row_number().over(Window.partitionBy("slide_id", "spare").orderBy("__key", "patch_idx"))
+    rows = rows.withColumn("turn", turn)
+    return _select_back(patches, rows.filter(~F.col("spare") | (F.col("turn") <= F.col("need"))))
 
 
 CAPS: dict[str, Callable[..., DataFrame]] = {
@@ -339,7 +353,8 @@ def length_bucket_batches(
 ) -> DataFrame:
     """Batches of bags of similar size: buckets of the size order, shuffled outside and inside.
 
-    ``bucket_pos, batch_no`` order the batches, ``slot`` the slides inside one.
+    Batches follow ``bucket_order, bucket, batch_no`` (a hash number, so buckets come
+    in random order without being ranked again); ``slot`` orders the slides of a batch.
     """
     size = max(bucket_size, batch_size)
     keyed = index.select("slide_id", "n_patches").withColumn("__key", hash_key(seed, "slide_id"))
@@ -350,29 +365,26 @@ def length_bucket_batches(
         [F.col("n_patches"), hash_bucket(F.col("__key"))],
         rank="place",
     )
-    placed = placed.withColumn("bucket", F.floor((F.col("place") - 1) / size))
-    buckets = placed.select("bucket").distinct().withColumn("__key", hash_key(seed, F.lit("bucket"), "bucket"))
-    shuffled = ranked(
-        buckets, [], [F.col("__key"), F.col("bucket")], [hash_bucket(F.col("__key"))], rank="bucket_pos"
-    ).select("bucket", (F.col("bucket_pos") - 1).alias("bucket_pos"))
+    rows = placed.withColumn("bucket", F.floor((F.col("place") - 1) / size))
     inner = Window.partitionBy("bucket").orderBy(hash_key(seed, F.lit("inside"), "slide_id"), "slide_id")
-    rows = placed.withColumn("inner", F.row_number().over(inner) - 1).join(shuffled, "bucket")
+    rows = rows.withColumn("__inner", F.row_number().over(inner) - 1)
     rows = rows.select(
-        "bucket_pos",
-        F.floor(F.col("inner") / batch_size).alias("batch_no"),
-        (F.col("inner") % batch_size).alias("slot"),
+        F.conv(hash_bucket(hash_key(seed, F.lit("bucket"), "bucket"), 8), 16, 10).cast("bigint").alias("bucket_order"),
+        "bucket",
+        F.floor(F.col("__inner") / batch_size).alias("batch_no"),
+        (F.col("__inner") % batch_size).alias("slot"),
         "slide_id",
         "n_patches",
     )
     if drop_last:
-        filled = F.count(F.lit(1)).over(Window.partitionBy("bucket_pos", "batch_no"))
+        filled = F.count(F.lit(1)).over(Window.partitionBy("bucket", "batch_no"))
         rows = rows.withColumn("__n", filled).filter(F.col("__n") == batch_size).drop("__n")
     return rows
 
 
 def padding_waste(batches: DataFrame) -> DataFrame:
     """Padded cells per batch: slides times the largest bag, against the patches really there."""
-    return batches.groupBy("bucket_pos", "batch_no").agg(
+    return batches.groupBy("bucket", "batch_no").agg(
         F.count(F.lit(1)).alias("n_slides"),
         F.sum("n_patches").alias("n_patches"),
         (F.count(F.lit(1)) * F.max("n_patches") - F.sum("n_patches")).alias("padding"),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from bagstats.functions.keys import hash_bucket, hash_key, uniform
 from bagstats.functions.probs import with_prediction
-from bagstats.functions.spread import ranked
+from bagstats.functions.spread import ranked, spread_out
 from bagstats.operators.confusion import overall_scores
 from bagstats.operators.ranking import auroc_from_scores
 from bagstats.operators.scores import patient_aggregate
@@ -74,7 +74,7 @@ def resample(
     by = list(by)
     cells = _cells(preds, unit, by, score)
     if mode == "poisson":
-        rows = cells.withColumn("b", _repeats(n_bootstrap))
+        rows = spread_out(cells, "unit", "score").withColumn("b", _repeats(n_bootstrap))
         # The generator keeps the optimizer from repeating the digest for every quantile step.
         rows = rows.withColumn("u", F.explode(F.array(uniform(seed, "b", "unit"))))
         drawn = rows.withColumn("n", F.col("n") * poisson_weight(F.col("u"))).filter("n > 0").drop("u")
@@ -83,7 +83,7 @@ def resample(
         numbered = ranked(
             units, by, [F.col("__key"), F.col("unit")], [hash_bucket(F.col("__key"))], rank="unit_no", total="n_units"
         ).drop("__key")
-        draws = numbered.select(*by, "unit_no", "n_units").withColumn("b", _repeats(n_bootstrap))
+        draws = spread_out(numbered.select(*by, "unit_no", "n_units"), "unit_no").withColumn("b", _repeats(n_bootstrap))
         number = F.floor(uniform(seed, "b", "unit_no") * F.col("n_units")) + 1
         draws = draws.select(*by, "b", number.alias("unit_no"))
         known = cells.join(numbered.drop("n_units"), [*by, "unit"])

@@ -65,30 +65,28 @@ def _label_table(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return groups.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _quotas(labels: DataFrame, share: float, by: Sequence[str] = ()) -> DataFrame:
-    """Whole groups per label for a share of all groups (rounded up), by largest remainder.
+def _with_quota(labels: DataFrame, size: str, share: float, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Add whole groups per label for a share of all groups (rounded up), by largest remainder.
 
     ``labels`` has one row per label; the windows see nothing else.
     """
     whole = Window.partitionBy(*by)
-    sized = labels.withColumn("total", F.sum("n").over(whole))
-    sized = sized.withColumn("wanted", F.ceil(F.col("total") * F.lit(share) - F.lit(1e-9)))
-    sized = sized.withColumn("exact", F.col("n") * F.col("wanted") / F.col("total"))
-    sized = sized.withColumn("base", F.floor(F.col("exact") + F.lit(1e-9)))
-    sized = sized.withColumn("remainder", F.round(F.col("exact") - F.col("base"), 9))
-    sized = sized.withColumn("turn", F.row_number().over(whole.orderBy(F.col("remainder").desc(), "label")))
-    sized = sized.withColumn("spare", F.col("wanted") - F.sum("base").over(whole))
-    extra = (F.col("turn") <= F.col("spare")).cast("bigint")
-    return sized.select(*by, "label", (F.col("base") + extra).alias("quota"))
-
-
-def _take_share(groups: DataFrame, share: float, seed: int | Column, by: Sequence[str] = ()) -> DataFrame:
+    sized = labels.withColumn("__total", F.sum(size).over(whole))
+    sized = sized.withColumn("__wanted", F.ceil(F.col("__total") * F.lit(share) - F.lit(1e-9)))
+    sized = sized.withColumn("__exact", F.col(size) * F.col("__wanted") / F.greatest(F.col("__total"), F.lit(1)))
+    sized = sized.withColumn("__base", F.floor(F.col("__exact") + F.lit(1e-9)))
+    sized = sized.withColumn("__remainder", F.round(F.col("__exact") - F.col("__base"), 9))
+    sized = sized.withColumn("__turn", F.row_number().over(whole.orderBy(F.col("__remainder").desc(), "label")))
+    sized = sized.withColumn("__spare", F.col("__wanted") - F.sum("__base").over(whole))
+    extra = (F.col("__turn") <= F.col("__spare")).cast("bigint")
+    return sized.select(*labels.columns, (F.col("__base") + extra).alias(name))
+
+
+def _take_share(groups: DataFrame, share: float, seed: int) -> DataFrame:
     """Flag ``taken``: a stratified share of the groups, exact per label."""
-    placed = _rank_in_label(groups, seed, by)
-    quota = _quotas(_label_table(groups, by), share, by)
-    keys = [*by, "label"]
-    joined = lookup(placed, quota, keys, ["group_id"])
-    return joined.withColumn("taken", F.col("place") <= F.col("quota")).drop("place", "quota", "label_total")
+    quota = _with_quota(_label_table(groups), "n", share, "quota").select("label", "quota")
+    joined = lookup(_rank_in_label(groups, seed), quota, ["label"], ["group_id"])
+    return joined.select("group_id", "label", (F.col("place") <= F.col("quota")).alias("taken"))
 
 
 def _assign_folds(groups: DataFrame, n_folds: int, seed: int) -> DataFrame:
@@ -111,23 +109,28 @@ def kfold_split(manifest: DataFrame, n_folds: int = 5, seed: int = 42, test_rati
     groups = group_majority_label(manifest)
     if not test_ratio:
         return map_back(manifest, _assign_folds(groups, n_folds, seed))
-    shared = _take_share(groups, test_ratio, seed)
-    test = shared.filter("taken").select("group_id", F.lit(TEST_FOLD).alias("fold"))
-    rest = shared.filter(~F.col("taken")).select("group_id", "label")
-    return map_back(manifest, test.unionByName(_assign_folds(rest, n_folds, seed)))
+    quotas = _with_quota(_label_table(groups), "n", test_ratio, "test")
+    before = Window.partitionBy().orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("n") - F.col("test")).over(before), F.lit(0))
+    placed = lookup(
+        _rank_in_label(groups, seed), quotas.select("label", "test", start.alias("start")), ["label"], ["group_id"]
+    )
+    turn = F.col("place") - F.col("test")
+    fold = F.when(turn <= 0, F.lit(TEST_FOLD)).otherwise(F.pmod(turn - 1 + F.col("start"), F.lit(n_folds)))
+    return map_back(manifest, placed.select("group_id", fold.cast("int").alias("fold")))
 
 
 def _holdout_groups(
     groups: DataFrame, train: float, val: float, test: float, seed: int | Column, by: Sequence[str] = ()
 ) -> DataFrame:
-    later = seed + 1
-    first = _take_share(groups, test, seed, by)
-    rest = first.filter(~F.col("taken")).drop("taken")
-    second = _take_share(rest, val / (train + val), later, by)
-    role = F.when(F.col("taken"), F.lit("val")).otherwise(F.lit("train"))
-    return first.filter("taken").select(*by, "group_id", F.lit("test").alias("split")).unionByName(
-        second.select(*by, "group_id", role.alias("split"))
-    )
+    """One hash order per label: its first groups are test, the next ones validation."""
+    labels = _with_quota(_label_table(groups, by), "n", test, "test", by)
+    labels = labels.withColumn("rest", F.col("n") - F.col("test"))
+    labels = _with_quota(labels, "rest", val / (train + val), "val", by).select(*by, "label", "test", "val")
+    placed = lookup(_rank_in_label(groups, seed, by), labels, [*by, "label"], ["group_id"])
+    place = F.col("place")
+    role = F.when(place <= F.col("test"), "test").when(place <= F.col("test") + F.col("val"), "val").otherwise("train")
+    return placed.select(*by, "group_id", role.alias("split"))
 
 
 def holdout_split(manifest: DataFrame, train: float, val: float, test: float, seed: int = 42) -> DataFrame:

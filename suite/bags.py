@@ -260,9 +260,8 @@ _INDEX = "idx AS (SELECT l_orderkey AS slide_id, count(*) AS n_patches FROM line
 def _batches(size: int) -> str:
     return f"""{_INDEX},
 p AS (SELECT *, (row_number() OVER (ORDER BY n_patches, {key(42, "slide_id")}, slide_id) - 1) // 64 AS bucket FROM idx),
-bk AS (SELECT bucket, row_number() OVER (ORDER BY {key(42, "'bucket'", "bucket")}, bucket) - 1 AS bucket_pos FROM (SELECT DISTINCT bucket FROM p)),
 i AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY {key(42, "'inside'", "slide_id")}, slide_id) - 1 AS pos FROM p),
-bt AS (SELECT bucket_pos, pos // {size} AS batch_no, pos % {size} AS slot, slide_id, n_patches FROM i JOIN bk USING (bucket))"""
+bt AS (SELECT CAST('0x' || substr({key(42, "'bucket'", "bucket")}, 1, 8) AS BIGINT) AS bucket_order, bucket, pos // {size} AS batch_no, pos % {size} AS slot, slide_id, n_patches FROM i)"""
 
 
 _U9 = uniform(7, "slide_id", "patch_idx")
@@ -335,9 +334,9 @@ FROM v_patches p JOIN corner USING (slide_id) JOIN stride USING (slide_id) LEFT
     "J9_kept_vs_all": with_views("v_patches", f"WITH {_RANDOM} SELECT p.slide_id AS slide_id, p.patch_idx AS patch_idx, k.patch_idx IS NOT NULL AS kept FROM v_patches p LEFT JOIN kept k USING (slide_id, patch_idx)"),
     "T2_worst_coverage": with_views("v_patches", f"{_COVER} SELECT * FROM cov WHERE was_capped ORDER BY coverage_pct, slide_id LIMIT 20"),
     "W9_length_bucket_batches": f"WITH {_batches(8)} SELECT * FROM bt",
-    "W9_batches_drop_last": f"WITH {_batches(5)} SELECT * FROM bt QUALIFY count(*) OVER (PARTITION BY bucket_pos, batch_no) = 5",
+    "W9_batches_drop_last": f"WITH {_batches(5)} SELECT * FROM bt QUALIFY count(*) OVER (PARTITION BY bucket, batch_no) = 5",
     "W9_padding_waste": f"""
-WITH {_batches(8)} SELECT bucket_pos, batch_no, count(*) AS n_slides, CAST(sum(n_patches) AS BIGINT) AS n_patches,
+WITH {_batches(8)} SELECT bucket, batch_no, count(*) AS n_slides, CAST(sum(n_patches) AS BIGINT) AS n_patches,
   CAST(count(*) * max(n_patches) - sum(n_patches) AS BIGINT) AS padding FROM bt GROUP BY 1, 2""",
     "S5_bag_index": with_views("v_patches", f"""
 WITH i AS (SELECT slide_id, count(*) FILTER (patch_idx < {K}) AS n_patches, count(*) AS raw_patches, {_SHARD8} AS shard FROM v_patches GROUP BY 1)

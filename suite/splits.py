@@ -157,41 +157,40 @@ def _folds_cte(groups: str, name: str = "folds", k: int = 5, seed: int = 42) ->
 {name} AS (SELECT group_id, CAST((place - 1 + coalesce(start, 0)) % {k} AS INT) AS fold FROM {name}_r JOIN {name}_l USING (label))"""
 
 
-def _share_cte(groups: str, share: float, seed: object, name: str, by: str = "") -> str:
-    """CTE ``name`` with ``taken``: wanted = ceil(share of all), largest remainders first."""
-    pre = f"{by}, " if by else ""
+def _quota_cte(source: str, size: str, share: float, quota: str, name: str, by: str = "") -> str:
+    """CTE ``name``: ``source`` (one row per label) plus ``quota``; wanted = ceil(share of all), largest remainders first."""
     part = f"PARTITION BY {by}" if by else ""
-    using = f"({pre}label)"
     return f"""
-{name}_q0 AS (SELECT {pre}label, n, sum(n) OVER ({part}) AS total FROM (SELECT {pre}label, count(*) AS n FROM {groups} GROUP BY ALL)),
-{name}_q1 AS (SELECT *, ceil(CAST(total AS DOUBLE) * {share!r}::DOUBLE - 1e-9::DOUBLE) AS wanted FROM {name}_q0),
-{name}_q2 AS (SELECT *, CAST(n AS DOUBLE) * wanted / CAST(total AS DOUBLE) AS exact FROM {name}_q1),
-{name}_q3 AS (SELECT *, floor(exact + 1e-9::DOUBLE) AS base FROM {name}_q2),
-{name}_q4 AS (SELECT *, row_number() OVER ({part} ORDER BY round(exact - base, 9) DESC, label) AS turn, wanted - sum(base) OVER ({part}) AS spare FROM {name}_q3),
-{name}_q AS (SELECT {pre}label, base + CASE WHEN turn <= spare THEN 1 ELSE 0 END AS quota FROM {name}_q4),
-{name}_r AS (SELECT {pre}group_id, label, row_number() OVER (PARTITION BY {pre}label ORDER BY {key(seed, "group_id")}, group_id) AS place FROM {groups}),
-{name} AS (SELECT {pre}group_id, label, place <= quota AS taken FROM {name}_r JOIN {name}_q USING {using})"""
+{name}_1 AS (SELECT *, sum({size}) OVER ({part}) AS total FROM {source}),
+{name}_2 AS (SELECT *, ceil(CAST(total AS DOUBLE) * {share!r}::DOUBLE - 1e-9::DOUBLE) AS wanted FROM {name}_1),
+{name}_3 AS (SELECT *, CAST({size} AS DOUBLE) * wanted / CAST(greatest(total, 1) AS DOUBLE) AS exact FROM {name}_2),
+{name}_4 AS (SELECT *, floor(exact + 1e-9::DOUBLE) AS base FROM {name}_3),
+{name}_5 AS (SELECT *, row_number() OVER ({part} ORDER BY round(exact - base, 9) DESC, label) AS turn, wanted - sum(base) OVER ({part}) AS spare FROM {name}_4),
+{name} AS (SELECT * EXCLUDE (total, wanted, exact, base, turn, spare), base + CASE WHEN turn <= spare THEN 1 ELSE 0 END AS {quota} FROM {name}_5)"""
+
+
+def _placed(groups: str, seed: object, name: str, by: str = "") -> str:
+    pre = f"{by}, " if by else ""
+    return f"""{name}_n AS (SELECT {pre}label, count(*) AS n FROM {groups} GROUP BY ALL),
+{name} AS (SELECT {pre}group_id, label, row_number() OVER (PARTITION BY {pre}label ORDER BY {key(seed, "group_id")}, group_id) AS place FROM {groups})"""
 
 
 _KFOLD_TEST = f"""
-WITH {_share_cte("v_group", 0.2, 42, "s")}, rest AS (SELECT group_id, label FROM s WHERE NOT taken),
-{_folds_cte("rest")},
-assigned AS (SELECT group_id, CAST(-1 AS INT) AS fold FROM s WHERE taken UNION ALL SELECT group_id, fold FROM folds),
+WITH {_placed("v_group", 42, "p")}, {_quota_cte("p_n", "n", 0.2, "test", "q")},
+st AS (SELECT label, test, coalesce(sum(n - test) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM q),
+assigned AS (SELECT group_id, CAST(CASE WHEN place <= test THEN -1 ELSE (CAST(place - test AS BIGINT) - 1 + CAST(start AS BIGINT)) % 5 END AS INT) AS fold FROM p JOIN st USING (label)),
 split AS (SELECT slide_id, group_id, label, fold FROM v_manifest JOIN assigned USING (group_id))"""
 
-_HOLDOUT_GROUPS = f"""
-WITH {_share_cte("v_group", 0.15, 42, "s")}, rest AS (SELECT group_id, label FROM s WHERE NOT taken),
-{_share_cte("rest", 0.15 / (0.7 + 0.15), 43, "t")},
-assigned AS (SELECT group_id, 'test' AS split FROM s WHERE taken
-             UNION ALL SELECT group_id, CASE WHEN taken THEN 'val' ELSE 'train' END FROM t)"""
 
-_MC = f"""
-WITH g AS (SELECT r AS repeat, group_id, label FROM v_group, range(3) t(r)),
-{_share_cte("g", 0.15, "(42 + repeat)", "s", "repeat")},
-rest AS (SELECT repeat, group_id, label FROM s WHERE NOT taken),
-{_share_cte("rest", 0.15 / (0.7 + 0.15), "(43 + repeat)", "t", "repeat")},
-assigned AS (SELECT repeat, group_id, 'test' AS split FROM s WHERE taken
-             UNION ALL SELECT repeat, group_id, CASE WHEN taken THEN 'val' ELSE 'train' END FROM t)"""
+def _holdout_cte(groups: str, seed: object, by: str = "") -> str:
+    pre = f"{by}, " if by else ""
+    return f"""{_placed(groups, seed, "p", by)}, {_quota_cte("p_n", "n", 0.15, "test", "q", by)},
+r AS (SELECT *, n - test AS rest FROM q), {_quota_cte("r", "rest", 0.15 / (0.7 + 0.15), "val", "v", by)},
+assigned AS (SELECT {pre}group_id, CASE WHEN place <= test THEN 'test' WHEN place <= test + val THEN 'val' ELSE 'train' END AS split FROM p JOIN v USING ({pre}label))"""
+
+
+_HOLDOUT_GROUPS = f"WITH {_holdout_cte('v_group', 42)}"
+_MC = f"WITH g AS (SELECT r AS repeat, group_id, label FROM v_group, range(3) t(r)), {_holdout_cte('g', '(42 + repeat)', 'repeat')}"
 
 _FLAGGED = f"flagged AS (SELECT *, bool_or({RULE}) OVER (PARTITION BY group_id) AS is_test FROM v_manifest)"
 _POOL = f"""
@@ -224,7 +223,8 @@ ORACLES = {
     "W1_kfold_with_test": with_views("v_manifest v_group", f"{_KFOLD_TEST} SELECT * FROM split"),
     "W2_holdout_split": with_views("v_manifest v_group", f"{_HOLDOUT_GROUPS} SELECT slide_id, group_id, label, split FROM v_manifest JOIN assigned USING (group_id)"),
     "W3_custom_holdout_ratio": with_views("v_manifest", f"""
-WITH {_FLAGGED}, {_POOL}, {_share_cte("pool_group", 0.15 / (0.7 + 0.15), 42, "t")}
+WITH {_FLAGGED}, {_POOL}, {_placed("pool_group", 42, "p")}, {_quota_cte("p_n", "n", 0.15 / (0.7 + 0.15), "quota", "q")},
+t AS (SELECT group_id, place <= quota AS taken FROM p JOIN q USING (label))
 SELECT slide_id, f.group_id AS group_id, f.label AS label,
        CASE WHEN is_test THEN 'test' WHEN coalesce(t.taken, FALSE) THEN 'val' ELSE 'train' END AS split
 FROM flagged f LEFT JOIN t ON t.group_id = f.group_id AND NOT f.is_test"""),

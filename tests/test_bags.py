@@ -92,7 +92,7 @@ def _proportional_budget(sizes, k):
 @pytest.mark.parametrize("k", [12, 20, 40, 70])
 @pytest.mark.parametrize("kind", ["sqrt", "proportional"])
 def test_cell_budgets_against_restatement(spark, patches, kind, k):
-    _, cells = B._gridded(patches, kind, k, 3)
+    _, cells = B._gridded(patches, kind, 3)
     slide = cells.groupBy("slide_id").agg(F.count("*").alias("c"))
     usable = cells.join(slide, "slide_id").filter((F.col("n") > k) & (F.col("c") < k)).drop("c")
     budgets = B._sqrt_budgets(usable, k) if kind == "sqrt" else B._proportional_budgets(usable, k)
@@ -167,12 +167,12 @@ def test_length_buckets(spark):
     index = spark.range(300).select(F.col("id").alias("slide_id"), (F.col("id") % 50 + 1).alias("n_patches"))
     out = B.length_bucket_batches(index, 8, 32, 1).toPandas()
     assert sorted(out.slide_id) == list(range(300))
-    sizes = out.groupby(["bucket_pos", "batch_no"]).size()
+    sizes = out.groupby(["bucket", "batch_no"]).size()
     assert sizes.max() == 8
-    spans = out.groupby("bucket_pos").n_patches.agg(lambda s: s.max() - s.min())
+    spans = out.groupby("bucket").n_patches.agg(lambda s: s.max() - s.min())
     assert spans.max() <= 7
     full = B.length_bucket_batches(index, 7, 32, 1, drop_last=True).toPandas()
-    assert (full.groupby(["bucket_pos", "batch_no"]).size() == 7).all()
+    assert (full.groupby(["bucket", "batch_no"]).size() == 7).all()
 
 
 def test_coverage(spark, patches):
