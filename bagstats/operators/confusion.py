@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from bagstats.functions.probs import array_total, with_prediction, with_probs
 
@@ -121,11 +120,15 @@ def specificity_per_class(counts: DataFrame, by: Sequence[str] = ()) -> DataFram
     return class_scores(per_class(counts, by)).select(*by, "class_id", "specificity")
 
 
-def log_loss(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Mean negative log of the probability given to the true class, clipped away from 0 and 1."""
+def sample_log_loss() -> Column:
+    """Negative log of the probability given to the true class, clipped away from 0 and 1."""
     p = F.element_at("probs", F.col("label") + 1)
-    safe = F.least(F.greatest(p, F.lit(DOUBLE_EPSILON)), F.lit(1.0 - DOUBLE_EPSILON))
-    return with_probs(preds).groupBy(*by).agg(F.avg(-F.log(safe)).alias("log_loss"))
+    return -F.log(F.least(F.greatest(p, F.lit(DOUBLE_EPSILON)), F.lit(1.0 - DOUBLE_EPSILON)))
+
+
+def log_loss(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Mean negative log probability of the true class."""
+    return with_probs(preds).groupBy(*by).agg(F.avg(sample_log_loss()).alias("log_loss"))
 
 
 def loss_report(

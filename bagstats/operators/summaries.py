@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bagstats.functions.probs import prob_columns, with_probs
+from bagstats.functions.probs import with_prediction, with_probs
 from bagstats.functions.spread import exact_quantiles
-from bagstats.operators.confusion import class_scores, confusion_counts, log_loss, overall_scores, per_class
-from bagstats.operators.ranking import auroc, auroc_macro, auroc_per_class
+from bagstats.operators.confusion import class_scores, overall_scores, per_class, sample_log_loss
+from bagstats.operators.ranking import auroc_per_class
 from bagstats.operators.scores import patient_aggregate
 
 # Rules for the length of the final training run.
@@ -36,27 +36,46 @@ def _long(df: DataFrame, by: Sequence[str], names: Sequence[str], class_id: Colu
     return df.select(*by, class_id.cast("int").alias("class_id"), F.inline(F.array(*entries)))
 
 
+def _auroc_rows(preds: DataFrame, n_classes: int, by: Sequence[str]) -> DataFrame:
+    """AUROC per class and overall from one pass: the overall row rides on the last class.
+
+    With two classes the overall value is that of class 1, otherwise the mean, and
+    null unless every class has a value.
+    """
+    per = auroc_per_class(preds, n_classes, by)
+    last = F.col("class_id") == n_classes - 1
+    if n_classes == 2:
+        overall = F.col("auroc")
+    else:
+        group = Window.partitionBy(*by)  # one row per class
+        overall = F.when(F.count("auroc").over(group) == n_classes, F.avg("auroc").over(group))
+    per = per.withColumn("__overall", overall)
+    own = F.struct(F.col("class_id").alias("class_id"), F.lit("auroc").alias("metric"), F.col("auroc").alias("value"))
+    whole = F.struct(
+        F.lit(None).cast("int").alias("class_id"), F.lit("auroc_macro").alias("metric"), F.col("__overall").alias("value")
+    )
+    return per.select(*by, F.inline(F.when(last, F.array(own, whole)).otherwise(F.array(own))))
+
+
 def metrics_suite(preds: DataFrame, n_classes: int = 2, by: Sequence[str] = ()) -> DataFrame:
-    """Every metric in long form: ``<by>, class_id, metric, value`` (class_id null for overall values)."""
+    """Every metric in long form: ``<by>, class_id, metric, value`` (class_id null for overall values).
+
+    Two passes over the predictions: one for the confusion counts, which carry the
+    log loss along, and one for the scores.
+    """
     by = list(by)
     none = F.lit(None)
-    binary = "probs" not in preds.columns and prob_columns(preds) == ["prob_1"]
-    counts = confusion_counts(preds, by)
+    rows = with_probs(with_prediction(preds)).withColumn("__loss", sample_log_loss())
+    counts = rows.groupBy(*by, "label", "pred").agg(F.count(F.lit(1)).alias("n"), F.sum("__loss").alias("loss"))
     overall = overall_scores(counts, by).withColumn("n_samples", F.col("n"))
+    loss = counts.groupBy(*by).agg((F.sum("loss") / F.sum("n")).alias("log_loss"))
     classes = class_scores(per_class(counts, by))
     parts = [
         _long(overall, by, ["n_samples", *_OVERALL], none),
         _long(classes, by, _PER_CLASS, F.col("class_id")),
-        _long(log_loss(preds, by), by, ["log_loss"], none),
+        _long(loss, by, ["log_loss"], none),
+        _auroc_rows(preds, n_classes, by),
     ]
-    per = auroc_per_class(preds, n_classes, by)
-    parts.append(_long(per, by, ["auroc"], F.col("class_id")))
-    if n_classes == 2:
-        second = preds if binary else with_probs(preds).withColumn("prob_1", F.col("probs")[1])
-        macro = auroc(second, by).withColumnRenamed("auroc", "auroc_macro")
-    else:
-        macro = auroc_macro(per, by)
-    parts.append(_long(macro, by, ["auroc_macro"], none))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
