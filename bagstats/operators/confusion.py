@@ -41,62 +41,66 @@ def confusion_matrix(preds: DataFrame, n_classes: int, by: Sequence[str] = (), n
     return full.withColumn("row_share", F.when(total > 0, F.col("n") / total).otherwise(F.lit(0.0)))
 
 
-def _ratio(top: Column, bottom: Column) -> Column:
-    return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
+def _aggregates(texts: dict[str, str]) -> list[Column]:
+    return [F.expr(text).alias(name) for name, text in texts.items()]
+
+
+def _ratio(top: str, bottom: str) -> str:
+    return f"if({bottom} > 0, ({top}) / ({bottom}), 0.0D)"
 
 
 def per_class(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per class seen in truth or prediction: hits, support, predicted, and the group's total."""
-    hit = F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(F.lit(0))
-    as_true = F.struct(F.col("label").alias("class_id"), hit.alias("tp"), F.col("n").alias("support"), F.lit(0).alias("predicted"))
-    as_pred = F.struct(F.col("pred").alias("class_id"), F.lit(0).alias("tp"), F.lit(0).alias("support"), F.col("n").alias("predicted"))
-    rows = counts.select(*by, F.inline(F.array(as_true, as_pred)))
-    table = rows.groupBy(*by, "class_id").agg(
-        *[F.sum(c).cast("double").alias(c) for c in ("tp", "support", "predicted")]
+    rows = counts.selectExpr(
+        *by,
+        """inline(array(
+             struct(label AS class_id, if(label = pred, n, 0L) AS tp, n AS support, 0L AS predicted),
+             struct(pred AS class_id, 0L AS tp, 0L AS support, n AS predicted)))""",
     )
-    total = F.sum("support").over(Window.partitionBy(*by))
-    return table.withColumn("total", total)
+    sums = {c: f"cast(sum({c}) AS double)" for c in ("tp", "support", "predicted")}
+    table = rows.groupBy(*by, "class_id").agg(*_aggregates(sums))
+    return table.withColumn("total", F.sum("support").over(Window.partitionBy(*by)))
 
 
 def class_scores(classes: DataFrame) -> DataFrame:
     """Precision, recall, F1 and specificity per class; an empty denominator gives 0."""
-    negatives = F.col("total") - F.col("support")
-    false_pos = F.col("predicted") - F.col("tp")
-    return classes.select(
-        "*",
-        _ratio(F.col("tp"), F.col("predicted")).alias("precision"),
-        _ratio(F.col("tp"), F.col("support")).alias("recall"),
-        _ratio(2 * F.col("tp"), F.col("support") + F.col("predicted")).alias("f1"),
-        _ratio(negatives - false_pos, negatives).alias("specificity"),
-    )
+    scores = {
+        "precision": _ratio("tp", "predicted"),
+        "recall": _ratio("tp", "support"),
+        "f1": _ratio("2 * tp", "support + predicted"),
+        "specificity": _ratio("total - support - (predicted - tp)", "total - support"),
+    }
+    return classes.selectExpr("*", *[f"{text} AS {name}" for name, text in scores.items()])
 
 
 def overall_scores(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """All single-number metrics of the confusion table, one row per group."""
     rows = class_scores(per_class(counts, by))
+    averaged = ("precision", "recall", "f1")
     sums = rows.groupBy(*by).agg(
-        F.sum("support").alias("n"),
-        F.sum("tp").alias("hits"),
-        F.count_if(F.col("support") > 0).alias("n_true_classes"),
-        F.sum(F.col("support") * F.col("predicted")).alias("sp"),
-        F.sum(F.col("support") * F.col("support")).alias("ss"),
-        F.sum(F.col("predicted") * F.col("predicted")).alias("pp"),
-        F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"),
-        *[F.avg(m).alias(f"{m}_macro") for m in ("precision", "recall", "f1")],
-        *[F.sum(F.col(m) * F.col("support")).alias(f"{m}_ws") for m in ("precision", "recall", "f1")],
+        *_aggregates(
+            {
+                "n": "sum(support)",
+                "hits": "sum(tp)",
+                "n_true_classes": "count_if(support > 0)",
+                "sp": "sum(support * predicted)",
+                "ss": "sum(support * support)",
+                "pp": "sum(predicted * predicted)",
+                "balanced_accuracy": "avg(if(support > 0, recall, NULL))",
+                **{f"{m}_macro": f"avg({m})" for m in averaged},
+                **{f"{m}_weighted": f"sum({m} * support) / sum(support)" for m in averaged},
+            }
+        )
     )
-    n, hits = F.col("n"), F.col("hits")
-    chance = F.col("sp") / (n * n)
-    spread = (n * n - F.col("pp")) * (n * n - F.col("ss"))
-    return sums.select(
+    return sums.selectExpr(
         *by,
-        n.cast("bigint").alias("n"),
+        "cast(n AS bigint) AS n",
         "n_true_classes",
-        (hits / n).alias("accuracy"),
+        "hits / n AS accuracy",
         "balanced_accuracy",
-        F.when(chance < 1, (hits / n - chance) / (F.lit(1.0) - chance)).alias("kappa"),
-        F.when(spread > 0, (hits * n - F.col("sp")) / F.sqrt(spread)).otherwise(F.lit(0.0)).alias("mcc"),
-        *[c for m in ("precision", "recall", "f1") for c in (F.col(f"{m}_macro"), (F.col(f"{m}_ws") / n).alias(f"{m}_weighted"))],
+        "if(sp < n * n, (hits / n - sp / (n * n)) / (1 - sp / (n * n)), NULL) AS kappa",
+        "if((n * n - pp) * (n * n - ss) > 0, (hits * n - sp) / sqrt((n * n - pp) * (n * n - ss)), 0.0D) AS mcc",
+        *[f"{m}_{kind}" for m in averaged for kind in ("macro", "weighted")],
     )
 
 

@@ -31,9 +31,9 @@ _OVERALL = (
 _PER_CLASS = ("precision", "recall", "f1", "specificity")
 
 
-def _long(df: DataFrame, by: Sequence[str], names: Sequence[str], class_id: Column) -> DataFrame:
-    entries = [F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names]
-    return df.select(*by, class_id.cast("int").alias("class_id"), F.inline(F.array(*entries)))
+def _long(df: DataFrame, by: Sequence[str], names: Sequence[str], class_id: str = "cast(NULL AS int)") -> DataFrame:
+    entries = ", ".join(f"struct('{n}' AS metric, cast({n} AS double) AS value)" for n in names)
+    return df.selectExpr(*by, f"{class_id} AS class_id", f"inline(array({entries}))")
 
 
 def _auroc_rows(preds: DataFrame, n_classes: int, by: Sequence[str]) -> DataFrame:
@@ -43,18 +43,14 @@ def _auroc_rows(preds: DataFrame, n_classes: int, by: Sequence[str]) -> DataFram
     null unless every class has a value.
     """
     per = auroc_per_class(preds, n_classes, by)
-    last = F.col("class_id") == n_classes - 1
     if n_classes == 2:
-        overall = F.col("auroc")
+        per = per.withColumn("overall", F.col("auroc"))
     else:
         group = Window.partitionBy(*by)  # one row per class
-        overall = F.when(F.count("auroc").over(group) == n_classes, F.avg("auroc").over(group))
-    per = per.withColumn("__overall", overall)
-    own = F.struct(F.col("class_id").alias("class_id"), F.lit("auroc").alias("metric"), F.col("auroc").alias("value"))
-    whole = F.struct(
-        F.lit(None).cast("int").alias("class_id"), F.lit("auroc_macro").alias("metric"), F.col("__overall").alias("value")
-    )
-    return per.select(*by, F.inline(F.when(last, F.array(own, whole)).otherwise(F.array(own))))
+        per = per.withColumn("overall", F.when(F.count("auroc").over(group) == n_classes, F.avg("auroc").over(group)))
+    own = "struct(class_id, 'auroc' AS metric, auroc AS value)"
+    whole = "struct(cast(NULL AS int) AS class_id, 'auroc_macro' AS metric, overall AS value)"
+    return per.selectExpr(*by, f"inline(if(class_id = {n_classes - 1}, array({own}, {whole}), array({own})))")
 
 
 def metrics_suite(preds: DataFrame, n_classes: int = 2, by: Sequence[str] = ()) -> DataFrame:
@@ -64,16 +60,15 @@ def metrics_suite(preds: DataFrame, n_classes: int = 2, by: Sequence[str] = ())
     log loss along, and one for the scores.
     """
     by = list(by)
-    none = F.lit(None)
     rows = with_probs(with_prediction(preds)).withColumn("__loss", sample_log_loss())
     counts = rows.groupBy(*by, "label", "pred").agg(F.count(F.lit(1)).alias("n"), F.sum("__loss").alias("loss"))
     overall = overall_scores(counts, by).withColumn("n_samples", F.col("n"))
     loss = counts.groupBy(*by).agg((F.sum("loss") / F.sum("n")).alias("log_loss"))
     classes = class_scores(per_class(counts, by))
     parts = [
-        _long(overall, by, ["n_samples", *_OVERALL], none),
-        _long(classes, by, _PER_CLASS, F.col("class_id")),
-        _long(loss, by, ["log_loss"], none),
+        _long(overall, by, ["n_samples", *_OVERALL]),
+        _long(classes, by, _PER_CLASS, "class_id"),
+        _long(loss, by, ["log_loss"]),
         _auroc_rows(preds, n_classes, by),
     ]
     out = parts[0]
