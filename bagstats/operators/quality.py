@@ -40,8 +40,8 @@ def bag_facts(patches: DataFrame) -> DataFrame:
     )
 
 
-def validate_bags(patches: DataFrame, feat_dim: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Facts of the valid slides, and ``slide_id, reason`` of the rejected ones.
+def judge_bags(patches: DataFrame, feat_dim: int | None = None) -> DataFrame:
+    """Facts of every slide with the first ``reason`` to reject it (null when it is valid).
 
     The expected dimension is given or is the most common one (the smallest on ties).
     """
@@ -56,11 +56,20 @@ def validate_bags(patches: DataFrame, feat_dim: int | None = None) -> tuple[Data
         .when(F.col("copies") > 1, REJECT_DUPLICATE)
         .when(F.col("max_dim") != usual, REJECT_FOREIGN_DIM)
     )
-    judged = facts.withColumn("reason", reason)
+    return facts.withColumn("reason", reason)
+
+
+def split_judged(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Facts of the valid slides, and ``slide_id, n_patches, reason`` of the rejected ones."""
     valid = judged.filter(F.col("reason").isNull()).select("slide_id", "n_patches", F.col("max_dim").alias("feat_dim"))
     return valid, judged.filter(F.col("reason").isNotNull()).select("slide_id", "n_patches", "reason")
 
 
+def validate_bags(patches: DataFrame, feat_dim: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Valid and rejected slides of a patch table."""
+    return split_judged(judge_bags(patches, feat_dim))
+
+
 def range_gaps(index: DataFrame) -> DataFrame:
     """Rows whose range does not start where the previous one of the shard ended.
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from bagstats.functions.probs import array_total, probs_from_logits, top_class
 from bagstats.operators.bags import assemble_bags, class_weights
 from bagstats.operators.pooling import attention_pool
+from bagstats.sources.shared import written
 
 Layer = tuple[np.ndarray, np.ndarray]  # weight [out, in] and bias [out]
 
@@ -202,10 +203,12 @@ def linear_probe_cv(
 ) -> DataFrame:
     """Out-of-fold predictions of a class-weighted linear classifier on slide vectors.
 
-    Each fold is one distributed fit; the loop is over the few folds only.
+    Each fold is one distributed fit; the loop is over the few folds only.  The slide
+    vectors are written once, so no fold pools the patches again.
     """
+    vectors = embeddings.select("slide_id", F.col(label_col).cast("double").alias("label"), "embedding")
     vector = array_to_vector(F.col("embedding").cast("array<double>"))
-    data = embeddings.select("slide_id", F.col(label_col).cast("double").alias("label"), vector.alias("x"))
+    data = written(vectors, "probe").select("slide_id", "label", vector.alias("x"))
     out = None
     for fold in range(n_folds):
         part = roles.filter(F.col("fold") == fold).select("slide_id", "role").join(data, "slide_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bagstats.functions.keys import hash_bucket, hash_key
 from bagstats.functions.spread import running_sums
 from bagstats.operators.bags import cap_by_name
-from bagstats.operators.quality import source_fingerprint, validate_bag_index, validate_bags
+from bagstats.operators.quality import judge_bags, source_fingerprint, split_judged, validate_bag_index
 
 # Fixed value: size limit of one export shard.
 SHARD_LIMIT_BYTES = 9_500_000_000
@@ -124,11 +124,13 @@ def write_patch_store(
 ) -> DataFrame:
     """Validate, cap, sort and publish patches; the index comes last and marks the store complete.
 
+    The scan facts (one row per slide) are written first, so validation runs once.
     Range partitioning uses the patch index too, so a huge slide is cut over
     several files.  Returns the violations found when the store is read back.
     """
     spark = patches.sparkSession
-    valid, rejects = validate_bags(patches)
+    judge_bags(patches).write.mode("errorifexists").parquet(f"{path}/scan")
+    valid, rejects = split_judged(spark.read.parquet(f"{path}/scan"))
     rejects.write.mode("errorifexists").json(f"{path}/rejects")
     accepted = patches.join(valid.select("slide_id"), "slide_id", "left_semi")
     stored = cap_by_name(accepted, cap, strategy, **cap_options) if cap else accepted
