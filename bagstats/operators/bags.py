@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bagstats.functions.keys import hash_bucket, hash_key, normal, uniform, uniform_pair
-from bagstats.functions.spread import keep_lowest, lookup, ranked, running_sums
+from bagstats.functions.spread import keep_lowest, lookup, ranked
 
 KEY = ["slide_id", "patch_idx"]
 _WHOLE_SLIDE = -1  # pool of a slide whose grid is finer than the budget

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bagstats.functions.probs import prob_columns
-from bagstats.operators.manifest import found_and_expected, missing_features
+from bagstats.operators.manifest import found_and_expected
 
 # Reasons a slide is rejected, first failing one wins.
 REJECT_NO_FEATURES = "features missing"
@@ -138,10 +138,6 @@ def completeness(expected: DataFrame, found: DataFrame, require_all: bool = True
     return report.withColumn("complete", (F.col("missing") == 0) | F.lit(not require_all))
 
 
-def missing_list(expected: DataFrame, found: DataFrame) -> DataFrame:
-    return missing_features(expected, found)
-
-
 def subgroup_counts(preds: DataFrame, by: Sequence[str] = (), patient_col: str = "patient_id") -> DataFrame:
     """Rows, slides, patients (and folds) of a prediction table."""
     aggregates = [

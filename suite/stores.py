@@ -20,7 +20,7 @@ from bagstats.streaming import jobs as J
 from suite import views as V
 from suite.bags import K, ORACLES as BAG_ORACLES
 from suite.evaluation import ORACLES as EVAL_ORACLES
-from suite.scoring import HEAD, HIDDEN, ORACLES as SCORE_ORACLES, _pairs
+from suite.scoring import HEAD, HIDDEN, _pairs
 from suite.splits import ORACLES as SPLIT_ORACLES
 from suite.sql import with_views
 
