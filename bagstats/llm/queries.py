@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagstats.llm.token_counts import token_counts
+from bagstats.llm.token_store import read_token_store, write_token_store
+from bagstats.sources.shared import fresh_path
 
 TOKEN_LIMIT = 1024
 
@@ -15,6 +17,15 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op3_token_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Write all documents as a token store and describe them from what is read back."""
+    path = fresh_path(spark, "token-store")
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    write_token_store(_table(spark, sf, "documents"), path, tokenizer, end_id=1)
+    stored = read_token_store(spark, path)
+    return stored.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of every whole text, and whether they pass the limit."""
     counts = token_counts(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -22,6 +33,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_token_store": op3_token_store,
     "op10_token_counts": op10_token_counts,
 }
 
