@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bagstats.llm.superminhash import near_duplicates
 from bagstats.llm.token_counts import token_counts
 from bagstats.llm.token_store import read_token_store, write_token_store
 from bagstats.sources.shared import fresh_path
@@ -26,6 +27,11 @@ def op3_token_store(spark: SparkSession, sf: str) -> DataFrame:
     return stored.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of documents alike in 4-word shingles."""
+    return near_duplicates(_table(spark, sf, "documents"), shingle=4, percent=80)
+
+
 def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of every whole text, and whether they pass the limit."""
     counts = token_counts(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -34,6 +40,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op3_token_store": op3_token_store,
+    "op4_near_duplicates": op4_near_duplicates,
     "op10_token_counts": op10_token_counts,
 }
 
