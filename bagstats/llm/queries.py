@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bagstats.llm.language_id import fit_language_model, held_out, identify
 from bagstats.llm.superminhash import near_duplicates
 from bagstats.llm.token_counts import token_counts
 from bagstats.llm.token_store import read_token_store, write_token_store
@@ -18,6 +19,17 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document, learned from the four fifths that are not held out."""
+    docs = _table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = fit_language_model(docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"),
+        F.col("lang_ambiguous").alias("ambiguous"),
+    )
+
+
 def op3_token_store(spark: SparkSession, sf: str) -> DataFrame:
     """Write all documents as a token store and describe them from what is read back."""
     path = fresh_path(spark, "token-store")
@@ -39,6 +51,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_token_store": op3_token_store,
     "op4_near_duplicates": op4_near_duplicates,
     "op10_token_counts": op10_token_counts,

@@ -43,6 +43,7 @@ def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     best = np.full((len(sets), slots), _EMPTY)
     flat = best.reshape(-1)
     order = None  # permutation of each element that is still active, built as far as needed
+    steps = np.arange(1, slots + 1, dtype=np.uint64) * _GOLDEN
     for rank in range(slots):
         if rank:
             active = (best.max(1) >= np.uint64(rank << 32))[owner]
@@ -51,7 +52,7 @@ def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
                 order = order[active] if order is not None else None
             if not len(values):
                 break
-        draw = mix(values + np.uint64(rank + 1) * _GOLDEN)
+        draw = mix(values + steps[rank])
         pick = rank + ((draw & _LOW) * np.uint64(slots - rank) >> np.uint64(32)).astype(np.int64)
         if order is None:
             order = np.broadcast_to(np.arange(slots, dtype=np.uint8), (len(values), slots)).copy()
