@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagstats.llm.language_id import fit_language_model, held_out, identify
+from bagstats.llm.mixing import assign, range_sorted
 from bagstats.llm.superminhash import near_duplicates
 from bagstats.llm.token_counts import token_counts
 from bagstats.llm.token_store import read_token_store, write_token_store
 from bagstats.sources.shared import fresh_path
 
 TOKEN_LIMIT = 1024
+# Weight schedules over training time (knots, weights): falling, rising, and highest in the middle; their areas are 3, 1 and 2.
+CURRICULUM = [((0.0, 1.0), (4.0, 2.0)), ((0.0, 1.0), (0.5, 1.5)), ((0.0, 0.5, 1.0), (1.0, 3.0, 1.0))]
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -30,6 +33,16 @@ def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op2_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Words the mix takes of every document, in the order of first use in training."""
+    found = assign(_table(spark, sf, "documents"), CURRICULUM, total_ratio=1.5, max_repeats=2.0)
+    first = F.round(F.get("uses", F.lit(0))["position"], 6)
+    rows = found.select(
+        "doc_id", "size", "source_size", "target", "taken", F.size("uses").alias("n_uses"), first.alias("first_position")
+    )
+    return range_sorted(rows, "first_position", "doc_id")
+
+
 def op3_token_store(spark: SparkSession, sf: str) -> DataFrame:
     """Write all documents as a token store and describe them from what is read back."""
     path = fresh_path(spark, "token-store")
@@ -52,9 +65,48 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_mix_sources": op2_mix_sources,
     "op3_token_store": op3_token_store,
     "op4_near_duplicates": op4_near_duplicates,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+MIX_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS size,
+         md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+  FROM documents),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+               CAST(row_number() OVER (ORDER BY source NULLS LAST) - 1 AS INT) % 3 AS no FROM sized GROUP BY source),
+leveled AS (SELECT *, CASE no WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, 2.0::DOUBLE * source_size AS cap FROM per),
+capped AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+         row_number() OVER w AS r
+  FROM leveled WINDOW w AS (ORDER BY cap / weight, source NULLS LAST)),
+targets AS (
+  SELECT *, CASE WHEN level * weight >= cap THEN cap
+            ELSE (SELECT level FROM capped WHERE level * weight < cap ORDER BY r LIMIT 1) * weight END AS target FROM capped),
+placed AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, t.no, CAST(round(t.target) AS BIGINT) AS goal,
+         CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+used AS (
+  SELECT *, least(size, greatest(goal - start, 0)) AS first_words, least(size, greatest(goal - start - source_size, 0)) AS again_words,
+         least(start / greatest(target, 1.0::DOUBLE), 1.0::DOUBLE) AS share FROM placed),
+timed AS (
+  SELECT *, CASE no
+    WHEN 0 THEN least(2 * (share * 3) / (sqrt(16 - 4 * (share * 3)) + 4), 1)
+    WHEN 1 THEN least(2 * (share * 1) / (sqrt(0.25::DOUBLE + 2 * (share * 1)) + 0.5::DOUBLE), 1)
+    ELSE CASE WHEN share * 2 <= 1 THEN least(2 * (share * 2) / (sqrt(1 + 8 * (share * 2)) + 1), 0.5::DOUBLE)
+              ELSE 0.5::DOUBLE + least(2 * (share * 2 - 1) / (sqrt(9 - 8 * (share * 2 - 1)) + 3), 0.5::DOUBLE) END END AS spot
+  FROM used)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(first_words + again_words AS BIGINT) AS taken,
+       CAST((first_words > 0)::INT + (again_words > 0)::INT AS INT) AS n_uses,
+       CASE WHEN first_words > 0 THEN round(spot, 6) END AS first_position
+FROM timed
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_mix_sources": MIX_SQL,
+}
