@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from bagstats.llm.language_id import fit_language_model, held_out, identify
 from bagstats.llm.mixing import assign, range_sorted
+from bagstats.llm.pii import pseudonymize
 from bagstats.llm.superminhash import near_duplicates
 from bagstats.llm.token_counts import token_counts
 from bagstats.llm.token_store import read_token_store, write_token_store
 from bagstats.sources.shared import fresh_path
 
 TOKEN_LIMIT = 1024
+PII_KEY = "example key; give your own"
 # Weight schedules over training time (knots, weights): falling, rising, and highest in the middle; their areas are 3, 1 and 2.
 CURRICULUM = [((0.0, 1.0), (4.0, 2.0)), ((0.0, 1.0), (0.5, 1.5)), ((0.0, 0.5, 1.0), (1.0, 3.0, 1.0))]
 
@@ -57,6 +59,12 @@ def op4_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"), shingle=4, percent=80)
 
 
+def op7_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents with their personal data replaced by pseudonyms of the same form."""
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return pseudonymize(docs, PII_KEY, count_col="n_replaced")
+
+
 def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of every whole text, and whether they pass the limit."""
     counts = token_counts(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -68,6 +76,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_token_store": op3_token_store,
     "op4_near_duplicates": op4_near_duplicates,
+    "op7_pseudonyms": op7_pseudonyms,
     "op10_token_counts": op10_token_counts,
 }
 
