@@ -12,6 +12,7 @@ from bagstats.llm.pii import pseudonymize
 from bagstats.llm.superminhash import near_duplicates
 from bagstats.llm.token_counts import token_counts
 from bagstats.llm.token_store import read_token_store, write_token_store
+from bagstats.llm.winnowing import compare_with_next
 from bagstats.sources.shared import fresh_path
 
 TOKEN_LIMIT = 1024
@@ -59,6 +60,11 @@ def op4_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"), shingle=4, percent=80)
 
 
+def op5_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Winnowing fingerprints of every document and of its edited text."""
+    return compare_with_next(_table(spark, sf, "documents"))
+
+
 def op7_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
     """All documents with their personal data replaced by pseudonyms of the same form."""
     docs = _table(spark, sf, "documents").select("doc_id", "text")
@@ -76,6 +82,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_token_store": op3_token_store,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_fingerprints": op5_fingerprints,
     "op7_pseudonyms": op7_pseudonyms,
     "op10_token_counts": op10_token_counts,
 }
