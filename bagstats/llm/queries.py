@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagstats.llm.chat import conversation_digests, format_windows
+from bagstats.llm.cross_polytope import nearest
 from bagstats.llm.language_id import fit_language_model, held_out, identify
 from bagstats.llm.mixing import assign, range_sorted
 from bagstats.llm.pii import pseudonymize
@@ -66,6 +67,11 @@ def op5_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return compare_with_next(_table(spark, sf, "documents"))
 
 
+def op6_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all others."""
+    return nearest(_table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op7_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
     """All documents with their personal data replaced by pseudonyms of the same form."""
     docs = _table(spark, sf, "documents").select("doc_id", "text")
@@ -92,6 +98,7 @@ QUERIES = {
     "op3_token_store": op3_token_store,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_fingerprints": op5_fingerprints,
+    "op6_nearest": op6_nearest,
     "op7_pseudonyms": op7_pseudonyms,
     "op9_chat_windows": op9_chat_windows,
     "op10_token_counts": op10_token_counts,
