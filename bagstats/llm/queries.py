@@ -11,6 +11,7 @@ from bagstats.llm.cross_polytope import nearest
 from bagstats.llm.language_id import fit_language_model, held_out, identify
 from bagstats.llm.mixing import assign, range_sorted
 from bagstats.llm.pii import pseudonymize
+from bagstats.llm.segmentation import sample_segmentations
 from bagstats.llm.superminhash import near_duplicates
 from bagstats.llm.token_counts import token_counts
 from bagstats.llm.token_store import read_token_store, write_token_store
@@ -78,6 +79,11 @@ def op7_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
     return pseudonymize(docs, PII_KEY, count_col="n_replaced")
 
 
+def op8_segmentations(spark: SparkSession, sf: str) -> DataFrame:
+    """Two distinct sampled segmentations of every document, with inclusion scores."""
+    return sample_segmentations(_table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"), k=2)
+
+
 def op9_chat_windows(spark: SparkSession, sf: str) -> DataFrame:
     """All conversations, and one whose texts hold control strings, formatted and read back."""
     turns = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
@@ -100,6 +106,7 @@ QUERIES = {
     "op5_fingerprints": op5_fingerprints,
     "op6_nearest": op6_nearest,
     "op7_pseudonyms": op7_pseudonyms,
+    "op8_segmentations": op8_segmentations,
     "op9_chat_windows": op9_chat_windows,
     "op10_token_counts": op10_token_counts,
 }
