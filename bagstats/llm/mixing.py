@@ -101,8 +101,10 @@ def assign(
     text_col: str = "text",
     source_col: str = "source",
     seed: int = 0,
+    keep_row: bool = False,
 ) -> DataFrame:
-    """One row per document: ``doc_id, size, source, source_size, target, taken, uses``.
+    """One row per document: ``doc_id, size, source, source_size, target, taken, uses``; with ``keep_row`` the
+    whole row as ``row`` too.
 
     ``uses`` lists the times the document is trained on, ``struct<position double, words long>``; its
     words are the document's size but for the use in which the source's target is reached, which
@@ -111,28 +113,37 @@ def assign(
     A null or empty text has size 0 and no use; repeated rows are documents of their own; a null id is
     an id like any other.  Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    sizes = written(rows, "sizes")
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_row else []
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *whole
+    )
+    sizes = written(rows.select("doc_id", "source", "size"), "sizes")
     targets = source_targets(sizes, schedules, total_ratio, max_repeats)
 
     # Place in the source's hashed order: whole buckets before, then rows of the same bucket.
-    marked = sizes.select("*", hash_key(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"))
-    marked = marked.select("*", hash_bucket(F.col("key"), 4).alias("fine"), hash_bucket(F.col("key"), 2).alias("coarse"))
-    filled = marked.withColumn("known", F.col("source").isNotNull()).withColumn("named", F.coalesce("source", F.lit("")))
+    def filled(table: DataFrame) -> DataFrame:
+        keyed = table.select("*", hash_key(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"))
+        return keyed.select(
+            "*", hash_bucket(F.col("key"), 4).alias("fine"), hash_bucket(F.col("key"), 2).alias("coarse"),
+            F.col("source").isNotNull().alias("known"), F.coalesce("source", F.lit("")).alias("named"),
+        )
+
     by = ["known", "named", "coarse"]
-    pieces = filled.groupBy(*by, "fine").agg(F.sum("size").alias("sum"))
+    pieces = filled(sizes).groupBy(*by, "fine").agg(F.sum("size").alias("sum"))
     inner = Window.partitionBy(*by).orderBy("fine")
     pieces = pieces.select("*", F.coalesce(F.sum("sum").over(inner.rowsBetween(*_EARLIER)), F.lit(0)).alias("inside"))
     outer = Window.partitionBy("known", "named").orderBy("coarse")
     wholes = pieces.groupBy(*by).agg(F.sum("sum").alias("sum"))
     wholes = wholes.select(*by, F.coalesce(F.sum("sum").over(outer.rowsBetween(*_EARLIER)), F.lit(0)).alias("outside"))
-    bases = pieces.join(wholes, by).select(*by, "fine", (F.col("inside") + F.col("outside")).alias("base"))
+    known = targets.select(
+        F.col("source").isNotNull().alias("known"), F.coalesce("source", F.lit("")).alias("named"), "source_no", "source_size", "target"
+    )
+    bases = pieces.join(wholes, by).join(known, ["known", "named"])
+    bases = bases.select(*by, "fine", (F.col("inside") + F.col("outside")).alias("base"), "source_no", "source_size", "target")
     local = Window.partitionBy(*by, "fine").orderBy("key", "doc_id", "size").rowsBetween(*_EARLIER)
-    placed = filled.select("*", F.coalesce(F.sum("size").over(local), F.lit(0)).alias("near")).join(bases, [*by, "fine"])
-    placed = placed.select("doc_id", "source", "size", (F.col("base") + F.col("near")).alias("start"))
-    # One row per source, a table of source names: small by its nature, left to adaptive execution.
-    known = targets.select(F.col("source").alias("s"), "source_no", "source_size", "target")
-    placed = placed.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    placed = filled(rows if keep_row else sizes)
+    placed = placed.select("*", F.coalesce(F.sum("size").over(local), F.lit(0)).alias("near")).join(bases, [*by, "fine"])
+    placed = placed.withColumn("start", F.col("base") + F.col("near"))
 
     goal = F.round("target").cast("bigint")
 
@@ -148,8 +159,8 @@ def assign(
     epochs = [use(F.lit(e)) for e in range(-int(-max_repeats // 1))]
     uses = F.filter(F.array(*epochs), lambda u: u["words"] > 0)
     taken = F.aggregate("uses", F.lit(0).cast("bigint"), lambda total, u: total + u["words"])
-    placed = placed.select("doc_id", "size", "source", "source_size", "target", uses.alias("uses"))
-    return placed.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), "uses")
+    kept = ["doc_id", "size", "source", "source_size", "target", *(["row"] if keep_row else [])]
+    return placed.select(*kept, uses.alias("uses")).select(*kept, taken.alias("taken"), "uses")
 
 
 def range_sorted(uses: DataFrame, position: str, *ties: str) -> DataFrame:
@@ -171,19 +182,10 @@ def mix_sources(docs: DataFrame, schedules: Sequence[tuple[Sequence[float], Sequ
     The one use of a source in which its target is reached holds only the first ``words`` words of its
     text (joined by blanks).  Options are those of :func:`assign`.
     """
-    id_col, text_col, source_col = (options.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
-    assigned = assign(docs, schedules, **options)
-    # Rows of one id and source are told apart by size; equal ones have equal copies and pair off by number.
-    same = ["__id", "__source", "__size"]
-    left = docs.select("*", F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size"))
-    several = Window.partitionBy(*same)
-    left = left.select("*", F.row_number().over(several.orderBy(F.xxhash64(text_col))).alias("__n"))
-    right = assigned.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "uses")
-    right = right.select("*", F.row_number().over(several.orderBy(F.to_json("uses"))).alias("__n"))
-    right = right.select(*[F.col(c).alias(f"__r{c}") for c in (*same, "__n")], F.explode("uses").alias("__use"))
-    match = [F.col(c).eqNullSafe(F.col(f"__r{c}")) for c in (*same, "__n")]
-    joined = left.join(right, match)
-    cut = F.when(F.col("__use.words") < F.col("__size"), first_words(F.col(text_col), F.col("__use.words"))).otherwise(F.col(text_col))
-    kept = [cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("position", "words")]
-    used = joined.select(*kept, F.col("__use.position").alias("position"), F.col("__use.words").alias("words"))
-    return range_sorted(used, "position", id_col)
+    text_col = options.get("text_col", "text")
+    used = assign(docs, schedules, keep_row=True, **options).select("doc_id", "size", "row", F.explode("uses").alias("use"))
+    text = F.col("row")[text_col]
+    cut = F.when(F.col("use.words") < F.col("size"), first_words(text, F.col("use.words"))).otherwise(text)
+    kept = [(cut if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns if c not in ("position", "words")]
+    named = used.select(*kept, F.col("use.position").alias("position"), F.col("use.words").alias("words"))
+    return range_sorted(named, "position", options.get("id_col", "doc_id"))
