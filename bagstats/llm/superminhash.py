@@ -5,21 +5,25 @@ it, the value j + r with r uniform in [0, 1); a slot keeps the smallest value.
 at least j, so an element stops as soon as every slot is below its next rank: large sets stop after
 a rank or two.  As ranks are correlated, the signature's variance is below that of plain MinHash.
 
-Candidates.  Equal sets are merged first.  The others meet in buckets of equal bands.  In a bucket
-pairs are compared by signature inside the task and only a spanning forest of the most alike pairs
-leaves it; after these are verified on full sets and joined to components, the second round sends
-out the pairs that still lie in different components.  No pair is dropped but those whose
-signatures agree in less than ``likely`` of the slots (four and a half standard deviations below the
-threshold).  A bucket of more than ``block_rows`` members is compared block against block.
+Equal sets are merged first.  The others meet in buckets of equal bands, where signatures are
+compared inside the task and a spanning forest of the likely pairs leaves it; the components of these
+forests are clusters, and no two documents of different clusters are likely to be linked.  Inside each
+cluster all likely pairs are then verified on full sets, again inside the task, and a
+spanning forest of the verified links leaves it, whose components are the groups.  So what is passed
+on grows with the members of a group and never with its pairs, and no link is lost but to pairs whose
+signatures agree in less than ``likely`` of the slots, four and a half standard deviations below the
+threshold.  A bucket of more than ``bucket_rows`` members, or a cluster of more than ``cluster_rows``, is worked off
+block against block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bagstats.llm.components import components
@@ -114,89 +118,98 @@ def _forest(alike: np.ndarray) -> Iterator[tuple[int, int]]:
         best[closer], origin[closer] = alike[k][closer], k
 
 
-def _bucket_pairs(groups: Iterator[pa.RecordBatch], likely: float, min_ratio: float, forest: bool) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of consecutive rows of equal (bucket, i, j); groups are small by construction."""
-    rest = None
-    needed = int(np.ceil(likely * SLOTS))
-
-    def pairs(group: pa.RecordBatch) -> list[tuple[bytes, bytes]]:
-        nodes = group.column("node").to_pylist()
-        low = np.frombuffer(b"".join(group.column("low").to_pylist()), np.uint8).reshape(-1, SLOTS)
-        sizes = group.column("n_shingles").to_numpy()
-        blocks = group.column("own").to_numpy()
-        marks = np.unique(group.column("component").to_numpy(zero_copy_only=False), return_inverse=True)[1]
-        across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
-        alike = np.zeros((len(nodes), len(nodes)), np.int16)
-        for k in range(len(nodes)):
-            agree = (low == low[k]).sum(1)
-            keep = (agree >= needed) & (np.minimum(sizes, sizes[k]) >= min_ratio * np.maximum(sizes, sizes[k]))
-            keep &= marks != marks[k]
-            if across:
-                keep &= blocks != blocks[k]
-            alike[k] = np.where(keep, agree, 0)
-        found = _forest(alike) if forest else zip(*np.nonzero(np.triu(alike)), strict=True)
-        return [(min(nodes[a], nodes[b]), max(nodes[a], nodes[b])) for a, b in found]
-
-    def pack(found: set) -> pa.RecordBatch:
+def _alike(group: pa.RecordBatch, likely: float, min_ratio: float) -> np.ndarray:
+    """Slots in which the signatures of two members agree, 0 where they cannot be linked or are compared elsewhere."""
+    low = np.frombuffer(b"".join(group.column("low").to_pylist()), np.uint8).reshape(-1, SLOTS)
+    sizes = group.column("n_shingles").to_numpy()
+    own = group.column("own").to_numpy()
+    across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+    alike = np.zeros((len(low), len(low)), np.int16)
+    for k in range(len(low)):
+        agree = (low == low[k]).sum(1)
+        keep = (agree >= np.ceil(likely * SLOTS)) & (np.minimum(sizes, sizes[k]) >= min_ratio * np.maximum(sizes, sizes[k]))
+        keep[k] = False
+        if across:
+            keep &= own != own[k]
+        alike[k] = np.where(keep, agree, 0)
+    return alike
+
+
+def _linked(group: pa.RecordBatch, alike: np.ndarray, percent: int) -> np.ndarray:
+    """``alike`` with 0 wherever the full sets are not alike enough, by counting shared shingles of all members at once."""
+    sets = [np.frombuffer(s, np.uint64) for s in group.column("hashes").to_pylist()]
+    sizes = np.array([len(s) for s in sets])
+    shared = np.zeros(alike.shape, np.int64)
+    pairs = np.argwhere(np.triu(alike))
+    if len(pairs) <= 2 * len(sets):
+        for a, b in pairs:
+            shared[a, b] = shared[b, a] = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+    else:
+        _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        common = count > 1
+        column = (np.cumsum(common) - 1)[place]
+        owner, column = owner[common[place]], column[common[place]]
+        for begin in range(0, int(common.sum()), 4096):  # a product of 0 / 1 matrices counts exactly
+            here = (column >= begin) & (column < begin + 4096)
+            has = np.zeros((len(sets), 4096), np.float32)
+            has[owner[here], column[here] - begin] = 1
+            shared += (has @ has.T).astype(np.int64)
+    union = sizes[:, None] + sizes[None, :] - shared
+    return np.where(shared * 100 >= percent * union, alike, 0)
+
+
+def _forests(batches: Iterator[pa.RecordBatch], group: str, alike: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Edges of the spanning forest of every run of equal (group, i, j) in sorted rows; runs are small by construction."""
+    rest: pa.Table | None = None
+    found: set[tuple[bytes, bytes]] = set()
+
+    def search(run: pa.Table) -> None:
+        rows = run.combine_chunks().to_batches()[0]
+        nodes = rows.column("node").to_pylist()
+        for a, b in _forest(alike(rows)):
+            found.add((min(nodes[a], nodes[b]), max(nodes[a], nodes[b])))
+
+    def pack() -> pa.RecordBatch:
         a, b = zip(*found, strict=True) if found else ((), ())
+        found.clear()
         return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    def split(table: pa.Table, last: bool) -> Iterator[tuple[pa.RecordBatch | None, pa.Table | None]]:
-        keys = np.stack([table.column(c).to_numpy() for c in ("bucket", "i", "j")])
-        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
-        edges = [0, *cuts.tolist(), table.num_rows]
-        whole = table.combine_chunks().to_batches(max_chunksize=max(1, table.num_rows))[0]
-        for begin, end in zip(edges[:-1], edges[1:], strict=True):
-            if end == table.num_rows and not last:
-                yield None, table.slice(begin)
-            elif end - begin > 1:
-                yield whole.slice(begin, end - begin), None
-
-    found: set = set()
-    for batch in groups:
+    for batch in batches:
         table = pa.Table.from_batches([batch])
         table = pa.concat_tables([rest, table]) if rest is not None else table
-        rest = None
-        if table.num_rows:
-            for group, tail in split(table, last=False):
-                if group is None:
-                    rest = tail
-                else:
-                    found.update(pairs(group))
+        if not table.num_rows:
+            continue
+        code = pc.binary_join_element_wise(
+            *[pc.cast(table.column(c), pa.string()) if c != group else _as_text(table.column(c)) for c in (group, "i", "j")], ","
+        ).combine_chunks()
+        cuts = np.flatnonzero(pc.not_equal(code[1:], code[:-1]).to_numpy(zero_copy_only=False)) + 1
+        for begin, end in zip([0, *cuts[:-1]], cuts, strict=False):
+            if end - begin > 1:
+                search(table.slice(begin, end - begin))
+        rest = table.slice(cuts[-1] if len(cuts) else 0)
         if len(found) > 20_000:
-            yield pack(found)
-            found = set()
-    if rest is not None:
-        for group, _ in split(rest, last=True):
-            found.update(pairs(group))
-    yield pack(found)
+            yield pack()
+    if rest is not None and rest.num_rows > 1:
+        search(rest)
+    yield pack()
+
 
+def _as_text(column: pa.ChunkedArray) -> pa.ChunkedArray:
+    if pa.types.is_binary(column.type):
+        return pa.chunked_array([pa.array([x.hex() for x in column.to_pylist()], pa.string())])
+    return pc.cast(column, pa.string())
 
-def _candidates(members: DataFrame, likely: float, min_ratio: float, forest: bool, block_rows: int) -> DataFrame:
-    """Distinct pairs (a, b) out of ``bucket, n, node, n_shingles, low, component`` rows."""
+
+def _in_blocks(members: DataFrame, group: str, block_rows: int) -> DataFrame:
+    """Members of every group (of ``n`` rows) dealt into blocks; each row goes to all pairs of blocks that hold its own."""
     blocks = F.ceil(F.col("n") / block_rows).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
-    spread = members.select("*", blocks.alias("blocks"), own.alias("own"))
-    spread = spread.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = spread.select(
-        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
-        "node", "n_shingles", "low", "component",
-    )
+    others = F.explode(F.sequence(F.lit(0), blocks - 1))
+    spread = members.select("*", own.alias("own"), others.alias("other"))
+    spread = spread.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).drop("other", "n")
     width = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["bucket", "i", "j"]
-    grouped = placed.repartition(width, *keys).sortWithinPartitions(*keys)
-    pairs = grouped.mapInArrow(lambda batches: _bucket_pairs(batches, likely, min_ratio, forest), "a binary, b binary")
-    return pairs.distinct()
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: Column) -> DataFrame:
-    """Pairs whose full sets are alike enough; each side's set is joined to the pair."""
-    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - shared
-    return both.filter(shared * 100 >= union * percent).select("a", "b")
+    return spread.repartition(width, group, "i", "j").sortWithinPartitions(group, "i", "j")
 
 
 def near_duplicates(
@@ -206,7 +219,8 @@ def near_duplicates(
     shingle: int = 5,
     percent: int = 80,
     likely: float = 0.62,
-    block_rows: int = 512,
+    bucket_rows: int = 2048,
+    cluster_rows: int = 512,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row.
 
@@ -230,21 +244,23 @@ def near_duplicates(
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     meeting = buckets.join(shared, "bucket")
     meeting = meeting.join(nodes.select("node", "n_shingles", "low"), "node")
-    members = written(meeting, "buckets")
+    ratio = percent / 100
 
-    needed = members.select("node").distinct().join(nodes.select("node", "first_id"), "node")
-    sets = written(_sets(docs, needed, id_col, text_col, shingle), "sets")
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _forests(batches, "bucket", lambda rows: _alike(rows, likely, ratio))
 
-    ratio = percent / 100
-    alone = members.withColumn("component", F.col("node"))
-    first = _verified(_candidates(alone, likely, ratio, True, block_rows), sets, F.lit(percent))
-    first = written(first, "first-links")
-    found = components(first, "a", "b")
-    labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-    open_ = labelled.join(mixed.select("bucket"), "bucket", "left_semi")
-    second = _verified(_candidates(open_, likely, ratio, False, block_rows), sets, F.lit(percent))
-    linked = components(first.unionByName(second), "a", "b")
+    proposed = _in_blocks(meeting, "bucket", bucket_rows).mapInArrow(propose, "a binary, b binary")
+    found_clusters = components(proposed, "a", "b").withColumnRenamed("component", "cluster")
+    clusters = written(found_clusters, "clusters")
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    needed = clusters.join(sizes, "cluster").join(nodes.select("node", "first_id", "low"), "node")
+    sets = _sets(docs, needed, id_col, text_col, shingle)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _forests(batches, "cluster", lambda rows: _linked(rows, _alike(rows, likely, ratio), percent))
+
+    links = _in_blocks(sets, "cluster", cluster_rows).mapInArrow(link, "a binary, b binary")
+    linked = components(links, "a", "b")
 
     labels = nodes.select("node", "first_id").join(linked, "node", "left")
     labels = labels.withColumn("component", F.coalesce("component", "node"))
@@ -258,21 +274,24 @@ def near_duplicates(
 
 
 def _sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``node, hashes`` of the wanted nodes, from one row of each."""
+    """The wanted nodes with their full sets, each from one of its rows."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = texts.join(needed.select("first_id", F.col("node").alias("wanted")), F.col("doc_id").eqNullSafe(F.col("first_id")))
+    rows = texts.join(needed, F.col("doc_id").eqNullSafe(F.col("first_id")))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sets = [], []
-            for wanted, hashes in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), shingle), strict=True):
-                if len(hashes) and set_digest(hashes) == wanted:  # rows may repeat an id with other texts
-                    nodes.append(wanted)
-                    sets.append(hashes.view(np.int64))
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            values = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(ends), values)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), lists], names=["node", "hashes"])
-
-    built = rows.select("wanted", "text").mapInArrow(build, "node binary, hashes array<long>")
+            kept, sets = [], []
+            for k, hashes in enumerate(shingle_sets(batch.column(0), shingle)):
+                if len(hashes) and set_digest(hashes) == batch.column(1)[k].as_py():  # rows may repeat an id with other texts
+                    kept.append(k)
+                    sets.append(hashes.tobytes())
+            chosen = batch.take(pa.array(kept, pa.int64()))
+            sizes = pa.array([len(x) // 8 for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*chosen.columns[1:], sizes, pa.array(sets, pa.binary())],
+                names=["node", "cluster", "n", "low", "n_shingles", "hashes"],
+            )
+
+    schema = "node binary, cluster binary, n long, low binary, n_shingles long, hashes binary"
+    built = rows.select("text", "node", "cluster", "n", "low").mapInArrow(build, schema)
     return built.dropDuplicates(["node"])
