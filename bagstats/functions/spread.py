@@ -25,6 +25,26 @@ def _or_zero(col: Column) -> Column:
     return F.coalesce(col, F.lit(0))
 
 
+def _lowest(df: DataFrame, name: str) -> Column:
+    """A level with null as its lowest value: it may share a bucket with that value, whose rows it precedes."""
+    kind = df.schema[name].dataType.simpleString()
+    floor = {"string": "", "int": -(2**31), "bigint": -(2**63), "double": float("-inf"), "float": float("-inf")}.get(kind)
+    return F.col(name) if floor is None else F.coalesce(F.col(name), F.lit(floor).cast(kind))
+
+
+def _keys(df: DataFrame, names: Sequence[str], mark: str) -> tuple[list[Column], list[str]]:
+    """Columns by which rows of equal ``names`` meet in a join, null with null."""
+    columns, keys = [], []
+    for i, name in enumerate(names):
+        if df.schema[name].nullable:
+            keys += [f"__{mark}{i}", f"__{mark}{i}null"]
+            columns += [F.coalesce(F.col(name).cast("string"), F.lit("")).alias(keys[-2]), F.col(name).isNull().alias(keys[-1])]
+        else:
+            keys.append(f"__{mark}{i}")
+            columns.append(F.col(name).cast("string").alias(keys[-1]))
+    return columns, keys
+
+
 def running_sums(
     df: DataFrame,
     by: Sequence[str],
@@ -35,11 +55,12 @@ def running_sums(
     """Add ``<name>_before`` (sum over earlier rows of the group) and ``<name>_total``.
 
     ``levels`` are bucket expressions from coarse to fine; each must follow the
-    row order.  Group columns and levels must not be null.
+    row order.  Null is a group of its own and the lowest level.
     """
-    by = list(by)
+    made, by = _keys(df, list(by), "by")
     marks = [f"__level{i}" for i in range(len(levels))]
-    base = df.select("*", *[c.alias(m) for c, m in zip(levels, marks, strict=True)])
+    base = df.select("*", *made, *[c.alias(m) for c, m in zip(levels, marks, strict=True)])
+    base = base.withColumns({m: _lowest(base, m) for m in marks})
     base = base.select("*", *[c.alias(f"__v_{n}") for n, c in sums.items()])
 
     pieces = base.groupBy(*by, *marks).agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in sums])
@@ -106,24 +127,33 @@ def lookup(
     big: DataFrame,
     small: DataFrame,
     on: Sequence[str],
-    spread_by: Sequence[str],
+    spread_by: Sequence[str] = (),
     copies: int | None = None,
     how: str = "inner",
     keep_salt: str | None = None,
 ) -> DataFrame:
-    """Join a long table to a one-row-per-key table without gathering a hot key in one task.
+    """Join a long table to a one-row-per-key table; null keys meet too.
 
-    The long side is salted by ``spread_by`` and the short side repeated per salt, so
-    the short side should be much shorter.  No broadcast is forced: adaptive execution
-    may choose one from the measured size.  ``keep_salt`` names the salt column to
-    keep, so that :func:`keep_lowest` can go on with the same partitioning.
+    A key with very many rows is split by adaptive execution (its skew join), so the short
+    side is not multiplied; no broadcast is forced.  Only with ``keep_salt``, which names a salt column to
+    keep so that :func:`keep_lowest` can go on with the same partitioning, is the long side salted by
+    ``spread_by`` and the short side repeated per salt.
     """
-    copies = copies or _pieces(big, 64)
-    salt = keep_salt or "__salt"
-    salted = big.withColumn(salt, F.pmod(F.xxhash64(*spread_by), F.lit(copies)))
-    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint"))
-    joined = salted.join(small.withColumn(salt, F.explode(salts)), [*on, salt], how)
-    return joined if keep_salt else joined.drop(salt)
+    columns = [*big.columns, *([keep_salt] if keep_salt else []), *[c for c in small.columns if c not in on]]
+    if keep_salt:
+        copies = copies or _pieces(big, 64)
+        big = big.withColumn(keep_salt, F.pmod(F.xxhash64(*spread_by), F.lit(copies)))
+        salts = F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint"))
+        return big.join(small.withColumn(keep_salt, F.explode(salts)), [*on, keep_salt], how).select(*columns)
+    if not any(big.schema[c].nullable and small.schema[c].nullable for c in on):
+        return big.join(small, list(on), how).select(*columns)
+    made_big, keys = _keys(big, on, "on")
+    made_small, small_keys = _keys(small, on, "on")
+    if keys != small_keys:  # only one side can be null: nothing but equal values can meet
+        return big.join(small, list(on), how).select(*columns)
+    left = big.select("*", *made_big)
+    right = small.select(*[c for c in small.columns if c not in on], *made_small)
+    return left.join(right, keys, how).select(*columns)
 
 
 def keep_lowest(
@@ -176,12 +206,13 @@ def magnitude_bucket(value: Column, per_unit: int = 64) -> Column:
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, fractions: Mapping[str, float]) -> DataFrame:
-    """Linear-interpolated quantiles per group without holding a group in one task.
+    """Linear-interpolated quantiles per group without holding a group in one task; null and NaN are passed over.
 
     Equal values are counted first; ranks come from bucketed running sums; each
     quantile is then two conditional maxima in one aggregate.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    number = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    counts = df.filter(number).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
     placed = running_sums(counts, by, [F.col(value)], [magnitude_bucket(F.col(value))], {"__c": F.col("__n")})
     last = F.col("__c_total") - 1
     picks = []

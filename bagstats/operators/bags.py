@@ -51,15 +51,28 @@ def _draw_order(seed: int | Column, *extra: str) -> list[Column]:
     return [hash_key(seed, "slide_id", "patch_idx", *extra), F.col("patch_idx")]
 
 
+def _up_to_last(patches: DataFrame, chosen: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Patches that come no later in ``order`` than the last chosen one of their slide.
+
+    The chosen patches are the first of their slide, so one value per slide tells them from the
+    rest, and the wide rows are joined by slide to a table that is small enough to broadcast
+    whenever adaptive execution finds it so.
+    """
+    mark = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    last = chosen.groupBy("slide_id").agg(F.max(mark).alias("__last"))
+    return patches.join(last, "slide_id").filter(mark <= F.col("__last")).select(*patches.columns)
+
+
 def cap_first_k(patches: DataFrame, k: int) -> DataFrame:
-    """The first k patches of every bag: a filter, no shuffle."""
-    return patches.filter(F.col("patch_idx") < k)
+    """The first k patches of every bag by position, whatever gaps ``patch_idx`` has."""
+    order = [F.col("patch_idx")]
+    return _up_to_last(patches, keep_lowest(_narrow(patches), ["slide_id"], order, k, ["patch_idx"]), order)
 
 
 def cap_random_k(patches: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """k patches of every bag without replacement, repeatable per (seed, slide)."""
-    chosen = keep_lowest(_narrow(patches), ["slide_id"], _draw_order(seed), k, ["patch_idx"])
-    return _select_back(patches, chosen)
+    order = _draw_order(seed)
+    return _up_to_last(patches, keep_lowest(_narrow(patches), ["slide_id"], order, k, ["patch_idx"]), order)
 
 
 # --- spatial caps -----------------------------------------------------------
@@ -271,11 +284,12 @@ def instance_dropout(patches: DataFrame, p: float, seed: int = 42) -> DataFrame:
 
 def feature_noise(patches: DataFrame, sigma: float, seed: int = 42) -> DataFrame:
     """Add normal noise to every feature value, keyed by slide, patch and position."""
+    kind = patches.schema["features"].dataType
     noisy = F.transform(
         "features",
         lambda v, i: v + F.lit(sigma) * normal(seed, F.col("slide_id"), F.col("patch_idx"), i),
     )
-    return patches.withColumn("features", noisy)
+    return patches.withColumn("features", noisy.cast(kind))
 
 
 # --- assembly ---------------------------------------------------------------
@@ -299,14 +313,27 @@ def assemble_bags(patches: DataFrame, max_instances: int, pad: bool = True, widt
         F.transform("rows", lambda r: F.array(r["x"], r["y"])).alias("coords"),
         F.array_repeat(F.lit(1), F.size("rows")).alias("mask"),
     )
-    if not pad:
-        return out
-    gap = F.greatest(F.lit(width or max_instances) - F.col("length"), F.lit(0))
+    return _padded(out, F.lit(width or max_instances)).select(*out.columns) if pad else out
+
+
+def assemble_batches(patches: DataFrame, batches: DataFrame, max_instances: int) -> DataFrame:
+    """Bags of every batch padded to the longest bag of their batch, with ``bucket, batch_no``.
+
+    ``batches`` has ``slide_id, bucket, batch_no`` (see :func:`length_bucket_batches`); slides in no batch are left out.
+    """
+    bags = assemble_bags(patches, max_instances, pad=False)
+    placed = bags.join(batches.select("slide_id", "bucket", "batch_no"), "slide_id")
+    longest = placed.groupBy("bucket", "batch_no").agg(F.max("length").alias("width"))
+    return _padded(placed.join(longest, ["bucket", "batch_no"]), F.col("width"))
+
+
+def _padded(out: DataFrame, width: Column) -> DataFrame:
+    """Zero rows with mask 0 up to a length; further columns stay."""
+    gap = F.greatest(width - F.col("length"), F.lit(0))
     zero_features = F.transform(F.col("features")[0], lambda v: v - v)
     zero_coords = F.transform(F.col("coords")[0], lambda v: v - v)
     return out.select(
-        "slide_id",
-        "length",
+        *[c for c in out.columns if c not in ("features", "coords", "mask")],
         F.concat("features", F.array_repeat(zero_features, gap)).alias("features"),
         F.concat("coords", F.array_repeat(zero_coords, gap)).alias("coords"),
         F.concat("mask", F.array_repeat(F.lit(0), gap)).alias("mask"),

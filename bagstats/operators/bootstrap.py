@@ -50,9 +50,17 @@ def poisson_weight(number: Column) -> Column:
 
 
 def _cells(preds: DataFrame, unit: str, by: Sequence[str], score: str) -> DataFrame:
-    """Per unit: counts by label, prediction and score, so a unit with many rows shrinks first."""
+    """Per unit: counts by label, prediction and score, so a unit with many rows shrinks first.
+
+    Rows without a unit are units of their own.
+    """
     rows = with_prediction(preds)
-    return rows.groupBy(*by, F.col(unit).alias("unit"), "label", "pred", F.col(score).alias("score")).agg(
+    own = F.col(unit)
+    if unit != "slide_id" and "slide_id" in preds.columns:
+        alone = F.concat(F.lit("slide "), F.col("slide_id").cast("string"))
+        has_null = preds.schema[unit].nullable
+        own = F.coalesce(own.cast("string"), alone) if has_null else own
+    return rows.groupBy(*by, own.alias("unit"), "label", "pred", F.col(score).alias("score")).agg(
         F.count(F.lit(1)).alias("n")
     )
 

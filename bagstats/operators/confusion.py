@@ -29,12 +29,19 @@ def confusion_counts(
 
 
 def confusion_matrix(preds: DataFrame, n_classes: int, by: Sequence[str] = (), normalize: bool = False) -> DataFrame:
-    """Counts on the whole class grid; with ``normalize`` also the share of the true class."""
+    """Counts on the whole class grid; with ``normalize`` also the share of the true class.
+
+    A label or prediction outside ``0 .. n_classes - 1``, or none, fails the job.
+    """
     counts = confusion_counts(preds, by)
+    inside = F.col("label").between(0, n_classes - 1) & F.col("pred").between(0, n_classes - 1)
+    text = F.concat_ws(" ", F.lit(f"outside {n_classes} classes: label"), F.col("label").cast("string"), F.lit("pred"), F.col("pred").cast("string"))
+    counts = counts.withColumn("n", F.when(F.coalesce(inside, F.lit(False)), F.col("n")).otherwise(F.raise_error(text).cast("bigint")))
     classes = F.sequence(F.lit(0), F.lit(n_classes - 1))
     groups = counts.groupBy(*by).agg(F.lit(1).alias("__one")) if by else counts.agg(F.count(F.lit(1)).alias("__one"))
     grid = groups.withColumn("label", F.explode(classes)).withColumn("pred", F.explode(classes)).drop("__one")
-    full = grid.join(counts, [*by, "label", "pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
+    # A full join, so that no row outside the grid is passed over before it is refused.
+    full = grid.join(counts, [*by, "label", "pred"], "full").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
     if not normalize:
         return full
     total = F.sum("n").over(Window.partitionBy(*by, "label"))

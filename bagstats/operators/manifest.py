@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -66,7 +68,8 @@ def prepare_manifest(
 
 def filter_rule(df: DataFrame, rule: str, flag: str = "matched") -> DataFrame:
     """Mark the rows that satisfy a SQL predicate; a null counts as no match."""
-    if "&" in rule or "|" in rule.replace("||", ""):
+    bare = re.sub(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`", "", rule)  # quoted text may hold any sign
+    if "&" in bare or "|" in bare.replace("||", ""):
         raise ValueError(f"Use 'and' / 'or' instead of '&' / '|' in the rule: {rule!r}")
     try:
         kind = df.select(F.expr(rule)).dtypes[0][1]

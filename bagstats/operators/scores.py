@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bagstats.functions.probs import prob_columns, with_probs
 
 
+def sized(name: str, n_classes: int) -> Column:
+    """A probability vector that must have ``n_classes`` entries: the job fails on any other."""
+    text = F.concat(F.lit(f"expected {n_classes} classes, found "), F.size(name).cast("string"))
+    failure = F.raise_error(text).cast("array<double>")
+    return F.when(F.coalesce(F.size(name), F.lit(n_classes)) == n_classes, F.col(name).cast("array<double>")).otherwise(failure)
+
+
 def _averages(df: DataFrame, n_classes: int | None) -> list:
     """Mean of every probability column, or of every entry of ``probs``."""
     if "probs" in df.columns:
         if not n_classes:
             raise ValueError("n_classes is needed to average a probs vector")
-        return [F.array(*[F.avg(F.col("probs")[c]) for c in range(n_classes)]).alias("probs")]
+        vector = sized("probs", n_classes)
+        return [F.array(*[F.avg(vector[c]) for c in range(n_classes)]).alias("probs")]
     names = prob_columns(df)
     if not names:
         raise ValueError(f"No probability columns (prob_*) found. Available: {df.columns}")
@@ -72,18 +80,22 @@ def average_probs(frames: Sequence[DataFrame], n_classes: int | None = None) ->
 def patient_aggregate(
     preds: DataFrame, by: Sequence[str] = (), patient_col: str = "patient_id", n_classes: int | None = None
 ) -> DataFrame:
-    """Patient level: mean probabilities, most frequent label (smallest on ties), slide count."""
+    """Patient level: mean probabilities, most frequent label (smallest on ties), slide count.
+
+    Slides without a patient are patients of their own and keep a null there.
+    """
     rows = preds if patient_col in preds.columns else preds.withColumn(patient_col, F.col("slide_id"))
-    return rows.groupBy(*by, patient_col).agg(
+    alone = F.when(F.col(patient_col).isNull(), F.col("slide_id"))
+    return rows.groupBy(*by, patient_col, alone.alias("__alone")).agg(
         F.mode("label", True).alias("label"),
         F.count("slide_id").alias("n_slides"),
         *_averages(rows, n_classes),
-    )
+    ).drop("__alone")
 
 
 def class_rows(preds: DataFrame, n_classes: int, keep: Sequence[str] = ()) -> DataFrame:
     """One row per prediction and class: ``class_id, score, positive`` (one-vs-rest)."""
     vectors = with_probs(preds)
-    exploded = vectors.select(*keep, "label", F.posexplode(F.slice("probs", 1, n_classes)).alias("class_id", "score"))
+    exploded = vectors.select(*keep, "label", F.posexplode(sized("probs", n_classes)).alias("class_id", "score"))
     positive = (F.col("label") == F.col("class_id")).cast("bigint")
     return exploded.select(*keep, "class_id", "score", positive.alias("positive"))

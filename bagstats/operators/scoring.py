@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bagstats.functions.probs import array_total, probs_from_logits, top_class
-from bagstats.operators.bags import assemble_bags, class_weights
+from bagstats.operators.bags import assemble_bags, cap_first_k, class_weights
 from bagstats.operators.pooling import attention_pool
 from bagstats.sources.shared import written
 
@@ -160,7 +160,7 @@ def score_bags(
     """
     if not isinstance(model, BagModel):
         return _score_with_function(patches, model, max_instances)
-    rows = patches if max_instances is None else patches.filter(F.col("patch_idx") < max_instances)
+    rows = patches if max_instances is None else cap_first_k(patches, max_instances)
     rows = patch_mlp(rows, model.patch_layers) if model.patch_layers else rows
     if len(model.attention) == 1:
         pooled = attention_pool(attention_logits(rows, model.attention))

@@ -27,7 +27,7 @@ def check_ratios(train: float | None, val: float | None, test: float | None) ->
         raise ValueError("train, val and test ratios are all required")
     total = train + val + test
     if abs(total - 1.0) > 1e-6:
-        raise ValueError(f"Ratios must sum to 1.0, got {total}")
+        raise ValueError(f"train, val and test shares add up to {total}, not to 1")
 
 
 # --- shared steps -----------------------------------------------------------
@@ -205,7 +205,7 @@ def custom_kfold_split(
 def hash_threshold_split(df: DataFrame, ratios: dict[str, float], seed: int = 42, key: str = "group_id") -> DataFrame:
     """Hold-out without ranking or shuffle: the expected shares hold, exact counts do not."""
     if abs(sum(ratios.values()) - 1.0) > 1e-6:
-        raise ValueError(f"Ratios must sum to 1.0, got {sum(ratios.values())}")
+        raise ValueError(f"the shares add up to {sum(ratios.values())}, not to 1")
     number = uniform(seed, key)
     names = list(ratios)
     edge, role = 0.0, None
@@ -269,7 +269,7 @@ def fold_roles(splits: DataFrame, scheme: str, n_folds: int | None = None, refit
     elif scheme == "monte_carlo":
         missing = {"repeat", "split"} - set(splits.columns)
         if missing:
-            raise ValueError(f"monte_carlo splits require 'repeat' and 'split' columns, missing {sorted(missing)}")
+            raise ValueError(f"a repeated split table lacks the columns {sorted(missing)}")
         rows, role = splits.withColumn("fold", F.col("repeat")), F.col("split")
     else:
         raise ValueError(f"Unknown split scheme '{scheme}'. Must be one of: {sorted(SCHEME_COLUMNS)}")

@@ -150,35 +150,23 @@ def timing_summary(df: DataFrame, phase_col: str = "phase", ms_col: str = "ms")
     return sums.join(quantiles, "phase").withColumn("items_per_sec", rate)
 
 
-def bottleneck(
-    summary: DataFrame,
-    data_phase: str = "data_loading",
-    forward_phase: str = "forward",
-    step_phase: str = "train_step",
-) -> DataFrame:
-    """Slowest part of a training step: loading, forward, or backward (step minus forward)."""
-
-    def mean_of(phase: str) -> Column:
-        return F.coalesce(F.max(F.when(F.col("phase") == phase, F.col("mean_ms"))), F.lit(0.0))
-
-    row = summary.agg(
-        mean_of(data_phase).alias("data"), mean_of(forward_phase).alias("fwd"), mean_of(step_phase).alias("step")
-    )
-    back = F.when(F.col("step") > 0, F.greatest(F.lit(0.0), F.col("step") - F.col("fwd"))).otherwise(F.lit(0.0))
-    row = row.withColumn("back", back)
-    slowest = F.greatest("data", "fwd", "back")
-    name = (
-        F.when((F.col("data") == 0) & (F.col("step") == 0), "unknown")
-        .when(F.col("data") == slowest, "data_loading")
-        .when(F.col("fwd") == slowest, "forward_pass")
-        .otherwise("backward_optimizer")
-    )
-    effective = F.when(F.col("data") > 0, F.greatest("data", "step")).otherwise(F.col("step"))
-    return row.select(
-        F.round("data", 1).alias("data_loading_ms"),
-        F.round("fwd", 1).alias("forward_ms"),
-        F.round("back", 1).alias("backward_optim_ms"),
-        F.round("step", 1).alias("train_step_ms"),
-        name.alias("bottleneck"),
-        F.when(effective > 0, F.round(F.lit(1000.0) / effective, 1)).alias("effective_slides_per_sec"),
-    )
+def phase_shares(summary: DataFrame, whole: str | None = None, residual: str = "rest") -> DataFrame:
+    """``phase, mean_ms, share, place, slowest`` of a timing summary: where the time of one round goes.
+
+    ``whole`` names a phase that spans the others; it is then split into them and, under the name
+    ``residual``, what they leave of it.  Without it the phases simply follow each other.  Phases without a mean
+    have no part; equal means are placed by name.  The table has a row per phase, so its windows are small.
+    """
+    parts = summary.select("phase", "mean_ms").filter("mean_ms is not null and not isnan(mean_ms)")
+    if whole is not None:
+        spans = F.col("phase") == whole
+        rest = parts.agg(
+            (F.max(F.when(spans, F.col("mean_ms"))) - F.coalesce(F.sum(F.when(~spans, F.col("mean_ms"))), F.lit(0.0))).alias("mean_ms")
+        )
+        rest = rest.select(F.lit(residual).alias("phase"), "mean_ms").filter("mean_ms > 0")
+        parts = parts.filter(~spans).unionByName(rest)
+    every = Window.partitionBy()
+    total = F.sum("mean_ms").over(every)
+    place = F.row_number().over(every.orderBy(F.col("mean_ms").desc(), "phase"))
+    share = F.when(total > 0, F.col("mean_ms") / total)
+    return parts.select("phase", "mean_ms", share.alias("share"), place.alias("place"), (place == 1).alias("slowest"))

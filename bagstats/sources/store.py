@@ -56,8 +56,9 @@ def pack_by_size(
 ) -> DataFrame:
     """Whole bags to export shards of limited size, in hash order.
 
-    The default cuts a distributed running sum, so a shard may pass the limit by
-    part of its last bag.  ``exact`` opens a new shard whenever the next bag would
+    The default cuts a distributed running sum at multiples of the limit; a bag that lies
+    across a cut gets a shard of its own, so no shard of several bags passes the limit and
+    at most every other shard holds a single bag.  ``exact`` opens a new shard whenever the next bag would
     not fit (an oversized bag gets its own); it runs per hash range, so
     ``range_digits`` bounds the index rows of one task.
     """
@@ -66,9 +67,9 @@ def pack_by_size(
         sized = running_sums(
             keyed, [], [F.col("__key"), F.col("slide_id")], [hash_bucket(F.col("__key"))], {"size": F.col("est_bytes")}
         )
-        return sized.select(
-            "slide_id", "est_bytes", F.floor(F.col("size_before") / F.lit(limit_bytes)).alias("pack")
-        )
+        first = F.floor(F.col("size_before") / F.lit(limit_bytes))
+        across = F.col("size_before") + F.col("est_bytes") > (first + 1) * F.lit(limit_bytes)
+        return sized.select("slide_id", "est_bytes", (first * 2 + across.cast("bigint")).alias("pack"))
     kind = dict(index.dtypes)["slide_id"]
 
     def fill(part):

@@ -23,6 +23,15 @@ def first_k(spark, sf):
     return B.cap_first_k(_narrow(spark, sf), K).select(*_ID)
 
 
+def _gappy(spark, sf, *more):
+    """A third of the patches is gone, so positions and ``patch_idx`` differ."""
+    return V.patches(spark, sf).filter("patch_idx % 3 <> 0").select(*_ID, *more)
+
+
+def first_k_gaps(spark, sf):
+    return B.cap_first_k(_gappy(spark, sf), K)
+
+
 def random_k(spark, sf):
     return B.cap_random_k(_narrow(spark, sf), K, 42).select(*_ID)
 
@@ -75,6 +84,29 @@ def assembled(spark, sf):
     )
 
 
+def assembled_after_cap(spark, sf):
+    """A random cap keeps scattered patch numbers; all of them must be in the bag."""
+    bags = B.assemble_bags(B.cap_random_k(V.patches(spark, sf), K, 42), K, pad=False)
+    total = F.aggregate("coords", F.lit(0).cast("bigint"), lambda a, c: a + c[0] + c[1])
+    return bags.select("slide_id", "length", total.alias("coord_sum"))
+
+
+def assembled_batches(spark, sf):
+    """Bags of unequal length padded to the longest of their batch."""
+    patches = _gappy(spark, sf, "features", "x", "y").filter("patch_idx % 7 < slide_id % 7 + 1")
+    slides = patches.select("slide_id").distinct()
+    batches = slides.select("slide_id", F.lit(0).alias("bucket"), F.floor(F.col("slide_id") / 4).alias("batch_no"))
+    out = B.assemble_batches(patches, batches, 150)
+    real = F.aggregate("mask", F.lit(0), lambda a, m: a + m)
+    return out.select("slide_id", "batch_no", "length", F.size("features").alias("width"), F.size("coords").alias("n_coords"), real.alias("n_real"))
+
+
+def pack_sizes(spark, sf):
+    rows = store.pack_by_size(_order_index(spark, sf), 100)
+    sums = rows.groupBy("pack").agg(F.count(F.lit(1)).alias("n_bags"), F.sum("est_bytes").alias("bytes"))
+    return sums.withColumn("over", (F.col("n_bags") > 1) & (F.col("bytes") > 100))
+
+
 def resampled(spark, sf):
     return B.weighted_resample(V.manifest(spark, sf).select("slide_id", "label"), 42)
 
@@ -160,6 +192,7 @@ def _order_index(spark, sf):
 
 QUERIES = {
     "B1_cap_first_k": first_k,
+    "B1_cap_first_k_gaps": first_k_gaps,
     "B2_cap_random_k": random_k,
     "B3_cap_spatial_sqrt": sqrt_cap,
     "B3_cap_spatial_sqrt_fine_grid": sqrt_fine,
@@ -169,6 +202,8 @@ QUERIES = {
     "B7_instance_dropout": dropout,
     "B8_feature_noise": noise,
     "B9_assemble_bags": assembled,
+    "B9_assemble_after_cap": assembled_after_cap,
+    "B9_assemble_batch_max": assembled_batches,
     "B10_weighted_resample": resampled,
     "B11_cap_bags": capped,
     "A8_bag_size_stats": size_stats,
@@ -184,6 +219,7 @@ QUERIES = {
     "W9_padding_waste": waste,
     "S5_bag_index": index_table,
     "S6_pack_by_size": packs,
+    "S6_pack_sizes": pack_sizes,
     "S6_pack_by_size_exact": packs_exact,
 }
 
@@ -239,6 +275,16 @@ _EVEN = _cells(
     12,
 )
 _RANDOM = f"kept AS (SELECT slide_id, patch_idx FROM (SELECT slide_id, patch_idx, row_number() OVER (PARTITION BY slide_id ORDER BY {_ORD}) AS r FROM v_patches) WHERE r <= {K})"
+
+
+def _packed(limit: int) -> str:
+    """CTE ``packed``: bags across a multiple of the limit stand alone."""
+    return f"""
+pb AS (SELECT slide_id, n_patches * 24 AS est_bytes FROM idx),
+pc AS (SELECT *, CAST(coalesce(sum(est_bytes) OVER (ORDER BY {_PACK}, slide_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM pb),
+packed AS (SELECT slide_id, est_bytes, b // {limit} * 2 + CASE WHEN b + est_bytes > (b // {limit} + 1) * {limit} THEN 1 ELSE 0 END AS pack FROM pc)"""
+
+
 _COVER = f"""
 WITH {_RANDOM}, t AS (SELECT slide_id, count(*) AS n_total FROM v_patches GROUP BY 1), k AS (SELECT slide_id, count(*) AS n_kept FROM kept GROUP BY 1),
 cov AS (SELECT slide_id, n_total, coalesce(n_kept, 0) AS n_kept, n_total - coalesce(n_kept, 0) AS n_discarded,
@@ -271,6 +317,9 @@ _SHARD8 = f"CAST(CAST('0x' || substr({key('shard', 'slide_id')}, 1, 8) AS BIGINT
 
 ORACLES = {
     "B1_cap_first_k": with_views("v_patches", f"SELECT slide_id, patch_idx FROM v_patches WHERE patch_idx < {K}"),
+    "B1_cap_first_k_gaps": with_views("v_patches", f"""
+SELECT slide_id, patch_idx FROM (SELECT slide_id, patch_idx, row_number() OVER (PARTITION BY slide_id ORDER BY patch_idx) AS r FROM v_patches WHERE patch_idx % 3 <> 0)
+WHERE r <= {K}"""),
     "B2_cap_random_k": with_views("v_patches", f"WITH {_RANDOM} SELECT * FROM kept"),
     "B3_cap_spatial_sqrt": _sqrt_sql(GRID),
     "B3_cap_spatial_sqrt_fine_grid": _sqrt_sql(64),
@@ -309,6 +358,12 @@ g AS (SELECT slide_id, length, CAST(p AS INT) AS pos FROM s, range(80) t(p))
 SELECT g.slide_id AS slide_id, length, pos, CAST(CASE WHEN pos < length THEN 1 ELSE 0 END AS INT) AS mask,
        CASE WHEN pos < length THEN f1 ELSE 0 END AS f1, CASE WHEN pos < length THEN x ELSE 0 END AS x, CASE WHEN pos < length THEN y ELSE 0 END AS y
 FROM g LEFT JOIN v_patches p ON p.slide_id = g.slide_id AND p.patch_idx = g.pos"""),
+    "B9_assemble_after_cap": with_views("v_patches", f"""
+WITH {_RANDOM} SELECT slide_id, CAST(count(*) AS INT) AS length, CAST(sum(x + y) AS BIGINT) AS coord_sum FROM kept JOIN v_patches USING (slide_id, patch_idx) GROUP BY 1"""),
+    "B9_assemble_batch_max": with_views("v_patches", """
+WITH n AS (SELECT slide_id, CAST(least(count(*), 150) AS INT) AS length FROM v_patches WHERE patch_idx % 3 <> 0 AND patch_idx % 7 < slide_id % 7 + 1 GROUP BY 1),
+w AS (SELECT *, slide_id // 4 AS batch_no, max(length) OVER (PARTITION BY slide_id // 4) AS width FROM n)
+SELECT slide_id, CAST(batch_no AS BIGINT) AS batch_no, length, width, width AS n_coords, length AS n_real FROM w"""),
     "B10_weighted_resample": with_views("v_manifest", f"""
 WITH ranked AS (SELECT label, slide_id, row_number() OVER (PARTITION BY label ORDER BY {key(42, "slide_id")}, slide_id) AS place FROM v_manifest),
 c AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY label) - 1 AS class_no, count(*) OVER () AS k FROM v_manifest GROUP BY 1),
@@ -343,8 +398,10 @@ WITH i AS (SELECT slide_id, count(*) FILTER (patch_idx < {K}) AS n_patches, coun
 SELECT slide_id, n_patches, raw_patches, CAST(4 AS INT) AS feat_dim, CAST(2 AS INT) AS coord_dim, shard,
   CAST(coalesce(sum(n_patches) OVER (PARTITION BY shard ORDER BY slide_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_row, n_patches * 24 AS est_bytes FROM i"""),
     "S6_pack_by_size": f"""
-WITH {_INDEX}, b AS (SELECT slide_id, n_patches * 24 AS est_bytes FROM idx)
-SELECT slide_id, est_bytes, CAST(coalesce(sum(est_bytes) OVER (ORDER BY {_PACK}, slide_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // 4096 AS pack FROM b""",
+WITH {_INDEX}, {_packed(4096)} SELECT slide_id, est_bytes, pack FROM packed""",
+    "S6_pack_sizes": f"""
+WITH {_INDEX}, {_packed(100)}, g AS (SELECT pack, count(*) AS n_bags, CAST(sum(est_bytes) AS BIGINT) AS bytes FROM packed GROUP BY 1)
+SELECT *, n_bags > 1 AND bytes > 100 AS over FROM g""",
     "S6_pack_by_size_exact": f"""
 WITH RECURSIVE {_INDEX}, b AS (SELECT slide_id, n_patches * 24 AS est_bytes, substr({_PACK}, 1, 2) AS "range",
   row_number() OVER (PARTITION BY substr({_PACK}, 1, 2) ORDER BY {_PACK}, slide_id) AS r FROM idx),

@@ -248,7 +248,8 @@ def timing(spark, sf):
 
 
 def bottleneck(spark, sf):
-    return SU.bottleneck(SU.timing_summary(V.timings(spark, sf)), "view", "click", "purchase")
+    rows = SU.phase_shares(SU.timing_summary(V.timings(spark, sf)), "purchase")
+    return rows.withColumns({"mean_ms": F.round("mean_ms", 6), "share": F.round("share", 9)})
 
 
 QUERIES = {
@@ -576,9 +577,11 @@ SELECT fold, round(avg((1 - label) * z + (1 + 1.5 * label) * (ln(1 + exp(-abs(z)
 SELECT phase, count(ms) AS n_iters, round(avg(ms), 6) AS mean_ms, round(stddev_pop(ms), 6) AS std_ms, round(min(ms), 6) AS min_ms, round(max(ms), 6) AS max_ms,
   round(quantile_cont(ms, 0.5), 6) AS median_ms, round(quantile_cont(ms, 0.1), 6) AS p10_ms, round(quantile_cont(ms, 0.9), 6) AS p90_ms, round(1000.0 / avg(ms), 6) AS items_per_sec FROM v_timing GROUP BY 1"""),
     "A37_bottleneck": with_views("v_timing", """
-WITH m AS (SELECT avg(ms) FILTER (phase = 'view') AS d, avg(ms) FILTER (phase = 'click') AS f, avg(ms) FILTER (phase = 'purchase') AS s FROM v_timing), b AS (SELECT *, greatest(0, s - f) AS k FROM m)
-SELECT round(d, 1) AS data_loading_ms, round(f, 1) AS forward_ms, round(k, 1) AS backward_optim_ms, round(s, 1) AS train_step_ms,
-  CASE WHEN d >= f AND d >= k THEN 'data_loading' WHEN f >= k THEN 'forward_pass' ELSE 'backward_optimizer' END AS bottleneck, round(1000.0 / greatest(d, s), 1) AS effective_slides_per_sec FROM b"""),
+WITH m AS (SELECT phase, avg(ms) AS mean_ms FROM v_timing GROUP BY 1),
+r AS (SELECT 'rest' AS phase, max(mean_ms) FILTER (phase = 'purchase') - coalesce(sum(mean_ms) FILTER (phase <> 'purchase'), 0) AS mean_ms FROM m),
+p AS (SELECT * FROM m WHERE phase <> 'purchase' UNION ALL SELECT * FROM r WHERE mean_ms > 0)
+SELECT phase, round(mean_ms, 6) AS mean_ms, round(mean_ms / sum(mean_ms) OVER (), 9) AS share,
+       CAST(row_number() OVER (ORDER BY mean_ms DESC, phase) AS INT) AS place, row_number() OVER (ORDER BY mean_ms DESC, phase) = 1 AS slowest FROM p"""),
     "J7_at_thresholds": with_views("v_pred", f"WITH {_threshold_table([i / 20 for i in range(1, 20)])} SELECT fold, round(threshold, 6) AS threshold, tp, fp, fn, tn, {_RATES} FROM tt"),
     "J8_bin_confidence": with_views("v_pred", f"""
 WITH e AS (SELECT * FROM (VALUES {_EDGE_ROWS}) t(bin, lo, hi)) SELECT slide_id, CAST(bin AS INT) AS bin FROM v_pred JOIN e ON prob_1 >= lo AND (prob_1 < hi OR (bin = 9 AND prob_1 <= hi))"""),

@@ -93,6 +93,18 @@ def scored(spark, sf):
     return _pairs(S.score_bags(V.embed_patches(spark, sf), MODEL))
 
 
+def scored_after_dropout(spark, sf):
+    """A third of every bag is gone: the first ten that are left are scored."""
+    w, b = HEAD
+
+    def predict(bag):
+        vector = bag[:, : len(w[0])].astype(float).mean(axis=0)
+        return {"embedding": vector, "logits": w @ vector + b}
+
+    left = V.embed_patches(spark, sf).filter("patch_idx % 3 <> 0")
+    return _pairs(S.score_bags(left, predict, max_instances=10))
+
+
 def scored_by_function(spark, sf):
     """A plug-in predictor that holds one capped bag: mean of the first six features, linear head."""
     w, b = HEAD
@@ -167,6 +179,7 @@ QUERIES = {
     "L6_classify": classified,
     "L7_score_bags": scored,
     "L7_score_bags_function": scored_by_function,
+    "L7_score_after_dropout": scored_after_dropout,
     "L8_collect_predictions": collected,
     "L9_oof_predictions": oof,
     "L10_linear_probe_cv": probe,
@@ -240,6 +253,9 @@ SELECT slide_id, n_patches, CAST(i - 1 AS INT) AS pos, round(e[i], 6) AS value F
     "L6_classify": with_views("v_embed", f"WITH {_MEAN6.format(cap=25)}, {_classify_sql('m', 'e')}"),
     "L7_score_bags": with_views("v_embed", f"WITH {_LOGITS}, {_att_pool('l0', 'a')}, {_classify_sql('a', 'e')}"),
     "L7_score_bags_function": with_views("v_embed", f"WITH {_MEAN6.format(cap=10)}, {_classify_sql('m', 'e')}"),
+    "L7_score_after_dropout": with_views("v_embed", f"""
+WITH left_over AS (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY patch_idx) - 1 AS place FROM v_embed WHERE patch_idx % 3 <> 0),
+{_MEAN6.format(cap=10).replace("v_embed", "left_over").replace("patch_idx < 10", "place < 10")}, {_classify_sql('m', 'e')}"""),
     "L8_collect_predictions": with_views("v_pred", "SELECT slide_id, label, round(prob_1, 6) AS prob_1 FROM v_pred"),
     "L9_oof_predictions": with_views("v_pred", "SELECT slide_id, patient_id, fold, label, round(prob_1, 6) AS prob_1 FROM v_pred"),
     "W11_bag_softmax": with_views("v_patches", f"WITH {_LINE_LOGIT} SELECT slide_id, patch_idx, round(w / sum(w) OVER (PARTITION BY slide_id), 9) AS attention FROM wt"),

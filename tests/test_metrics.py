@@ -247,8 +247,11 @@ def test_ensemble_needs_every_model(spark):
         SC.ensemble_average(df, 2).collect()
 
 
-def test_bottleneck(spark):
-    summary = spark.createDataFrame([("data_loading", 5.0), ("forward", 3.0), ("train_step", 12.0)], "phase string, mean_ms double")
-    row = SU.bottleneck(summary).first()
-    assert (row.bottleneck, row.backward_optim_ms, row.effective_slides_per_sec) == ("backward_optimizer", 9.0, 83.3)
-    assert SU.bottleneck(summary.filter("false")).first().bottleneck == "unknown"
+def test_phase_shares(spark):
+    summary = spark.createDataFrame([("load", 5.0), ("forward", 3.0), ("step", 12.0), ("idle", None)], "phase string, mean_ms double")
+    rows = {r.phase: r for r in SU.phase_shares(summary, "step", "backward").collect()}
+    assert {k: (r.mean_ms, r.place, r.slowest) for k, r in rows.items()} == {
+        "load": (5.0, 1, True), "backward": (4.0, 2, False), "forward": (3.0, 3, False)
+    }
+    assert sum(r.share for r in SU.phase_shares(summary).collect()) == pytest.approx(1.0)
+    assert SU.phase_shares(summary.filter("false"), "step").count() == 0
