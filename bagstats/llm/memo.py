@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,17 @@ class Memo:
         return self.sizes[at], first[at], self.ids
 
 
+def text_slices(texts: pa.Array, limit: int) -> Iterator[pa.Array]:
+    """Consecutive runs of texts of at most ``limit`` bytes, or of one longer text: bounds the memory of a batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(texts):
+        done = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + limit, "right")))
+        yield texts.slice(begin, end - begin)
+        begin = end
+
+
 def concat_ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Positions ``first[i] ... first[i] + sizes[i] - 1`` of all ranges, one after the other."""
     total = int(sizes.sum())

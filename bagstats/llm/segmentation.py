@@ -27,7 +27,7 @@ from bagstats.llm.lattice import SPACE, Lattice, Pieces
 from bagstats.llm.memo import concat_ranges
 from bagstats.llm.shingles import mix
 
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 800_000
 CUT = "\x00"
 TRIES = 32
 _A, _B, _C, _D = (np.uint64(x) for x in (  # odd multipliers without meaning

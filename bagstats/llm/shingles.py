@@ -9,6 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+from bagstats.llm.memo import text_slices
+
+SLICE_BYTES = 4_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,6 +42,11 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; with fewer than ``size`` words the whole sequence is one."""
+    for part in text_slices(texts, SLICE_BYTES):
+        yield from _shingle_sets(part, size)
+
+
+def _shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     hashes, places = word_hashes(texts)
     rolled = np.zeros(max(0, len(hashes) - size + 1), np.uint64)
     for k in range(size):
