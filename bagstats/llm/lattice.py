@@ -98,6 +98,7 @@ class Lattice:
     log: np.ndarray
     upto: np.ndarray  # probability of this edge and the earlier ones of its node
     is_start: np.ndarray  # per node
+    ways: np.ndarray  # per node: number of ways to reach it (as a float)
 
     @classmethod
     def of(cls, strings: list[str], pieces: Pieces) -> Lattice:
@@ -145,7 +146,7 @@ class Lattice:
                 width = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
             log[slot] = np.where(known, pieces.logs[np.where(known, piece, 0)], pieces.byte_log * width)
 
-        alpha, upto = np.zeros(nodes), np.empty(count)
+        alpha, upto, ways = np.zeros(nodes), np.empty(count), np.ones(nodes)
         order = np.argsort(-sizes, kind="stable")
         starts, longest_first = begin[order], sizes[order]
         for level in range(1, int(sizes.max(initial=0)) + 1):
@@ -158,11 +159,28 @@ class Lattice:
             weight = np.exp(value - np.repeat(top, deg))
             total = np.add.reduceat(weight, cuts)
             alpha[here] = top + np.log(total)
+            ways[here] = np.add.reduceat(ways[source[edges]], cuts)
             run = np.cumsum(weight / np.repeat(total, deg))
             upto[edges] = run - np.repeat(np.concatenate([[0.0], run])[cuts], deg)
         is_start = np.zeros(nodes, bool)
         is_start[begin] = True
-        return cls(end, begin, alpha, first, degree, source, number, log, upto, is_start)
+        return cls(end, begin, alpha, first, degree, source, number, log, upto, is_start, ways)
+
+    def share(self, edge: int, target: int) -> float:
+        """Probability of an edge among the ways into its end."""
+        return float(np.exp(self.alpha[self.source[edge]] + self.log[edge] - self.alpha[target]))
+
+    def left_over(self, node: int, taken: list[list[int]]) -> float:
+        """Probability of all ways into a node but those taken (edges from the end on), a sum without cancellation."""
+        if not taken:
+            return 1.0
+        if self.is_start[node]:
+            return 0.0
+        total = 0.0
+        for edge in range(int(self.first[node]), int(self.first[node] + self.degree[node])):
+            tails = [way[1:] for way in taken if way[0] == edge]
+            total += self.share(edge, node) * self.left_over(int(self.source[edge]), tails)
+        return total
 
     def sample(self, which: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Exact samples for the strings ``which``, drawn by the 64-bit ``keys``.

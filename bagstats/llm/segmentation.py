@@ -10,7 +10,8 @@ of its part splits by the first word that differs.  Words are independent, as no
 blank, so a part is described by one word and everything in it is sampled for many texts at once.
 
 The inclusion score of a segmentation is the probability that its perturbed value passes the largest
-one not taken; dividing by it makes sums over the samples unbiased.
+one not taken; dividing by it makes sums over the samples unbiased.  It is given as a logarithm, as a long
+text's segmentations are all very improbable.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from bagstats.llm.shingles import mix
 SLICE_CHARS = 800_000
 CUT = "\x00"
 TRIES = 32
+DUST = 1e-9  # a rest below this is not taken from a difference
+MOST_EDGES = 300  # of a way in such a sum; a longer word always leaves more than dust
 _A, _B, _C, _D = (np.uint64(x) for x in (  # odd multipliers without meaning
     0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93
 ))
@@ -81,30 +84,19 @@ def words_of(texts: pa.Array, newline_cuts: bool) -> tuple[pa.Array, np.ndarray]
 def _other_path(lattice: Lattice, word: int, taken: list[np.ndarray], key: int) -> np.ndarray:
     """One exact sample of a word's paths other than those taken (edges from left to right), edge by edge from the end."""
     node, edges, turn = int(lattice.end[word]), [], key
-    rest = [list(t[::-1]) for t in taken]
-
-    def share(edge: int) -> float:
-        return float(np.exp(lattice.alpha[lattice.source[edge]] + lattice.log[edge] - lattice.alpha[_target(lattice, edge)]))
-
+    rest = [t[::-1].tolist() for t in taken]
     while not lattice.is_start[node]:
-        incoming = np.arange(lattice.first[node], lattice.first[node] + lattice.degree[node])
-        weights = []
-        for e in incoming:
-            barred = sum(float(np.prod([share(x) for x in r[1:]])) for r in rest if r and r[0] == e)
-            weights.append(share(e) * max(0.0, 1.0 - barred))
-        run = np.cumsum(weights)
+        incoming = range(int(lattice.first[node]), int(lattice.first[node] + lattice.degree[node]))
+        tails = {e: [way[1:] for way in rest if way[0] == e] for e in incoming}
+        run = np.cumsum([lattice.share(e, node) * lattice.left_over(int(lattice.source[e]), tails[e]) for e in incoming])
         turn = int(mix(np.array([turn], np.uint64) + _D)[0])
-        e = int(incoming[min(int(np.searchsorted(run, _uniform(np.array([turn], np.uint64))[0] * run[-1])), len(incoming) - 1)])
-        edges.append(e)
-        rest = [r[1:] for r in rest if r and r[0] == e]
-        node = int(lattice.source[e])
+        spot = int(np.searchsorted(run, _uniform(np.array([turn], np.uint64))[0] * run[-1]))
+        edges.append(incoming[min(spot, len(incoming) - 1)])
+        rest = tails[edges[-1]]
+        node = int(lattice.source[edges[-1]])
     return np.array(edges[::-1], np.int64)
 
 
-def _target(lattice: Lattice, edge: int) -> int:
-    return int(np.searchsorted(lattice.first, edge, "right")) - 1
-
-
 class _Search:
     """The search over one slice of texts, all at once."""
 
@@ -121,6 +113,7 @@ class _Search:
         self.path: list[np.ndarray] = []
         self.parts: list[np.ndarray] = []  # per sample: maximum of the part in which this word differs first
         self.value: list[np.ndarray] = []  # per sample and text: perturbed log probability, -inf if there is none
+        self.known: dict[tuple[int, ...], float] = {}
         self.barred: list[tuple[np.ndarray, ...]] = []  # per sample after the first: what it was split from
 
     def _draw(self, words: np.ndarray, number: int, again: int = 0) -> tuple[np.ndarray, ...]:
@@ -139,10 +132,30 @@ class _Search:
         found[some] = mass[some] - np.log(np.exp(mass[some] - limit[some]) - np.log(draw[some]))
         return found
 
-    def _left(self, gone: np.ndarray) -> np.ndarray:
-        """Log of what is left of probability 1; rounding dust counts as nothing."""
+    def _left(self, words: np.ndarray, ways: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+        """Log probability of all ways of each word but those given (mask, first edge, edges, log probability, path).
+
+        Where almost nothing is left the difference from 1 is rounding dust; there the rest is summed
+        edge by edge, once for each set of ways.
+        """
+        gone, number = np.zeros(len(words)), np.zeros(len(words))
+        for same, _, _, log, _ in ways:
+            gone += np.where(same, np.exp(log), 0.0)
+            number += same
         rest = 1.0 - gone
-        return np.where(rest > 1e-12, np.log(np.maximum(rest, 1e-300)), -np.inf)
+        nodes = self.lattice.end[self.codes[words]]
+        more = self.lattice.ways[nodes] > number
+        found = np.where(more & (rest > DUST), np.log(np.maximum(rest, DUST)), -np.inf)
+        longest = max(1, *(int(size.max(initial=0)) for _, _, size, _, _ in ways))
+        faint = np.flatnonzero(more & (rest <= DUST))
+        for k in faint if longest <= MOST_EDGES else faint[:0]:
+            mark = (int(nodes[k]), *sorted(int(path[k]) for same, *_, path in ways if same[k]))
+            if mark not in self.known:
+                taken = [self.pool[int(f[k]) : int(f[k]) + int(n[k])][::-1].tolist() for same, f, n, _, _ in ways if same[k]]
+                value = self.lattice.left_over(int(nodes[k]), taken)
+                self.known[mark] = float(np.log(value)) if value > 0 else -np.inf
+            found[k] = self.known[mark]
+        return found
 
     def _before(self, log: np.ndarray) -> np.ndarray:
         run = np.concatenate([[0.0], np.cumsum(log)])
@@ -159,7 +172,8 @@ class _Search:
         """Split what is left around a sample by the first word that differs, from word ``begin`` of each text on."""
         parts = np.full(len(self.codes), -np.inf)
         words = np.flatnonzero((self.place >= begin[self.text]) & (self.value[sample] > -np.inf)[self.text])
-        mass = (self._before(self.log[sample]) + self._left(np.exp(self.log[sample])))[words]
+        own = (np.ones(len(words), bool), *(x[sample][words] for x in (self.first, self.size, self.log, self.path)))
+        mass = self._before(self.log[sample])[words] + self._left(words, [own])
         parts[words] = self._cut_gumbel(mass, self.value[sample][self.text[words]], words, sample)
         self.parts.append(parts)
 
@@ -244,11 +258,9 @@ class _Search:
             self.pool = np.concatenate([self.pool, edges])
         words = split[live]
         self.barred.append((live, base[live], words, *[c[words] for c in columns]))
-        used = np.exp(columns[2][words])
-        for same, _, _, log, _ in gone:
-            used = used + np.where(same, np.exp(log), 0.0)
+        gone.append((np.ones(len(live), bool), *[c[words] for c in columns]))
         before = np.choose(base[live], [self._before(x)[words] for x in self.log]) if len(self.log) > 1 else self._before(self.log[0])[words]
-        cut = self._cut_gumbel(before + self._left(used), value[live], words, number * 7919 + 13)
+        cut = self._cut_gumbel(before + self._left(words, gone), value[live], words, number * 7919 + 13)
         for s, parts in enumerate(self.parts):
             here = base[live] == s
             parts[words[here]] = cut[here]
@@ -279,7 +291,7 @@ class _Search:
 
 
 def segmentations_of(texts: pa.Array, keys: np.ndarray, pieces: Pieces, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Per slice and sample: place of each text, sample number, ids, ids per text, log probability, perturbed value, inclusion score."""
+    """Per slice and sample: place of each text, sample number, ids, ids per text, log probability, perturbed value, log of the inclusion score."""
     lengths = np.concatenate([[0], np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))])
     begin = 0
     while begin < len(texts):
@@ -298,8 +310,8 @@ def segmentations_of(texts: pa.Array, keys: np.ndarray, pieces: Pieces, k: int)
                 continue
             ids, counts = search.ids(s, pieces)
             total = np.bincount(search.text, weights=search.log[s], minlength=end - begin)[has]
-            with np.errstate(over="ignore"):
-                score = np.where(limit[has] > -np.inf, -np.expm1(-np.exp(total - limit[has])), 1.0)
+            over = np.where(limit[has] > -np.inf, np.minimum(total - limit[has], 50.0), 50.0)
+            score = np.where(over < -30, over, np.log(-np.expm1(-np.exp(np.maximum(over, -30)))))
             yield begin + has, s + 1, ids, counts[has], total, value[has], score
         begin = end
 
@@ -307,11 +319,11 @@ def segmentations_of(texts: pa.Array, keys: np.ndarray, pieces: Pieces, k: int)
 def sample_segmentations(
     docs: DataFrame, model_path: str, k: int = 2, seed: int = 0, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``id, sample, ids, log_prob, perturbed, inclusion``: up to ``k`` distinct segmentations of every whole text.
+    """``id, sample, ids, log_prob, perturbed, log_inclusion``: up to ``k`` distinct segmentations of every whole text.
 
     ``sample`` counts from 1 in descending perturbed value.  Draws depend on the seed, the row's id and the
     text's words alone, so reruns and repeated rows agree.  A text with fewer segmentations gets all of
-    them, with inclusion 1; a null or empty text has the one empty segmentation.  Null ids share a key; other columns are
+    them, with inclusion score 1; a null or empty text has the one empty segmentation.  Null ids share a key; other columns are
     ignored; an empty table gives an empty result.  Nothing is shuffled.
     """
     start = np.uint64(seed % 2**64)
@@ -327,12 +339,12 @@ def sample_segmentations(
                 numbers = pa.array(np.full(len(spot), number, np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(spot)), numbers, lists, pa.array(log), pa.array(value), pa.array(score)],
-                    names=[id_col, "sample", "ids", "log_prob", "perturbed", "inclusion"],
+                    names=[id_col, "sample", "ids", "log_prob", "perturbed", "log_inclusion"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    return rows.mapInArrow(sample, f"`{id_col}` {kind}, sample int, ids array<int>, log_prob double, perturbed double, inclusion double")
+    return rows.mapInArrow(sample, f"`{id_col}` {kind}, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double")
 
 
 def decoded(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
