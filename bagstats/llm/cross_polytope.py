@@ -76,7 +76,7 @@ def nearest(
     is_query: Column,
     k: int = 20,
     tables: int = 10,
-    probes: int = 10,
+    probes: int = 12,
     seed: int = 11,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
