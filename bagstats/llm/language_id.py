@@ -112,10 +112,11 @@ class LanguageModel:
 
 
 def fit_bits(features: np.ndarray, bits: np.ndarray, rounds: int = 200, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic classifiers (buckets x bits) by accelerated gradient descent, and their biases."""
+    """Logistic classifiers (buckets x bits) by accelerated gradient descent, and their biases; scales ``features`` in place."""
     count = len(features)
-    scale = 1 / np.sqrt(features.mean(0) + 1e-6)
-    scaled = (features * scale).astype(np.float32)
+    scale = (1 / np.sqrt(features.mean(0) + 1e-6)).astype(np.float32)
+    features *= scale
+    scaled = features
     probe = np.ones(scaled.shape[1], np.float32)
     for _ in range(12):
         probe = scaled.T @ (scaled @ probe)
@@ -130,6 +131,7 @@ def fit_bits(features: np.ndarray, bits: np.ndarray, rounds: int = 200, ridge: f
         speed = k / (k + 3)
         ahead_w, ahead_b = new_w + speed * (new_w - weights), new_b + speed * (new_b - bias)
         weights, bias = new_w.astype(np.float32), new_b.astype(np.float32)
+    features /= scale
     return weights * scale[:, None], bias
 
 
@@ -159,15 +161,17 @@ def fit_language_model(
                 for piece in (text, text[start : start + SNIPPET]):
                     pieces.append(piece)
                     labels.append(label)
-            data = [v.astype(np.float32).tobytes() for block in shares(pa.array(pieces, pa.string())) for v in block]
+            data = [v.astype(np.float16).tobytes() for block in shares(pa.array(pieces, pa.string())) for v in block]
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(data, pa.binary())], names=["label", "share"])
 
     found = drawn.select("text", "label").mapInArrow(vectors, "label string, share binary").toArrow()
     order = np.argsort(np.array(found.column("label").to_pylist(), object), kind="stable")
-    features = np.frombuffer(b"".join(found.column("share").to_pylist()), np.float32).reshape(-1, BUCKETS)[order]
     labels = np.array(found.column("label").to_pylist(), object)[order]
-    keep = features.sum(1) > 0
-    features, labels = features[keep], labels[keep]
+    features = np.zeros((len(order), BUCKETS), np.float32)  # the one matrix held on the driver
+    for row, at in enumerate(order):
+        features[row] = np.frombuffer(found.column("share")[int(at)].as_buffer(), np.float16)
+    del found
+    pa.default_memory_pool().release_unused()
     languages = sorted(set(labels))
     code = codewords(len(languages))
     if code.shape[1] == 0:
