@@ -27,7 +27,7 @@ def check_ratios(train: float | None, val: float | None, test: float | None) ->
         raise ValueError("train, val and test ratios are all required")
     total = train + val + test
     if abs(total - 1.0) > 1e-6:
-        raise ValueError(f"train, val and test shares add up to {total}, not to 1")
+        raise ValueError(f"the shares of train, val and test have to sum to 1, not to {total}")
 
 
 # --- shared steps -----------------------------------------------------------
@@ -205,7 +205,7 @@ def custom_kfold_split(
 def hash_threshold_split(df: DataFrame, ratios: dict[str, float], seed: int = 42, key: str = "group_id") -> DataFrame:
     """Hold-out without ranking or shuffle: the expected shares hold, exact counts do not."""
     if abs(sum(ratios.values()) - 1.0) > 1e-6:
-        raise ValueError(f"the shares add up to {sum(ratios.values())}, not to 1")
+        raise ValueError(f"the shares have to sum to 1, not to {sum(ratios.values())}")
     number = uniform(seed, key)
     names = list(ratios)
     edge, role = 0.0, None

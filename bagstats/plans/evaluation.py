@@ -15,7 +15,7 @@ from bagstats.operators import ranking as R
 from bagstats.operators import summaries as SU
 from bagstats.operators.manifest import attach_patient
 from bagstats.operators.quality import no_nans, subgroup_counts
-from bagstats.operators.scores import class_rows
+from bagstats.operators.scores import class_rows, patient_aggregate
 from bagstats.sources.tables import write_report
 
 
@@ -26,7 +26,7 @@ class EvaluationConfig:
     n_bootstrap: int = 2000
     alpha: float = 0.05
     seed: int = 42
-    threshold: float = 0.5
+    threshold: float | None = None  # base of the stability table; None takes the Youden point of the predictions
     resampling: str = "exact"
     patient_col: str = "patient_id"
 
@@ -48,26 +48,38 @@ def evaluate_folds(preds: DataFrame, manifest: DataFrame | None, config: Evaluat
 
 
 def evaluate_model(preds: DataFrame, manifest: DataFrame | None, config: EvaluationConfig) -> dict[str, DataFrame]:
-    """One model on held-out slides: metrics, intervals, calibration, curves, operating points."""
+    """One model on held-out slides: metrics, intervals, calibration, curves, operating points; patients too.
+
+    Two classes may come as ``prob_1``, as ``prob_0, prob_1`` or as a vector: all get every binary table.
+    """
     rows = attach_patient(preds, manifest, config.patient_col)
+    patients = patient_aggregate(with_probs(rows).select("slide_id", config.patient_col, "label", "probs"), (), config.patient_col, config.n_classes)
     binary = prob_columns(rows) == ["prob_1"] and "probs" not in rows.columns
     out = {
         "metrics": SU.metrics_suite(rows, config.n_classes),
         "confusion": CM.confusion_matrix(rows, config.n_classes, normalize=True),
+        "patient_metrics": SU.metrics_suite(patients, config.n_classes),
+        "patient_confusion": CM.confusion_matrix(patients, config.n_classes, normalize=True),
         "calibration_bins": CAL.calibration_bins(rows, config.n_bins),
         "brier_per_class": CAL.brier_per_class(rows, config.n_classes),
     }
-    if binary:
-        out["checks"] = no_nans(rows)
     out["ece"] = CAL.ece(out["calibration_bins"])
     if config.n_classes == 2:
-        scored = rows if binary else with_probs(rows).withColumn("prob_1", F.col("probs")[1])
+        scored = rows if binary else with_probs(rows).withColumn("prob_1", F.col("probs")[1]).drop("probs", "prob_0")
         out["brier"] = CAL.brier(scored) if binary else CAL.brier_multiclass(rows)
         out["roc"] = R.roc_curve(scored)
         out["precision_recall"] = R.pr_curve(scored)
         out["average_precision"] = R.average_precision(scored)
         out["operating_points"] = R.operating_points(scored)
-        out["threshold_stability"] = CAL.threshold_stability(scored, config.threshold)
+        base = config.threshold
+        if base is None:
+            youden = out["operating_points"].filter("point = 'youdens_j'").select("threshold").first()
+            base = 0.5 if youden is None or youden.threshold is None else min(1.0, youden.threshold)
+        out["threshold_stability"] = CAL.threshold_stability(scored, base)
+        out["checks"] = no_nans(scored)
+        out["intervals"] = BS.metrics_with_ci(
+            scored, config.n_bootstrap, config.alpha, config.seed, config.patient_col, config.resampling
+        )
     else:
         one_vs_rest = class_rows(rows, config.n_classes)
         key = (["class_id"], "score", "positive")
@@ -76,10 +88,6 @@ def evaluate_model(preds: DataFrame, manifest: DataFrame | None, config: Evaluat
         out["precision_recall"] = R.pr_curve(one_vs_rest, *key)
         out["average_precision"] = R.average_precision(one_vs_rest, *key)
         out["operating_points"] = R.operating_points(one_vs_rest, *key)
-    if binary:
-        out["intervals"] = BS.metrics_with_ci(
-            rows, config.n_bootstrap, config.alpha, config.seed, config.patient_col, config.resampling
-        )
     return out
 
 

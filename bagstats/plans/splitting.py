@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagstats.operators import splits as S
 from bagstats.operators.manifest import missing_features
 from bagstats.sources import tables as T
+from bagstats.sources.shared import NOT_THERE
 
 
 @dataclass(frozen=True)
@@ -64,7 +66,9 @@ class SplitConfig:
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.json(f"{path}/identity").schema  # noqa: B018
-    except Exception:
+    except AnalysisException as missing:
+        if missing.getCondition() not in NOT_THERE:
+            raise
         return False
     return True
 

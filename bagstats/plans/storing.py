@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
 from bagstats.operators.bags import CAPS
 from bagstats.operators.coverage import coverage_stats
 from bagstats.operators.manifest import restrict_to_manifest
 from bagstats.operators.quality import completeness, source_fingerprint
+from bagstats.sources.shared import NOT_THERE
 from bagstats.sources.store import bag_index, write_patch_store
 from bagstats.sources.tables import write_coverage_stats
 
@@ -41,7 +43,9 @@ class StoreConfig:
 def _same_source(mark: DataFrame, path: str) -> bool:
     try:
         stored = mark.sparkSession.read.json(f"{path}/source").first()
-    except Exception:
+    except AnalysisException as missing:
+        if missing.getCondition() not in NOT_THERE:
+            raise
         return False
     return stored is not None and stored["fingerprint"] == mark.first()["fingerprint"]
 

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Spark's names for a path that is missing or holds no file; any other failure is no answer.
+NOT_THERE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 

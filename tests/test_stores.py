@@ -110,6 +110,12 @@ def test_evaluation_plan(spark):
     PE.write_evaluation({k: both[k] for k in ("held_out_operating_points", "held_out_ece")}, path)
     assert spark.read.json(f"{path}/held_out_ece").count() == 1
     assert both["held_out_intervals"].count() == 16 and both["held_out_roc"].count() > 2
+    assert both["held_out_patient_confusion"].agg(F.sum("n")).first()[0] == 30
+    youden = both["held_out_operating_points"].filter("point = 'youdens_j'").first().threshold
+    assert both["held_out_threshold_stability"].filter("delta = 0").first().threshold == pytest.approx(youden)
+    two = preds.drop("fold").withColumn("prob_0", 1 - F.col("prob_1"))
+    named = PE.evaluate_model(two, None, config)
+    assert {"intervals", "checks", "threshold_stability"} <= set(named) and named["intervals"].count() == 16
 
 
 def test_report_writes_nulls(spark):
