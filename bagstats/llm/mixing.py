@@ -176,16 +176,23 @@ def first_words(text: Column, count: Column) -> Column:
     return F.array_join(F.slice(words, F.lit(1), F.greatest(count, F.lit(0)).cast("int")), " ")
 
 
-def mix_sources(docs: DataFrame, schedules: Sequence[tuple[Sequence[float], Sequence[float]]], **options) -> DataFrame:
+def mix_sources(
+    docs: DataFrame,
+    schedules: Sequence[tuple[Sequence[float], Sequence[float]]],
+    position_col: str = "position",
+    words_col: str = "words",
+    **options,
+) -> DataFrame:
     """The mixed corpus in training order: all columns of ``docs`` and ``position``, ``words``, one row per use.
 
     The one use of a source in which its target is reached holds only the first ``words`` words of its
-    text (joined by blanks).  Options are those of :func:`assign`.
+    text (joined by blanks).  Columns of ``docs`` that have the two new names are replaced; other names may be
+    given for them.  Options are those of :func:`assign`.
     """
     text_col = options.get("text_col", "text")
     used = assign(docs, schedules, keep_row=True, **options).select("doc_id", "size", "row", F.explode("uses").alias("use"))
     text = F.col("row")[text_col]
     cut = F.when(F.col("use.words") < F.col("size"), first_words(text, F.col("use.words"))).otherwise(text)
-    kept = [(cut if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns if c not in ("position", "words")]
-    named = used.select(*kept, F.col("use.position").alias("position"), F.col("use.words").alias("words"))
-    return range_sorted(named, "position", options.get("id_col", "doc_id"))
+    kept = [(cut if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns if c not in (position_col, words_col)]
+    named = used.select(*kept, F.col("use.position").alias(position_col), F.col("use.words").alias(words_col))
+    return range_sorted(named, position_col, options.get("id_col", "doc_id"))

@@ -59,8 +59,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The one use in which its source's target is reached has only the words still missing; documents
     without words have no use.  ``n_chars`` follows the text.
     """
-    mixed = mix_sources(docs, CURRICULUM, total_ratio=1.5, max_repeats=2.0)
-    return _measured(mixed.drop("position", "words"))
+    names = ("__position", "__words")  # not those of columns that documents may bring
+    mixed = mix_sources(docs, CURRICULUM, *names, total_ratio=1.5, max_repeats=2.0)
+    return _measured(mixed.drop(*names))
 
 
 def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
