@@ -51,3 +51,54 @@ def test_odd_vectors(spark):
 def test_all_candidates_if_fewer_than_asked(spark):
     table = spark.createDataFrame([(k * 20, [1.0, float(k)]) for k in range(4)], "vec_id long, embedding array<float>")
     assert nearest(table, F.lit(True), k=20, probes=4).count() == 12
+
+
+def _recall(spark, ids, vectors, asks, k=20):
+    """Share of the true neighbours found at production parameters; ranks, scores and the number of rows must be right."""
+    table = spark.createDataFrame([(int(i), [float(x) for x in v], bool(a)) for i, v, a in zip(ids, vectors, asks)], "vec_id long, embedding array<float>, asks boolean")
+    found = nearest(table, F.col("asks"), k=k).toPandas()
+    hits = total = 0
+    for q in np.flatnonzero(asks):
+        best, scores = _exact(vectors, ids, q, k)
+        mine = found[found.query_id == ids[q]].sort_values("rank")
+        assert list(mine["rank"]) == list(range(1, len(best) + 1))
+        assert np.allclose(mine.score, [scores[ids == v].max() for v in mine.vec_id], rtol=1e-12)
+        hits, total = hits + len(set(best) & set(mine.vec_id)), total + len(best)
+    assert len(found) == total
+    return hits / total
+
+
+@pytest.mark.parametrize("kind", ["one of 1.01", "one of 10", "three lengths", "within 4 percent", "spread"])
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_recall_with_unequal_lengths(spark, kind, size):
+    data = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet").toPandas()
+    ids, vectors = data.vec_id.to_numpy(), np.stack(data.embedding)
+    rng, n = np.random.default_rng(3), len(ids)
+    one = np.where(np.arange(n) == 7, 1, 0)
+    lengths = {
+        "one of 1.01": 1 + 0.01 * one, "one of 10": 1 + 9 * one, "three lengths": rng.choice([1.0, 1.5, 3.0], n),
+        "within 4 percent": rng.uniform(1, 1.04, n), "spread": rng.lognormal(0, 0.5, n),
+    }[kind]
+    vectors = (vectors * lengths[:, None]).astype(np.float32).astype(float)
+    assert _recall(spark, ids, vectors, ids % 20 == 0) >= 0.9
+
+
+def test_fewer_candidates_than_asked_at_production_parameters(spark):
+    rng = np.random.default_rng(4)
+    vectors = (rng.normal(size=(15, 64)) * rng.uniform(0.1, 10, (15, 1))).astype(np.float32).astype(float)
+    assert _recall(spark, np.arange(15), vectors, np.arange(15) % 3 == 0) == 1
+
+
+def test_queries_far_from_all_tables_entries_search_everything(spark):
+    rng = np.random.default_rng(5)
+    middle = rng.normal(size=64)
+    vectors = middle + 0.02 * rng.normal(size=(600, 64))
+    vectors[0] = -middle
+    vectors = (vectors / np.linalg.norm(vectors, axis=1)[:, None]).astype(np.float32).astype(float)
+    assert _recall(spark, np.arange(600), vectors, np.arange(600) == 0) == 1
+
+
+def test_many_vectors_of_one_id_do_not_push_out_others(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [5.0, k / 10]) for k in range(30)] + [(2, [1.0, 1.0]), (3, [0.5, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert [(r.vec_id, r.score) for r in nearest(table, F.col("vec_id") == 0, k=3).orderBy("rank").collect()] == [(1, 5.0), (2, 1.0), (3, 0.5)]
