@@ -17,6 +17,7 @@ from suite.sql import key, uniform, with_views
 
 N_MULTI = 10
 REPEATS = 100
+ALL_REPEATS = 2000  # the operators' default
 
 
 def confusion(spark, sf):
@@ -243,6 +244,19 @@ def with_ci(spark, sf):
     return V.rounded(BS.metrics_with_ci(V.predictions(spark, sf), n_bootstrap=20))
 
 
+def bootstrap_default(spark, sf):
+    """As many draws as the operator makes by itself."""
+    return V.rounded(BS.bootstrap_ci(V.predictions(spark, sf), unit="patient_id"))
+
+
+def bootstrap_poisson_default(spark, sf):
+    return V.rounded(BS.bootstrap_ci(V.predictions(spark, sf), unit="patient_id", mode="poisson"))
+
+
+def with_ci_default(spark, sf):
+    return V.rounded(BS.metrics_with_ci(V.predictions(spark, sf)))
+
+
 def timing(spark, sf):
     return V.rounded(SU.timing_summary(V.timings(spark, sf)))
 
@@ -290,6 +304,9 @@ QUERIES = {
     "A27_bootstrap_ci": bootstrap,
     "A27_bootstrap_poisson": bootstrap_poisson,
     "A28_metrics_with_ci": with_ci,
+    "A27_bootstrap_ci_default": bootstrap_default,
+    "A27_bootstrap_poisson_default": bootstrap_poisson_default,
+    "A28_metrics_with_ci_default": with_ci_default,
     "A29_best_fold": best_fold,
     "A30_refit_epochs": epochs,
     "A32_loss_report": loss,
@@ -559,6 +576,11 @@ WITH {_FOLD_METRICS} SELECT metric, round(avg(value), 6) AS mean, round(stddev_p
     "A28_metrics_with_ci": f"""
 SELECT 'slide' AS level, * FROM ({with_views("v_pred", f"WITH {_bootstrap_sql('v_pred', 'slide_id', 20)}")})
 UNION ALL SELECT 'patient', * FROM ({with_views("v_pred", f"WITH {_PATIENTS}, {_bootstrap_sql('pat', 'patient_id', 20)}")})""",
+    "A27_bootstrap_ci_default": with_views("v_pred", f"WITH {_bootstrap_sql('v_pred', 'patient_id', ALL_REPEATS)}"),
+    "A27_bootstrap_poisson_default": with_views("v_pred", f"WITH {_bootstrap_sql('v_pred', 'patient_id', ALL_REPEATS, 'poisson')}"),
+    "A28_metrics_with_ci_default": f"""
+SELECT 'slide' AS level, * FROM ({with_views("v_pred", f"WITH {_bootstrap_sql('v_pred', 'slide_id', ALL_REPEATS)}")})
+UNION ALL SELECT 'patient', * FROM ({with_views("v_pred", f"WITH {_PATIENTS}, {_bootstrap_sql('pat', 'patient_id', ALL_REPEATS)}")})""",
     "A29_best_fold": with_views("v_pred", f"""
 WITH {_FOLD_METRICS} SELECT metric, fold, round(value, 6) AS value FROM fm WHERE metric = 'balanced_accuracy' ORDER BY value DESC, fold LIMIT 1"""),
     "A30_refit_epochs": with_views("v_pred", f"""

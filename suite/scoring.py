@@ -117,6 +117,28 @@ def scored_by_function(spark, sf):
     return _pairs(S.score_bags(V.embed_patches(spark, sf), predict, max_instances=10))
 
 
+def _mean_head(bag):
+    """Plug-in predictor: mean of the first six features, linear head."""
+    w, b = HEAD
+    vector = bag[:, : len(w[0])].astype(float).mean(axis=0)
+    return {"embedding": vector, "logits": w @ vector + b}
+
+
+def _scored_whole(patches):
+    """No bag is cut: the cap is the size of the largest."""
+    largest = patches.groupBy("slide_id").count().agg(F.max("count")).first()[0] or 1
+    return _pairs(S.score_bags(patches, _mean_head, max_instances=largest))
+
+
+def whole_scored_by_function(spark, sf):
+    return _scored_whole(V.embed_patches(spark, sf))
+
+
+def whole_scored_after_dropout(spark, sf):
+    """A third of every bag is gone, all that is left is scored."""
+    return _scored_whole(V.embed_patches(spark, sf).filter("patch_idx % 3 <> 0"))
+
+
 def collected(spark, sf):
     """Predictions repeated by padded workers: one row per slide stays."""
     rows = V.predictions(spark, sf).select("slide_id", "label", "prob_1")
@@ -180,6 +202,8 @@ QUERIES = {
     "L7_score_bags": scored,
     "L7_score_bags_function": scored_by_function,
     "L7_score_after_dropout": scored_after_dropout,
+    "L7_score_whole_bags_function": whole_scored_by_function,
+    "L7_score_whole_after_dropout": whole_scored_after_dropout,
     "L8_collect_predictions": collected,
     "L9_oof_predictions": oof,
     "L10_linear_probe_cv": probe,
@@ -235,6 +259,7 @@ SELECT slide_id, count(*) AS n_patches, CAST(i - 1 AS INT) AS pos, round({}(feat
 _MEAN6 = f"""
 m0 AS (SELECT slide_id, i, avg(features[i]) AS v FROM v_embed, range(1, {HIDDEN + 1}) t(i) WHERE patch_idx < {{cap}} GROUP BY 1, 2),
 m AS (SELECT slide_id, list(v ORDER BY i) AS e FROM m0 GROUP BY 1)"""
+_MEAN_ALL = _MEAN6.replace(" WHERE patch_idx < {cap}", "")
 _LINE_LOGIT = "lg AS (SELECT *, y / 64.0::DOUBLE + f2 * 10 AS logit FROM v_patches), wt AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY slide_id)) AS w FROM lg)"
 
 ORACLES = {
@@ -256,6 +281,10 @@ SELECT slide_id, n_patches, CAST(i - 1 AS INT) AS pos, round(e[i], 6) AS value F
     "L7_score_after_dropout": with_views("v_embed", f"""
 WITH left_over AS (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY patch_idx) - 1 AS place FROM v_embed WHERE patch_idx % 3 <> 0),
 {_MEAN6.format(cap=10).replace("v_embed", "left_over").replace("patch_idx < 10", "place < 10")}, {_classify_sql('m', 'e')}"""),
+    "L7_score_whole_bags_function": with_views("v_embed", f"WITH {_MEAN_ALL}, {_classify_sql('m', 'e')}"),
+    "L7_score_whole_after_dropout": with_views("v_embed", f"""
+WITH left_over AS (SELECT * FROM v_embed WHERE patch_idx % 3 <> 0),
+{_MEAN_ALL.replace("v_embed", "left_over")}, {_classify_sql('m', 'e')}"""),
     "L8_collect_predictions": with_views("v_pred", "SELECT slide_id, label, round(prob_1, 6) AS prob_1 FROM v_pred"),
     "L9_oof_predictions": with_views("v_pred", "SELECT slide_id, patient_id, fold, label, round(prob_1, 6) AS prob_1 FROM v_pred"),
     "W11_bag_softmax": with_views("v_patches", f"WITH {_LINE_LOGIT} SELECT slide_id, patch_idx, round(w / sum(w) OVER (PARTITION BY slide_id), 9) AS attention FROM wt"),
