@@ -68,8 +68,8 @@ def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``doc_id, n_shingles, node, signature, low`` per row: ``node`` names the shingle set, ``low`` holds a byte per slot."""
-    schema = "doc_id long, n_shingles long, node binary, signature binary, low binary"
+    """``doc_id, text_hash, n_shingles, node, signature, low`` per row: ``node`` names the shingle set, ``low`` holds a byte per slot."""
+    schema = "doc_id long, text_hash long, n_shingles long, node binary, signature binary, low binary"
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,11 +97,12 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
             close()
             counts, nodes, signed, low = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), *[pa.array(x, pa.binary()) for x in (nodes, signed, low)]],
-                names=["doc_id", "n_shingles", "node", "signature", "low"],
+                [batch.column(0), batch.column(2), pa.array(counts, pa.int64()), *[pa.array(x, pa.binary()) for x in (nodes, signed, low)]],
+                names=["doc_id", "text_hash", "n_shingles", "node", "signature", "low"],
             )
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col)).mapInArrow(sketch, schema)
+    columns = [F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col), F.xxhash64(text_col).alias("text_hash")]
+    return docs.select(*columns).mapInArrow(sketch, schema)
 
 
 def _forest(alike: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -231,6 +232,31 @@ def near_duplicates(
     kept; null ids are never the smallest unless the component has no other.  Other columns are
     ignored; an empty table gives an empty result.
     """
+    rows = _grouped(docs, id_col, text_col, shingle, percent, likely, bucket_rows, cluster_rows)
+    return rows.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def representatives(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, text_hash`` (``xxhash64`` of the text) of one row of each group, the smallest of both, and of one of its rows without id.
+
+    Groups are those of the links: rows that share an id and have different texts are in one group only if linked.
+    """
+    rows = _grouped(docs, "doc_id", "text", shingle, percent).filter("n_shingles > 0")
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    return rows.groupBy("component", F.col("doc_id").isNull().alias("nameless")).agg(first).select("first.*")
+
+
+def _grouped(
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    shingle: int,
+    percent: int,
+    likely: float = 0.62,
+    bucket_rows: int = 2048,
+    cluster_rows: int = 512,
+) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, component, component_id`` of every row; ``component`` is null without words."""
     sketched = written(sketches(docs, id_col, text_col, shingle), "sketches")
     # One node per distinct set; equal sets have equal signatures, so any row's will do.
     nodes = sketched.filter("node is not null").groupBy("node").agg(
@@ -265,12 +291,10 @@ def near_duplicates(
     labels = nodes.select("node", "first_id").join(linked, "node", "left")
     labels = labels.withColumn("component", F.coalesce("component", "node"))
     smallest = labels.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    labels = labels.join(smallest, "component").select("node", "component_id")
-    rows = sketched.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
+    labels = labels.join(smallest, "component").select("node", "component", "component_id")
+    rows = sketched.select("doc_id", "text_hash", "n_shingles", "node").join(labels, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    return rows.select("doc_id", "text_hash", "n_shingles", "component", component.alias("component_id"))
 
 
 def _sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:

@@ -19,7 +19,7 @@ from bagstats.llm.mixing import mix_sources
 from bagstats.llm.pii import pseudonymize
 from bagstats.llm.queries import CURRICULUM, PII_KEY
 from bagstats.llm.segmentation import sample_segmentations
-from bagstats.llm.superminhash import near_duplicates
+from bagstats.llm.superminhash import representatives
 from bagstats.sources.shared import fresh_path
 
 UNDECIDED = 0.35  # of a belief of 1 spread over the learned languages
@@ -35,15 +35,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group alike in 5-word shingles (80 %): the one with the smallest id.
+    """Keep one row of each group alike in 5-word shingles (80 %): the one with the smallest id, then text hash.
 
-    Of repeated rows of that id one stays.  Texts without words have no copies and rows without id cannot be told
-    apart: all of these stay.
+    Rows that share an id but not their text are told apart by the text.  Rows without id have one row of their own
+    kept in each group.  Texts without words have no copies and all stay.
     """
-    rows = near_duplicates(docs, shingle=5, percent=80)
-    kept = rows.filter("kept and n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()
-    chosen = docs.filter(has_words).join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    key = "__text_hash"  # not the name of a column that documents may bring
+    kept = representatives(docs, shingle=5, percent=80).select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    hashed = docs.filter(has_words).withColumn(key, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col(key) == F.col("kept_hash"))
+    chosen = hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", key]).drop(key)
     return chosen.unionByName(docs.filter(~has_words))
 
 

@@ -52,3 +52,12 @@ def test_clean_documents_pass(spark, sf):
 def test_queries_are_registered():
     names = registry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_near_copies_of_repeated_and_missing_ids(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcde"]
+    rows = [(1, texts[0]), (7, texts[0]), (7, texts[1]), (7, texts[2]), (7, texts[2]), (9, texts[1] + " more"), (None, texts[3]), (None, texts[3]), (None, texts[4]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, "unused").collect()), key=repr)
+    want = [(1, texts[0]), (7, texts[1]), (7, texts[2]), (None, texts[3]), (None, texts[4]), (None, None)]
+    assert found == sorted(want, key=repr)
