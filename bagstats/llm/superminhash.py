@@ -8,11 +8,11 @@ a rank or two.  As ranks are correlated, the signature's variance is below that
 Equal sets are merged first.  The others meet in buckets of equal bands, where signatures are
 compared inside the task and a spanning forest of the likely pairs leaves it; the components of these
 forests are clusters, and no two documents of different clusters are likely to be linked.  Inside each
-cluster all likely pairs are then verified on full sets, again inside the task, and a
+cluster all pairs whose sizes allow a link are then verified on full sets, again inside the task, and a
 spanning forest of the verified links leaves it, whose components are the groups.  So what is passed
-on grows with the members of a group and never with its pairs, and no link is lost but to pairs whose
-signatures agree in less than ``likely`` of the slots, four and a half standard deviations below the
-threshold.  A bucket of more than ``bucket_rows`` members, or a cluster of more than ``cluster_rows``, is worked off
+on grows with the members of a group and never with its pairs, and no link is lost inside a cluster.  A
+link between clusters is lost only if its signatures share no band or agree in less than ``likely`` of the
+slots, more than five standard deviations below the threshold.  A bucket of more than ``bucket_rows`` members, or a cluster of more than ``cluster_rows``, is worked off
 block against block.
 """
 
@@ -132,7 +132,7 @@ def _alike(group: pa.RecordBatch, likely: float, min_ratio: float) -> np.ndarray
         keep[k] = False
         if across:
             keep &= own != own[k]
-        alike[k] = np.where(keep, agree, 0)
+        alike[k] = np.where(keep, np.maximum(agree, 1), 0)  # a pair that may be linked counts even without an equal slot
     return alike
 
 
@@ -219,7 +219,7 @@ def near_duplicates(
     text_col: str = "text",
     shingle: int = 5,
     percent: int = 80,
-    likely: float = 0.62,
+    likely: float = 0.58,
     bucket_rows: int = 2048,
     cluster_rows: int = 512,
 ) -> DataFrame:
@@ -252,7 +252,7 @@ def _grouped(
     text_col: str,
     shingle: int,
     percent: int,
-    likely: float = 0.62,
+    likely: float = 0.58,
     bucket_rows: int = 2048,
     cluster_rows: int = 512,
 ) -> DataFrame:
@@ -283,7 +283,7 @@ def _grouped(
     sets = _sets(docs, needed, id_col, text_col, shingle)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _forests(batches, "cluster", lambda rows: _linked(rows, _alike(rows, likely, ratio), percent))
+        return _forests(batches, "cluster", lambda rows: _linked(rows, _alike(rows, 0.0, ratio), percent))
 
     links = _in_blocks(sets, "cluster", cluster_rows).mapInArrow(link, "a binary, b binary")
     linked = components(links, "a", "b")

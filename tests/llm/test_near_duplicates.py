@@ -1,10 +1,14 @@
+import inspect
 import itertools
+import math
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from bagstats.llm import superminhash
 from bagstats.llm.components import components
 from bagstats.llm.superminhash import near_duplicates, signatures
 
@@ -85,3 +89,17 @@ def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 100 + k) for k in range(1, 40)] + [(200, 200), (None, 3)]
     found = components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
     assert {(r.node, r.component) for r in found} == {(k, 0) for k in range(31)} | {(100 + k, 100) for k in range(40)}
+
+
+def test_links_inside_a_cluster_are_verified_whatever_their_signatures():
+    sets = [np.arange(10, dtype=np.uint64), np.arange(9, dtype=np.uint64), np.arange(4, dtype=np.uint64)]
+    columns = {"low": [bytes([k] * 96) for k in range(3)], "n_shingles": [len(s) for s in sets], "own": [0] * 3, "i": [0] * 3, "j": [0] * 3, "hashes": [s.tobytes() for s in sets]}
+    group = pa.RecordBatch.from_pydict(columns)
+    links = superminhash._linked(group, superminhash._alike(group, 0.0, 0.8), 80)
+    assert np.argwhere(links > 0).tolist() == [[0, 1], [1, 0]]
+
+
+def test_a_pair_at_the_threshold_is_missed_below_one_in_a_hundred_thousand():
+    least = math.ceil(inspect.signature(near_duplicates).parameters["likely"].default * superminhash.SLOTS)
+    refused = sum(math.comb(96, k) * 0.8**k * 0.2 ** (96 - k) for k in range(least))
+    assert refused + (1 - 0.8**superminhash.BAND_ROWS) ** (superminhash.SLOTS // superminhash.BAND_ROWS) < 1e-5
