@@ -190,12 +190,13 @@ def slide_list(spark, sf):
 
 
 def slides_listed(spark, sf):
-    """Files of a folder tree that has one file per nation's suppliers, found by extension."""
+    """Nations of a folder tree that has a few files per nation's suppliers, found by extension."""
     path = fresh_path(spark, "tree")
     rows = V.table(spark, sf, "supplier").select(F.col("s_nationkey").cast("string").alias("nation"), F.col("s_name").alias("value"))
-    rows.repartition(1).write.partitionBy("nation").text(path)
+    salt = F.pmod(F.xxhash64("value"), F.lit(4))  # a nation with most of the rows is not one task's
+    rows.repartition("nation", salt).write.partitionBy("nation").text(path)
     found = T.list_slides(spark, path, [".txt"], nested=True)
-    return found.select(F.regexp_extract("slide_id", r"nation=(\d+)", 1).alias("nation"))
+    return found.select(F.regexp_extract("slide_id", r"nation=(\d+)", 1).alias("nation")).distinct()
 
 
 def _stream(spark, sf, name):
