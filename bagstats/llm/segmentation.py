@@ -146,9 +146,10 @@ class _Search:
         nodes = self.lattice.end[self.codes[words]]
         more = self.lattice.ways[nodes] > number
         found = np.where(more & (rest > DUST), np.log(np.maximum(rest, DUST)), -np.inf)
-        longest = max(1, *(int(size.max(initial=0)) for _, _, size, _, _ in ways))
-        faint = np.flatnonzero(more & (rest <= DUST))
-        for k in faint if longest <= MOST_EDGES else faint[:0]:
+        longest = np.zeros(len(words), np.int64)  # of each word's own ways, so that no other word counts
+        for same, _, size, _, _ in ways:
+            longest = np.maximum(longest, np.where(same, size, 0))
+        for k in np.flatnonzero(more & (rest <= DUST) & (longest <= MOST_EDGES)):
             mark = (int(nodes[k]), *sorted(int(path[k]) for same, *_, path in ways if same[k]))
             if mark not in self.known:
                 taken = [self.pool[int(f[k]) : int(f[k]) + int(n[k])][::-1].tolist() for same, f, n, _, _ in ways if same[k]]

@@ -101,3 +101,19 @@ def test_odd_rows(odd, empty):
     assert {tuple(r.ids) for r in rows if r.doc_id in (4, 5)} == {()}
     assert all(r.log_inclusion <= 0 and r.log_prob <= 0 for r in rows)
     assert sample_segmentations(empty, MODEL).count() == 0
+
+
+def test_a_long_word_in_the_slice_changes_nothing(pieces):
+    """The rest of a text such as "a" is faint, and a word of more than 300 pieces may stand beside it."""
+    keys = np.arange(3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def rows(texts):
+        out = collections.defaultdict(list)
+        for spot, _, ids, sizes, log, value, score in segmentations_of(pa.array(texts), keys[: len(texts)], pieces, 2):
+            for at, *found in zip(spot, np.split(ids, np.cumsum(sizes)[:-1]), value, score, strict=True):
+                out[int(at)].append((found[0].tolist(), *map(float, found[1:])))
+        return out
+
+    alone, beside = rows(["a", "t"]), rows(["a", "t", "x" * 3000])
+    assert len(alone[0]) == len(alone[1]) == 2
+    assert beside[0] == alone[0] and beside[1] == alone[1]
