@@ -350,8 +350,8 @@ w AS (SELECT *, count(*) OVER (PARTITION BY slide_id) AS n, max(u) OVER (PARTITI
 SELECT slide_id, patch_idx FROM w WHERE u > 0.9::DOUBLE OR ((top <= 0.9::DOUBLE OR n = 1) AND r = 1)"""),
     "B8_feature_noise": with_views("v_embed", f"""
 WITH e AS (SELECT slide_id, patch_idx, i, features[i] AS v, {_NOISE_KEY} AS k FROM v_embed, range(1, 65) t(i))
-SELECT slide_id, patch_idx, CAST(i - 1 AS INT) AS pos, round(v + 0.1::DOUBLE * sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - CAST('0x' || substr(k, 1, 8) AS BIGINT) / 4294967296.0::DOUBLE))
-  * cos(6.283185307179586::DOUBLE * (CAST('0x' || substr(k, 9, 8) AS BIGINT) / 4294967296.0::DOUBLE)), 5) AS value FROM e"""),
+SELECT slide_id, patch_idx, CAST(i - 1 AS INT) AS pos, round(CAST(CAST(v + 0.1::DOUBLE * sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - CAST('0x' || substr(k, 1, 8) AS BIGINT) / 4294967296.0::DOUBLE))
+  * cos(6.283185307179586::DOUBLE * (CAST('0x' || substr(k, 9, 8) AS BIGINT) / 4294967296.0::DOUBLE)) AS FLOAT) AS DOUBLE), 5) AS value FROM e"""),
     "B9_assemble_bags": with_views("v_patches", """
 WITH s AS (SELECT slide_id, CAST(least(count(*), 64) AS INT) AS length FROM v_patches GROUP BY 1),
 g AS (SELECT slide_id, length, CAST(p AS INT) AS pos FROM s, range(80) t(p))

@@ -21,8 +21,3 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf():
     return "/root/testdata/sf0.001"
-
-
-def rows(df, *order):
-    """Collected rows as sorted tuples."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from bagstats.operators import manifest as M
