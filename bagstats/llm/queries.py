@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from bagstats.llm.chat import conversation_digests, format_windows
 from bagstats.llm.cross_polytope import nearest
 from bagstats.llm.language_id import fit_language_model, held_out, identify
+from bagstats.llm.license_scan import LEAST, PHRASES, TEMPLATES, scan_licenses
 from bagstats.llm.mixing import assign, range_sorted
 from bagstats.llm.pii import pseudonymize
 from bagstats.llm.segmentation import sample_segmentations
@@ -98,6 +101,12 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op13_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """License phrases and templates in every whole document."""
+    found = scan_licenses(_table(spark, sf, "documents"))
+    return found.select(*found.columns[:-1], F.size("matches").alias("n_matches"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mix_sources": op2_mix_sources,
@@ -109,6 +118,7 @@ QUERIES = {
     "op8_segmentations": op8_segmentations,
     "op9_chat_windows": op9_chat_windows,
     "op10_token_counts": op10_token_counts,
+    "op13_license_scan": op13_license_scan,
 }
 
 MIX_SQL = """
@@ -147,6 +157,42 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(first_wor
 FROM timed
 """
 
+
+
+def _license_sql(threshold: float = 0.9) -> str:
+    """Every block of every text against every template, and every place of every phrase."""
+    folded = f"translate(coalesce({{}}, ''), '{ascii_uppercase}', '{ascii_lowercase}')"
+    words = f"list_filter(regexp_split_to_array({folded}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+    quoted = [f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(TEMPLATES)]
+    phrases = [f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(PHRASES)]
+    return f"""
+WITH docs AS (SELECT doc_id, {words.format("text")} AS ws FROM documents),
+templates AS (SELECT t, label, {words.format("body")} AS tw FROM (VALUES {", ".join(quoted)}) v(t, label, body)),
+spans AS (SELECT *, greatest({LEAST}, CAST(2 ** ceil(log2(len(tw))) AS BIGINT)) AS span, len(list_distinct(tw)) AS m FROM templates),
+vocabulary AS (SELECT DISTINCT t, label, span, m, unnest(tw) AS w FROM spans),
+phrases AS (SELECT label, {words.format("body")} AS pw FROM (VALUES {", ".join(phrases)}) v(t, label, body)),
+places AS (
+  SELECT doc_id, label, p FROM (SELECT doc_id, ws, label, pw, unnest(range(len(ws) - len(pw) + 1)) AS p
+                                FROM docs JOIN phrases ON list_has_all(ws, pw)) WHERE ws[p + 1 : p + len(pw)] = pw),
+based AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+          FROM places GROUP BY doc_id),
+words AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM docs),
+spread AS (
+  SELECT doc_id, t, label, m, words.w AS w, p // span - back AS block
+  FROM words JOIN vocabulary ON words.w = vocabulary.w, (VALUES (0), (1)) b(back)
+  WHERE p // span - back BETWEEN 0 AND greatest((n + span - 1) // span - 2, 0)),
+met AS (SELECT doc_id, label, count(DISTINCT w) / m AS share FROM spread GROUP BY doc_id, t, label, m, block
+        HAVING count(DISTINCT w) >= round({threshold}::DOUBLE * m, 9)),
+labelled AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+             FROM (SELECT doc_id, label FROM met UNION SELECT doc_id, label FROM places) GROUP BY doc_id),
+best AS (SELECT doc_id, max(share) AS share, count(*) AS n FROM met GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score, CAST(coalesce(n, 0) AS INT) AS n_matches
+FROM docs LEFT JOIN based USING (doc_id) LEFT JOIN labelled USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+
 ORACLES: dict[str, str] = {
     "op2_mix_sources": MIX_SQL,
+    "op13_license_scan": _license_sql(),
 }
