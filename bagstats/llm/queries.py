@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from bagstats.llm.chat import conversation_digests, format_windows
 from bagstats.llm.cross_polytope import nearest
+from bagstats.llm.hard_negatives import hard_negatives
 from bagstats.llm.language_id import fit_language_model, held_out, identify
 from bagstats.llm.license_scan import LEAST, PHRASES, TEMPLATES, scan_licenses
 from bagstats.llm.mixing import assign, range_sorted
@@ -18,6 +19,8 @@ from bagstats.llm.segmentation import sample_segmentations
 from bagstats.llm.superminhash import near_duplicates
 from bagstats.llm.token_counts import token_counts
 from bagstats.llm.token_store import read_token_store, write_token_store
+from bagstats.llm.vectors import is_finite
+from bagstats.llm.whitening import whiten
 from bagstats.llm.winnowing import compare_with_next
 from bagstats.sources.shared import fresh_path
 
@@ -101,6 +104,20 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of every hundredth vector and its five positives, over all vectors."""
+    rows = _table(spark, sf, "embeddings").filter(is_finite(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    x = F.transform("embedding", lambda c: F.floor(256 * c.cast("double")))
+    return hard_negatives(rows.select("vec_id", label.alias("label"), x.alias("x"), (F.col("vec_id") % 100 == 0).alias("is_anchor")))
+
+
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors on the eight strongest whitened components."""
+    rows = _table(spark, sf, "embeddings").filter(is_finite(F.col("embedding")))
+    return whiten(rows.select("vec_id", F.transform("embedding", lambda c: F.floor(1024 * c.cast("double")) + 100_000).alias("x")))
+
+
 def op13_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     """License phrases and templates in every whole document."""
     found = scan_licenses(_table(spark, sf, "documents"))
@@ -118,6 +135,8 @@ QUERIES = {
     "op8_segmentations": op8_segmentations,
     "op9_chat_windows": op9_chat_windows,
     "op10_token_counts": op10_token_counts,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_whitening": op12_whitening,
     "op13_license_scan": op13_license_scan,
 }
 
@@ -158,6 +177,23 @@ FROM timed
 """
 
 
+HARD_NEGATIVES_SQL = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS DOUBLE)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda c: isfinite(c))) = len(embedding)),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, CAST(list_inner_product(a.x, r.x) AS BIGINT) AS score
+  FROM usable a JOIN usable r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+QUALIFY row_number() OVER w <= 10
+"""
+
 
 def _license_sql(threshold: float = 0.9) -> str:
     """Every block of every text against every template, and every place of every phrase."""
@@ -194,5 +230,6 @@ FROM docs LEFT JOIN based USING (doc_id) LEFT JOIN labelled USING (doc_id) LEFT
 
 ORACLES: dict[str, str] = {
     "op2_mix_sources": MIX_SQL,
+    "op11_hard_negatives": HARD_NEGATIVES_SQL,
     "op13_license_scan": _license_sql(),
 }
