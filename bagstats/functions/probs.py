@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +21,25 @@ def array_total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda total, v: total + v)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed a single time, however often and at whatever depth it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def divided(values: Column, total: Column) -> Column:
+    """Every entry over the total, which is taken once; a total of zero leaves the vector as it is."""
+    return once(F.when(total == 0, F.lit(1.0)).otherwise(total), lambda t: F.transform(values, lambda v: v / t))
+
+
 def renormalize_probs(probs: str | Column) -> Column:
     """Divide a vector by its sum; an all-zero vector stays as it is."""
-    values = _column(probs)
-    total = array_total(values)
-    safe = F.when(total == 0, F.lit(1.0)).otherwise(total)
-    return F.transform(values, lambda v: v / safe)
+    return once(_column(probs), lambda values: divided(values, array_total(values)))
+
+
+def softmax(logits: Column) -> Column:
+    """Exponentials over their sum, with the largest logit taken off first; a null entry gives null entries."""
+    powers = once(logits, lambda z: once(F.array_max(z), lambda top: F.transform(z, lambda v: F.exp(v - top))))
+    return once(powers, lambda p: divided(p, array_total(p)))
 
 
 def probs_from_logits(logits: str | Column) -> Column:
@@ -33,21 +48,16 @@ def probs_from_logits(logits: str | Column) -> Column:
     One logit gives ``[p]``, two give ``[P(class 1)]``, more give the whole vector.
     """
     z = _column(logits)
-    top = F.array_max(z)
-    powers = F.transform(z, lambda v: F.exp(v - top))
-    total = array_total(powers)
-    soft = F.transform(powers, lambda v: v / total)
     return (
         F.when(F.size(z) == 1, F.transform(z, lambda v: F.lit(1.0) / (F.lit(1.0) + F.exp(-v))))
-        .when(F.size(z) == 2, F.slice(soft, 2, 1))
-        .otherwise(soft)
+        .when(F.size(z) == 2, F.slice(softmax(z), 2, 1))
+        .otherwise(softmax(z))
     )
 
 
 def argmax(values: str | Column) -> Column:
     """Zero-based position of the first maximum."""
-    arr = _column(values)
-    return (F.array_position(arr, F.array_max(arr)) - 1).cast("int")
+    return once(_column(values), lambda arr: (F.array_position(arr, F.array_max(arr)) - 1).cast("int"))
 
 
 def predict_class(probs: str | Column, threshold: float = 0.5) -> Column:

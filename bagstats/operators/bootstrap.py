@@ -1,26 +1,26 @@
 """Bootstrap intervals: all draws, all metrics, one job.
 
-Two ways to resample.  ``exact`` makes n draws of n units, each draw a keyed hash
-of (repeat, draw number).  ``poisson`` gives every unit an independent Poisson(1)
-weight per repeat; it needs neither unit numbers nor a join and is the form for
-very large tables.  Either way a resample is reduced to counts per
-(label, prediction, score), and every metric is computed from the same counts.
+Two ways to resample.  ``poisson`` gives every unit an independent Poisson(1) weight per
+repeat; weights are handled as arrays over the repeats (see ``weights``), so no row is multiplied and nothing is
+joined: this is the form for tables of any size.  ``exact`` makes n draws of n units, each draw a keyed hash of
+(repeat, draw number), and joins the draws to the units: n times repeats rows, for tables where that is affordable.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bagstats.functions.keys import hash_bucket, hash_key, uniform
-from bagstats.functions.probs import with_prediction
-from bagstats.functions.spread import ranked, spread_out
+from bagstats.functions.probs import with_prediction, with_probs
+from bagstats.functions.spread import lookup, ranked, spread_out
 from bagstats.operators.confusion import overall_scores
-from bagstats.operators.ranking import auroc_from_scores
-from bagstats.operators.scores import patient_aggregate
+from bagstats.operators.ranking import auroc_from_scores, auroc_macro
+from bagstats.operators.scores import patient_aggregate, sized
+from bagstats.operators.weights import auroc_draws, confusion_draws, unit_key, weighted_rows
 
 # Metrics reported with an interval, and the fewest usable repeats.
 CI_METRICS = (
@@ -40,17 +40,8 @@ def _repeats(n_bootstrap: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1)))
 
 
-def poisson_weight(number: Column) -> Column:
-    """Poisson(1) quantile of a uniform number (cut where 32-bit numbers end)."""
-    total, out = 0.0, F.lit(0)
-    for k in range(13):
-        total += math.exp(-1.0) / math.factorial(k)
-        out = out + (number >= total).cast("int")
-    return out
-
-
-def _cells(preds: DataFrame, unit: str, by: Sequence[str], score: str) -> DataFrame:
-    """Per unit: counts by label, prediction and score, so a unit with many rows shrinks first.
+def _rows(preds: DataFrame, unit: str, by: Sequence[str], score: str, n_classes: int) -> DataFrame:
+    """``by, unit, label, pred, score`` of every prediction; the score is that of class 1, or the vector of more classes.
 
     Rows without a unit are units of their own.
     """
@@ -60,9 +51,19 @@ def _cells(preds: DataFrame, unit: str, by: Sequence[str], score: str) -> DataFr
         alone = F.concat(F.lit("slide "), F.col("slide_id").cast("string"))
         has_null = preds.schema[unit].nullable
         own = F.coalesce(own.cast("string"), alone) if has_null else own
-    return rows.groupBy(*by, own.alias("unit"), "label", "pred", F.col(score).alias("score")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    if n_classes == 2 and score in rows.columns:
+        value = F.col(score)
+    else:
+        rows = with_probs(rows)
+        value = sized("probs", n_classes)
+        value = value[1] if n_classes == 2 else value
+    return rows.select(*by, own.alias("unit"), "label", "pred", value.alias("score"))
+
+
+def _cells(preds: DataFrame, unit: str, by: Sequence[str], score: str, n_classes: int = 2) -> DataFrame:
+    """Per unit: counts by label, prediction and score, so a unit with many rows shrinks first."""
+    rows = _rows(preds, unit, by, score, n_classes)
+    return rows.groupBy(*by, "unit", "label", "pred", "score").agg(F.count(F.lit(1)).alias("n"))
 
 
 def resample(
@@ -73,19 +74,16 @@ def resample(
     by: Sequence[str] = (),
     score: str = "prob_1",
     mode: str = "exact",
+    n_classes: int = 2,
 ) -> DataFrame:
-    """``b, label, pred, score, n`` of every resample, not yet added up.
+    """``b, label, pred, score, n`` of every resample as rows, not yet added up: for ``exact`` draws and for custom metrics.
 
-    Each metric adds the rows up on the map side by the columns it needs: the
-    confusion metrics shuffle a few rows per repeat, only the AUROC needs scores.
+    Each metric adds the rows up on the map side by the columns it needs.
     """
     by = list(by)
-    cells = _cells(preds, unit, by, score)
+    cells = _cells(preds, unit, by, score, n_classes)
     if mode == "poisson":
-        rows = spread_out(cells, "unit", "score").withColumn("b", _repeats(n_bootstrap))
-        # The generator keeps the optimizer from repeating the digest for every quantile step.
-        rows = rows.withColumn("u", F.explode(F.array(uniform(seed, "b", "unit"))))
-        drawn = rows.withColumn("n", F.col("n") * poisson_weight(F.col("u"))).filter("n > 0").drop("u")
+        drawn = weighted_rows(spread_out(cells, "unit", "score"), seed, n_bootstrap)
     elif mode == "exact":
         units = cells.select(*by, "unit").distinct().withColumn("__key", hash_key(seed, "unit"))
         numbered = ranked(
@@ -101,30 +99,60 @@ def resample(
     return drawn.select(*by, "b", "label", "pred", "score", "n")
 
 
-def _metric_rows(cells: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
+def _table_rows(counts: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Long ``metric, value`` of the metrics that follow from confusion counts."""
+    scores = overall_scores(counts, by)
+    usable = F.col("n_true_classes") >= 2
+    entries = [F.struct(F.lit(m).alias("metric"), F.when(usable, F.col(m)).alias("value")) for m in names]
+    return scores.select(*by, F.inline(F.array(*entries)))
+
+
+def _auroc_rows(values: DataFrame, by: Sequence[str], n_classes: int) -> DataFrame:
+    """Long ``metric, value`` from a table with ``auroc``, of classes if there are more than two."""
+    if n_classes > 2:
+        values = auroc_macro(values, by).withColumnRenamed("auroc_macro", "auroc")
+    return values.select(*by, F.lit("auroc").alias("metric"), F.col("auroc").alias("value"))
+
+
+def _metric_rows(cells: DataFrame, by: Sequence[str], names: Sequence[str], n_classes: int = 2) -> DataFrame:
     """Long ``metric, value`` for weighted cells."""
     parts = []
     table_metrics = [m for m in names if m != "auroc"]
     if table_metrics:
         counts = cells.groupBy(*by, "label", "pred").agg(F.sum("n").alias("n"))
-        scores = overall_scores(counts, by)
-        usable = F.col("n_true_classes") >= 2
-        entries = [
-            F.struct(F.lit(m).alias("metric"), F.when(usable, F.col(m)).alias("value")) for m in table_metrics
-        ]
-        parts.append(scores.select(*by, F.inline(F.array(*entries))))
+        parts.append(_table_rows(counts, by, table_metrics))
     if "auroc" in names:
-        hit, miss = F.when(F.col("label") == 1, F.col("n")), F.when(F.col("label") != 1, F.col("n"))
-        scored = cells.groupBy(*by, "score").agg(
+        keys = [*by, "class_id"] if n_classes > 2 else list(by)
+        if n_classes > 2:
+            cells = cells.select(*by, "label", "n", F.posexplode("score").alias("class_id", "score"))
+        is_hit = F.col("label") == (F.col("class_id") if n_classes > 2 else F.lit(1))
+        hit, miss = F.when(is_hit, F.col("n")), F.when(~is_hit, F.col("n"))
+        scored = cells.groupBy(*keys, "score").agg(
             F.coalesce(F.sum(hit), F.lit(0)).alias("pos"), F.coalesce(F.sum(miss), F.lit(0)).alias("neg")
         )
-        parts.append(
-            auroc_from_scores(scored, by).select(*by, F.lit("auroc").alias("metric"), F.col("auroc").alias("value"))
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        parts.append(_auroc_rows(auroc_from_scores(scored, keys), by, n_classes))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _weighted_rows(
+    rows: DataFrame, by: Sequence[str], names: Sequence[str], n_bootstrap: int, seed: int, n_classes: int
+) -> DataFrame:
+    """Long ``b, metric, value`` of Poisson resamples, without a row per repeat."""
+    keyed = rows.select(*by, "label", "pred", "score", unit_key(seed, "unit").alias("__unit"))
+    parts = []
+    table_metrics = [m for m in names if m != "auroc"]
+    if table_metrics:
+        counts = confusion_draws(keyed.drop("score"), by, n_bootstrap)
+        parts.append(_table_rows(counts, [*by, "b"], table_metrics))
+    if "auroc" in names:
+        keys = [*by, "class_id"] if n_classes > 2 else list(by)
+        scored = keyed.select(*by, "label", "__unit", "score")
+        if n_classes > 2:
+            scored = keyed.select(*by, "label", "__unit", F.posexplode("score").alias("class_id", "score"))
+        positive = F.col("label") == (F.col("class_id") if n_classes > 2 else F.lit(1))
+        scored = scored.select(*keys, (F.col("score") + F.lit(0.0)).alias("score"), positive.alias("positive"), "__unit")
+        parts.append(_auroc_rows(auroc_draws(scored, keys, n_bootstrap), [*by, "b"], n_classes))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _intervals(values: DataFrame, by: Sequence[str], n_bootstrap: int, alpha: float) -> DataFrame:
@@ -155,28 +183,34 @@ def bootstrap_ci(
     seed: int = 42,
     by: Sequence[str] = (),
     score: str = "prob_1",
-    mode: str = "exact",
+    mode: str = "poisson",
+    n_classes: int = 2,
 ) -> DataFrame:
     """Point value, percentile interval and standard error per metric.
 
-    ``unit`` is what is drawn (the slide when the column is missing).  A custom
-    metric is a function of (weighted cells, grouping columns) that returns
-    ``<grouping columns>, metric, value``.
+    ``unit`` is what is drawn (the slide when the column is missing).  Predictions may be a ``prob_1`` column, columns
+    ``prob_0 ...`` or one ``probs`` vector; with more than two classes the AUROC is the mean of one class against the rest and
+    missing in a resample that lacks a class.  A custom metric is a function of (weighted cells, grouping
+    columns) that returns ``<grouping columns>, metric, value``; it needs a row per cell and repeat in either mode.
     """
+    if mode not in ("exact", "poisson"):
+        raise ValueError(f"Unknown resampling mode '{mode}'. Use 'exact' or 'poisson'.")
     by = list(by)
     drawn_unit = unit if unit in preds.columns else "slide_id"
-    if callable(metric):
-        measure = metric
-    else:
-        names = [metric] if isinstance(metric, str) else list(metric)
+    names = None if callable(metric) else [metric] if isinstance(metric, str) else list(metric)
 
-        def measure(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-            return _metric_rows(cells, keys, names)
+    def measure(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return metric(cells, keys) if names is None else _metric_rows(cells, keys, names, n_classes)
 
-    point_cells = _cells(preds, drawn_unit, by, score).groupBy(*by, "label", "pred", "score").agg(F.sum("n").alias("n"))
+    point_cells = _rows(preds, drawn_unit, by, score, n_classes).groupBy(*by, "label", "pred", "score").agg(F.count(F.lit(1)).alias("n"))
     point = measure(point_cells, by).withColumnRenamed("value", "point")
-    repeats = measure(resample(preds, drawn_unit, n_bootstrap, seed, by, score, mode), [*by, "b"])
-    return point.join(_intervals(repeats, by, n_bootstrap, alpha), [*by, "metric"], "left")
+    if mode == "poisson" and names is not None:
+        rows = _rows(preds, drawn_unit, by, score, n_classes)
+        repeats = _weighted_rows(rows, by, names, n_bootstrap, seed, n_classes)
+    else:
+        repeats = measure(resample(preds, drawn_unit, n_bootstrap, seed, by, score, mode, n_classes), [*by, "b"])
+    intervals = _intervals(repeats, by, n_bootstrap, alpha)
+    return lookup(point, intervals, [*by, "metric"], how="left")
 
 
 def metrics_with_ci(
@@ -185,16 +219,18 @@ def metrics_with_ci(
     alpha: float = 0.05,
     seed: int = 42,
     patient_col: str = "patient_id",
-    mode: str = "exact",
+    mode: str = "poisson",
+    n_classes: int = 2,
 ) -> DataFrame:
     """All interval metrics for slides and for patients; the same draws serve every metric of a level.
 
     Without a patient column the patient rows repeat the slide rows.
     """
-    slide = bootstrap_ci(preds, unit="slide_id", n_bootstrap=n_bootstrap, alpha=alpha, seed=seed, mode=mode)
+    options = {"n_bootstrap": n_bootstrap, "alpha": alpha, "seed": seed, "mode": mode, "n_classes": n_classes}
+    slide = bootstrap_ci(preds, unit="slide_id", **options)
     if patient_col in preds.columns:
-        patients = patient_aggregate(preds, patient_col=patient_col)
-        patient = bootstrap_ci(patients, unit=patient_col, n_bootstrap=n_bootstrap, alpha=alpha, seed=seed, mode=mode)
+        patients = patient_aggregate(preds, patient_col=patient_col, n_classes=n_classes)
+        patient = bootstrap_ci(patients, unit=patient_col, **options)
     else:
         patient = slide
     return slide.withColumn("level", F.lit("slide")).unionByName(patient.withColumn("level", F.lit("patient")))

@@ -1,7 +1,7 @@
 """Scoring bags with stored weights: patch layers, attention, pooling, classifier.
 
-Only the matrix products over patches run in Python, as vectorised pandas UDFs
-over Arrow batches of the one column they need; pooling and heads stay in the JVM.
+Only matrix products run in Python, as vectorised pandas UDFs over Arrow batches of the
+one column they need, patches or slide vectors; pooling stays in the JVM.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bagstats.functions.probs import array_total, probs_from_logits, top_class
+from bagstats.functions.probs import array_total, probs_from_logits, softmax, top_class
 from bagstats.operators.bags import assemble_bags, cap_first_k, class_weights
 from bagstats.operators.pooling import attention_pool
 from bagstats.sources.shared import written
@@ -48,9 +48,9 @@ class BagModel:
         return int(first[0].shape[1])
 
 
-def _checked(features: str, dim: int) -> Column:
+def _checked(features: str, dim: int, per: str = "patch") -> Column:
     """The vector, or an error that names the dimension found."""
-    text = F.concat(F.lit(f"expected {dim} features per patch, got "), F.size(features).cast("string"))
+    text = F.concat(F.lit(f"expected {dim} features per {per}, got "), F.coalesce(F.size(features).cast("string"), F.lit("none")))
     values = F.col(features).cast("array<double>")
     return F.when(F.size(features) == dim, values).otherwise(F.raise_error(text).cast("array<double>"))
 
@@ -106,13 +106,10 @@ def attention_logits(patches: DataFrame, heads: Attention | Sequence[Attention])
     return scored.withColumn("logit", array_total(F.col("logits")) / F.lit(len(many)))
 
 
-def _dense(values: Column, weight: np.ndarray, bias: np.ndarray) -> Column:
-    """One small dense layer on a slide vector as native array expressions."""
-    rows = []
-    for w, b in zip(np.asarray(weight, dtype=float), np.asarray(bias, dtype=float), strict=True):
-        products = F.zip_with(values, F.array(*[F.lit(float(v)) for v in w]), lambda a, c: a * c)
-        rows.append(array_total(products) + F.lit(float(b)))
-    return F.array(*rows)
+def _dense(name: str, weight: np.ndarray, bias: np.ndarray) -> Column:
+    """One linear layer on a vector column as a matrix product: weights travel with the task and not in the plan."""
+    layer = (np.asarray(weight, dtype=np.float64), np.asarray(bias, dtype=np.float64))
+    return _layers_udf([layer], last_linear=True)(_checked(name, int(layer[0].shape[1]), "vector"))
 
 
 def multihead_attention_pool(
@@ -130,24 +127,19 @@ def multihead_attention_pool(
     out = out.select("slide_id", "n_patches", F.flatten(F.transform("heads", lambda h: h["embedding"])).alias("embedding"))
     if projection is None:
         return out
-    return out.withColumn("embedding", _dense(F.col("embedding"), *projection))
+    return out.withColumn("embedding", _dense("embedding", *projection))
 
 
 def classify(embeddings: DataFrame, weight: np.ndarray, bias: np.ndarray) -> DataFrame:
     """Linear head on slide vectors: logits, probabilities, best class and its probability."""
-    out = embeddings.withColumn("logits", _dense(F.col("embedding"), weight, bias))
+    out = embeddings.withColumn("logits", _dense("embedding", weight, bias))
     z = F.col("logits")
-    soft = F.when(F.size(z) == 2, _softmax(z)).otherwise(probs_from_logits(z))
+    soft = F.when(F.size(z) == 2, softmax(z)).otherwise(probs_from_logits(z))
     out = out.withColumn("probabilities", soft)
     best = top_class("probabilities")
     return out.select("*", best["pred_class"].alias("pred_class"), best["pred_prob"].alias("pred_prob"))
 
 
-def _softmax(z: Column) -> Column:
-    powers = F.transform(z, lambda v: F.exp(v - F.array_max(z)))
-    return F.transform(powers, lambda v: v / array_total(powers))
-
-
 def score_bags(
     patches: DataFrame,
     model: BagModel | Callable[[np.ndarray], dict],
@@ -193,7 +185,7 @@ def _score_with_function(patches: DataFrame, predict: Callable[[np.ndarray], dic
     schema = f"slide_id {kind}, n_patches bigint, embedding array<double>, logits array<double>"
     out = bags.mapInPandas(run, schema)
     z = F.col("logits")
-    out = out.withColumn("probabilities", F.when(F.size(z) == 1, probs_from_logits(z)).otherwise(_softmax(z)))
+    out = out.withColumn("probabilities", F.when(F.size(z) == 1, probs_from_logits(z)).otherwise(softmax(z)))
     best = top_class("probabilities")
     return out.select("*", best["pred_class"].alias("pred_class"), best["pred_prob"].alias("pred_prob"))
 

@@ -27,7 +27,7 @@ class EvaluationConfig:
     alpha: float = 0.05
     seed: int = 42
     threshold: float | None = None  # base of the stability table; None takes the Youden point of the predictions
-    resampling: str = "exact"
+    resampling: str = "poisson"  # "exact" joins n draws of n units for each repeat
     patient_col: str = "patient_id"
 
     def __post_init__(self) -> None:
@@ -77,9 +77,6 @@ def evaluate_model(preds: DataFrame, manifest: DataFrame | None, config: Evaluat
             base = 0.5 if youden is None or youden.threshold is None else min(1.0, youden.threshold)
         out["threshold_stability"] = CAL.threshold_stability(scored, base)
         out["checks"] = no_nans(scored)
-        out["intervals"] = BS.metrics_with_ci(
-            scored, config.n_bootstrap, config.alpha, config.seed, config.patient_col, config.resampling
-        )
     else:
         one_vs_rest = class_rows(rows, config.n_classes)
         key = (["class_id"], "score", "positive")
@@ -88,6 +85,10 @@ def evaluate_model(preds: DataFrame, manifest: DataFrame | None, config: Evaluat
         out["precision_recall"] = R.pr_curve(one_vs_rest, *key)
         out["average_precision"] = R.average_precision(one_vs_rest, *key)
         out["operating_points"] = R.operating_points(one_vs_rest, *key)
+    out["intervals"] = BS.metrics_with_ci(
+        scored if config.n_classes == 2 else rows,
+        config.n_bootstrap, config.alpha, config.seed, config.patient_col, config.resampling, config.n_classes,
+    )
     return out
 
 

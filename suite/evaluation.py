@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from bagstats.operators import bootstrap as BS
@@ -12,11 +10,11 @@ from bagstats.operators import confusion as CM
 from bagstats.operators import ranking as R
 from bagstats.operators import scores as SC
 from bagstats.operators import summaries as SU
+from bagstats.operators import weights as WT
 from suite import views as V
 from suite.sql import key, uniform, with_views
 
 N_MULTI = 10
-REPEATS = 100
 ALL_REPEATS = 2000  # the operators' default
 
 
@@ -232,21 +230,38 @@ def loss_binary(spark, sf):
 
 def bootstrap(spark, sf):
     """Patients drawn with replacement, all their slides follow."""
-    return V.rounded(BS.bootstrap_ci(V.predictions(spark, sf), unit="patient_id", n_bootstrap=REPEATS))
+    return V.rounded(BS.bootstrap_ci(V.predictions(spark, sf), unit="patient_id"))
 
 
 def bootstrap_poisson(spark, sf):
-    return V.rounded(BS.bootstrap_ci(V.predictions(spark, sf), unit="patient_id", n_bootstrap=REPEATS, mode="poisson"))
+    """Slides drawn."""
+    return V.rounded(BS.bootstrap_ci(V.predictions(spark, sf), unit="slide_id", mode="poisson"))
+
+
+def bootstrap_multi(spark, sf):
+    """Ten classes as vectors: the AUROC is the mean of one class against the rest."""
+    return V.rounded(BS.bootstrap_ci(V.predictions_multi(spark, sf), unit="slide_id", n_classes=10))
+
+
+def _share_above(cells, keys):
+    """A custom metric: share of positives among the scores above one half."""
+    above = F.when(F.col("score") > 0.5, F.col("n"))
+    hits = F.sum(F.when(F.col("label") == 1, above))
+    return cells.groupBy(*keys).agg((F.coalesce(hits, F.lit(0)) / F.sum(above)).alias("value")).withColumn("metric", F.lit("share_above"))
+
+
+def bootstrap_custom(spark, sf):
+    return V.rounded(BS.bootstrap_ci(V.predictions(spark, sf), _share_above, unit="patient_id", n_bootstrap=200))
 
 
 def with_ci(spark, sf):
-    """Slide and patient level; the slide level makes one draw per slide and repeat."""
-    return V.rounded(BS.metrics_with_ci(V.predictions(spark, sf), n_bootstrap=20))
+    """Slide and patient level."""
+    return V.rounded(BS.metrics_with_ci(V.predictions(spark, sf)))
 
 
 def bootstrap_default(spark, sf):
-    """As many draws as the operator makes by itself."""
-    return V.rounded(BS.bootstrap_ci(V.predictions(spark, sf), unit="patient_id"))
+    """As many draws as the operator makes by itself, n of n patients in each."""
+    return V.rounded(BS.bootstrap_ci(V.predictions(spark, sf), unit="patient_id", mode="exact"))
 
 
 def bootstrap_poisson_default(spark, sf):
@@ -254,7 +269,8 @@ def bootstrap_poisson_default(spark, sf):
 
 
 def with_ci_default(spark, sf):
-    return V.rounded(BS.metrics_with_ci(V.predictions(spark, sf)))
+    """As many draws as the operator makes by itself, one for each slide or patient in each."""
+    return V.rounded(BS.metrics_with_ci(V.predictions(spark, sf), mode="exact"))
 
 
 def timing(spark, sf):
@@ -303,6 +319,8 @@ QUERIES = {
     "A26_fold_metric_summary": fold_summary,
     "A27_bootstrap_ci": bootstrap,
     "A27_bootstrap_poisson": bootstrap_poisson,
+    "A27_bootstrap_multi": bootstrap_multi,
+    "A27_bootstrap_custom_metric": bootstrap_custom,
     "A28_metrics_with_ci": with_ci,
     "A27_bootstrap_ci_default": bootstrap_default,
     "A27_bootstrap_poisson_default": bootstrap_poisson_default,
@@ -461,8 +479,8 @@ SELECT metric, round(point, 6) AS point, CASE WHEN n_valid_bootstrap >= 10 THEN
        CASE WHEN n_valid_bootstrap >= 10 THEN round(se, 6) END AS se, n_valid_bootstrap, CAST({repeats} AS BIGINT) AS n_bootstrap FROM points JOIN ci USING (metric)"""
 
 
-def _boot_metrics(source: str, by: str, name: str) -> str:
-    """CTE ``name``: long metric values of weighted cells ``source``."""
+def _boot_metrics(source: str, by: str, name: str, macro: bool = False) -> str:
+    """CTE ``name``: long metric values of weighted cells ``source``; with ``macro`` the score is a vector of classes."""
     pre = f"{by}, " if by else ""
     tables = _class_table(source, by, "n").replace("cc AS", f"{name}_cc AS").replace("FROM cc", f"FROM {name}_cc")
     for cte in ("lg", "p0", "pcl", "o0", "ov"):
@@ -470,14 +488,44 @@ def _boot_metrics(source: str, by: str, name: str) -> str:
     rows = " UNION ALL ".join(
         f"SELECT {pre}'{m}' AS metric, CASE WHEN k >= 2 THEN {m} END AS value FROM {name}_ov" for m in BS.CI_METRICS if m != "auroc"
     )
+    if macro:
+        group = f"GROUP BY {by}" if by else ""
+        area = f"""{name}_o AS (SELECT {pre}c AS class_id, CAST(label = c - 1 AS INT) AS hit, score[c] AS score, n FROM {source}, range(1, 11) t(c)),
+{_auc(f"{name}_o", f"{pre}class_id", "score", "hit", "n", name=f"{name}_k").strip()},
+{name}_a AS (SELECT {pre}CASE WHEN count(auroc) = count(*) THEN avg(auroc) END AS auroc FROM {name}_k {group})"""
+    else:
+        area = _auc(source, by, "score", "label", "n", name=f"{name}_a").strip()
     return f"""{tables.strip()},
-{_auc(source, by, "score", "label", "n", name=f"{name}_a").strip()},
+{area},
 {name} AS ({rows} UNION ALL SELECT {pre}'auroc', auroc FROM {name}_a)"""
 
 
-def _bootstrap_sql(source: str, unit: str, repeats: int, mode: str = "exact") -> str:
+def _weights_sql(repeats: int, seed: int = 42) -> str:
+    """CTE ``wt``: unit, b, w of every unit and repeat with a weight."""
+
+    def scrambled(source: str, x: str, name: str) -> str:
+        """Three CTEs that end in column ``x`` of ``name``: products of 32-bit numbers fit 64 bits."""
+        return f"""
+{name}a AS (SELECT unit, b, high, {x} AS x FROM {source}),
+{name}b AS (SELECT unit, b, high, (xor(x, x >> 16) * {WT.FIRST}) & 4294967295 AS x FROM {name}a),
+{name}c AS (SELECT unit, b, high, (xor(x, x >> 13) * {WT.SECOND}) & 4294967295 AS x FROM {name}b),
+{name} AS (SELECT unit, b, high, xor(x, x >> 16) AS x FROM {name}c)"""
+
+    steps = " + ".join(f"CASE WHEN x >= {t} THEN 1 ELSE 0 END" for t in WT.THRESHOLDS)
+    halves = [f"CAST('0x' || substr({key(seed, 'unit')}, {start}, 8) AS UBIGINT)" for start in (1, 9)]
+    return f"""
+ky AS (SELECT unit, {halves[0]} AS high, {halves[1]} AS low FROM (SELECT DISTINCT unit FROM cells)),
+x0 AS (SELECT unit, CAST(b AS UBIGINT) AS b, high, (low + ((CAST(b AS UBIGINT) + 1) * {WT.STEP}) & 4294967295) & 4294967295 AS x FROM ky, range({repeats}) t(b)),
+{scrambled("x0", "x", "x1").strip()},
+{scrambled("x1", "xor(x, high)", "x2").strip()},
+wt AS (SELECT * FROM (SELECT unit, b, {steps} AS w FROM x2) WHERE w > 0)"""
+
+
+def _resampled_sql(source: str, unit: str, repeats: int, mode: str, score: str = "prob_1", pred: str = "") -> str:
+    """CTEs ``pt`` (all cells) and ``rs`` (cells of every repeat ``b``)."""
+    pred = pred or f"CAST(CASE WHEN {score} >= 0.5::DOUBLE THEN 1 ELSE 0 END AS INT)"
     cells = f"""
-cells AS (SELECT {unit} AS unit, label, CAST(CASE WHEN prob_1 >= 0.5::DOUBLE THEN 1 ELSE 0 END AS INT) AS pred, prob_1 AS score, count(*) AS n FROM {source} GROUP BY ALL),
+cells AS (SELECT {unit} AS unit, label, {pred} AS pred, {score} AS score, count(*) AS n FROM {source} GROUP BY ALL),
 pt AS (SELECT label, pred, score, CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY ALL)"""
     if mode == "exact":
         drawn = f"""
@@ -485,19 +533,21 @@ un AS (SELECT unit, row_number() OVER (ORDER BY {key(42, "unit")}, unit) AS unit
 dr AS (SELECT b, CAST(floor({uniform(42, "b", "unit_no")} * n_units) AS BIGINT) + 1 AS unit_no FROM un, range({repeats}) t(b)),
 rs AS (SELECT b, label, pred, score, CAST(sum(n) AS BIGINT) AS n FROM dr JOIN un USING (unit_no) JOIN cells USING (unit) GROUP BY ALL)"""
     else:
-        total, steps = 0.0, []
-        for k in range(13):
-            total += math.exp(-1.0) / math.factorial(k)
-            steps.append(f"CASE WHEN u >= {total!r}::DOUBLE THEN 1 ELSE 0 END")
-        drawn = f"""
-dr AS (SELECT *, {uniform(42, "b", "unit")} AS u FROM cells, range({repeats}) t(b)),
-rs AS (SELECT b, label, pred, score, CAST(sum(w) AS BIGINT) AS n FROM (SELECT b, label, pred, score, n * ({" + ".join(steps)}) AS w FROM dr) WHERE w > 0 GROUP BY ALL)"""
-    return f"""{cells.strip()}, {drawn.strip()},
-{_boot_metrics("pt", "", "pts")}, points AS (SELECT metric, value AS point FROM pts),
-{_boot_metrics("rs", "b", "reps")},
+        drawn = f"""{_weights_sql(repeats)},
+rs AS (SELECT b, label, pred, score, CAST(sum(n * w) AS BIGINT) AS n FROM wt JOIN cells USING (unit) GROUP BY ALL)"""
+    return f"{cells.strip()}, {drawn.strip()}"
+
+
+def _bootstrap_sql(source: str, unit: str, repeats: int, mode: str = "exact", macro: bool = False) -> str:
+    classes = {"score": "probs", "pred": "CAST(list_position(probs, list_max(probs)) - 1 AS INT)"} if macro else {}
+    return f"""{_resampled_sql(source, unit, repeats, mode, **classes)},
+{_boot_metrics("pt", "", "pts", macro)}, points AS (SELECT metric, value AS point FROM pts),
+{_boot_metrics("rs", "b", "reps", macro)},
 {_interval_sql(repeats).strip()}"""
 
 
+_SHARE_SQL = "sum(CASE WHEN score > 0.5::DOUBLE AND label = 1 THEN n ELSE 0 END) / sum(CASE WHEN score > 0.5::DOUBLE THEN n END)"
+
 _PATIENTS = """pat AS (SELECT patient_id, avg(prob_1) AS prob_1, count(*) AS n_slides, max(lbl) AS label FROM (
   SELECT *, first_value(label) OVER (PARTITION BY patient_id ORDER BY n_label DESC, label) AS lbl FROM (
     SELECT *, count(*) OVER (PARTITION BY patient_id, label) AS n_label FROM v_pred)) GROUP BY 1)"""
@@ -571,11 +621,16 @@ lv AS (SELECT 'slide|' || scope AS k, label, prob_1 FROM sl UNION ALL SELECT 'pa
 {_binary_suite("lv", "k")} SELECT split_part(k, '|', 1) AS level, split_part(k, '|', 2) AS scope, class_id, metric, value FROM suite"""),
     "A26_fold_metric_summary": with_views("v_pred", f"""
 WITH {_FOLD_METRICS} SELECT metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, count(value) AS n_folds FROM fm GROUP BY 1"""),
-    "A27_bootstrap_ci": with_views("v_pred", f"WITH {_bootstrap_sql('v_pred', 'patient_id', REPEATS)}"),
-    "A27_bootstrap_poisson": with_views("v_pred", f"WITH {_bootstrap_sql('v_pred', 'patient_id', REPEATS, 'poisson')}"),
+    "A27_bootstrap_ci": with_views("v_pred", f"WITH {_bootstrap_sql('v_pred', 'patient_id', ALL_REPEATS, 'poisson')}"),
+    "A27_bootstrap_poisson": with_views("v_pred", f"WITH {_bootstrap_sql('v_pred', 'slide_id', ALL_REPEATS, 'poisson')}"),
+    "A27_bootstrap_multi": with_views("v_pred_multi", f"WITH {_bootstrap_sql('v_pred_multi', 'slide_id', ALL_REPEATS, 'poisson', True)}"),
+    "A27_bootstrap_custom_metric": with_views("v_pred", f"""
+WITH {_resampled_sql("v_pred", "patient_id", 200, "poisson")}, points AS (SELECT 'share_above' AS metric, {_SHARE_SQL} AS point FROM pt),
+reps AS (SELECT b, 'share_above' AS metric, {_SHARE_SQL} AS value FROM rs GROUP BY b),
+{_interval_sql(200).strip()}"""),
     "A28_metrics_with_ci": f"""
-SELECT 'slide' AS level, * FROM ({with_views("v_pred", f"WITH {_bootstrap_sql('v_pred', 'slide_id', 20)}")})
-UNION ALL SELECT 'patient', * FROM ({with_views("v_pred", f"WITH {_PATIENTS}, {_bootstrap_sql('pat', 'patient_id', 20)}")})""",
+SELECT 'slide' AS level, * FROM ({with_views("v_pred", f"WITH {_bootstrap_sql('v_pred', 'slide_id', ALL_REPEATS, 'poisson')}")})
+UNION ALL SELECT 'patient', * FROM ({with_views("v_pred", f"WITH {_PATIENTS}, {_bootstrap_sql('pat', 'patient_id', ALL_REPEATS, 'poisson')}")})""",
     "A27_bootstrap_ci_default": with_views("v_pred", f"WITH {_bootstrap_sql('v_pred', 'patient_id', ALL_REPEATS)}"),
     "A27_bootstrap_poisson_default": with_views("v_pred", f"WITH {_bootstrap_sql('v_pred', 'patient_id', ALL_REPEATS, 'poisson')}"),
     "A28_metrics_with_ci_default": f"""

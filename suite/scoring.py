@@ -27,6 +27,7 @@ LAYER = _weights(HIDDEN, DIM, 1)
 HEADS = [S.Attention(_weights(ATT, HIDDEN, 2 + h), _weights(1, ATT, 4 + h), _weights(ATT, HIDDEN, 6 + h)) for h in range(2)]
 PROJECTION = _weights(HIDDEN, 2 * HIDDEN, 8)
 HEAD = _weights(CLASSES, HIDDEN, 9)
+WIDE_HEAD = _weights(CLASSES, DIM, 9)  # on whole vectors
 MODEL = S.BagModel(HEAD, [LAYER], HEADS[:1])
 
 
@@ -85,58 +86,49 @@ def _pairs(out):
 
 
 def classified(spark, sf):
-    narrow = P.pool_mean(V.embed_patches(spark, sf)).withColumn("embedding", F.slice("embedding", 1, HIDDEN))
-    return _pairs(S.classify(narrow, *HEAD))
+    return _pairs(S.classify(P.pool_mean(V.embed_patches(spark, sf)), *WIDE_HEAD))
 
 
 def scored(spark, sf):
     return _pairs(S.score_bags(V.embed_patches(spark, sf), MODEL))
 
 
-def scored_after_dropout(spark, sf):
-    """A third of every bag is gone: the first ten that are left are scored."""
-    w, b = HEAD
-
-    def predict(bag):
-        vector = bag[:, : len(w[0])].astype(float).mean(axis=0)
-        return {"embedding": vector, "logits": w @ vector + b}
-
-    left = V.embed_patches(spark, sf).filter("patch_idx % 3 <> 0")
-    return _pairs(S.score_bags(left, predict, max_instances=10))
+def _mean_head(bag):
+    """Plug-in predictor that holds one bag: mean of all features, linear head."""
+    w, b = WIDE_HEAD
+    vector = bag.astype(float).mean(axis=0)
+    return {"embedding": vector, "logits": w @ vector + b}
 
 
-def scored_by_function(spark, sf):
-    """A plug-in predictor that holds one capped bag: mean of the first six features, linear head."""
-    w, b = HEAD
-    hidden = HIDDEN
+def _max_head(bag):
+    """Plug-in predictor: largest value of every feature, linear head."""
+    w, b = WIDE_HEAD
+    vector = bag.astype(float).max(axis=0)
+    return {"embedding": vector, "logits": w @ vector + b}
 
-    def predict(bag):
-        vector = bag[:, :hidden].astype(float).mean(axis=0)
-        return {"embedding": vector, "logits": w @ vector + b}
 
-    return _pairs(S.score_bags(V.embed_patches(spark, sf), predict, max_instances=10))
+def _scored_whole(patches, predict):
+    """No bag is cut: the cap is the size of the largest."""
+    largest = patches.groupBy("slide_id").count().agg(F.max("count")).first()[0] or 1
+    return _pairs(S.score_bags(patches, predict, max_instances=largest))
 
 
-def _mean_head(bag):
-    """Plug-in predictor: mean of the first six features, linear head."""
-    w, b = HEAD
-    vector = bag[:, : len(w[0])].astype(float).mean(axis=0)
-    return {"embedding": vector, "logits": w @ vector + b}
+def scored_by_function(spark, sf):
+    return _scored_whole(V.embed_patches(spark, sf), _max_head)
 
 
-def _scored_whole(patches):
-    """No bag is cut: the cap is the size of the largest."""
-    largest = patches.groupBy("slide_id").count().agg(F.max("count")).first()[0] or 1
-    return _pairs(S.score_bags(patches, _mean_head, max_instances=largest))
+def scored_after_dropout(spark, sf):
+    """A third of every bag is gone, all that is left is scored."""
+    return _scored_whole(V.embed_patches(spark, sf).filter("patch_idx % 3 <> 0"), _max_head)
 
 
 def whole_scored_by_function(spark, sf):
-    return _scored_whole(V.embed_patches(spark, sf))
+    return _scored_whole(V.embed_patches(spark, sf), _mean_head)
 
 
 def whole_scored_after_dropout(spark, sf):
     """A third of every bag is gone, all that is left is scored."""
-    return _scored_whole(V.embed_patches(spark, sf).filter("patch_idx % 3 <> 0"))
+    return _scored_whole(V.embed_patches(spark, sf).filter("patch_idx % 3 <> 0"), _mean_head)
 
 
 def collected(spark, sf):
@@ -164,7 +156,7 @@ def probe(spark, sf):
 
 def renormalized(spark, sf):
     rows = V.embed_patches(spark, sf).select(
-        "slide_id", "patch_idx", F.transform(F.slice("features", 1, 5), lambda v: F.greatest(F.round(v.cast("double"), 1), F.lit(0.0))).alias("p")
+        "slide_id", "patch_idx", F.transform("features", lambda v: F.greatest(F.round(v.cast("double"), 1), F.lit(0.0))).alias("p")
     )
     return _exploded(rows.withColumn("p", PR.renormalize_probs("p")), "p", "slide_id", "patch_idx")
 
@@ -246,8 +238,8 @@ def _att_pool(logit: str, name: str) -> str:
 {name} AS (SELECT slide_id, max(n) AS n_patches, list(v ORDER BY i) AS e FROM {name}_s GROUP BY 1)"""
 
 
-def _classify_sql(source: str, vector: str) -> str:
-    logits = _dense(vector, HEAD)
+def _classify_sql(source: str, vector: str, head=HEAD) -> str:
+    logits = _dense(vector, head)
     soft = "list_transform(z, lambda v: exp(v - list_max(z)) / list_sum(list_transform(z, lambda u: exp(u - list_max(z)))))"
     cols = ", ".join([f"round(z[{c + 1}], 6) AS logit_{c}, round(p[{c + 1}], 6) AS prob_{c}" for c in range(CLASSES)])
     return f"""zz AS (SELECT slide_id, {logits} AS z FROM {source}), pp AS (SELECT *, {soft} AS p FROM zz)
@@ -256,10 +248,14 @@ SELECT slide_id, {cols}, CAST(list_position(p, list_max(p)) - 1 AS INT) AS pred_
 
 _POOL_SQL = """
 SELECT slide_id, count(*) AS n_patches, CAST(i - 1 AS INT) AS pos, round({}(features[i]), 6) AS value FROM v_embed, range(1, 65) t(i) GROUP BY slide_id, i"""
-_MEAN6 = f"""
-m0 AS (SELECT slide_id, i, avg(features[i]) AS v FROM v_embed, range(1, {HIDDEN + 1}) t(i) WHERE patch_idx < {{cap}} GROUP BY 1, 2),
+def _bag_vector(aggregate: str, source: str = "v_embed") -> str:
+    return f"""
+m0 AS (SELECT slide_id, i, {aggregate}(features[i]) AS v FROM {source}, range(1, {DIM + 1}) t(i) GROUP BY 1, 2),
 m AS (SELECT slide_id, list(v ORDER BY i) AS e FROM m0 GROUP BY 1)"""
-_MEAN_ALL = _MEAN6.replace(" WHERE patch_idx < {cap}", "")
+
+
+_LEFT_OVER = "left_over AS (SELECT * FROM v_embed WHERE patch_idx % 3 <> 0)"
+_WIDE = _classify_sql("m", "e", WIDE_HEAD)
 _LINE_LOGIT = "lg AS (SELECT *, y / 64.0::DOUBLE + f2 * 10 AS logit FROM v_patches), wt AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY slide_id)) AS w FROM lg)"
 
 ORACLES = {
@@ -275,23 +271,19 @@ WITH {_LOGITS}, {_att_pool("l0", "a")}, {_att_pool("l1", "b")},
 j AS (SELECT slide_id, a.n_patches AS n_patches, list_concat(a.e, b.e) AS e FROM a JOIN b USING (slide_id)),
 o AS (SELECT slide_id, n_patches, {_dense("e", PROJECTION)} AS e FROM j)
 SELECT slide_id, n_patches, CAST(i - 1 AS INT) AS pos, round(e[i], 6) AS value FROM o, range(1, {HIDDEN + 1}) t(i)"""),
-    "L6_classify": with_views("v_embed", f"WITH {_MEAN6.format(cap=25)}, {_classify_sql('m', 'e')}"),
+    "L6_classify": with_views("v_embed", f"WITH {_bag_vector('avg')}, {_WIDE}"),
     "L7_score_bags": with_views("v_embed", f"WITH {_LOGITS}, {_att_pool('l0', 'a')}, {_classify_sql('a', 'e')}"),
-    "L7_score_bags_function": with_views("v_embed", f"WITH {_MEAN6.format(cap=10)}, {_classify_sql('m', 'e')}"),
-    "L7_score_after_dropout": with_views("v_embed", f"""
-WITH left_over AS (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY patch_idx) - 1 AS place FROM v_embed WHERE patch_idx % 3 <> 0),
-{_MEAN6.format(cap=10).replace("v_embed", "left_over").replace("patch_idx < 10", "place < 10")}, {_classify_sql('m', 'e')}"""),
-    "L7_score_whole_bags_function": with_views("v_embed", f"WITH {_MEAN_ALL}, {_classify_sql('m', 'e')}"),
-    "L7_score_whole_after_dropout": with_views("v_embed", f"""
-WITH left_over AS (SELECT * FROM v_embed WHERE patch_idx % 3 <> 0),
-{_MEAN_ALL.replace("v_embed", "left_over")}, {_classify_sql('m', 'e')}"""),
+    "L7_score_bags_function": with_views("v_embed", f"WITH {_bag_vector('max')}, {_WIDE}"),
+    "L7_score_after_dropout": with_views("v_embed", f"WITH {_LEFT_OVER}, {_bag_vector('max', 'left_over')}, {_WIDE}"),
+    "L7_score_whole_bags_function": with_views("v_embed", f"WITH {_bag_vector('avg')}, {_WIDE}"),
+    "L7_score_whole_after_dropout": with_views("v_embed", f"WITH {_LEFT_OVER}, {_bag_vector('avg', 'left_over')}, {_WIDE}"),
     "L8_collect_predictions": with_views("v_pred", "SELECT slide_id, label, round(prob_1, 6) AS prob_1 FROM v_pred"),
     "L9_oof_predictions": with_views("v_pred", "SELECT slide_id, patient_id, fold, label, round(prob_1, 6) AS prob_1 FROM v_pred"),
     "W11_bag_softmax": with_views("v_patches", f"WITH {_LINE_LOGIT} SELECT slide_id, patch_idx, round(w / sum(w) OVER (PARTITION BY slide_id), 9) AS attention FROM wt"),
     "P9_renormalize_probs": with_views("v_embed", """
-WITH p AS (SELECT slide_id, patch_idx, list_transform(features[1:5], lambda v: greatest(round(v, 1), 0.0::DOUBLE)) AS p FROM v_embed),
+WITH p AS (SELECT slide_id, patch_idx, list_transform(features, lambda v: greatest(round(v, 1), 0.0::DOUBLE)) AS p FROM v_embed),
 s AS (SELECT *, list_sum(p) AS t FROM p)
-SELECT slide_id, patch_idx, CAST(i - 1 AS INT) AS pos, round(p[i] / CASE WHEN t = 0 THEN 1 ELSE t END, 6) AS value FROM s, range(1, 6) t2(i)"""),
+SELECT slide_id, patch_idx, CAST(i - 1 AS INT) AS pos, round(p[i] / CASE WHEN t = 0 THEN 1 ELSE t END, 6) AS value FROM s, range(1, 65) t2(i)"""),
     "P10_probs_from_logits": """
 WITH z AS (SELECT vec_id, list_transform(embedding[1:[1, 2, 5][CAST(vec_id % 3 + 1 AS INT)]], lambda v: CAST(v AS DOUBLE)) AS z FROM embeddings),
 e AS (SELECT vec_id, z, list_transform(z, lambda v: exp(v - list_max(z)) / list_sum(list_transform(z, lambda u: exp(u - list_max(z))))) AS p FROM z)

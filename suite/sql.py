@@ -32,6 +32,9 @@ def recursive_views(names: str, body: str) -> str:
     return f"WITH RECURSIVE {parts}, {body.strip()}"
 
 
+# Class c of ten from all 64 components: sizes of c, c + 10, c + 20, ...
+_FOLDED = ", ".join(" + ".join(f"abs(CAST(embedding[{i}] AS DOUBLE))" for i in range(c, 65, 10)) for c in range(1, 11))
+
 VIEWS = {
     "v_manifest": """
 SELECT 'slide_' || CAST(o_orderkey AS VARCHAR) AS slide_id,
@@ -46,11 +49,10 @@ SELECT group_id, label FROM (
 SELECT event_id AS slide_id, user_id AS patient_id, CAST(event_id % 5 AS INT) AS fold, label,
        (value + 20 * label) / (value + 20 * label + 50.0) AS prob_1
 FROM (SELECT *, CASE WHEN event_type IN ('purchase', 'error') THEN 1 ELSE 0 END AS label FROM events)""",
-    "v_pred_multi": """
+    "v_pred_multi": f"""
 SELECT slide_id, label, list_transform(a, lambda x: x / total) AS probs
 FROM (SELECT *, a[1] + a[2] + a[3] + a[4] + a[5] + a[6] + a[7] + a[8] + a[9] + a[10] AS total FROM (
-  SELECT vec_id AS slide_id, label,
-         list_transform(embedding[1:10], lambda x: abs(CAST(x AS DOUBLE))) AS a FROM embeddings))""",
+  SELECT vec_id AS slide_id, label, [{_FOLDED}] AS a FROM embeddings))""",
     "v_patches": """
 SELECT l_suppkey AS slide_id,
        CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity,

@@ -20,7 +20,7 @@ from bagstats.streaming import jobs as J
 from suite import views as V
 from suite.bags import K, ORACLES as BAG_ORACLES
 from suite.evaluation import ORACLES as EVAL_ORACLES
-from suite.scoring import HEAD, HIDDEN, _pairs
+from suite.scoring import WIDE_HEAD, _pairs
 from suite.splits import ORACLES as SPLIT_ORACLES
 from suite.sql import with_views
 
@@ -214,9 +214,9 @@ def _drained(out, name):
 
 def stream_scored(spark, sf):
     rows = _stream(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("slide_id"), F.slice("embedding", 1, HIDDEN).cast("array<double>").alias("embedding")
+        F.col("vec_id").alias("slide_id"), F.col("embedding").cast("array<double>").alias("embedding")
     )
-    return _pairs(_drained(J.stream_score(rows, HEAD), "stream-score"))
+    return _pairs(_drained(J.stream_score(rows, WIDE_HEAD), "stream-score"))
 
 
 def stream_once(spark, sf):
@@ -320,8 +320,8 @@ SELECT substr(sha256(fingerprint || '|cap=200;strategy=random'), 1, 20) AS finge
 def _stream_sql() -> str:
     from suite.scoring import _classify_sql
 
-    source = f"m AS (SELECT vec_id AS slide_id, list_transform(embedding[1:{HIDDEN}], lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings)"
-    return f"WITH {source}, {_classify_sql('m', 'e')}"
+    source = "m AS (SELECT vec_id AS slide_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings)"
+    return f"WITH {source}, {_classify_sql('m', 'e', WIDE_HEAD)}"
 
 
 ORACLES["R1_stream_score"] = _stream_sql()

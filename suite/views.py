@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bagstats.functions.probs import array_total, divided, once
 from bagstats.functions.spread import ranked
 
 
@@ -45,13 +48,13 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def predictions_multi(spark: SparkSession, sf: str) -> DataFrame:
-    first = [F.abs(F.col("embedding")[i].cast("double")) for i in range(10)]
-    total = first[0]
-    for part in first[1:]:
-        total = total + part
-    return table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("slide_id"), "label", F.array(*[v / total for v in first]).alias("probs")
-    )
+    """Ten classes: class c takes the sizes of components c, c + 10, c + 20, ... of all 64, over their total."""
+    folded = []
+    for c in range(10):
+        parts = [F.abs(F.col("embedding")[i].cast("double")) for i in range(c, 64, 10)]
+        folded.append(reduce(lambda a, b: a + b, parts))
+    probs = once(F.array(*folded), lambda values: divided(values, array_total(values)))
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("slide_id"), "label", probs.alias("probs"))
 
 
 def patches(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bagstats.operators import bootstrap as BS
+from bagstats.operators import weights as W
 
 
 @pytest.fixture(scope="module")
@@ -67,5 +68,115 @@ def test_custom_metric(preds):
 
 
 def test_poisson_weights(spark):
-    w = spark.range(20000).select(BS.poisson_weight(BS.uniform(1, "id")).alias("w")).toPandas().w
-    assert abs(w.mean() - 1) < 0.03 and abs(w.var() - 1) < 0.05
+    keys = spark.range(5000).select(W.unit_key(1, "id").alias("k")).select("k.high", "k.low").toPandas()
+    w = W.poisson_weights((keys.high.to_numpy(np.uint64) << np.uint64(32)) | keys.low.to_numpy(np.uint64), 40)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    assert np.abs(np.corrcoef(w.T) - np.eye(40)).max() < 0.08  # repeats are independent
+    assert (w == 0).mean() == pytest.approx(np.exp(-1), abs=0.005)
+
+
+def _auroc(pos, score, weight):
+    """Weighted area by all pairs; NaN where a class is missing."""
+    p, n = weight * pos, weight * ~pos
+    if not p.sum() or not n.sum():
+        return np.nan
+    beats = (score[:, None] > score[None, :]) + 0.5 * (score[:, None] == score[None, :])
+    return (p[:, None] * n[None, :] * beats).sum() / (p.sum() * n.sum())
+
+
+@pytest.mark.parametrize("scores", ["spread", "ties", "one"])
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_areas_of_all_repeats(spark, scores, ranges):
+    """Weighted areas against all pairs: also where one score fills several ranges, and per group with a null group."""
+    rng = np.random.default_rng(7)
+    count, repeats = 150, 70
+    value = {"spread": rng.random(count), "ties": np.round(rng.random(count), 1), "one": np.full(count, 0.5)}[scores]
+    hit = rng.random(count) < 0.4
+    fold = [None if k % 3 == 0 else k % 3 for k in range(count)]
+    data = [(k, f, float(v), bool(h)) for k, (f, v, h) in enumerate(zip(fold, value, hit, strict=True))]
+    rows = spark.createDataFrame(data, "id long, fold int, score double, positive boolean").withColumn("__unit", W.unit_key(3, "id"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    try:
+        found = W.auroc_draws(rows, ["fold"], repeats).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    keys = rows.orderBy("id").select("__unit.high", "__unit.low").toPandas()
+    weights = W.poisson_weights((keys.high.to_numpy(np.uint64) << np.uint64(32)) | keys.low.to_numpy(np.uint64), repeats)
+    assert len(found) == 3 * repeats
+    for f in (None, 1, 2):
+        own = np.array([g == f for g in fold])
+        mine = found[found.fold.isna() if f is None else found.fold == f].sort_values("b")
+        assert mine.b.tolist() == list(range(repeats))
+        wanted = [_auroc(hit[own], value[own], weights[own, b].astype(float)) for b in range(repeats)]
+        assert mine.auroc.to_numpy(float) == pytest.approx(np.array(wanted), nan_ok=True)
+
+
+def test_confusion_of_all_repeats(spark, monkeypatch):
+    """Arrays per label and prediction against weights added row by row, also when the held sums are passed on early."""
+    rng = np.random.default_rng(9)
+    data = [(k, int(k % 2), int(a), int(b)) for k, (a, b) in enumerate(zip(rng.integers(0, 3, 90), rng.integers(0, 3, 90), strict=True))]
+    rows = spark.createDataFrame(data, "id long, fold int, label int, pred int").withColumn("__unit", W.unit_key(5, "id"))
+    keys = rows.orderBy("id").select("__unit.high", "__unit.low").toPandas()
+    weights = W.poisson_weights((keys.high.to_numpy(np.uint64) << np.uint64(32)) | keys.low.to_numpy(np.uint64), 25)
+    wanted = {}
+    for (k, fold, label, pred), w in zip(data, weights, strict=True):
+        for b in np.flatnonzero(w):
+            wanted[fold, int(b), label, pred] = wanted.get((fold, int(b), label, pred), 0) + int(w[b])
+    for held in (W.HELD, 60):
+        monkeypatch.setattr(W, "HELD", held)
+        found = {(r.fold, r.b, r.label, r.pred): r.n for r in W.confusion_draws(rows.repartition(5), ["fold"], 25).collect()}
+        assert found == wanted
+
+
+def test_no_row_is_multiplied_or_joined(preds):
+    """All 2,000 repeats pass through arrays: the plan has no generator before the confusion counts are whole, and no join."""
+    rows = BS._rows(preds, "patient_id", [], "prob_1", 2)
+    plan = BS._weighted_rows(rows, [], ["accuracy", "auroc"], 2000, 42, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    counts = W.confusion_draws(rows.select("label", "pred", W.unit_key(42, "unit").alias("__unit")), [], 2000)
+    lines = counts._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = [k for k, line in enumerate(lines) if "Generate" in line]
+    added = [k for k, line in enumerate(lines) if "Aggregate" in line]
+    assert len(made) == 1 and made[0] < added[0]  # repeats become rows above the only aggregate
+
+
+@pytest.mark.parametrize("form", ["vector", "columns"])
+def test_more_classes(spark, form):
+    """Vectors and columns of three classes give the same intervals; the point AUROC is that of one class against the rest."""
+    rng = np.random.default_rng(2)
+    label = rng.integers(0, 3, 120)
+    probs = rng.random((120, 3)) + 0.8 * np.eye(3)[label]
+    probs /= probs.sum(1, keepdims=True)
+    data = [(k, int(y), [float(v) for v in p]) for k, (y, p) in enumerate(zip(label, probs, strict=True))]
+    rows = spark.createDataFrame(data, "slide_id long, label int, probs array<double>")
+    if form == "columns":
+        rows = rows.select("slide_id", "label", *[F.col("probs")[c].alias(f"prob_{c}") for c in range(3)])
+    for mode in ("poisson", "exact"):
+        found = {r.metric: r for r in BS.bootstrap_ci(rows, unit="slide_id", n_bootstrap=60, n_classes=3, mode=mode).collect()}
+        areas = [_auroc(label == c, probs[:, c], np.ones(120)) for c in range(3)]
+        assert set(found) == set(BS.CI_METRICS)
+        assert found["auroc"].point == pytest.approx(np.mean(areas))
+        assert found["accuracy"].point == pytest.approx((probs.argmax(1) == label).mean())
+        assert all(r.ci_lower < r.point < r.ci_upper and r.n_valid_bootstrap == 60 for r in found.values())
+    both = BS.metrics_with_ci(rows, 12, n_classes=3)
+    assert both.count() == 16
+
+
+def test_two_classes_as_a_vector(preds):
+    """At one half the threshold takes class 1 and the first maximum class 0; elsewhere both forms agree."""
+    preds = preds.filter("prob_1 <> 0.5")
+    vector = preds.select("slide_id", "patient_id", "label", F.array(1 - F.col("prob_1"), F.col("prob_1")).alias("probs"))
+    one = BS.bootstrap_ci(preds, ["auroc", "kappa"], n_bootstrap=30).orderBy("metric").collect()
+    two = BS.bootstrap_ci(vector, ["auroc", "kappa"], n_bootstrap=30).orderBy("metric").collect()
+    assert [(r.metric, pytest.approx(r.ci_lower), r.n_valid_bootstrap) for r in one] == [(r.metric, r.ci_lower, r.n_valid_bootstrap) for r in two]
+
+
+def test_custom_metrics_get_the_same_draws(preds):
+    def accuracy(cells, keys):
+        hits = F.sum(F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0))
+        return cells.groupBy(*keys).agg((hits / F.sum("n")).alias("value")).withColumn("metric", F.lit("accuracy"))
+
+    own = BS.bootstrap_ci(preds, accuracy, n_bootstrap=40).first()
+    named = BS.bootstrap_ci(preds, "accuracy", n_bootstrap=40).first()
+    assert own.asDict() == pytest.approx(named.asDict())
