@@ -8,11 +8,12 @@ a rank or two.  As ranks are correlated, the signature's variance is below that
 Equal sets are merged first.  The others meet in buckets of equal bands, where signatures are
 compared inside the task and a spanning forest of the likely pairs leaves it; the components of these
 forests are clusters, and no two documents of different clusters are likely to be linked.  Inside each
-cluster all pairs whose sizes allow a link are then verified on full sets, again inside the task, and a
-spanning forest of the verified links leaves it, whose components are the groups.  So what is passed
-on grows with the members of a group and never with its pairs, and no link is lost inside a cluster.  A
-link between clusters is lost only if its signatures share no band or agree in less than ``likely`` of the
-slots, more than five standard deviations below the threshold.  A bucket of more than ``bucket_rows`` members, or a cluster of more than ``cluster_rows``, is worked off
+cluster all pairs whose sizes allow a link are then decided on full sets, and again only spanning forests of verified links leave a task.
+A cluster is cut into blocks of bounded numbers of members and of shingles.  First every block is worked off by itself, with the cluster's
+smallest member as a visitor.  Members that this joins to the cluster's largest group need not meet each other again; only the
+others, the open ones, go on to all other blocks.  So a group of near copies passes each set on once, and no link is lost inside a
+cluster.  A link between clusters is lost only if its signatures share no band or agree in less than ``likely`` of the
+slots, more than five standard deviations below the threshold.  A bucket of more than ``bucket_rows`` members is worked off
 block against block.
 """
 
@@ -25,14 +26,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from bagstats.functions.spread import lookup
 from bagstats.llm.components import components
-from bagstats.llm.shingles import mix, set_digest, shingle_sets
+from bagstats.llm.memo import text_slices
+from bagstats.llm.shingles import SLICE_BYTES, mix, set_digest, shingle_sets
 from bagstats.sources.shared import written
 
 SLOTS = 96
 BAND_ROWS = 4
 ELEMENTS = 50_000  # elements whose permutations are held at a time
+BLOCK_SHINGLES = 1 << 20  # of a block of a cluster, on average
 _EMPTY = np.uint64(2**64 - 1)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _RANK = np.uint64(32)
@@ -124,6 +129,7 @@ def _alike(group: pa.RecordBatch, likely: float, min_ratio: float) -> np.ndarray
     low = np.frombuffer(b"".join(group.column("low").to_pylist()), np.uint8).reshape(-1, SLOTS)
     sizes = group.column("n_shingles").to_numpy()
     own = group.column("own").to_numpy()
+    kin = group.column("kin").to_numpy() if "kin" in group.schema.names else np.zeros(len(own), np.int64)
     across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
     alike = np.zeros((len(low), len(low)), np.int16)
     for k in range(len(low)):
@@ -132,6 +138,7 @@ def _alike(group: pa.RecordBatch, likely: float, min_ratio: float) -> np.ndarray
         keep[k] = False
         if across:
             keep &= own != own[k]
+        keep &= (kin != kin[k]) | (kin == 0)  # known to be of one group
         alike[k] = np.where(keep, np.maximum(agree, 1), 0)  # a pair that may be linked counts even without an equal slot
     return alike
 
@@ -160,8 +167,8 @@ def _linked(group: pa.RecordBatch, alike: np.ndarray, percent: int) -> np.ndarra
     return np.where(shared * 100 >= percent * union, alike, 0)
 
 
-def _forests(batches: Iterator[pa.RecordBatch], group: str, alike: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Edges of the spanning forest of every run of equal (group, i, j) in sorted rows; runs are small by construction."""
+def _forests(batches: Iterator[pa.RecordBatch], alike: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Edges of the spanning forest of every run of equal (team, i, j) in sorted rows; runs are small by construction."""
     rest: pa.Table | None = None
     found: set[tuple[bytes, bytes]] = set()
 
@@ -182,7 +189,7 @@ def _forests(batches: Iterator[pa.RecordBatch], group: str, alike: Callable[[pa.
         if not table.num_rows:
             continue
         code = pc.binary_join_element_wise(
-            *[pc.cast(table.column(c), pa.string()) if c != group else _as_text(table.column(c)) for c in (group, "i", "j")], ","
+            _as_text(table.column("team")), *[pc.cast(table.column(c), pa.string()) for c in ("i", "j")], ","
         ).combine_chunks()
         cuts = np.flatnonzero(pc.not_equal(code[1:], code[:-1]).to_numpy(zero_copy_only=False)) + 1
         for begin, end in zip([0, *cuts[:-1]], cuts, strict=False):
@@ -202,15 +209,68 @@ def _as_text(column: pa.ChunkedArray) -> pa.ChunkedArray:
     return pc.cast(column, pa.string())
 
 
-def _in_blocks(members: DataFrame, group: str, block_rows: int) -> DataFrame:
-    """Members of every group (of ``n`` rows) dealt into blocks; each row goes to all pairs of blocks that hold its own."""
-    blocks = F.ceil(F.col("n") / block_rows).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
-    others = F.explode(F.sequence(F.lit(0), blocks - 1))
-    spread = members.select("*", own.alias("own"), others.alias("other"))
-    spread = spread.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).drop("other", "n")
-    width = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return spread.repartition(width, group, "i", "j").sortWithinPartitions(group, "i", "j")
+def _sorted_groups(rows: DataFrame) -> DataFrame:
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["team", "i", "j"]
+    return rows.repartition(width, *keys).sortWithinPartitions(*keys)
+
+
+def _own_blocks(members: DataFrame) -> DataFrame:
+    """Members of every team in their own block, and its first member in all of them."""
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    everywhere = F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)
+    seats = F.when(F.col("node") == F.col("first"), everywhere).otherwise(F.array(own))
+    spread = members.withColumn("i", F.explode(seats)).drop("first", "blocks")
+    spread = spread.withColumns({"j": F.col("i"), "own": F.lit(0), "kin": F.lit(0).cast("long")})
+    return _sorted_groups(spread)
+
+
+def _against_open(members: DataFrame, block_rows: int) -> DataFrame:
+    """All members of the teams that have open ones, met with these in tiles: (block of the team, block of the open ones).
+
+    A tile's own members have ``own`` 0, its visitors 1; an open member is among the own members of its block as well, and pairs
+    of one group (``kin``) are known.  Only pairs of a member and a visitor are compared.
+    """
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    visits = F.ceil(F.col("n_open") / block_rows).cast("int")
+    seat = F.pmod(F.xxhash64("node", F.lit(1)), visits.cast("long")).cast("int")
+    kept = [F.col(c) for c in members.columns if c not in ("blocks", "n_open", "is_open", "first")]
+    own = members.select(*kept, F.lit(0).alias("own"), block.alias("i"), F.explode(F.sequence(F.lit(0), visits - 1)).alias("k"))
+    visitors = members.filter("is_open").select(
+        *kept, F.lit(1).alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("i"), seat.alias("k")
+    )
+    tiles = own.unionByName(visitors).withColumn("j", -1 - F.col("k")).drop("k")  # never i: a tile is always across
+    return _sorted_groups(tiles)
+
+
+def _forest_of_teams(
+    rows: DataFrame, teams: DataFrame, block_rows: int, complete: Callable[[DataFrame], DataFrame], alike: Callable[[pa.RecordBatch], np.ndarray]
+) -> DataFrame:
+    """Edges ``a, b`` that connect what is alike inside every team: ``rows`` (``node, team``) of ``teams`` (``team, first, blocks``, written).
+
+    ``complete`` adds what ``alike`` needs.  Every block is worked off by itself, with the team's first member as a
+    visitor; then, in teams that are not one group yet, what is outside the largest group meets all members of other groups.
+    """
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _forests(batches, alike)
+
+    edges = "a binary, b binary"
+    found = written(_own_blocks(complete(rows.join(teams, "team"))).mapInArrow(search, edges), "edges")
+    cut = teams.filter("blocks > 1")
+    if cut.isEmpty():
+        return found
+    large = rows.join(cut, "team").join(components(found, "a", "b"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    groups = large.groupBy("team", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = groups.groupBy("team").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")
+    )
+    unfinished = written(main.filter("n > most").select("team", "main", (F.col("n") - F.col("most")).alias("n_open")), "open")
+    if unfinished.isEmpty():
+        return found
+    parted = large.join(unfinished, "team").withColumn("is_open", F.col("component") != F.col("main"))
+    parted = parted.withColumn("kin", F.xxhash64("component")).drop("component", "main")
+    return found.unionByName(_against_open(complete(parted), block_rows).mapInArrow(search, edges))
 
 
 def near_duplicates(
@@ -260,32 +320,29 @@ def _grouped(
     sketched = written(sketches(docs, id_col, text_col, shingle), "sketches")
     # One node per distinct set; equal sets have equal signatures, so any row's will do.
     nodes = sketched.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"),
+        F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n_shingles").alias("n_shingles"),
         F.first("signature").alias("signature"), F.first("low").alias("low"),
     )
     nodes = written(nodes, "nodes")
     bands = F.explode(F.sequence(F.lit(0), F.lit(SLOTS // BAND_ROWS - 1))).alias("band")
     band = F.expr(f"substring(signature, band * {4 * BAND_ROWS} + 1, {4 * BAND_ROWS})")
-    buckets = nodes.select("node", "signature", bands).select("node", F.xxhash64("band", band).alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    meeting = buckets.join(shared, "bucket")
-    meeting = meeting.join(nodes.select("node", "n_shingles", "low"), "node")
+    buckets = nodes.select("node", "signature", bands).select("node", F.xxhash64("band", band).alias("team"))
+    shared = buckets.groupBy("team").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
+    shared = written(shared.select("team", "first", F.ceil(F.col("n") / bucket_rows).alias("blocks")), "buckets")
+    sizes = nodes.select("node", "n_shingles", "low")
     ratio = percent / 100
-
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _forests(batches, "bucket", lambda rows: _alike(rows, likely, ratio))
-
-    proposed = _in_blocks(meeting, "bucket", bucket_rows).mapInArrow(propose, "a binary, b binary")
-    found_clusters = components(proposed, "a", "b").withColumnRenamed("component", "cluster")
-    clusters = written(found_clusters, "clusters")
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    needed = clusters.join(sizes, "cluster").join(nodes.select("node", "first_id", "low"), "node")
-    sets = _sets(docs, needed, id_col, text_col, shingle)
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _forests(batches, "cluster", lambda rows: _linked(rows, _alike(rows, 0.0, ratio), percent))
-
-    links = _in_blocks(sets, "cluster", cluster_rows).mapInArrow(link, "a binary, b binary")
+    proposed = _forest_of_teams(buckets, shared, bucket_rows, lambda rows: rows.join(sizes, "node"), lambda rows: _alike(rows, likely, ratio))
+
+    clusters = components(proposed, "a", "b").withColumnRenamed("component", "team")
+    clusters = written(clusters.join(nodes.select("node", "row", "n_shingles", "low"), "node"), "clusters")
+    sums = clusters.groupBy("team").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("n") / cluster_rows), F.ceil(F.col("total") / BLOCK_SHINGLES)).alias("blocks")
+    # A cluster bears the name of its smallest member.
+    teams = written(sums.select("team", F.col("team").alias("first"), blocks), "teams")
+    links = _forest_of_teams(
+        clusters.drop("n_shingles"), teams, cluster_rows, lambda rows: _sets(docs, rows, id_col, text_col, shingle),
+        lambda rows: _linked(rows, _alike(rows, 0.0, ratio), percent),
+    )
     linked = components(links, "a", "b")
 
     labels = nodes.select("node", "first_id").join(linked, "node", "left")
@@ -298,24 +355,30 @@ def _grouped(
 
 
 def _sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """The wanted nodes with their full sets, each from one of its rows."""
+    """The wanted nodes with their full sets, each from one of its rows, found by id and text hash."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = texts.join(needed, F.col("doc_id").eqNullSafe(F.col("first_id")))
+    texts = texts.withColumn("text_hash", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("row.doc_id")) & (F.col("text_hash") == F.col("row.text_hash"))
+    carried = [c for c in needed.columns if c != "row"]
+    # Repeated rows are one again; two texts of one id and hash stay two, and the digest tells them apart.
+    rows = texts.join(needed, same).select("text", *carried).dropDuplicates(["node", "text"])
+    kinds = rows.select(*carried).schema
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, sets = [], []
-            for k, hashes in enumerate(shingle_sets(batch.column(0), shingle)):
-                if len(hashes) and set_digest(hashes) == batch.column(1)[k].as_py():  # rows may repeat an id with other texts
-                    kept.append(k)
-                    sets.append(hashes.tobytes())
-            chosen = batch.take(pa.array(kept, pa.int64()))
-            sizes = pa.array([len(x) // 8 for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*chosen.columns[1:], sizes, pa.array(sets, pa.binary())],
-                names=["node", "cluster", "n", "low", "n_shingles", "hashes"],
-            )
-
-    schema = "node binary, cluster binary, n long, low binary, n_shingles long, hashes binary"
-    built = rows.select("text", "node", "cluster", "n", "low").mapInArrow(build, schema)
-    return built.dropDuplicates(["node"])
+            begin = 0
+            for texts in text_slices(batch.column(0), SLICE_BYTES):
+                part = batch.slice(begin, len(texts))
+                begin += len(texts)
+                names = part.column(1 + carried.index("node"))
+                kept, sets = [], []
+                for k, hashes in enumerate(shingle_sets(texts, shingle)):
+                    if len(hashes) and set_digest(hashes) == names[k].as_py():
+                        kept.append(k)
+                        sets.append(hashes.tobytes())
+                chosen = part.take(pa.array(kept, pa.int64()))
+                sizes = pa.array([len(x) // 8 for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*chosen.columns[1:], sizes, pa.array(sets, pa.binary())], names=[*carried, "n_shingles", "hashes"])
+
+    schema = StructType([*kinds.fields, *StructType.fromDDL("n_shingles long, hashes binary").fields])
+    return rows.mapInArrow(build, schema)

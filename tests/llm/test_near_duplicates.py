@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from bagstats.llm import components as module
 from bagstats.llm import superminhash
 from bagstats.llm.components import components
 from bagstats.llm.superminhash import near_duplicates, signatures
@@ -103,3 +104,81 @@ def test_a_pair_at_the_threshold_is_missed_below_one_in_a_hundred_thousand():
     least = math.ceil(inspect.signature(near_duplicates).parameters["likely"].default * superminhash.SLOTS)
     refused = sum(math.comb(96, k) * 0.8**k * 0.2 ** (96 - k) for k in range(least))
     assert refused + (1 - 0.8**superminhash.BAND_ROWS) ** (superminhash.SLOTS // superminhash.BAND_ROWS) < 1e-5
+
+
+@pytest.mark.parametrize("hub", [1000, 2])
+def test_components_of_hubs(spark, monkeypatch, hub):
+    """Stars around the smallest, the largest and a middle node, joined in a chain; with salted hubs and without."""
+    monkeypatch.setattr(module, "HUB", hub)
+    edges = [(0, k) for k in range(1, 60)] + [(1000, 100 + k) for k in range(60)] + [(500, 2000 + k) for k in range(60)] + [(500, 300 + k) for k in range(60)]
+    edges += [(59, 100), (159, 300)] + [(5000 + k, 5000 + k + 1) for k in range(5)]
+    random.Random(3).shuffle(edges)
+    found = components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+    nodes = {n for e in edges for n in e}
+    assert {(r.node, r.component) for r in found} == {(n, 5000 if 5000 <= n else 0) for n in nodes} and len(found) == len(nodes)
+
+
+def test_many_rows_without_id(spark):
+    """2,000 different texts without id, in near pairs, and one of them 500 times: the work does not grow with their square."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(1000):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [(None, " ".join(words)), (None, " ".join([*words[:-1], "other"]))]
+    rows += [(7, rows[0][1]), *[(None, rows[2][1])] * 500]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5).collect()
+    assert len(found) == len(rows)
+    assert sum(r.component_id == 7 for r in found) == 3 and sum(r.component_id is None for r in found) == len(rows) - 3
+    reps = superminhash.representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert reps.count() == 1000 + 1  # one row of each pair, and of the named pair one with and one without id
+
+
+@pytest.mark.parametrize("open_share", [0.0, 0.2])
+def test_one_large_group(spark, monkeypatch, open_share):
+    """5,000 near copies of one text, some of which are linked only by way of others: every block sees all that is open."""
+    monkeypatch.setattr(superminhash, "BLOCK_SHINGLES", 1 << 16)
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for k in range(5000):
+        words = list(base)
+        # at most 8 of 97 shingles differ for one change; two changes far apart on both sides may lose the direct link
+        for _ in range(1 if rng.random() >= open_share else 4):
+            words[rng.randrange(100)] = f"new{k}"
+        rows.append((k, " ".join(words)))
+    rows += [(10_000 + k, " ".join(f"x{k}y{j}" for j in range(40))) for k in range(50)]
+    found = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()}
+    wanted = _linked_to(rows, 4, 80)
+    assert found == wanted
+
+
+def _linked_to(rows, size, percent):
+    """Components by counting shared shingles of all pairs (numpy)."""
+    vocabulary = {}
+    sets = [[vocabulary.setdefault(s, len(vocabulary)) for s in _shingles(t, size)] for _, t in rows]
+    lengths = np.array([len(s) for s in sets])
+    where = [[] for _ in vocabulary]
+    for k, s in enumerate(sets):
+        for x in s:
+            where[x].append(k)
+    common = [np.array(w) for w in where if len(w) > 1]
+    has = np.zeros((len(rows), len(common)), np.float32)
+    for c, w in enumerate(common):
+        has[w, c] = 1
+    label = np.arange(len(rows))
+    neighbours = []
+    for at in range(0, len(rows), 500):
+        shared = has[at : at + 500] @ has.T
+        union = lengths[at : at + 500, None] + lengths[None, :] - shared
+        neighbours += [np.flatnonzero(row) for row in shared * 100 >= percent * union]
+    for start in range(len(rows)):
+        if label[start] == start:
+            waiting, seen = [start], {start}
+            while waiting:
+                k = waiting.pop()
+                label[k] = start
+                for n in neighbours[k].tolist():
+                    if n not in seen:
+                        seen.add(n)
+                        waiting.append(n)
+    return {rows[k][0]: rows[label[k]][0] for k in range(len(rows))}
