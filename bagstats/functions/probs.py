@@ -13,8 +13,10 @@ def _column(col: str | Column) -> Column:
 
 
 def clip_unit(prob: str | Column) -> Column:
-    """Binary probability forced into [0, 1]."""
-    return F.least(F.greatest(_column(prob), F.lit(0.0)), F.lit(1.0))
+    """Binary probability forced into [0, 1]; null and NaN stay what they are."""
+    value = _column(prob)
+    missing = value.isNull() | F.isnan(value.cast("double"))
+    return F.when(missing, value).otherwise(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
 
 
 def array_total(values: Column) -> Column:

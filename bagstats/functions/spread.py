@@ -9,11 +9,15 @@ rows is still spread over the cluster.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bagstats.sources.shared import written
+
 _EARLIER = (Window.unboundedPreceding, -1)
+BESIDE_ROWS = 500_000  # of a narrow table that may be broadcast
 
 
 def _pieces(df: DataFrame, ceiling: int) -> int:
@@ -144,7 +148,9 @@ def lookup(
         copies = copies or _pieces(big, 64)
         big = big.withColumn(keep_salt, F.pmod(F.xxhash64(*spread_by), F.lit(copies)))
         salts = F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint"))
-        return big.join(small.withColumn(keep_salt, F.explode(salts)), [*on, keep_salt], how).select(*columns)
+        repeated = small.select(*[F.col(c).alias(f"__on_{c}") for c in on], *[c for c in small.columns if c not in on], F.explode(salts).alias("__on_salt"))
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on], F.col(keep_salt) == F.col("__on_salt"))
+        return big.join(repeated, same, how).select(*columns)
     if not any(big.schema[c].nullable and small.schema[c].nullable for c in on):
         return big.join(small, list(on), how).select(*columns)
     made_big, keys = _keys(big, on, "on")
@@ -156,6 +162,21 @@ def lookup(
     return left.join(right, keys, how).select(*columns)
 
 
+def beside(wide: DataFrame, narrow: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a table of wide rows to a narrow one, null with null, and leave the wide rows where they are if that can be.
+
+    The narrow table is written first and counted.  Up to ``BESIDE_ROWS`` rows, a few dozen megabytes, it is broadcast, so that no
+    exchange carries the wide rows; beyond that both sides meet by their keys.
+    """
+    held = written(narrow, "beside")
+    renamed = held.select(*[F.col(c).alias(f"__at_{c}") for c in on], *[c for c in held.columns if c not in on])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__at_{c}")) for c in on])
+    if held.count() <= BESIDE_ROWS:
+        renamed = F.broadcast(renamed)
+    more = [] if how in ("left_semi", "left_anti") else [c for c in held.columns if c not in on]
+    return wide.join(renamed, same, how).select(*wide.columns, *more)
+
+
 def keep_lowest(
     df: DataFrame,
     by: Sequence[str],
@@ -199,6 +220,27 @@ def category_grid(counts: DataFrame, left: str, right: str) -> DataFrame:
     return arrays.select(F.explode("__l").alias(left), "__r").select(left, F.explode("__r").alias(right))
 
 
+def even_buckets(df: DataFrame, value: str, bucket: str) -> DataFrame:
+    """Add the number of the bucket of a numeric column: buckets follow its order and hold about equal shares of the rows.
+
+    The cuts are quantiles of a mergeable sketch (KLL) of the column itself, so a narrow band of values is cut as finely as a wide one;
+    there are about four buckets for each shuffle partition.  Null goes to bucket 0.  A row finds its bucket
+    among the coarse cuts first and then among the fine ones between two of them.
+    """
+    side = max(4, min(64, round((4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) ** 0.5)))
+    shares = F.array(*[F.lit(k / side**2) for k in range(1, side**2)])
+    sketch = F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(2000))
+    number = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    cuts = df.filter(number).agg(F.when(F.count(F.lit(1)) > 0, F.kll_sketch_get_quantile_double(sketch, shares)).alias("cuts"))
+    held = df.withColumn("__cuts", cuts.scalar()).withColumn("__value", F.col(value).cast("double"))
+    coarse = F.transform(F.sequence(F.lit(1), F.lit(side - 1)), lambda k: F.get(F.col("__cuts"), k * side - 1))
+    held = held.withColumn("__step", F.coalesce(F.size(F.filter(coarse, lambda c: c < F.col("__value"))), F.lit(0)))
+    fine = F.slice("__cuts", F.col("__step") * side + 1, F.lit(side - 1))
+    inside = F.coalesce(F.size(F.filter(fine, lambda c: c < F.col("__value"))), F.lit(0))
+    number = F.when(F.col("__value").isNull(), F.lit(0)).otherwise(F.col("__step") * side + inside)
+    return held.withColumn(bucket, number).drop("__cuts", "__value", "__step")
+
+
 def magnitude_bucket(value: Column, per_unit: int = 64) -> Column:
     """Bucket of a number that follows its order, even on a logarithmic scale."""
     size = F.floor(F.log1p(F.abs(value)) * F.lit(per_unit))

@@ -1,8 +1,9 @@
 """Bags of patches: caps, crops, augmentation, assembly and batching.
 
 A patch table has one row per patch: ``slide_id, patch_idx, x, y`` and any wide
-columns such as ``features``.  Selection works on the four narrow columns only;
-the wide columns are joined to the survivors at the end.
+columns such as ``features``.  Selection works on the four narrow columns only and
+ends in cut-offs: the last chosen place of every slide, or of every cell of a slide.  The wide rows are
+compared with them where they stand (see ``beside``).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bagstats.functions.keys import hash_bucket, hash_key, normal, uniform, uniform_pair
-from bagstats.functions.spread import keep_lowest, lookup, ranked
+from bagstats.functions.spread import beside, keep_lowest, lookup, ranked
 
 KEY = ["slide_id", "patch_idx"]
 _WHOLE_SLIDE = -1  # pool of a slide whose grid is finer than the budget
@@ -22,15 +23,9 @@ _WHOLE_SLIDE = -1  # pool of a slide whose grid is finer than the budget
 # --- selection helpers ------------------------------------------------------
 
 
-def _select_back(patches: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Chosen patches with all columns of the patch table."""
-    if set(patches.columns) <= set(chosen.columns):
-        return chosen.select(*patches.columns)
-    return patches.join(chosen.select(*KEY), KEY, "left_semi")
-
-
 def _narrow(patches: DataFrame, *more: str) -> DataFrame:
-    return patches.select(*KEY, *more)
+    """The columns that selection reads; coordinates tell apart patches of one number."""
+    return patches.select(*KEY, *dict.fromkeys([*(c for c in ("x", "y") if c in patches.columns), *more]))
 
 
 def _sizes(patches: DataFrame) -> DataFrame:
@@ -47,31 +42,37 @@ def _extent(patches: DataFrame) -> DataFrame:
     )
 
 
-def _draw_order(seed: int | Column, *extra: str) -> list[Column]:
-    return [hash_key(seed, "slide_id", "patch_idx", *extra), F.col("patch_idx")]
+def _tie(patches: DataFrame) -> Column:
+    """Orders patches of one slide and number by their coordinates; patches alike in these too are one to a cut-off."""
+    return F.xxhash64(*[F.col(c).cast("double") for c in ("x", "y")]) if {"x", "y"} <= set(patches.columns) else F.lit(0).cast("bigint")
+
+
+def _draw_order(patches: DataFrame, seed: int | Column, *extra: str) -> list[Column]:
+    return [hash_key(seed, "slide_id", "patch_idx", *extra), F.col("patch_idx"), _tie(patches)]
+
+
+def _mark(order: Sequence[Column]) -> Column:
+    return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
 
 
 def _up_to_last(patches: DataFrame, chosen: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Patches that come no later in ``order`` than the last chosen one of their slide.
 
-    The chosen patches are the first of their slide, so one value per slide tells them from the
-    rest, and the wide rows are joined by slide to a table that is small enough to broadcast
-    whenever adaptive execution finds it so.
+    The chosen patches are the first of their slide, so one value per slide tells them from the rest.
     """
-    mark = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    last = chosen.groupBy("slide_id").agg(F.max(mark).alias("__last"))
-    return patches.join(last, "slide_id").filter(mark <= F.col("__last")).select(*patches.columns)
+    last = chosen.groupBy("slide_id").agg(F.max(_mark(order)).alias("__last"))
+    return beside(patches, last, ["slide_id"]).filter(_mark(order) <= F.col("__last")).select(*patches.columns)
 
 
 def cap_first_k(patches: DataFrame, k: int) -> DataFrame:
     """The first k patches of every bag by position, whatever gaps ``patch_idx`` has."""
-    order = [F.col("patch_idx")]
+    order = [F.col("patch_idx"), _tie(patches)]
     return _up_to_last(patches, keep_lowest(_narrow(patches), ["slide_id"], order, k, ["patch_idx"]), order)
 
 
 def cap_random_k(patches: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """k patches of every bag without replacement, repeatable per (seed, slide)."""
-    order = _draw_order(seed)
+    order = _draw_order(patches, seed)
     return _up_to_last(patches, keep_lowest(_narrow(patches), ["slide_id"], order, k, ["patch_idx"]), order)
 
 
@@ -95,29 +96,49 @@ def _axis_cell(kind: str, value: Column, low: Column, high: Column, grid: int) -
 _SALT = "__spread"
 
 
+def _cell(kind: str, grid: int) -> Column:
+    """Cell of a patch that stands beside its slide's extent."""
+    cell_x = _axis_cell(kind, F.col("x"), F.col("min_x"), F.col("max_x"), grid)
+    cell_y = _axis_cell(kind, F.col("y"), F.col("min_y"), F.col("max_y"), grid)
+    return (cell_x * F.lit(grid) + cell_y).cast("int")
+
+
 def _gridded(patches: DataFrame, kind: str, grid: int) -> tuple[DataFrame, DataFrame]:
     """Patches with their cell, and the cell table with sizes (at most grid * grid rows per slide)."""
     placed = lookup(
         _narrow(patches, "x", "y"), _extent(patches), ["slide_id"], ["patch_idx"], keep_salt=_SALT
     )
-    cell_x = _axis_cell(kind, F.col("x"), F.col("min_x"), F.col("max_x"), grid)
-    cell_y = _axis_cell(kind, F.col("y"), F.col("min_y"), F.col("max_y"), grid)
-    cell = (cell_x * F.lit(grid) + cell_y).cast("int")
-    placed = placed.select(*KEY, _SALT, "n", cell.alias("cell"))
+    placed = placed.select(*KEY, "x", "y", _SALT, "n", _cell(kind, grid).alias("cell"))
     cells = placed.groupBy("slide_id", "cell").agg(F.count(F.lit(1)).alias("n_cell"), F.max("n").alias("n"))
     return placed.drop("n"), cells
 
 
 def _first_per_cell(placed: DataFrame, quotas: DataFrame, k: int, seed: int) -> DataFrame:
-    """The first k patches of every cell in hash order with ``place`` and their cell's quota.
+    """The first k patches of every cell in hash order with ``place``, their ``mark`` and their cell's quota.
 
     No quota exceeds k, so nothing that could be chosen is lost, and a cell that
     holds most of a slide is down to k rows before the quotas are joined.
     """
-    keyed = placed.withColumn("__key", hash_key(seed, "slide_id", "patch_idx"))
-    order = [F.col("__key"), F.col("patch_idx")]
-    first = keep_lowest(keyed, ["slide_id", "cell"], order, k, salt=_SALT, place="place")
-    return first.join(quotas, ["slide_id", "cell"])
+    marked = placed.withColumn("mark", _mark(_draw_order(placed, seed)))
+    first = keep_lowest(marked, ["slide_id", "cell"], [F.col("mark")], k, salt=_SALT, place="place")
+    return lookup(first, quotas, ["slide_id", "cell"])
+
+
+def _within(patches: DataFrame, chosen: DataFrame, kind: str, grid: int, seed: int) -> DataFrame:
+    """All patches with ``__kept``: those no later than the last chosen patch of their cell (``pool`` is the cell), or than the
+    last of those chosen from the whole slide (``pool`` is ``_WHOLE_SLIDE``)."""
+    cuts = chosen.groupBy("slide_id", "pool").agg(F.max("mark").alias("__last"))
+    whole = cuts.filter(F.col("pool") == _WHOLE_SLIDE).select("slide_id", F.col("__last").alias("__whole"))
+    slides = lookup(_extent(patches), whole, ["slide_id"], how="left").drop("n")
+    cells = cuts.filter(F.col("pool") != _WHOLE_SLIDE).withColumnRenamed("pool", "__cell")
+    names = {c: f"__{c}" for c in ("min_x", "max_x", "min_y", "max_y")}
+    placed = beside(patches.withColumnsRenamed({c: f"__own_{c}" for c in names if c in patches.columns}), slides, ["slide_id"])
+    placed = placed.withColumn("__cell", _cell(kind, grid)).drop(*names)
+    placed = placed.withColumnsRenamed({f"__own_{c}": c for c in names if c in patches.columns})
+    cut = beside(placed, cells, ["slide_id", "__cell"], "left")
+    mark = _mark(_draw_order(patches, seed))
+    kept = F.coalesce(mark <= F.col("__last"), F.lit(False)) | F.coalesce(mark <= F.col("__whole"), F.lit(False))
+    return cut.select(*patches.columns, kept.alias("__kept"))
 
 
 def _greedy(cells: DataFrame, amount: Column, room: Column, order: Sequence[Column]) -> Column:
@@ -172,12 +193,7 @@ def _keep_all_when_small(quotas: DataFrame, k: int) -> DataFrame:
     return quotas.withColumn("quota", quota)
 
 
-def cap_spatial_sqrt(patches: DataFrame, k: int, grid: int = 32, seed: int = 42) -> DataFrame:
-    """k patches per bag over a grid; dense cells are damped by a square root.
-
-    A bag with no more than k patches stays whole; with at least k occupied cells
-    the k patches are drawn from the whole bag.
-    """
+def _sqrt_kept(patches: DataFrame, k: int, grid: int = 32, seed: int = 42) -> DataFrame:
     placed, cells = _gridded(patches, "sqrt", grid)
     counted = cells.withColumn("n_cells", F.count(F.lit(1)).over(Window.partitionBy("slide_id")))
     too_fine = (F.col("n_cells") >= k) & (F.col("n") > k)
@@ -186,24 +202,34 @@ def cap_spatial_sqrt(patches: DataFrame, k: int, grid: int = 32, seed: int = 42)
     rows = rows.filter(F.col("whole") | (F.col("place") <= F.col("quota")))
     pool = F.when(F.col("whole"), F.lit(_WHOLE_SLIDE)).otherwise(F.col("cell"))
     rows = rows.withColumn("pool", pool)
-    turn = F.row_number().over(Window.partitionBy("slide_id", "pool").orderBy("__key", "patch_idx"))
-    return _select_back(patches, rows.withColumn("turn", turn).filter(F.col("turn") <= k))
+    turn = F.row_number().over(Window.partitionBy("slide_id", "pool").orderBy("mark"))
+    chosen = rows.withColumn("turn", turn).filter(F.col("turn") <= k)
+    return _within(patches, chosen, "sqrt", grid, seed)
 
 
-def cap_spatial_proportional(patches: DataFrame, k: int, grid: int = 32, seed: int = 0) -> DataFrame:
-    """k patches per bag over a grid, each cell in proportion to its size."""
+def cap_spatial_sqrt(patches: DataFrame, k: int, grid: int = 32, seed: int = 42) -> DataFrame:
+    """k patches per bag over a grid; dense cells are damped by a square root.
+
+    A bag with no more than k patches stays whole; with at least k occupied cells
+    the k patches are drawn from the whole bag.
+    """
+    return _sqrt_kept(patches, k, grid, seed).filter("__kept").drop("__kept")
+
+
+def _proportional_kept(patches: DataFrame, k: int, grid: int = 32, seed: int = 0) -> DataFrame:
     placed, cells = _gridded(patches, "proportional", grid)
     quotas = _keep_all_when_small(_proportional_budgets(cells, k), k)
     rows = _first_per_cell(placed, quotas.select("slide_id", "cell", "quota"), k, seed)
-    return _select_back(patches, rows.filter(F.col("place") <= F.col("quota")))
+    chosen = rows.filter(F.col("place") <= F.col("quota")).withColumnRenamed("cell", "pool")
+    return _within(patches, chosen, "proportional", grid, seed)
 
 
-def cap_spatial_even(patches: DataFrame, k: int, grid: int = 32, seed: int = 42) -> DataFrame:
-    """k patches per bag spread evenly over the occupied cells, topped up at random.
+def cap_spatial_proportional(patches: DataFrame, k: int, grid: int = 32, seed: int = 0) -> DataFrame:
+    """k patches per bag over a grid, each cell in proportion to its size."""
+    return _proportional_kept(patches, k, grid, seed).filter("__kept").drop("__kept")
 
-    A cell gives the top-up at most ``need`` patches beyond its quota, and quota plus
-    need never exceed k, so the last window sees few rows of a slide.
-    """
+
+def _even_kept(patches: DataFrame, k: int, grid: int = 32, seed: int = 42) -> DataFrame:
     placed, cells = _gridded(patches, "even", grid)
     quotas = _keep_all_when_small(_even_budgets(cells, k, seed), k)
     taken = F.sum("quota").over(Window.partitionBy("slide_id"))
@@ -211,11 +237,36 @@ def cap_spatial_even(patches: DataFrame, k: int, grid: int = 32, seed: int = 42)
     quotas = quotas.select("slide_id", "cell", "quota", need.alias("need"))
     rows = _first_per_cell(placed, quotas, k, seed).filter(F.col("place") <= F.col("quota") + F.col("need"))
     rows = rows.withColumn("spare", F.col("place") > F.col("quota"))
-    turn = F.row_number().over(Window.partitionBy("slide_id", "spare").orderBy("__key", "patch_idx"))
-    rows = rows.withColumn("turn", turn)
-    return _select_back(patches, rows.filter(~F.col("spare") | (F.col("turn") <= F.col("need"))))
+    turn = F.row_number().over(Window.partitionBy("slide_id", "spare").orderBy("mark"))
+    rows = rows.withColumn("turn", turn).filter(~F.col("spare") | (F.col("turn") <= F.col("need")))
+    # What is beyond a cell's quota and no later than the last spare patch is a spare patch itself.
+    pool = F.when(F.col("spare"), F.lit(_WHOLE_SLIDE)).otherwise(F.col("cell"))
+    return _within(patches, rows.withColumn("pool", pool), "even", grid, seed)
 
 
+def cap_spatial_even(patches: DataFrame, k: int, grid: int = 32, seed: int = 42) -> DataFrame:
+    """k patches per bag spread evenly over the occupied cells, topped up at random.
+
+    A cell gives the top-up at most ``need`` patches beyond its quota, and quota plus
+    need never exceed k, so the last window sees few rows of a slide.
+    """
+    return _even_kept(patches, k, grid, seed).filter("__kept").drop("__kept")
+
+
+def _ordered_kept(patches: DataFrame, k: int, order: Sequence[Column]) -> DataFrame:
+    chosen = keep_lowest(_narrow(patches), ["slide_id"], order, k, ["patch_idx"])
+    last = chosen.groupBy("slide_id").agg(F.max(_mark(order)).alias("__last"))
+    return beside(patches, last, ["slide_id"], "left").withColumn("__kept", F.coalesce(_mark(order) <= F.col("__last"), F.lit(False))).drop("__last")
+
+
+# Every patch with ``__kept``, by the name of the cap.
+_KEPT: dict[str, Callable[..., DataFrame]] = {
+    "first": lambda patches, k: _ordered_kept(patches, k, [F.col("patch_idx"), _tie(patches)]),
+    "random": lambda patches, k, seed=42: _ordered_kept(patches, k, _draw_order(patches, seed)),
+    "spatial_sqrt": _sqrt_kept,
+    "spatial_proportional": _proportional_kept,
+    "spatial_even": _even_kept,
+}
 CAPS: dict[str, Callable[..., DataFrame]] = {
     "first": cap_first_k,
     "random": cap_random_k,
@@ -235,10 +286,12 @@ def cap_by_name(patches: DataFrame, k: int, strategy: str = "spatial_sqrt", **op
 
 def cap_bags(patches: DataFrame, k: int, strategy: str = "spatial_sqrt", **options) -> DataFrame:
     """Every patch with ``kept``: the table behind coverage reports."""
-    kept = cap_by_name(_narrow(patches, "x", "y"), k, strategy, **options)
-    marked = kept.select(*KEY, F.lit(True).alias("kept"))
-    joined = patches.join(marked, KEY, "left")
-    return joined.withColumn("kept", F.coalesce("kept", F.lit(False)))
+    if strategy not in _KEPT:
+        raise ValueError(f"Unknown cap strategy '{strategy}'. Must be one of: {sorted(CAPS)}")
+    if k <= 0:
+        raise ValueError(f"The cap must be positive, got {k}")
+    flagged = _KEPT[strategy](patches, k, **options)
+    return flagged.select(*[c for c in patches.columns if c != "kept"], F.col("__kept").alias("kept"))
 
 
 def multi_crop(patches: DataFrame, n_crops: int, k: int, strategy: str = "random", seed: int = 0) -> DataFrame:
@@ -246,14 +299,19 @@ def multi_crop(patches: DataFrame, n_crops: int, k: int, strategy: str = "random
 
     Crop c is drawn with seed ``seed + 1000 * c``.
     """
+    crops = F.sequence(F.lit(0), F.lit(n_crops - 1))
     if strategy == "first":
-        crops = F.explode(F.sequence(F.lit(0), F.lit(n_crops - 1)))
-        return cap_first_k(patches, k).withColumn("crop", crops)
+        return cap_first_k(patches, k).withColumn("crop", F.explode(crops))
     if strategy == "random":
-        rows = _narrow(patches).withColumn("crop", F.explode(F.sequence(F.lit(0), F.lit(n_crops - 1))))
-        key = F.col("crop") * F.lit(1000) + F.lit(seed)
-        chosen = keep_lowest(rows, ["crop", "slide_id"], _draw_order(key), k, ["patch_idx"])
-        return patches.join(chosen, KEY)
+        rows = _narrow(patches).withColumn("crop", F.explode(crops))
+        seeds = F.col("crop") * F.lit(1000) + F.lit(seed)
+        chosen = keep_lowest(rows, ["crop", "slide_id"], _draw_order(patches, seeds), k, ["patch_idx"])
+        last = chosen.groupBy("slide_id", "crop").agg(F.max(_mark(_draw_order(patches, seeds))).alias("last"))
+        # One row per slide with the cut-off of every crop in order; a wide row is repeated only for the crops it is in.
+        cuts = last.groupBy("slide_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("crop", "last"))), lambda c: c["last"]).alias("__cuts"))
+        wide = beside(patches, cuts, ["slide_id"])
+        inside = F.filter(crops, lambda c: _mark(_draw_order(patches, c * F.lit(1000) + F.lit(seed))) <= F.get("__cuts", c))
+        return wide.withColumn("crop", F.explode(inside)).select(*patches.columns, "crop")
     views = [cap_by_name(patches, k, strategy, seed=seed + 1000 * c).withColumn("crop", F.lit(c)) for c in range(n_crops)]
     out = views[0]
     for view in views[1:]:
@@ -278,7 +336,7 @@ def instance_dropout(patches: DataFrame, p: float, seed: int = 42) -> DataFrame:
     rescued = per_slide.filter((F.col("__any") == 0) | (F.col("__n") == 1)).select(
         "slide_id", F.col("__best").alias("patch_idx"), F.lit(True).alias("__rescued")
     )
-    joined = patches.join(rescued, KEY, "left")
+    joined = beside(patches, rescued, KEY, "left")
     return joined.filter((number > p) | F.col("__rescued")).drop("__rescued")
 
 

@@ -18,7 +18,7 @@ from bagstats.functions.keys import hash_bucket, hash_key, uniform
 from bagstats.functions.probs import with_prediction, with_probs
 from bagstats.functions.spread import lookup, ranked, spread_out
 from bagstats.operators.confusion import overall_scores
-from bagstats.operators.ranking import auroc_from_scores, auroc_macro
+from bagstats.operators.ranking import auroc_from_scores, auroc_macro, refused_unless_scored
 from bagstats.operators.scores import patient_aggregate, sized
 from bagstats.operators.weights import auroc_draws, confusion_draws, unit_key, weighted_rows
 
@@ -149,8 +149,8 @@ def _weighted_rows(
         scored = keyed.select(*by, "label", "__unit", "score")
         if n_classes > 2:
             scored = keyed.select(*by, "label", "__unit", F.posexplode("score").alias("class_id", "score"))
-        positive = F.col("label") == (F.col("class_id") if n_classes > 2 else F.lit(1))
-        scored = scored.select(*keys, (F.col("score") + F.lit(0.0)).alias("score"), positive.alias("positive"), "__unit")
+        positive = F.col("label") == F.col("class_id") if n_classes > 2 else F.when(F.col("label").isin(0, 1), F.col("label") == 1)
+        scored = scored.select(*keys, refused_unless_scored(F.col("score"), positive).alias("score"), positive.alias("positive"), "__unit")
         parts.append(_auroc_rows(auroc_draws(scored, keys, n_bootstrap), [*by, "b"], n_classes))
     return reduce(DataFrame.unionByName, parts)
 

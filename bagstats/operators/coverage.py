@@ -18,12 +18,8 @@ def kept_vs_all(all_patches: DataFrame, kept: DataFrame) -> DataFrame:
     return joined.withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
-def coverage_stats(all_patches: DataFrame, kept: DataFrame) -> DataFrame:
-    """Per slide: patches in all, kept, discarded, percent kept; two aggregates, no patch join."""
-    total = all_patches.groupBy("slide_id").agg(F.count(F.lit(1)).alias("n_total"))
-    stored = kept.groupBy("slide_id").agg(F.count(F.lit(1)).alias("n_kept"))
-    both = total.join(stored, "slide_id", "left").withColumn("n_kept", F.coalesce("n_kept", F.lit(0)))
-    return both.select(
+def _shares(counts: DataFrame) -> DataFrame:
+    return counts.select(
         "slide_id",
         "n_total",
         "n_kept",
@@ -33,6 +29,18 @@ def coverage_stats(all_patches: DataFrame, kept: DataFrame) -> DataFrame:
     )
 
 
+def coverage_stats(all_patches: DataFrame, kept: DataFrame) -> DataFrame:
+    """Per slide: patches in all, kept, discarded, percent kept; two aggregates, no patch join."""
+    total = all_patches.groupBy("slide_id").agg(F.count(F.lit(1)).alias("n_total"))
+    stored = kept.groupBy("slide_id").agg(F.count(F.lit(1)).alias("n_kept"))
+    return _shares(total.join(stored, "slide_id", "left").withColumn("n_kept", F.coalesce("n_kept", F.lit(0))))
+
+
+def coverage_of_index(index: DataFrame) -> DataFrame:
+    """The same from the counts of a store's index, without reading a patch."""
+    return _shares(index.select("slide_id", F.col("raw_patches").alias("n_total"), F.col("n_patches").alias("n_kept")))
+
+
 def coverage_overview(coverage: DataFrame) -> DataFrame:
     """Over capped slides: how many, and mean / smallest / median coverage."""
     pct = F.when(F.col("was_capped"), F.col("coverage_pct"))

@@ -13,6 +13,9 @@ from bagstats.functions.ids import normalize_slide_id
 from bagstats.functions.spread import lookup
 
 
+ORDINAL = "row_ordinal"  # the place of a row in its file, see ``read_csv_in_order``
+
+
 def require_columns(df: DataFrame, **needed: str) -> None:
     """Fail at once, naming what is missing and what there is."""
     for role, name in needed.items():
@@ -33,13 +36,13 @@ def drop_unlabelled(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 
 def dedup_slides(df: DataFrame, order_col: str, id_col: str = "slide_id") -> tuple[DataFrame, DataFrame]:
-    """First row of every id in ``order_col`` order, and the number of rows dropped.
+    """First row of every id in ``order_col`` order, and the number of rows dropped; ties go to the smallest row.
 
     The survivor is found with an aggregate that combines before the shuffle, so an
     id repeated very often does not fill one task.
     """
     rows = F.struct(*[F.col(c) for c in df.columns])
-    kept = df.groupBy(id_col).agg(F.min_by(rows, F.col(order_col)).alias("__row"))
+    kept = df.groupBy(id_col).agg(F.min_by(rows, F.struct(F.col(order_col), rows)).alias("__row"))
     first = kept.select("__row.*")
     counts = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
     dropped = counts.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("n_dropped"))
@@ -54,10 +57,13 @@ def prepare_manifest(
     order_col: str | None = None,
     root: str | None = None,
 ) -> DataFrame:
-    """Raw manifest rows to ``slide_id, group_id, filename, label`` plus all other columns."""
+    """Raw manifest rows to ``slide_id, group_id, filename, label`` plus all other columns.
+
+    Of rows of one slide the first by ``order_col`` stays (by default by their place in the file where that is known, else by file name).
+    """
     require_columns(df, Filename=filename_col, Label=label_col)
     with_id = df.withColumn("slide_id", normalize_slide_id(filename_col, root))
-    first, _ = dedup_slides(with_id, order_col or filename_col)
+    first, _ = dedup_slides(with_id, order_col or (ORDINAL if ORDINAL in df.columns else filename_col))
     grouped = derive_group(first, group_col)
     named = grouped
     for old, new in ((filename_col, "filename"), (label_col, "label")):
@@ -101,14 +107,17 @@ def restrict_to_manifest(
 
 
 def _last_per_slide(manifest: DataFrame, value_col: str, order_col: str | None) -> DataFrame:
-    order = F.col(order_col) if order_col else F.col(value_col)
-    return manifest.groupBy("slide_id").agg(F.max_by(F.col(value_col), order).alias(value_col))
+    """The last value of every slide: by ``order_col``, else by place in the file, else the largest; a last row without value gives null."""
+    order_col = order_col or (ORDINAL if ORDINAL in manifest.columns else None)
+    value = F.struct(F.col(value_col))
+    last = F.max_by(value, F.struct(F.col(order_col), value)) if order_col else F.max(value)
+    return manifest.groupBy("slide_id").agg(last[value_col].alias(value_col))
 
 
 def attach_patient(
     preds: DataFrame, manifest: DataFrame | None, patient_col: str = "patient_id", order_col: str | None = None
 ) -> DataFrame:
-    """Add the patient of every slide; the last manifest row wins, the slide id is the fallback."""
+    """Add the patient of every slide: that of its last manifest row (see ``_last_per_slide``), or else the slide id."""
     if patient_col in preds.columns:
         return preds
     own = F.col("slide_id").cast("string")
@@ -120,7 +129,7 @@ def attach_patient(
 
 
 def attach_labels(df: DataFrame, manifest: DataFrame, label_col: str = "label", order_col: str | None = None) -> DataFrame:
-    """Add the integer label of every slide (null when the manifest has none)."""
+    """Add the integer label of every slide: that of its last manifest row, null when there is none."""
     mapping = _last_per_slide(manifest, label_col, order_col)
     typed = mapping.withColumn(label_col, F.col(label_col).cast("int"))
     spread = [c for c in df.columns if c != "slide_id"] or ["slide_id"]

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bagstats.functions.probs import prob_columns
 from bagstats.operators.manifest import found_and_expected
 
+# Spark's names for a table without hidden file columns.
+NO_FILES = ("UNRESOLVED_COLUMN.WITH_SUGGESTION", "UNRESOLVED_COLUMN.WITHOUT_SUGGESTION", "FIELD_NOT_FOUND")
 # Reasons a slide is rejected, first failing one wins.
 REJECT_NO_FEATURES = "features missing"
 REJECT_NO_COORDS = "coords missing"
@@ -185,3 +188,23 @@ def source_fingerprint(index: DataFrame, settings: dict[str, object], length: in
     rows = order_free_fingerprint(index, facts, 64)
     mixed = F.sha2(F.concat_ws("|", F.col("fingerprint"), F.lit(text)), 256)
     return rows.select(F.substring(mixed, 1, length).alias("fingerprint"))
+
+
+def source_identity(files: DataFrame, settings: dict[str, object], length: int = 20) -> DataFrame:
+    """Hash of the files a table is read from (name, size, time of change) together with the build settings.
+
+    The facts come from Spark's hidden file columns, so no column of the table is read, and a file that was written anew
+    changes the mark whatever it holds.  A table that is not read from files is hashed row by row.
+    """
+    text = ";".join(f"{k}={settings[k]}" for k in sorted(settings))
+    try:
+        facts = files.select(*[F.col(f"_metadata.{c}") for c in ("file_path", "file_name", "file_size", "file_modification_time")]).distinct()
+        rows = order_free_fingerprint(
+            facts.withColumn("file_modification_time", F.unix_micros("file_modification_time")), ["file_name", "file_size", "file_modification_time"], 64
+        )
+    except AnalysisException as missing:
+        if missing.getCondition() not in NO_FILES:
+            raise
+        rows = order_free_fingerprint(files, None, 64)
+    mixed = F.sha2(F.concat_ws("|", F.col("fingerprint"), F.lit(text)), 256)
+    return rows.select(F.substring(mixed, 1, length).alias("fingerprint"))

@@ -1,9 +1,9 @@
 """Metrics that need the order of the scores: ROC, precision-recall, operating points.
 
 Rows with the same score are added up first.  The distinct scores are then cut
-into buckets by their log-odds, running sums are taken inside a bucket, and the
+into buckets of about equal size (see ``even_buckets``), running sums are taken inside a bucket, and the
 totals of the buckets before it are added: the same numbers as one global sort,
-without a task that sees all scores.
+without a task that sees all scores, however narrow their range is.
 """
 
 from __future__ import annotations
@@ -13,27 +13,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bagstats.functions.spread import even_buckets, lookup
 from bagstats.operators.scores import class_rows
 
-_PER_UNIT = 64  # buckets per unit of log-odds
-_FAR = 60_000  # beyond the bucket of any double strictly between 0 and 1
-
-
-def _bucket(score: Column) -> Column:
-    odds = F.floor(F.log(score / (F.lit(1.0) - score)) * F.lit(_PER_UNIT)).cast("int")
-    return F.when(score <= 0, F.lit(-_FAR)).when(score >= 1, F.lit(_FAR)).otherwise(odds)
+def refused_unless_scored(score: Column, positive: Column) -> Column:
+    """The score as a number, or the failure of the job: a null or NaN score, and an outcome that is neither 0 nor 1 (such as -1)."""
+    fine = score.isNotNull() & ~F.isnan(score.cast("double")) & positive.cast("int").isin(0, 1)
+    shown = [F.coalesce(c.cast("string"), F.lit("null")) for c in (score, positive)]
+    text = F.concat(F.lit("cannot rank score "), shown[0], F.lit(" with outcome "), shown[1])
+    return F.when(F.coalesce(fine, F.lit(False)), score.cast("double") + F.lit(0.0)).otherwise(F.raise_error(text).cast("double"))
 
 
 def score_table(
     preds: DataFrame, by: Sequence[str] = (), score: str = "prob_1", positive: str = "label", weight: str | None = None
 ) -> DataFrame:
-    """Positives and negatives per distinct score."""
+    """Positives and negatives per distinct score; a row that has no score, or an outcome other than 0 and 1, fails the job."""
     amount = F.col(weight) if weight else F.lit(1)
     is_positive = F.col(positive) == 1
     return (
         preds.select(
             *by,
-            (F.col(score) + F.lit(0.0)).alias("score"),
+            refused_unless_scored(F.col(score), F.col(positive)).alias("score"),
             F.when(is_positive, amount).otherwise(0).cast("bigint").alias("pos"),
             F.when(is_positive, 0).otherwise(amount).cast("bigint").alias("neg"),
         )
@@ -48,7 +48,7 @@ def cumulative_counts(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     Columns: ``threshold, pos, neg, tp, fp, n_pos, n_neg, next_pos, next_neg``;
     ``next_*`` is null on the last row of a group.
     """
-    cut = scored.withColumn("__b", _bucket(F.col("score")))
+    cut = even_buckets(scored, "score", "__b")
     buckets = cut.groupBy(*by, "__b").agg(
         F.sum("pos").alias("__p"),
         F.sum("neg").alias("__n"),
@@ -81,12 +81,15 @@ def cumulative_counts(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.lead("pos").over(inside).alias("__np"),
         F.lead("neg").over(inside).alias("__nn"),
     )
-    return rows.join(offsets, [*by, "__b"]).select(
+    # Both sides use one set of cuts; should they ever not, a bucket finds no offset and the job fails.
+    lost = F.raise_error(F.lit("buckets of the scores differ between two uses")).cast("bigint")
+    placed = lookup(rows, offsets, [*by, "__b"], how="left")
+    return placed.select(
         *by,
         "threshold",
         "pos",
         "neg",
-        (F.col("__tp") + F.col("__tp0")).alias("tp"),
+        (F.col("__tp") + F.coalesce("__tp0", lost)).alias("tp"),
         (F.col("__fp") + F.col("__fp0")).alias("fp"),
         "n_pos",
         "n_neg",
@@ -101,7 +104,7 @@ def auroc_from_scores(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     A positive counts the negatives below it, ties half.  The part inside a bucket
     and the part from lower buckets are added, so no join is needed.
     """
-    cut = scored.withColumn("__b", _bucket(F.col("score")))
+    cut = even_buckets(scored, "score", "__b")
     below = Window.partitionBy(*by, "__b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     lower = F.coalesce(F.sum("neg").over(below), F.lit(0))
     area = F.col("pos").cast("double") * (lower + F.col("neg") / 2)

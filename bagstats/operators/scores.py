@@ -94,8 +94,10 @@ def patient_aggregate(
 
 
 def class_rows(preds: DataFrame, n_classes: int, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per prediction and class: ``class_id, score, positive`` (one-vs-rest)."""
+    """One row per prediction and class: ``class_id, score, positive`` (one-vs-rest); a label outside the classes fails the job."""
     vectors = with_probs(preds)
     exploded = vectors.select(*keep, "label", F.posexplode(sized("probs", n_classes)).alias("class_id", "score"))
-    positive = (F.col("label") == F.col("class_id")).cast("bigint")
+    inside = F.coalesce(F.col("label").between(0, n_classes - 1), F.lit(False))
+    text = F.concat(F.lit(f"label outside {n_classes} classes: "), F.coalesce(F.col("label").cast("string"), F.lit("null")))
+    positive = F.when(inside, (F.col("label") == F.col("class_id")).cast("bigint")).otherwise(F.raise_error(text).cast("bigint"))
     return exploded.select(*keep, "class_id", "score", positive.alias("positive"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bagstats.functions.keys import hash_bucket, hash_key, uniform
 from bagstats.functions.spread import category_grid, lookup, ranked
 from bagstats.operators.manifest import filter_rule, group_majority_label
+from bagstats.sources.shared import written
 
 # Names of the split schemes and the columns each one adds.
 SCHEME_COLUMNS = {
@@ -299,14 +300,22 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return first
 
 
-def shard(df: DataFrame, n: int, order_col: str = "slide_id", prefix_lengths: Sequence[int] = (8, 11)) -> DataFrame:
-    """Every n-th row of the sorted list gets the same ``shard``; ids must be unique text.
+def shard(df: DataFrame, n: int, order_col: str = "slide_id") -> DataFrame:
+    """Every n-th row of the sorted list gets the same ``shard``; ids must be unique.
 
-    ``prefix_lengths`` cut the sorted ids into buckets for the exact row number.
+    The rows are dealt to sorted ranges by Spark's own sampling, whatever their ids have in common, and written once; the
+    counted rows of earlier ranges (one number a range, so they are broadcast) give every row its place.
     """
-    levels = [F.substring(F.col(order_col), 1, length) for length in prefix_lengths]
-    placed = ranked(df, [], [F.col(order_col)], levels, rank="__place")
-    return placed.withColumn("shard", F.pmod(F.col("__place") - 1, F.lit(n)).cast("int")).drop("__place")
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = df.repartitionByRange(width, order_col).withColumn("__range", F.spark_partition_id())
+    stored = written(ranges, "ranges")
+    counts = stored.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(order_col)) - 1
+    placed = stored.withColumn("__inside", inside).join(F.broadcast(offsets), "__range")
+    place = F.col("__offset") + F.col("__inside")
+    return placed.withColumn("shard", F.pmod(place, F.lit(n)).cast("int")).select(*df.columns, "shard")
 
 
 def hash_shard(df: DataFrame, n: int, key: str = "slide_id") -> DataFrame:

@@ -6,13 +6,14 @@ from dataclasses import asdict, dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from bagstats.operators.bags import CAPS
-from bagstats.operators.coverage import coverage_stats
+from bagstats.operators.coverage import coverage_of_index
 from bagstats.operators.manifest import restrict_to_manifest
-from bagstats.operators.quality import completeness, source_fingerprint
+from bagstats.operators.quality import completeness, order_free_fingerprint, source_identity
 from bagstats.sources.shared import NOT_THERE
-from bagstats.sources.store import bag_index, write_patch_store
+from bagstats.sources.store import write_patch_store
 from bagstats.sources.tables import write_coverage_stats
 
 
@@ -50,18 +51,29 @@ def _same_source(mark: DataFrame, path: str) -> bool:
     return stored is not None and stored["fingerprint"] == mark.first()["fingerprint"]
 
 
+def _mark(patches: DataFrame, manifest: DataFrame | None, config: StoreConfig) -> DataFrame:
+    """The files the patches are read from, the wanted slides and the settings."""
+    mark = source_identity(patches, asdict(config))
+    if manifest is None:
+        return mark
+    column = "slide_id" if "slide_id" in manifest.columns else "filename"
+    wanted = order_free_fingerprint(manifest.select(column).distinct(), [column], 20).select("fingerprint")
+    return mark.select(F.concat_ws("-", "fingerprint", wanted.scalar()).alias("fingerprint"))
+
+
 def build_store(
     patches: DataFrame, path: str, config: StoreConfig, manifest: DataFrame | None = None
 ) -> dict[str, DataFrame] | None:
     """Write the store and its reports; None when the stored source mark still matches.
 
-    The mark holds slide facts and settings only, so the check reads no features.
+    The mark of patches that are read from files holds names, sizes and times of these, the listed slides and the settings:
+    the check reads no column of the patches, and files that were written anew are seen whatever changed in them.
     """
-    wanted = restrict_to_manifest(patches, manifest) if manifest is not None else patches
     spark = patches.sparkSession
-    mark = source_fingerprint(bag_index(wanted, n_shards=config.n_shards), asdict(config))
+    mark = _mark(patches, manifest, config)
     if _same_source(mark, path):
         return None
+    wanted = restrict_to_manifest(patches, manifest) if manifest is not None else patches
     reports = {}
     if manifest is not None:
         report = completeness(manifest.select("slide_id"), wanted.select("slide_id"), config.require_all)
@@ -78,8 +90,7 @@ def build_store(
         config.n_shards,
         **(config.cap_options() if config.cap else {}),
     )
-    stored = spark.read.parquet(f"{path}/patches")
-    reports["coverage"] = coverage_stats(wanted.select("slide_id", "patch_idx"), stored.select("slide_id", "patch_idx"))
+    reports["coverage"] = coverage_of_index(spark.read.parquet(f"{path}/index"))
     write_coverage_stats(reports["coverage"], f"{path}/coverage")
     mark.write.mode("errorifexists").json(f"{path}/source")
     return reports

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bagstats.functions.keys import hash_bucket, hash_key
-from bagstats.functions.spread import running_sums
+from bagstats.functions.spread import beside, even_buckets, running_sums
 from bagstats.operators.bags import cap_by_name
 from bagstats.operators.quality import judge_bags, source_fingerprint, split_judged, validate_bag_index
+from bagstats.sources.shared import written
 
 # Fixed value: size limit of one export shard.
 SHARD_LIMIT_BYTES = 9_500_000_000
@@ -22,19 +23,22 @@ def _shard_of(n_shards: int) -> Column:
     return F.pmod(number, F.lit(n_shards)).cast("int")
 
 
-def bag_index(patches: DataFrame, raw: DataFrame | None = None, n_shards: int = 64) -> DataFrame:
+def bag_index(
+    patches: DataFrame, raw: DataFrame | None = None, n_shards: int = 64, raw_counts: DataFrame | None = None
+) -> DataFrame:
     """One row per slide: stored and raw patches, dimension, size, and its row range in a shard.
 
+    Raw patches are counted in ``raw``, or known already (``raw_counts``: ``slide_id, raw_patches``).
     Shards are hash shards, so ``n_shards`` bounds the slides one window sees;
     raise it with the number of slides.
     """
     stored = patches.groupBy("slide_id").agg(
         F.count(F.lit(1)).alias("n_patches"), F.max(F.size("features")).alias("feat_dim")
     )
-    if raw is None:
+    if raw is None and raw_counts is None:
         sized = stored.withColumn("raw_patches", F.col("n_patches"))
     else:
-        counts = raw.groupBy("slide_id").agg(F.count(F.lit(1)).alias("raw_patches"))
+        counts = raw_counts if raw is None else raw.groupBy("slide_id").agg(F.count(F.lit(1)).alias("raw_patches"))
         sized = stored.join(counts, "slide_id", "left").withColumn("raw_patches", F.coalesce("raw_patches", F.lit(0)))
     rows = sized.withColumn("shard", _shard_of(n_shards))
     before = Window.partitionBy("shard").orderBy("slide_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -51,41 +55,61 @@ def bag_index(patches: DataFrame, raw: DataFrame | None = None, n_shards: int =
     )
 
 
-def pack_by_size(
-    index: DataFrame, limit_bytes: int = SHARD_LIMIT_BYTES, exact: bool = False, range_digits: int = 2
-) -> DataFrame:
-    """Whole bags to export shards of limited size, in hash order.
+def pack_by_size(index: DataFrame, limit_bytes: int = SHARD_LIMIT_BYTES, exact: bool = False) -> DataFrame:
+    """Whole bags to export shards of limited size, in hash order: ``slide_id, est_bytes, pack``.
 
     The default cuts a distributed running sum at multiples of the limit; a bag that lies
     across a cut gets a shard of its own, so no shard of several bags passes the limit and
-    at most every other shard holds a single bag.  ``exact`` opens a new shard whenever the next bag would
-    not fit (an oversized bag gets its own); it runs per hash range, so
-    ``range_digits`` bounds the index rows of one task.
+    at most every other shard holds a single bag.  ``exact`` is the sequential rule: a new shard opens whenever the next bag would
+    not fit in the open one (an oversized bag has its own), one result for any partitioning.
     """
     keyed = index.select("slide_id", "est_bytes").withColumn("__key", hash_key("pack", "slide_id"))
-    if not exact:
-        sized = running_sums(
-            keyed, [], [F.col("__key"), F.col("slide_id")], [hash_bucket(F.col("__key"))], {"size": F.col("est_bytes")}
-        )
-        first = F.floor(F.col("size_before") / F.lit(limit_bytes))
-        across = F.col("size_before") + F.col("est_bytes") > (first + 1) * F.lit(limit_bytes)
-        return sized.select("slide_id", "est_bytes", (first * 2 + across.cast("bigint")).alias("pack"))
-    kind = dict(index.dtypes)["slide_id"]
-
-    def fill(part):
-        part = part.sort_values(["__key", "slide_id"], kind="stable")
-        numbers, number, used = [], 0, 0
-        for size in part["est_bytes"]:
-            if used > 0 and used + size > limit_bytes:
-                number, used = number + 1, 0
-            used += size
-            numbers.append(number)
-        part["pack"] = numbers
-        return part[["range", "slide_id", "est_bytes", "pack"]]
-
-    ranges = keyed.withColumn("range", hash_bucket(F.col("__key"), range_digits))
-    schema = f"range string, slide_id {kind}, est_bytes bigint, pack bigint"
-    return ranges.groupBy("range").applyInPandas(fill, schema)
+    order, levels = [F.col("__key"), F.col("slide_id")], [hash_bucket(F.col("__key"))]
+    if exact:
+        return _next_fit(keyed, order, levels, limit_bytes)
+    sized = running_sums(keyed, [], order, levels, {"size": F.col("est_bytes")})
+    first = F.floor(F.col("size_before") / F.lit(limit_bytes))
+    across = F.col("size_before") + F.col("est_bytes") > (first + 1) * F.lit(limit_bytes)
+    return sized.select("slide_id", "est_bytes", (first * 2 + across.cast("bigint")).alias("pack"))
+
+
+def _next_fit(keyed: DataFrame, order: Sequence[Column], levels: Sequence[Column], limit: int) -> DataFrame:
+    """Sequential next-fit without a sequence.
+
+    Were a shard to open at bag i, the next one would open at ``follower(i)``, the first bag whose end passes the start of i plus
+    the limit: a running count over starts and ends merged in one order gives it for all bags at once.  The shards that really open
+    are those reached from bag 0.  Each round adds the followers of all that is reached and doubles the reach of the
+    follower table, so their number of rounds is the logarithm of the number of shards.
+    """
+    sums = {"size": F.col("est_bytes"), "one": F.lit(1).cast("bigint")}
+    bags = running_sums(keyed, [], order, levels, sums)
+    start = F.col("size_before")
+    bags = written(bags.select("slide_id", "est_bytes", F.col("one_before").alias("i"), start.alias("start"), (start + F.col("est_bytes")).alias("end")), "bags")
+
+    marks = bags.select("i", F.inline(F.array(
+        F.struct(F.col("end").alias("at"), F.lit(1).cast("bigint").alias("ends")),
+        F.struct((F.col("start") + F.lit(limit)).alias("at"), F.lit(0).cast("bigint").alias("ends")),
+    )))
+    bucketed = even_buckets(marks, "at", "bucket")
+    # An end at the very limit still fits: ends come first among equal marks.
+    counted = running_sums(bucketed, [], [F.col("at"), F.col("ends").desc(), F.col("i")], [F.col("bucket")], {"fit": F.col("ends")})
+    follower = F.greatest(F.col("fit_before"), F.col("i") + 1)
+    jumps = written(counted.filter("ends = 0").select("i", follower.alias("next")), "followers")
+
+    opened = bags.filter("i = 0").select("i")
+    while True:
+        reached = opened.join(jumps, "i").select(F.col("next").alias("i"))
+        fresh = reached.join(bags.select("i"), "i", "left_semi").join(opened, "i", "left_anti").distinct()
+        fresh = written(fresh, "opened")
+        if fresh.isEmpty():
+            break
+        opened = written(opened.unionByName(fresh), "opened")
+        beyond = jumps.select(F.col("i").alias("next"), F.col("next").alias("beyond"))
+        jumps = written(jumps.join(beyond, "next").select("i", F.col("beyond").alias("next")), "followers")
+    marked = bags.join(opened.withColumn("opens", F.lit(1).cast("bigint")), "i", "left")
+    marked = marked.withColumn("opens", F.coalesce("opens", F.lit(0)))
+    placed = running_sums(marked, [], [F.col("i")], [F.floor(F.col("i") / 4096)], {"pack": F.col("opens")})
+    return placed.select("slide_id", "est_bytes", (F.col("pack_before") + F.col("opens") - 1).alias("pack"))
 
 
 def read_patches(
@@ -125,7 +149,7 @@ def write_patch_store(
 ) -> DataFrame:
     """Validate, cap, sort and publish patches; the index comes last and marks the store complete.
 
-    The scan facts (one row per slide) are written first, so validation runs once.
+    The scan facts (one row per slide) are written first, so validation runs once and raw patches are known.
     Range partitioning uses the patch index too, so a huge slide is cut over
     several files.  Returns the violations found when the store is read back.
     """
@@ -133,7 +157,7 @@ def write_patch_store(
     judge_bags(patches).write.mode("errorifexists").parquet(f"{path}/scan")
     valid, rejects = split_judged(spark.read.parquet(f"{path}/scan"))
     rejects.write.mode("errorifexists").json(f"{path}/rejects")
-    accepted = patches.join(valid.select("slide_id"), "slide_id", "left_semi")
+    accepted = beside(patches, valid.select("slide_id"), ["slide_id"], "left_semi")
     stored = cap_by_name(accepted, cap, strategy, **cap_options) if cap else accepted
     (
         stored.repartitionByRange("slide_id", "patch_idx")
@@ -143,7 +167,7 @@ def write_patch_store(
         .parquet(f"{path}/patches")
     )
     back = spark.read.parquet(f"{path}/patches")
-    index = bag_index(back, accepted if cap else None, n_shards)
+    index = bag_index(back, None, n_shards, valid.select("slide_id", F.col("n_patches").alias("raw_patches")))
     index.write.mode("errorifexists").parquet(f"{path}/index")
     stored_index = spark.read.parquet(f"{path}/index")
     settings = {"cap": cap, "strategy": strategy, "n_shards": n_shards, **cap_options}

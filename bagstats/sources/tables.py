@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bagstats.functions.ids import normalize_slide_id
 from bagstats.functions.probs import prob_columns
-from bagstats.operators.manifest import prepare_manifest, require_columns
+from bagstats.operators.manifest import ORDINAL, prepare_manifest, require_columns
 from bagstats.operators.quality import order_free_fingerprint
 
 SCHEMA_VERSION = 1
@@ -18,6 +18,19 @@ SCHEMA_VERSION = 1
 # --- manifests --------------------------------------------------------------
 
 
+def read_csv_in_order(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """CSV rows as text with ``row_ordinal``, which orders them as they stand: by file, block of the file, and row in it.
+
+    The number of a row grows inside one task and a block is read by one task, so it orders the rows of a block whatever
+    else the task reads.  A quoted value may hold line breaks; without ``multi_line`` it may not, and large files are cut into blocks.
+    """
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+    )
+    return raw.select("*", place.alias(ORDINAL))
+
+
 def read_manifest(
     spark: SparkSession,
     path: str,
@@ -26,14 +39,19 @@ def read_manifest(
     group_col: str | None = None,
     site_col: str | None = None,
     order_col: str | None = None,
+    multi_line: bool = True,
+    keep_order: bool = False,
 ) -> DataFrame:
-    """CSV manifest as a typed slide table; all columns are text, extras pass through."""
-    raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    """CSV manifest as a typed slide table; all columns are text, extras pass through.
+
+    Of rows of one slide the first in the file stays, or the first by ``order_col``.  ``keep_order`` keeps ``row_ordinal``.
+    """
+    raw = read_csv_in_order(spark, path, multi_line)
     require_columns(raw, Filename=filename_col, Label=label_col)
-    out = prepare_manifest(raw, filename_col, label_col, group_col, order_col)
+    out = prepare_manifest(raw, filename_col, label_col, group_col, order_col or ORDINAL)
     if site_col and site_col in out.columns and site_col != "site":
         out = out.withColumnRenamed(site_col, "site")
-    return out
+    return out if keep_order else out.drop(ORDINAL)
 
 
 def read_slide_list(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:

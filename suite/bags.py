@@ -183,7 +183,7 @@ def packs(spark, sf):
 
 
 def packs_exact(spark, sf):
-    return store.pack_by_size(_order_index(spark, sf), 512, exact=True, range_digits=2)
+    return store.pack_by_size(_order_index(spark, sf), 512, exact=True)
 
 
 def _order_index(spark, sf):
@@ -403,12 +403,9 @@ WITH {_INDEX}, {_packed(4096)} SELECT slide_id, est_bytes, pack FROM packed""",
 WITH {_INDEX}, {_packed(100)}, g AS (SELECT pack, count(*) AS n_bags, CAST(sum(est_bytes) AS BIGINT) AS bytes FROM packed GROUP BY 1)
 SELECT *, n_bags > 1 AND bytes > 100 AS over FROM g""",
     "S6_pack_by_size_exact": f"""
-WITH RECURSIVE {_INDEX}, b AS (SELECT slide_id, n_patches * 24 AS est_bytes, substr({_PACK}, 1, 2) AS "range",
-  row_number() OVER (PARTITION BY substr({_PACK}, 1, 2) ORDER BY {_PACK}, slide_id) AS r FROM idx),
-f AS (SELECT "range", slide_id, est_bytes, r, CAST(0 AS BIGINT) AS pack, CAST(est_bytes AS BIGINT) AS used FROM b WHERE r = 1
-  UNION ALL
-  SELECT b."range", b.slide_id, b.est_bytes, b.r, CASE WHEN f.used > 0 AND f.used + b.est_bytes > 512 THEN f.pack + 1 ELSE f.pack END,
-         CAST(CASE WHEN f.used > 0 AND f.used + b.est_bytes > 512 THEN b.est_bytes ELSE f.used + b.est_bytes END AS BIGINT)
-  FROM f JOIN b ON b."range" = f."range" AND b.r = f.r + 1)
-SELECT "range", slide_id, est_bytes, pack FROM f""",
+WITH RECURSIVE {_INDEX}, b AS (SELECT slide_id, n_patches * 24 AS est_bytes, row_number() OVER w - 1 AS i,
+  CAST(sum(n_patches * 24) OVER w AS BIGINT) AS ends FROM idx WINDOW w AS (ORDER BY {_PACK}, slide_id)),
+nx AS (SELECT i, greatest(i + count(*) OVER (ORDER BY ends RANGE BETWEEN CURRENT ROW AND greatest(512 - est_bytes, 0) FOLLOWING), i + 1) AS next FROM b),
+f AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS pack UNION ALL SELECT nx.next, f.pack + 1 FROM f JOIN nx USING (i) WHERE nx.next < (SELECT count(*) FROM b))
+SELECT slide_id, est_bytes, last_value(f.pack IGNORE NULLS) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pack FROM b LEFT JOIN f USING (i)""",
 }

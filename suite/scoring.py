@@ -145,13 +145,15 @@ def oof(spark, sf):
 
 
 def probe(spark, sf):
+    """Folds stratified by the slides' labels, class by class in the result."""
     patches = V.embed_patches(spark, sf)
     labels = patches.groupBy("slide_id").agg(F.mode("label", True).alias("label"))
     vectors = P.pool_mean(patches).join(labels, "slide_id")
-    manifest = labels.select(F.col("slide_id").cast("string").alias("slide_id"), F.col("slide_id").cast("string").alias("group_id"), F.lit("all").alias("label"))
+    name = F.col("slide_id").cast("string")
+    manifest = labels.select(name.alias("slide_id"), name.alias("group_id"), F.col("label").cast("string").alias("label"))
     roles = SP.fold_roles(SP.kfold_split(manifest, 3), "kfold", 3).withColumn("slide_id", F.col("slide_id").cast("bigint"))
-    out = S.linear_probe_cv(vectors, roles, 3)
-    return out.select("fold", "slide_id", "label", F.size("probs").alias("n_classes"), F.round(PR.array_total(F.col("probs")), 6).alias("prob_sum"))
+    out = S.linear_probe_cv(vectors, roles, 3).withColumn("t", PR.top_class("probs"))
+    return out.select("fold", "slide_id", "label", F.size("probs").alias("n_classes"), "t.pred_class", F.round("t.pred_prob", 6).alias("pred_prob"))
 
 
 def renormalized(spark, sf):

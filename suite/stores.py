@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from bagstats.operators import bags as B
 from bagstats.operators import coverage as C
+from bagstats.operators import manifest as M
 from bagstats.operators import pooling as P
 from bagstats.operators import quality as Q
 from bagstats.operators import ranking as R
 from bagstats.operators import splits as S
 from bagstats.sources import store as ST
 from bagstats.sources import tables as T
+from bagstats.sources import validated as VD
 from bagstats.sources.shared import fresh_path
 from bagstats.streaming import jobs as J
 from suite import views as V
@@ -46,22 +48,63 @@ def splits_stored(spark, sf):
     return T.read_splits(spark, path, manifest, "kfold-5-42").select("slide_id", "group_id", "label", "fold")
 
 
+def _hash_splits(manifest):
+    return S.hash_threshold_split(manifest, {"train": 0.8, "val": 0.2})
+
+
 def integrity(spark, sf):
-    """Against the right manifest and against one with a single changed label."""
+    """Against the right manifest and against one in which a tenth of the labels changed."""
     path = fresh_path(spark, "splits")
     manifest = V.manifest(spark, sf)
-    T.write_splits(S.hash_threshold_split(manifest, {"train": 0.8, "val": 0.2}), path, manifest, "hash-42")
-    changed = manifest.withColumn("label", F.when(F.col("slide_id") == "slide_0", "X").otherwise(F.col("label")))
-    good = T.verify_integrity(spark, path, manifest).select(F.lit("same").alias("case"), "intact")
-    return good.unionByName(T.verify_integrity(spark, path, changed).select(F.lit("changed").alias("case"), "intact"))
+    T.write_splits(_hash_splits(manifest), path, manifest, "hash-42")
+    changed = manifest.withColumn("label", F.when(F.col("slide_id").endswith("7"), "X").otherwise(F.col("label")))
+    good = T.verify_integrity(spark, path, manifest).select(F.lit("same").alias("case"), "*")
+    return good.unionByName(T.verify_integrity(spark, path, changed).select(F.lit("changed").alias("case"), "*"))
 
 
 def identity(spark, sf):
+    """Settings that hold facts of the table, against the same and against those of the table without one site."""
     path = fresh_path(spark, "splits")
     manifest = V.manifest(spark, sf)
-    T.write_splits(S.hash_threshold_split(manifest, {"train": 0.8, "val": 0.2}), path, manifest, "hash-42")
-    good = T.verify_identity(spark, path, "hash-42").select(F.lit("same").alias("case"), "same")
-    return good.unionByName(T.verify_identity(spark, path, "hash-43").select(F.lit("other").alias("case"), "same"))
+    T.write_splits(_hash_splits(manifest), path, manifest, f"hash-42;slides={manifest.count()}")
+    fewer = manifest.filter("site <> '1-URGENT'").count()
+    good = T.verify_identity(spark, path, f"hash-42;slides={manifest.count()}").select(F.lit("same").alias("case"), "*")
+    return good.unionByName(T.verify_identity(spark, path, f"hash-42;slides={fewer}").select(F.lit("other").alias("case"), "*"))
+
+
+def identity_of_files(spark, sf):
+    """The mark of a table's files: read again, and after its features (and nothing else) were written anew."""
+    path, other = fresh_path(spark, "patches"), fresh_path(spark, "patches")
+    rows = V.patches(spark, sf)
+    rows.write.parquet(path)
+    changed = F.transform("features", lambda v: v + 1)
+    spark.read.parquet(path).withColumn("features", changed).write.parquet(other)
+    marks = [Q.source_identity(spark.read.parquet(p), {"cap": 200}).first()[0] for p in (path, path, other)]
+    slides = spark.read.parquet(other).agg(F.count_distinct("slide_id").alias("n_slides"), F.count(F.lit(1)).alias("n_patches"))
+    return slides.select("*", F.lit(marks[0] == marks[1]).alias("same_again"), F.lit(marks[0] == marks[2]).alias("same_after_change"))
+
+
+def manifest_in_order(spark, sf):
+    """Items as a CSV in the order of their number, most slides several times: the first row of a slide stays, the last names its patient."""
+    path = fresh_path(spark, "manifest")
+    rows = V.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
+    slide = F.concat(F.lit("scan\n"), (F.col("o_orderkey") % 997).cast("string"), F.lit(".svs"))  # a line break inside a value
+    sorted_rows = rows.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey")
+    sorted_rows.select(slide.alias("filename"), F.col("o_orderstatus").alias("label"), F.col("o_custkey").alias("patient_id")).write.option("header", True).csv(path)
+    first = T.read_manifest(spark, path)
+    every = T.read_csv_in_order(spark, path).withColumn("slide_id", F.regexp_replace("filename", r"\.svs$", ""))
+    last = M.attach_patient(first.select("slide_id", "label"), every)
+    return last.select(F.substring("slide_id", 6, 10).cast("bigint").alias("slide_no"), "label", F.col("patient_id").cast("bigint").alias("patient_id"))
+
+
+def checked_while_written(spark, sf):
+    """Damaged patches and predictions, all rules in the pass that writes them."""
+    patches = _broken(spark, sf).withColumn("features", F.when((F.col("slide_id") % 10 == 7) & (F.col("x") == 0), F.array(*[F.lit(float("nan"))] * 4)).otherwise(F.col("features")))
+    preds = V.predictions(spark, sf).withColumn("prob_1", F.when(F.col("slide_id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("prob_1")))
+    one = VD.write_validated(patches, fresh_path(spark, "checked"), VD.composed(VD.not_empty(), VD.whole_patches(4)), fail=False)
+    rules = VD.composed(VD.not_empty(), VD.no_nans(preds), VD.holds("two labels", "label in (0, 1)"))
+    two = VD.write_validated(preds, fresh_path(spark, "checked"), rules, fail=False)
+    return one.withColumn("table", F.lit("patches")).unionByName(two.withColumn("table", F.lit("predictions")))
 
 
 def _stored_patches(spark, sf):
@@ -249,6 +292,9 @@ QUERIES = {
     "Q7_verify_identity": identity,
     "W10_range_gaps": gaps,
     "A39_source_fingerprint": source_mark,
+    "A39_source_identity": identity_of_files,
+    "S1_read_manifest_in_order": manifest_in_order,
+    "Q9_checked_while_written": checked_while_written,
     "R1_stream_score": stream_scored,
     "R2_stream_ingest_diff": stream_once,
     "R2_stream_ingest_watermark": stream_once_watermark,
@@ -277,6 +323,17 @@ def _gap_cte(source: str) -> str:
 _MARK_DIGEST = "sha256(concat_ws(chr(31), 'v' || CAST(slide_id AS VARCHAR), 'v' || CAST(n_patches AS VARCHAR), 'v' || CAST(raw_patches AS VARCHAR), 'v4', 'v2'))"
 _LANES = ", ".join(f"CAST(sum(CAST(CAST('0x' || substr(d, {1 + 15 * i}, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS s{i}" for i in range(4))
 
+_MANIFEST, _SPLITS = ["filename", "group_id", "label", "site", "slide_id"], ["group_id", "label", "slide_id", "split"]
+
+
+def _order_free(source: str, columns: list[str], name: str) -> str:
+    """CTE ``name`` with ``f``: the hash of all rows of a table, whatever their order."""
+    marked = ", ".join(f"coalesce('v' || CAST({c} AS VARCHAR), 'n')" for c in columns)
+    lanes = ", ".join(f"s{i}" for i in range(4))
+    return f"""{name}_s AS (SELECT count(*) AS n, {_LANES} FROM (SELECT sha256(concat_ws(chr(31), {marked})) AS d FROM {source})),
+{name} AS (SELECT sha256(concat_ws('|', '{",".join(columns)}', CAST(n AS VARCHAR), {lanes})) AS f FROM {name}_s)"""
+
+
 ORACLES = {
     "S1_read_manifest": with_views("v_manifest", """
 SELECT slide_id, CASE WHEN site <> '5-LOW' THEN group_id ELSE slide_id END AS group_id, label, site FROM v_manifest WHERE label <> 'P'"""),
@@ -302,8 +359,29 @@ UNION ALL SELECT slide_id, 'raw count below stored' FROM b WHERE raw_patches < n
 UNION ALL SELECT slide_id, 'range ' || problem FROM gap
 UNION ALL SELECT slide_id, 'shard out of range' FROM b WHERE shard < 0 OR shard >= 8
 UNION ALL SELECT slide_id, 'count differs from patches' FROM b FULL JOIN st USING (slide_id) WHERE n_patches IS DISTINCT FROM stored"""),
-    "Q6_verify_integrity": "SELECT 'same' AS \"case\", count(*) = count(*) AS intact FROM orders UNION ALL SELECT 'changed', count(*) FILTER (o_orderkey = 0) = 0 FROM orders",
-    "Q7_verify_identity": "SELECT 'same' AS \"case\", TRUE AS same UNION ALL SELECT 'other', FALSE",
+    "Q6_verify_integrity": with_views("v_manifest", f"""
+WITH sp AS ({SPLIT_ORACLES["W7_hash_threshold_split"]}), ch AS (SELECT slide_id, filename, group_id, CASE WHEN slide_id LIKE '%7' THEN 'X' ELSE label END AS label, site FROM v_manifest),
+{_order_free("v_manifest", _MANIFEST, "ma")}, {_order_free("ch", _MANIFEST, "mb")}, {_order_free("sp", _SPLITS, "ms")},
+digests AS (SELECT substr(sha256(ma.f || '|' || ms.f), 1, 16) AS stored, substr(sha256(mb.f || '|' || ms.f), 1, 16) AS other FROM ma, mb, ms)
+SELECT 'same' AS "case", stored, stored AS current, TRUE AS intact FROM digests UNION ALL SELECT 'changed', stored, other, stored = other FROM digests"""),
+    "Q7_verify_identity": """
+WITH n AS (SELECT sha256('hash-42;slides=' || CAST(count(*) AS VARCHAR)) AS a, sha256('hash-42;slides=' || CAST(count(*) FILTER (o_orderpriority <> '1-URGENT') AS VARCHAR)) AS b FROM orders)
+SELECT 'same' AS "case", substr(a, 1, 16) AS stored, substr(a, 1, 16) AS requested, TRUE AS same FROM n
+UNION ALL SELECT 'other', substr(a, 1, 16), substr(b, 1, 16), a = b FROM n""",
+    "A39_source_identity": with_views("v_patches", "SELECT count(DISTINCT slide_id) AS n_slides, count(*) AS n_patches, TRUE AS same_again, FALSE AS same_after_change FROM v_patches"),
+    "S1_read_manifest_in_order": """
+SELECT o_orderkey % 997 AS slide_no, arg_min(o_orderstatus, o_orderkey) AS label, arg_max(o_custkey, o_orderkey) AS patient_id FROM orders GROUP BY 1""",
+    "Q9_checked_while_written": with_views("v_patches v_pred", f"""
+WITH {_BROKEN}, e AS (SELECT dd.*, dim IS NOT NULL AND dim = 4 AND slide_id % 10 = 7 AND x = 0 AS bad FROM dd JOIN v_patches USING (slide_id, patch_idx)),
+n AS (SELECT count(*) AS n_rows FROM dd)
+SELECT 'patches' AS "table", 'not empty' AS rule, CAST(0 AS BIGINT) AS violations, n_rows FROM n
+UNION ALL SELECT 'patches', 'features present', (SELECT count(*) FILTER (dim IS NULL) FROM dd), n_rows FROM n
+UNION ALL SELECT 'patches', 'coordinates present', (SELECT count(*) FILTER (NOT has_xy) FROM dd), n_rows FROM n
+UNION ALL SELECT 'patches', 'feature dimension', (SELECT count(*) FILTER (dim <> 4) FROM dd), n_rows FROM n
+UNION ALL SELECT 'patches', 'no NaN in features', (SELECT count(*) FILTER (bad) FROM e), n_rows FROM n
+UNION ALL SELECT 'predictions', 'not empty', 0, count(*) FROM v_pred
+UNION ALL SELECT 'predictions', 'no NaN in prob_1', count(*) FILTER (slide_id % 11 = 0), count(*) FROM v_pred
+UNION ALL SELECT 'predictions', 'two labels', 0, count(*) FROM v_pred"""),
     "W10_range_gaps": with_views("v_patches", f"""
 WITH {_IDX}, m AS (SELECT slide_id, shard, n_patches, start_row + CASE WHEN slide_id % 7 = 0 THEN 5 ELSE 0 END AS start_row FROM i), {_gap_cte("m")} SELECT * FROM gap"""),
     "A39_source_fingerprint": with_views("v_patches", f"""

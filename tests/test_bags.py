@@ -3,8 +3,10 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
+from bagstats.functions import spread
 from bagstats.operators import bags as B
 from bagstats.operators import coverage as C
+from bagstats.sources import shared
 
 
 @pytest.fixture(scope="module")
@@ -199,3 +201,54 @@ def test_unknown_cap(patches):
         B.cap_by_name(patches, 5, "nope")
     with pytest.raises(ValueError, match="positive"):
         B.cap_by_name(patches, 0, "random")
+
+
+CAPPED = {"first": {}, "random": {}, "spatial_sqrt": {"grid": 4}, "spatial_proportional": {"grid": 4}, "spatial_even": {"grid": 4}}
+
+
+def _plan_lines(df):
+    return df._jdf.queryExecution().executedPlan().toString().splitlines()
+
+
+@pytest.mark.parametrize("strategy", CAPPED)
+def test_no_exchange_carries_features(spark, strategy):
+    """Caps, crops, flags and dropout read features once and leave them where they are."""
+    path = shared.fresh_path(spark, "wide")
+    data = [(s, i, (i * 7 + s) % 50, (i * 3) % 40, [float(i), 1.0]) for s in range(5) for i in range(60 + s)]
+    spark.createDataFrame(data, "slide_id long, patch_idx int, x int, y int, features array<double>").repartition(3).write.parquet(path)
+    wide = spark.read.parquet(path)
+    views = [B.cap_by_name(wide, 10, strategy, **CAPPED[strategy]), B.cap_bags(wide, 10, strategy, **CAPPED[strategy])]
+    if strategy == "random":
+        views += [B.multi_crop(wide, 3, 10), B.instance_dropout(wide, 0.5)]
+    for view in views:
+        lines = _plan_lines(view)
+        reads = [k for k, line in enumerate(lines) if "FileScan" in line and "features" in line]
+        assert len(reads) == 1
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        above, level = [], depth(lines[reads[0]])
+        for line in reversed(lines[: reads[0]]):  # the operators between the scan and the result
+            if depth(line) < level:
+                above.append(line)
+                level = depth(line)
+        assert not [line for line in above if "Exchange" in line]
+    kept = views[0].groupBy("slide_id").count().collect()
+    assert {r["count"] for r in kept} == {10}
+
+
+@pytest.mark.parametrize("strategy", CAPPED)
+def test_caps_of_null_slides_and_repeated_numbers(spark, strategy):
+    data = [(None, i, i, i) for i in range(30)] + [(1, 5, i, 2 * i) for i in range(30)] + [(2, 0, 3, 3)]
+    df = spark.createDataFrame(data, "slide_id long, patch_idx int, x int, y int")
+    kept = {r.slide_id: r["count"] for r in B.cap_by_name(df, 7, strategy, **CAPPED[strategy]).groupBy("slide_id").count().collect()}
+    assert kept == {None: 7, 1: 7, 2: 1}
+    flagged = {r.slide_id: r.n for r in B.cap_bags(df, 7, strategy, **CAPPED[strategy]).filter("kept").groupBy("slide_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert flagged == kept
+
+
+@pytest.mark.parametrize("strategy", CAPPED)
+def test_caps_agree_with_and_without_a_broadcast(spark, monkeypatch, strategy):
+    data = [(s, i, (i * 7 + s) % 50, (i * 3) % 40) for s in range(4) for i in range(40 + s)]
+    df = spark.createDataFrame(data, "slide_id long, patch_idx int, x int, y int")
+    near = rows(B.cap_by_name(df, 12, strategy, **CAPPED[strategy]))
+    monkeypatch.setattr(spread, "BESIDE_ROWS", -1)
+    assert rows(B.cap_by_name(df, 12, strategy, **CAPPED[strategy])) == near and len(near) == 48

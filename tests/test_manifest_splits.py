@@ -145,3 +145,14 @@ def test_fingerprint(spark, manifest):
     assert mark != Q.order_free_fingerprint(changed).first()[0]
     assert mark != Q.order_free_fingerprint(manifest.unionByName(manifest.limit(1))).first()[0]
     assert Q.order_free_fingerprint(manifest.filter("false")).first()[0] == "empty"
+
+
+def test_shards_of_ids_with_a_long_common_prefix(spark):
+    """Sorted ranges are cut by Spark's sampling: no task gets them all, and every n-th id has the same shard."""
+    ids = spark.range(0, 20_000).select(F.format_string("a common prefix of thirty-five letters %08d", F.col("id") * 37 % 20_000).alias("slide_id"))
+    found = S.shard(ids.repartition(3), 7)
+    spread_over = found.select(F.spark_partition_id().alias("p")).groupBy("p").count().toPandas()["count"]
+    got = found.toPandas().sort_values("slide_id")["shard"].tolist()
+    assert got == [k % 7 for k in range(20_000)]
+    assert len(spread_over) > 1
+    assert S.shard(spark.createDataFrame([], "slide_id string"), 3).count() == 0

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from helpers import rows
+from bagstats.functions.spread import even_buckets
 from pyspark.sql import functions as F
 
 from bagstats.operators import calibration as CAL
@@ -255,3 +256,33 @@ def test_phase_shares(spark):
     }
     assert sum(r.share for r in SU.phase_shares(summary).collect()) == pytest.approx(1.0)
     assert SU.phase_shares(summary.filter("false"), "step").count() == 0
+
+
+def _narrow(spark, scores, seed=3):
+    rng = np.random.default_rng(seed)
+    y = rng.integers(0, 2, len(scores))
+    return spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, scores, strict=True)], "label int, prob_1 double"), y
+
+
+@pytest.mark.parametrize("shape", ["narrow", "logits", "two heaps"])
+def test_buckets_follow_the_scores(spark, shape):
+    """Scores within 1e-9, logits far outside (0, 1), and two heaps: the same areas, and buckets of about equal size."""
+    rng = np.random.default_rng(1)
+    scores = {"narrow": 0.5 + 1e-9 * rng.permutation(3000) / 3000, "logits": 40 * rng.normal(size=3000), "two heaps": np.where(rng.random(3000) < 0.5, 1e-12, 1.0) * rng.random(3000)}[shape]
+    df, y = _narrow(spark, scores)
+    assert R.auroc(df).first().auroc == pytest.approx(_auc(y, scores))
+    curve = R.cumulative_counts(R.score_table(df)).orderBy(F.desc("threshold")).collect()
+    order = np.argsort(-scores)
+    assert [r.tp for r in curve] == np.cumsum(y[order]).tolist() and [r.fp for r in curve] == np.cumsum(1 - y[order]).tolist()
+    sizes = even_buckets(R.score_table(df), "score", "b").groupBy("b").count().toPandas()["count"]
+    assert len(sizes) >= 14 and sizes.max() < 3 * 3000 / 16
+
+
+def test_rows_that_cannot_be_ranked_are_refused(spark):
+    """A null or NaN score, a missing label and a label of -1 fail every metric of the order."""
+    for bad in ((1, None), (0, float("nan")), (None, 0.5), (-1, 0.5), (2, 0.5)):
+        df = spark.createDataFrame([(1, 0.3), (0, 0.2), bad], "label int, prob_1 double")
+        for metric in (R.auroc, R.roc_curve, R.average_precision, lambda d: R.auroc_per_class(d, 2)):
+            with pytest.raises(Exception, match="cannot rank|outside 2 classes"):
+                metric(df).collect()
+    assert R.auroc(spark.createDataFrame([], "label int, prob_1 double")).first().auroc is None

@@ -6,7 +6,10 @@ from bagstats.operators import quality as Q
 from bagstats.plans import evaluation as PE
 from bagstats.plans import splitting as PS
 from bagstats.plans import storing as PT
+from bagstats.functions.keys import hash_key
+from bagstats.operators import manifest as M
 from bagstats.sources import shared, store, tables
+from bagstats.sources import validated as VD
 from bagstats.streaming import jobs
 
 
@@ -56,15 +59,92 @@ def test_damaged_index_is_reported(spark, patches):
     assert rows(short) == [("s2", "count differs from patches")]
 
 
-def test_pack_by_size_brute_force(spark):
-    index = spark.range(200).select(F.col("id").alias("slide_id"), (F.col("id") % 9 * 40 + 10).alias("est_bytes"))
-    got = store.pack_by_size(index, 500, exact=True, range_digits=1).toPandas()
-    totals = got.groupby(["range", "pack"]).est_bytes.sum()
-    assert totals.max() <= 500 and len(got) == 200
-    loose = store.pack_by_size(index, 500).toPandas()
-    assert loose.groupby("pack").est_bytes.sum().max() < 500 + 330 and len(loose) == 200
-    big = store.pack_by_size(index.withColumn("est_bytes", F.lit(900)), 500, exact=True, range_digits=1).toPandas()
-    assert (big.groupby(["range", "pack"]).size() == 1).all()
+def _sequential(sizes, limit):
+    """Next-fit as a loop."""
+    out, number, used = [], 0, 0
+    for size in sizes:
+        if used > 0 and used + size > limit:
+            number, used = number + 1, 0
+        used += size
+        out.append(number)
+    return out
+
+
+@pytest.mark.parametrize("case", ["mixed", "oversized", "one shard", "zero"])
+@pytest.mark.parametrize("parts", [1, 7])
+def test_exact_packing_is_the_sequential_one(spark, case, parts):
+    size = {"mixed": F.col("id") % 9 * 40 + 10, "oversized": F.when(F.col("id") % 5 == 0, 900).otherwise(30), "one shard": F.lit(1), "zero": F.col("id") % 3 * 250}[case]
+    index = spark.range(211).select(F.col("id").alias("slide_id"), size.cast("bigint").alias("est_bytes")).repartition(parts)
+    got = store.pack_by_size(index, 500, exact=True).withColumn("k", hash_key("pack", "slide_id")).toPandas().sort_values(["k", "slide_id"])
+    assert len(got) == 211 and got.pack.tolist() == _sequential(got.est_bytes, 500)
+    loose = store.pack_by_size(index, 500).groupBy("pack").agg(F.count(F.lit(1)).alias("n"), F.sum("est_bytes").alias("b"))
+    assert loose.filter("n > 1 and b > 500").count() == 0
+
+
+def test_packing_of_no_bags(spark):
+    assert store.pack_by_size(spark.createDataFrame([], "slide_id long, est_bytes long"), 500, exact=True).count() == 0
+
+
+def test_identity_sees_changed_files(spark, patches):
+    path, again = shared.fresh_path(spark, "files"), shared.fresh_path(spark, "files")
+    patches.write.parquet(path)
+    mark = Q.source_identity(spark.read.parquet(path), {"cap": 5})
+    plan = mark._jdf.queryExecution().executedPlan().toString()
+    assert "features" not in plan  # no column of the table is read
+    first = mark.first()[0]
+    assert first == Q.source_identity(spark.read.parquet(path), {"cap": 5}).first()[0] != Q.source_identity(spark.read.parquet(path), {"cap": 6}).first()[0]
+    spark.read.parquet(path).withColumn("features", F.transform("features", lambda v: v + 1)).write.parquet(again)
+    assert Q.source_identity(spark.read.parquet(again), {"cap": 5}).first()[0] != first
+    # A table that is not read from files is known by its rows.
+    held = patches.select("slide_id", "features")
+    moved = held.withColumn("features", F.transform("features", lambda v: v + 1))
+    assert Q.source_identity(held, {}).first()[0] == Q.source_identity(held.repartition(3), {}).first()[0] != Q.source_identity(moved, {}).first()[0]
+
+
+def test_store_is_built_anew_when_files_change(spark, patches):
+    source, path = shared.fresh_path(spark, "source"), shared.fresh_path(spark, "plan")
+    patches.write.parquet(source)
+    config = PT.StoreConfig(cap=10, grid=4, n_shards=2)
+    assert PT.build_store(spark.read.parquet(source), path, config)["coverage"].count() == 6
+    assert PT.build_store(spark.read.parquet(source), path, config) is None
+    patches.withColumn("features", F.transform("features", lambda v: v * 2)).write.mode("overwrite").parquet(source)
+    mark = Q.source_identity(spark.read.parquet(source), {}).first()
+    assert mark is not None and not PT._same_source(PT._mark(spark.read.parquet(source), None, config), path)
+
+
+def test_rows_keep_their_place_in_the_file(spark):
+    """First and last rows of a slide by place, with quoted line breaks, equal rows and several files."""
+    path = shared.fresh_path(spark, "csv")
+    lines = ["filename,label,patient_id"] + [f'"dir/s{k % 7}.svs",{"abc"[k % 3]},"p\n{k}"' for k in range(50)]
+    _csv(spark, f"{path}/a", lines)
+    _csv(spark, f"{path}/b", ["filename,label,patient_id", '"dir/s1.svs",z,"last\nof all"', '"dir/s9.svs",y,'])
+    files = f"{path}/*"
+    first = {r.slide_id: r for r in tables.read_manifest(spark, files).collect()}
+    assert {k: (r.label, r.patient_id) for k, r in first.items()} == {
+        **{f"dir/s{k}": ("abc"[k % 3], f"p\n{k}") for k in range(7)}, "dir/s9": ("y", None),
+    }
+    every = tables.read_csv_in_order(spark, files).withColumn("slide_id", F.regexp_replace("filename", r"\.svs$", ""))
+    preds = spark.createDataFrame([(f"dir/s{k}",) for k in (0, 1, 6, 9, 12)], "slide_id string")
+    last = {r.slide_id: r.patient_id for r in M.attach_patient(preds, every.repartition(5)).collect()}
+    assert last == {"dir/s0": "p\n49", "dir/s1": "last\nof all", "dir/s6": "p\n48", "dir/s9": "dir/s9", "dir/s12": "dir/s12"}
+
+
+def test_checks_are_made_while_writing(spark, patches):
+    path = shared.fresh_path(spark, "checked")
+    preds = spark.createDataFrame([(1, 0.5), (0, float("nan")), (1, None)], "label int, prob_1 double")
+    rules = VD.composed(VD.not_empty(), VD.no_nans(preds), [VD.holds("label", "label in (0, 1)")])
+    with pytest.raises(VD.ValidationError, match="no NaN in prob_1': 2"):
+        VD.write_validated(preds, path, rules)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        VD.read_validated(spark, path)
+    fine = shared.fresh_path(spark, "checked")
+    report = VD.write_validated(preds.filter("prob_1 = 0.5"), fine, rules)
+    assert rows(report) == [("label", 0, 1), ("no NaN in prob_1", 0, 1), ("not empty", 0, 1)]
+    assert VD.read_validated(spark, fine).count() == 1
+    empty = VD.write_validated(preds.limit(0), shared.fresh_path(spark, "checked"), rules, fail=False)
+    assert rows(empty.filter("violations > 0")) == [("not empty", 1, 0)]
+    bad = VD.write_validated(patches.withColumn("x", F.lit(None).cast("int")), shared.fresh_path(spark, "checked"), VD.whole_patches(2), fail=False)
+    assert rows(bad.filter("violations > 0").select("rule", "violations")) == [("coordinates present", patches.count())]
 
 
 def test_splits_reuse_and_refusal(spark):
