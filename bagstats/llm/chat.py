@@ -1,8 +1,8 @@
 """Chat formatting in budgeted windows, by DataFrame functions only.
 
 A conversation is cut into windows of whole turns.  Prefix sums of turn tokens place every turn:
-it is new in the window its first token falls into, at ``budget / 2`` new tokens a window, so that no
-turn waits for the packing of those before it.  A window also shows the conversation's first
+it is new in the window its first token falls into, at ``budget / 2`` new tokens a window less those of the conversation's
+system turn, so that no turn waits for the packing of those before it.  A window also shows the conversation's first
 system turn, if that came earlier, and as many of the turns just before it as fit into ``history`` tokens
 and what the budget leaves.  Only the text of new target turns is under the loss; repeated turns are
 context.
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bagstats.functions.spread import running_sums
+from bagstats.sources.shared import written
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 TURN_COST = 5  # tokens of a turn's marks and role
@@ -43,24 +44,30 @@ def _role_in(role: Column) -> Column:
 
 
 def estimated_tokens(text: Column) -> Column:
-    """A quarter of the bytes, rounded up: an upper bound for most prose, and free of any tokenizer."""
+    """A quarter of the bytes, rounded up: an estimate for prose.  Code and other scripts have more; give the true numbers for these."""
     return F.ceil(F.octet_length(text) / 4)
 
 
-def _placed(turns: DataFrame, names: Sequence[str]) -> DataFrame:
+def most_tokens(text: Column) -> Column:
+    """The bytes: no byte-level tokenizer makes more tokens of a text."""
+    return F.octet_length(text)
+
+
+def _placed(turns: DataFrame, names: Sequence[str], counted: Column | None) -> DataFrame:
     """Turns with their number in the conversation and the tokens before them; a conversation with most of the rows is spread."""
     conv, turn, role, text = names
+    given = estimated_tokens(F.coalesce(F.col(text), F.lit(""))) if counted is None else F.coalesce(counted, F.lit(0))
     rows = turns.select(
         F.col(conv).alias("conv_id"),
         F.col(turn).cast("bigint").alias("turn"),
         F.coalesce(F.col(role), F.lit("")).alias("role"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
+        (given + TURN_COST).cast("bigint").alias("tokens"),
     )
     rows = rows.select(
         "*",
         F.col("conv_id").isNotNull().alias("__known"),
         F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("__conv"),
-        (estimated_tokens(F.col("text")) + TURN_COST).cast("bigint").alias("tokens"),
         F.xxhash64("role", "text").alias("__tie"),
         F.coalesce("turn", F.lit(-(2**63))).alias("__order"),
     )
@@ -79,26 +86,34 @@ def format_windows(
     history: int = 256,
     targets: Sequence[str] = ("assistant",),
     columns: Sequence[str] = ("conv_id", "turn", "role", "text"),
+    tokens: Column | None = None,
 ) -> DataFrame:
     """``conv_id, window, tokens, formatted, spans``: one row per window.
 
+    ``tokens`` gives the tokens of a turn's text (null: none); without it they are estimated from the bytes.
+
     ``spans`` has one struct per turn shown: ``turn, role, start, length`` (code points of the escaped text
-    inside ``formatted``), ``repeated`` and ``loss``.  New tokens of a window stay under ``budget / 2`` plus its last
-    turn; a turn is never cut, so only a turn longer than that can lift a window over the budget.
+    inside ``formatted``), ``repeated`` and ``loss``.  New tokens of a window stay under ``budget / 2`` less the system turn, plus its last
+    turn, and the system turn is added; a turn is never cut.  So a window stays within the budget if no turn has more than half of it and the
+    system turn less; a longer turn opens a window of its own behind it.
 
     Rows are ordered by turn (null first), then by a hash of role and text; repeated rows are turns of
     their own.  Null roles and texts are empty; rows without conversation id form one conversation;
     other columns are ignored; an empty table gives no window.
     """
-    step = max(1, budget // 2)
-    if not 0 <= history <= step:
+    if not 0 <= history <= max(1, budget // 2):
         raise ValueError("history must be between 0 and half the budget")
-    rows = _placed(turns, columns).withColumn("window", F.floor(F.col("before") / step))
+    placed = written(_placed(turns, columns, tokens), "turns")  # read by every part below
     system = (
-        rows.filter("role = 'system'")
+        placed.filter("role = 'system'")
         .groupBy(*_KEY)
         .agg(F.min_by(F.struct("seq", "turn", "role", "text", "tokens"), "seq").alias("system"))
     )
+    system = written(system, "system")
+    spent = system.select(*_KEY, F.col("system.tokens").alias("spent"))
+    rows = placed.join(spent, _KEY, "left")
+    step = F.greatest(F.lit(1), F.lit(budget // 2) - F.coalesce("spent", F.lit(0)))
+    rows = rows.withColumn("step", step).withColumn("window", F.floor(F.col("before") / F.col("step"))).drop("spent")
     windows = rows.groupBy(*_KEY, "window").agg(
         F.min("before").alias("begin"), F.min("seq").alias("first_seq"), F.sum("tokens").alias("new_tokens"),
     )
@@ -109,7 +124,7 @@ def format_windows(
 
     shown = ["seq", "turn", "role", "text", "tokens"]
     new = rows.select(*_KEY, "window", F.lit(1).alias("rank"), *shown, F.lit(False).alias("repeated"))
-    again = rows.withColumn("last", F.floor((F.col("before") + history) / step)).filter("last > window")
+    again = rows.withColumn("last", F.floor((F.col("before") + history) / F.col("step"))).filter("last > window")
     again = again.withColumn("window", F.explode(F.sequence(F.col("window") + 1, F.col("last"))))
     again = again.join(windows.select(*_KEY, "window", "begin", "room", "shows_system", F.col("system.seq").alias("system_seq")), [*_KEY, "window"])
     again = again.filter("before >= begin - room and not (shows_system and seq = system_seq)")

@@ -24,7 +24,13 @@ def with_value(edges: DataFrame, key: str, values: DataFrame, count: int) -> Dat
     """
     width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     least = max(HUB, count // (4 * width))
+    named = values.withColumnRenamed("node", key)
+    if count <= least:
+        return edges.join(named, key, "left").select("u", "v", "m")
     hubs = edges.groupBy(F.col(key).alias("hub")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least).select("hub")
+    hubs = written(hubs, "hubs")
+    if hubs.isEmpty():
+        return edges.join(named, key, "left").select("u", "v", "m")
     hubs = F.broadcast(hubs)
     other = "u" if key == "v" else "v"
     marked = edges.join(hubs, F.col(key) == F.col("hub"), "left")

@@ -69,6 +69,35 @@ class EliasFano:
         low = int.from_bytes(window.tobytes(), "little") >> (first % 8) & ((1 << self.low_bits) - 1)
         return high << self.low_bits | low
 
+    def select_many(self, wanted: np.ndarray) -> np.ndarray:
+        """Values of many places: of the bit vector only the runs between the samples around them are read."""
+        wanted = np.asarray(wanted, np.int64)
+        if not len(wanted):
+            return np.empty(0, np.int64)
+        if wanted.min() < 0 or wanted.max() >= self.count:
+            raise IndexError((int(wanted.min()), int(wanted.max())))
+        runs = wanted // SAMPLE
+        places = np.empty(len(wanted), np.int64)
+        order = np.argsort(runs, kind="stable")
+        cuts = np.flatnonzero(np.diff(runs[order], prepend=-1))
+        for begin, end in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            rows = order[begin:end]
+            run = int(runs[rows[0]])
+            first = int(self.samples[run])
+            last = int(self.samples[run + 1]) // 8 + 1 if run + 1 < len(self.samples) else len(self.high)
+            bits = np.flatnonzero(np.unpackbits(self.high[first // 8 : last], bitorder="little")) + first // 8 * 8
+            places[rows] = bits[np.searchsorted(bits, first) + wanted[rows] - run * SAMPLE]
+        high = places - wanted
+        if not self.low_bits:
+            return high
+        if self.low_bits > 56:  # with the shift inside a byte more than a word: one by one
+            return np.array([self.select(int(i)) for i in wanted], np.int64)
+        start = wanted * self.low_bits
+        padded = np.concatenate([self.low, np.zeros(8, np.uint8)])
+        word = sum(padded[start // 8 + k].astype(np.uint64) << np.uint64(8 * k) for k in range(8))
+        low = (word >> (start % 8).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)
+        return high << self.low_bits | low.astype(np.int64)
+
     def values(self) -> np.ndarray:
         """All values at once."""
         places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.count]
@@ -113,3 +142,12 @@ class TokenBlock:
 
     def doc_ids(self) -> np.ndarray:
         return (self.keys.values() + np.uint64(self.base % 2**64)).astype(np.int64)
+
+    def bounds_of(self, first: int, last: int) -> np.ndarray:
+        """Starts of documents ``first`` to ``last - 1`` of the block and the end of the last one."""
+        return self.bounds.select_many(np.arange(first, last + 1))
+
+    def ids_of(self, first: int, last: int) -> np.ndarray:
+        """Their document ids; the block's first documents may have none and are left out."""
+        wanted = np.arange(max(first, self.without_id), last) - self.without_id
+        return self.keys.select_many(wanted) + self.base if self.keys.low_bits <= 56 else self.doc_ids()[wanted]

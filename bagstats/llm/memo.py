@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +26,25 @@ def load_tokenizer(path: str):
 
 
 class Memo:
-    """Ids of strings.  Keeps at most about ``limit`` strings; when full it starts again from
-    the strings of the current call, so the limit changes time and memory but never a result."""
+    """Ids of strings.  Keeps about ``limit`` strings, or twice those of one call: when full, the half that most calls
+    asked for stays, the newer ones first.  The limit changes time and memory but never a result."""
 
     def __init__(self, tokenizer, limit: int, keep_ids: bool):
         self.tokenizer, self.limit, self.keep_ids = tokenizer, limit, keep_ids
-        self._clear()
-
-    def _clear(self) -> None:
         self.known = pa.array([], pa.string())
         self.sizes = np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
+        self.uses = np.empty(0, np.int32)  # calls that asked for a string
+
+    def _shrink(self, room: int) -> None:
+        if len(self.known) <= room:
+            return
+        order = np.lexsort((-np.arange(len(self.uses)), -self.uses))
+        kept = np.sort(order[: max(0, room)])
+        if self.keep_ids:
+            first = np.cumsum(self.sizes) - self.sizes
+            self.ids = self.ids[concat_ranges(first[kept], self.sizes[kept])]
+        self.known, self.sizes, self.uses = self.known.take(pa.array(kept)), self.sizes[kept], self.uses[kept]
 
     def _encode(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         sizes, ids = [], []
@@ -44,7 +53,7 @@ class Memo:
             if self.keep_ids:
                 lists = [e.ids for e in found]
                 sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
-                ids.append(np.fromiter((i for x in lists for i in x), np.uint32, int(sizes[-1].sum())))
+                ids.append(np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes[-1].sum())))
             else:
                 sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
         empty = np.empty(0, np.int64)
@@ -55,15 +64,19 @@ class Memo:
         at = pc.index_in(strings, value_set=self.known)
         missing = strings.filter(at.is_null())
         if len(missing):
-            if len(self.known) + len(missing) > self.limit and len(self.known):
-                self._clear()
-                missing = strings
+            if len(self.known) + len(missing) > self.limit:
+                here = at.drop_null().to_numpy()
+                self.uses[here] += 1 << 20  # what this call asks for stays
+                self._shrink(max(self.limit // 2, len(here)))
+                self.uses[self.uses >= 1 << 20] -= 1 << 20
             sizes, ids = self._encode(missing)
             self.known = pa.concat_arrays([self.known, missing])
             self.sizes = np.concatenate([self.sizes, sizes])
             self.ids = np.concatenate([self.ids, ids])
+            self.uses = np.concatenate([self.uses, np.zeros(len(missing), np.int32)])
             at = pc.index_in(strings, value_set=self.known)
         at = at.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.uses[at] += 1
         first = np.cumsum(self.sizes) - self.sizes
         return self.sizes[at], first[at], self.ids
 

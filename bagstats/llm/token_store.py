@@ -21,6 +21,7 @@ from bagstats.llm.elias_fano import TokenBlock, write_block
 from bagstats.llm.memo import Memo, concat_ranges, load_tokenizer
 
 EXPAND_IDS = 1 << 20  # ids expanded at a time
+READ_DOCS, READ_IDS = 1024, 1 << 20  # documents, and ids, read back at a time
 _workers: dict = {}
 
 
@@ -120,7 +121,8 @@ def write_token_store(
 def read_token_store(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of every stored document; ``ids`` are little-endian unsigned 32-bit integers.
 
-    ``start`` counts the ids of all documents before it.  Only the totals of the parts, one row per
+    ``start`` counts the ids of all documents before it.  Boundaries come by select, for ``READ_DOCS`` documents at a
+    time, so no table of a block's offsets is made.  Only the totals of the parts, one row per
     part written, are broadcast.
     """
     blocks = spark.read.parquet(path)
@@ -133,16 +135,25 @@ def read_token_store(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for base, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 block = TokenBlock(payload.as_buffer())
-                bounds = block.bounds.values().astype(np.int64)
-                doc_ids = pa.concat_arrays([pa.nulls(block.without_id, pa.int64()), pa.array(block.doc_ids(), pa.int64())])
-                data = pa.py_buffer(block.all_ids.astype("<u4"))
-                places = pa.py_buffer((bounds * 4).astype(np.int32)) if bounds[-1] < 1 << 29 else None
-                if places is None:
-                    raise ValueError("block too large to read back as one batch; lower block_ids")
-                ids = pa.Array.from_buffers(pa.binary(), block.documents, [None, places, data])
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids, pa.array(bounds[:-1] + base), pa.array(np.diff(bounds)), ids],
-                    names=["doc_id", "start", "n_tokens", "ids"],
-                )
+                begin = 0
+                while begin < block.documents:
+                    end = min(begin + READ_DOCS, block.documents)
+                    bounds = block.bounds_of(begin, end)
+                    fitting = int(np.searchsorted(bounds - bounds[0], READ_IDS, "right")) - 1
+                    end = begin + max(1, min(end - begin, fitting))
+                    bounds = bounds[: end - begin + 1]
+                    doc_ids = pa.concat_arrays(
+                        [pa.nulls(max(0, min(end, block.without_id) - begin), pa.int64()), pa.array(block.ids_of(begin, end), pa.int64())]
+                    )
+                    data = pa.py_buffer(block.all_ids[bounds[0] : bounds[-1]].astype("<u4"))
+                    if bounds[-1] - bounds[0] >= 1 << 29:
+                        raise ValueError("one document is too long to read back as one value")
+                    places = pa.py_buffer(((bounds - bounds[0]) * 4).astype(np.int32))
+                    ids = pa.Array.from_buffers(pa.binary(), end - begin, [None, places, data])
+                    yield pa.RecordBatch.from_arrays(
+                        [doc_ids, pa.array(bounds[:-1] + base), pa.array(np.diff(bounds)), ids],
+                        names=["doc_id", "start", "n_tokens", "ids"],
+                    )
+                    begin = end
 
     return placed.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")

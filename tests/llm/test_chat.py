@@ -1,9 +1,10 @@
 import collections
 import hashlib
+import random
 
 import pytest
 
-from bagstats.llm.chat import conversation_digests, escaped, format_windows, read_turns, unescaped
+from bagstats.llm.chat import TURN_COST, conversation_digests, escaped, format_windows, most_tokens, read_turns, unescaped
 from bagstats.llm.queries import op9_chat_windows
 from pyspark.sql import functions as F
 
@@ -71,3 +72,34 @@ def test_odd_rows(spark):
     assert format_windows(_frame(spark, rows).limit(0)).count() == 0
     with pytest.raises(ValueError):
         format_windows(_frame(spark, rows), budget=64, history=40)
+
+
+@pytest.mark.parametrize("system", [0, 10, 100, 250, 500])
+def test_windows_stay_within_the_budget(spark, system):
+    """No turn above half the budget, a system turn of any length below it: no window passes the budget, whatever it repeats."""
+    rng = random.Random(system)
+    budget = 1024
+    rows = [(1, 0, "system", "s" * 4 * system)] if system else []
+    rows += [(1, k, rng.choice(["user", "assistant"]), "x" * (4 * rng.choice([3, 40, 200, 480, 507]))) for k in range(1, 120)]
+    rows += [(2, k, "assistant", "y" * 4 * 507) for k in range(9)]
+    windows = format_windows(_frame(spark, rows), budget=budget).collect()
+    assert max(w.tokens for w in windows) <= budget
+    for w in windows:
+        told = sum(TURN_COST + -(-s.length // 4) for s in w.spans)
+        assert told == w.tokens
+        if w.conv_id == 1 and system:
+            assert w.spans[0].turn == 0
+    shown = collections.Counter((w.conv_id, s.turn) for w in windows for s in w.spans if not s.repeated)
+    assert shown == collections.Counter((r[0], r[1]) for r in rows)
+
+
+def test_given_tokens_decide(spark):
+    """Numbers of a real tokenizer in place of the estimate; bytes are the most there can be."""
+    rows = [(1, k, "user", "日本語のテキスト" * 3) for k in range(20)]
+    table = _frame(spark, rows).withColumn("n", F.lit(70))
+    windows = format_windows(table, budget=200, history=0, tokens=F.col("n")).collect()
+    assert max(w.tokens for w in windows) <= 200 and {w.tokens % 75 for w in windows} == {0}
+    most = format_windows(table, budget=400, history=0, tokens=most_tokens(F.col("text"))).collect()
+    assert max(w.tokens for w in most) <= 400
+    alone = format_windows(_frame(spark, [(1, 0, "system", "s" * 4000), (1, 1, "user", "u")]), budget=64, history=0).collect()
+    assert [len(w.spans) for w in sorted(alone, key=lambda w: w.window)] == [1, 2]  # a system turn beyond half the budget is still kept

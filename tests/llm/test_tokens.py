@@ -96,3 +96,33 @@ def test_store_of_odd_rows(spark, odd, empty, tmp_path):
     assert keys == sorted(keys)
     write_token_store(empty, str(tmp_path / "b"), WORDS, end_id=1)
     assert read_token_store(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_selects_of_many_places():
+    rng = np.random.default_rng(5)
+    for values in (np.sort(rng.integers(0, 10**6, 3000)), np.arange(700), np.repeat(7, 600), np.array([2**40]), np.cumsum(rng.integers(0, 2**45, 900))):
+        found = EliasFano.of(values)
+        wanted = rng.integers(0, len(values), 200)
+        assert (found.select_many(wanted) == values[wanted]).all() and (found.select_many(np.arange(len(values))) == values).all()
+        assert len(found.select_many(np.empty(0, int))) == 0
+        with pytest.raises(IndexError):
+            found.select_many(np.array([len(values)]))
+
+
+def test_memo_keeps_what_is_asked_for_often():
+    from bagstats.llm.memo import Memo
+
+    class Counting:
+        made = 0
+
+        def encode_batch_fast(self, strings, add_special_tokens):
+            Counting.made += len(strings)
+            return [type("Found", (list,), {"ids": [ord(c) for c in s]})(s) for s in strings]
+
+    memo = Memo(Counting(), 100, keep_ids=True)
+    common = [f"c{k}" for k in range(40)]
+    for turn in range(30):
+        strings = pa.array([*common, *[f"r{turn}x{k}" for k in range(50)]])
+        sizes, first, pool = memo(strings)
+        assert ["".join(map(chr, pool[f : f + n])) for n, f in zip(sizes, first, strict=True)] == strings.to_pylist()
+    assert Counting.made == 40 + 30 * 50 and len(memo.known) <= 140
