@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bagstats.functions.spread import lookup
+from bagstats.functions.spread import beside, lookup
 
 KEY = ["slide_id", "patch_idx"]
 DEFAULT_STRIDE = 256  # fixed value: stride of a slide whose patches never move
@@ -14,7 +14,7 @@ DEFAULT_STRIDE = 256  # fixed value: stride of a slide whose patches never move
 def kept_vs_all(all_patches: DataFrame, kept: DataFrame) -> DataFrame:
     """Every patch with ``kept`` true or false."""
     marks = kept.select(*KEY, F.lit(True).alias("kept"))
-    joined = all_patches.join(marks, KEY, "left")
+    joined = beside(all_patches, marks, KEY, "left")
     return joined.withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 

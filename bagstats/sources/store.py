@@ -16,6 +16,7 @@ from bagstats.sources.shared import written
 # Fixed value: size limit of one export shard.
 SHARD_LIMIT_BYTES = 9_500_000_000
 _BYTES_PER_VALUE = 4
+LISTED = 1000  # slides that may stand in a filter one by one
 
 
 def _shard_of(n_shards: int) -> Column:
@@ -122,19 +123,22 @@ def read_patches(
 ) -> DataFrame:
     """Stored patches of some slides, an index range, or listed (slide, patch) rows.
 
-    Slide lists and ranges become Parquet filters; the store is sorted by them.
+    A short slide list and a range become Parquet filters; the store is sorted by them.  A longer list or a table of slides or rows
+    is held beside the patches (see ``beside``), so the wide rows are not moved for it.
     """
     df = spark.read.parquet(path)
-    if slides is not None:
-        if isinstance(slides, DataFrame):
-            df = df.join(slides.select("slide_id").distinct(), "slide_id", "left_semi")
-        else:
-            df = df.filter(F.col("slide_id").isin(list(slides)))
+    if slides is not None and not isinstance(slides, DataFrame) and len(slides) > LISTED:
+        kind = df.schema["slide_id"].dataType.simpleString()
+        slides = spark.createDataFrame([(s,) for s in slides], f"slide_id {kind}")
+    if isinstance(slides, DataFrame):
+        df = beside(df, slides.select("slide_id").distinct(), ["slide_id"], "left_semi")
+    elif slides is not None:
+        df = df.filter(F.col("slide_id").isin(list(slides)))
     if window is not None:
         start, stop = window
         df = df.filter((F.col("patch_idx") >= start) & (F.col("patch_idx") < stop))
     if indices is not None:
-        df = df.join(indices.select("slide_id", "patch_idx").distinct(), ["slide_id", "patch_idx"], "left_semi")
+        df = beside(df, indices.select("slide_id", "patch_idx").distinct(), ["slide_id", "patch_idx"], "left_semi")
     return df.select(*columns) if columns is not None else df
 
 

@@ -386,7 +386,7 @@ WITH {_RANDOM}, {_STRIDE}, corner AS (SELECT slide_id, min(x) AS x0, min(y) AS y
 SELECT p.slide_id AS slide_id, CAST((p.x - x0) // stride AS INT) AS gx, CAST((p.y - y0) // stride AS INT) AS gy, CAST(max(CASE WHEN k.patch_idx IS NULL THEN 1 ELSE 2 END) AS INT) AS state
 FROM v_patches p JOIN corner USING (slide_id) JOIN stride USING (slide_id) LEFT JOIN kept k ON k.slide_id = p.slide_id AND k.patch_idx = p.patch_idx GROUP BY 1, 2, 3"""),
     "A35_infer_patch_stride": with_views("v_patches", f"WITH {_STRIDE} SELECT * FROM stride"),
-    "J9_kept_vs_all": with_views("v_patches", f"WITH {_RANDOM} SELECT p.slide_id AS slide_id, p.patch_idx AS patch_idx, k.patch_idx IS NOT NULL AS kept FROM v_patches p LEFT JOIN kept k USING (slide_id, patch_idx)"),
+    "J9_kept_vs_all": with_views("v_patches", f"SELECT slide_id, patch_idx, row_number() OVER (PARTITION BY slide_id ORDER BY {_ORD}) <= {K} AS kept FROM v_patches"),
     "T2_worst_coverage": with_views("v_patches", f"{_COVER} SELECT * FROM cov WHERE was_capped ORDER BY coverage_pct, slide_id LIMIT 20"),
     "W9_length_bucket_batches": f"WITH {_batches(8)} SELECT * FROM bt",
     "W9_batches_drop_last": f"WITH {_batches(5)} SELECT * FROM bt QUALIFY count(*) OVER (PARTITION BY bucket, batch_no) = 5",

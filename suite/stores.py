@@ -49,7 +49,7 @@ def splits_stored(spark, sf):
 
 
 def _hash_splits(manifest):
-    return S.hash_threshold_split(manifest, {"train": 0.8, "val": 0.2})
+    return S.hash_threshold_split(manifest, {"train": 0.7, "val": 0.15, "test": 0.15}).select("slide_id", "group_id", "label", "split")
 
 
 def integrity(spark, sf):

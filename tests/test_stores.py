@@ -222,3 +222,11 @@ def test_stream_equals_batch(spark, patches):
     once.write.mode("append").parquet(folder)
     jobs.run_available(jobs.stream_ingest_diff(stream, "f1"), out, check).awaitTermination()
     assert spark.read.parquet(out).count() == 6
+
+
+def test_long_slide_lists(spark, patches):
+    path = shared.fresh_path(spark, "listed")
+    patches.write.parquet(path)
+    wanted = ["s1", "s3", *[f"none{k}" for k in range(2000)]]
+    assert store.read_patches(spark, path, wanted).select("slide_id").distinct().count() == 2
+    assert store.read_patches(spark, path, wanted).count() == store.read_patches(spark, path, wanted[:2]).count() == 13 + 33
