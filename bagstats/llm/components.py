@@ -7,47 +7,18 @@ from pyspark.sql import functions as F
 
 from bagstats.sources.shared import written
 
-HUB = 1000  # edges of a node from which it may be salted
-
 
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     return tuple(row)
 
 
-def with_value(edges: DataFrame, key: str, values: DataFrame, count: int) -> DataFrame:
-    """``edges`` left joined to ``values`` (``node, m``) on ``key``, with hubs spread over all tasks.
-
-    A hub has more than ``HUB`` of the ``count`` edges and more than a quarter of a task's share of them, so there are
-    at most four times as many hubs as tasks, whatever the input: this list is broadcast.  A hub's edges are dealt by
-    a salt and its one value is repeated for every salt.
-    """
-    width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    least = max(HUB, count // (4 * width))
-    named = values.withColumnRenamed("node", key)
-    if count <= least:
-        return edges.join(named, key, "left").select("u", "v", "m")
-    hubs = edges.groupBy(F.col(key).alias("hub")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least).select("hub")
-    hubs = written(hubs, "hubs")
-    if hubs.isEmpty():
-        return edges.join(named, key, "left").select("u", "v", "m")
-    hubs = F.broadcast(hubs)
-    other = "u" if key == "v" else "v"
-    marked = edges.join(hubs, F.col(key) == F.col("hub"), "left")
-    salt = F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64(other), F.lit(width))).otherwise(F.lit(0))
-    salted = marked.select("u", "v", salt.cast("int").alias("salt"))
-    salts = F.when(F.col("hub").isNotNull(), F.sequence(F.lit(0), F.lit(width - 1))).otherwise(F.array(F.lit(0)))
-    repeated = values.join(hubs, F.col("node") == F.col("hub"), "left").select("node", "m", F.explode(salts).alias("its_salt"))
-    same = (F.col(key) == F.col("node")) & (F.col("salt") == F.col("its_salt"))
-    return salted.join(repeated, same, "left").select("u", "v", "m")
-
-
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """``node, component`` of every node that has an edge; the component is its smallest node.
 
     Each step points nodes at the smallest neighbour seen and keeps at most as many edges as there
     were, so a node with very many links is never gathered: its minimum is aggregated on the map
-    side, and the edges of hubs are salted where that minimum is joined back.  Steps are written to the
+    side and joined back as one row, and adaptive execution splits the edges of a hub.  Steps are written to the
     shared folder; the loop ends when a step changes nothing.  Self links and null nodes are ignored.
     """
     ordered = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
@@ -56,12 +27,12 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     while before[0]:
         # Large star: the larger end of each edge goes to the smallest neighbour of the smaller end, or to that end itself.
         lowest = stars.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
-        large = with_value(stars, "v", lowest, before[0]).select("u", F.coalesce("m", "v").alias("v")).distinct()
+        large = stars.join(lowest.withColumnRenamed("node", "v"), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         # Small star: all smaller neighbours of a node, and the node, go to the smallest of them.
-        root = large.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
-        small = with_value(large, "u", root, before[0])
+        root = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(root, "u")
         moved = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = written(moved.unionByName(root.select(F.col("node").alias("u"), F.col("m").alias("v"))).distinct(), "links")
+        stars = written(moved.unionByName(root.select("u", F.col("m").alias("v"))).distinct(), "links")
         after = _mark(stars)
         if after == before:
             break
