@@ -243,8 +243,9 @@ def slides_listed(spark, sf):
 
 
 def _stream(spark, sf, name):
+    """A table as a stream, whether it is one file or a folder of files: a path with a pattern may stand for either."""
     schema = V.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _drained(out, name):

@@ -230,3 +230,14 @@ def test_long_slide_lists(spark, patches):
     wanted = ["s1", "s3", *[f"none{k}" for k in range(2000)]]
     assert store.read_patches(spark, path, wanted).select("slide_id").distinct().count() == 2
     assert store.read_patches(spark, path, wanted).count() == store.read_patches(spark, path, wanted[:2]).count() == 13 + 33
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_stream_reads_a_table_of_files(spark, tmp_path, files):
+    """A table may be a folder of files; beside it lie others, which are no part of the stream."""
+    from suite import stores
+
+    spark.range(9).repartition(files).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(90, 99).write.parquet(f"{tmp_path}/orders.parquet")
+    out = stores._drained(stores._stream(spark, str(tmp_path), "events"), "stream-test")
+    assert rows(out) == [(k,) for k in range(9)]
