@@ -3,7 +3,7 @@
 Two ways to resample.  ``poisson`` gives every unit an independent Poisson(1) weight per
 repeat; weights are handled as arrays over the repeats (see ``weights``), so no row is multiplied and nothing is
 joined: this is the form for tables of any size.  ``exact`` makes n draws of n units, each draw a keyed hash of
-(repeat, draw number), and joins the draws to the units: n times repeats rows, for tables where that is affordable.
+(repeat, draw number): n times repeats draws, packed into bytes and counted per unit, whose counts are its weights from there on.
 """
 
 from __future__ import annotations
@@ -14,13 +14,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bagstats.functions.keys import hash_bucket, hash_key, uniform
+from bagstats.functions.keys import hash_bucket, hash_key
 from bagstats.functions.probs import with_prediction, with_probs
 from bagstats.functions.spread import lookup, ranked, spread_out
 from bagstats.operators.confusion import overall_scores
 from bagstats.operators.ranking import auroc_from_scores, auroc_macro, refused_unless_scored
 from bagstats.operators.scores import patient_aggregate, sized
-from bagstats.operators.weights import auroc_draws, confusion_draws, unit_key, weighted_rows
+from bagstats.operators.weights import auroc_draws, confusion_draws, drawn_weights, unit_key, weighted_rows
+from bagstats.sources.shared import written
 
 # Metrics reported with an interval, and the fewest usable repeats.
 CI_METRICS = (
@@ -36,10 +37,6 @@ CI_METRICS = (
 MIN_VALID = 10
 
 
-def _repeats(n_bootstrap: int) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1)))
-
-
 def _rows(preds: DataFrame, unit: str, by: Sequence[str], score: str, n_classes: int) -> DataFrame:
     """``by, unit, label, pred, score`` of every prediction; the score is that of class 1, or the vector of more classes.
 
@@ -83,22 +80,26 @@ def resample(
     by = list(by)
     cells = _cells(preds, unit, by, score, n_classes)
     if mode == "poisson":
-        drawn = weighted_rows(spread_out(cells, "unit", "score"), seed, n_bootstrap)
+        cells = spread_out(cells, "unit", "score").withColumn("__unit", unit_key(seed, "unit"))
     elif mode == "exact":
-        units = cells.select(*by, "unit").distinct().withColumn("__key", hash_key(seed, "unit"))
-        numbered = ranked(
-            units, by, [F.col("__key"), F.col("unit")], [hash_bucket(F.col("__key"))], rank="unit_no", total="n_units"
-        ).drop("__key")
-        draws = spread_out(numbered.select(*by, "unit_no", "n_units"), "unit_no").withColumn("b", _repeats(n_bootstrap))
-        number = F.floor(uniform(seed, "b", "unit_no") * F.col("n_units")) + 1
-        draws = draws.select(*by, "b", number.alias("unit_no"))
-        known = cells.join(numbered.drop("n_units"), [*by, "unit"])
-        drawn = draws.join(known, [*by, "unit_no"])
+        cells = spread_out(cells.join(_drawn_units(cells, by, seed, n_bootstrap), [*by, "unit"]), "unit", "score")
     else:
         raise ValueError(f"Unknown resampling mode '{mode}'. Use 'exact' or 'poisson'.")
+    drawn = weighted_rows(cells.drop("unit"), n_bootstrap)
     return drawn.select(*by, "b", "label", "pred", "score", "n")
 
 
+def _drawn_units(rows: DataFrame, by: Sequence[str], seed: int, n_bootstrap: int) -> DataFrame:
+    """``by, unit, __unit`` of n draws of n units, written once: every metric reads the same draws."""
+    by = list(by)
+    units = rows.select(*by, "unit").distinct().withColumn("__key", hash_key(seed, "unit"))
+    numbered = ranked(
+        units, by, [F.col("__key"), F.col("unit")], [hash_bucket(F.col("__key"))], rank="unit_no", total="n_units"
+    ).drop("__key")
+    weights = drawn_weights(numbered, by, seed, n_bootstrap)
+    return written(numbered.drop("n_units").join(weights, [*by, "unit_no"]).select(*by, "unit", "__unit"), "draws")
+
+
 def _table_rows(counts: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Long ``metric, value`` of the metrics that follow from confusion counts."""
     scores = overall_scores(counts, by)
@@ -135,22 +136,36 @@ def _metric_rows(cells: DataFrame, by: Sequence[str], names: Sequence[str], n_cl
 
 
 def _weighted_rows(
-    rows: DataFrame, by: Sequence[str], names: Sequence[str], n_bootstrap: int, seed: int, n_classes: int
+    rows: DataFrame, by: Sequence[str], names: Sequence[str], n_bootstrap: int, seed: int, n_classes: int, mode: str = "poisson"
 ) -> DataFrame:
-    """Long ``b, metric, value`` of Poisson resamples, without a row per repeat."""
-    keyed = rows.select(*by, "label", "pred", "score", unit_key(seed, "unit").alias("__unit"))
+    """Long ``b, metric, value`` of resamples, without a row per repeat."""
+    if mode == "exact":
+        weights = _drawn_units(rows, by, seed, n_bootstrap)
+        keyed = rows.join(weights, [*by, "unit"]).select(*by, "label", "pred", "score", "__unit")
+        per_unit = rows.groupBy(*by, "unit", "label", "pred").agg(F.count(F.lit(1)).alias("__times")).join(weights, [*by, "unit"])
+        tables = per_unit.select(*by, "label", "pred", "__unit", "__times")
+    else:
+        keyed = rows.select(*by, "label", "pred", "score", unit_key(seed, "unit").alias("__unit"))
+        tables = keyed.drop("score")
     parts = []
     table_metrics = [m for m in names if m != "auroc"]
     if table_metrics:
-        counts = confusion_draws(keyed.drop("score"), by, n_bootstrap)
+        counts = confusion_draws(tables, by, n_bootstrap)
         parts.append(_table_rows(counts, [*by, "b"], table_metrics))
     if "auroc" in names:
         keys = [*by, "class_id"] if n_classes > 2 else list(by)
         scored = keyed.select(*by, "label", "__unit", "score")
         if n_classes > 2:
             scored = keyed.select(*by, "label", "__unit", F.posexplode("score").alias("class_id", "score"))
-        positive = F.col("label") == F.col("class_id") if n_classes > 2 else F.when(F.col("label").isin(0, 1), F.col("label") == 1)
-        scored = scored.select(*keys, refused_unless_scored(F.col("score"), positive).alias("score"), positive.alias("positive"), "__unit")
+        if mode == "exact":  # as for the point value: null is the lowest score, NaN the highest, and no label is neither outcome
+            positive = F.col("label") == (F.col("class_id") if n_classes > 2 else F.lit(1))
+            value = F.coalesce(F.col("score").cast("double"), F.lit(float("-inf")))
+            value = F.when(F.isnan(value), F.lit(float("inf"))).otherwise(value)
+            scored = scored.filter(F.col("label").isNotNull())
+        else:
+            positive = F.col("label") == F.col("class_id") if n_classes > 2 else F.when(F.col("label").isin(0, 1), F.col("label") == 1)
+            value = refused_unless_scored(F.col("score"), positive)
+        scored = scored.select(*keys, value.alias("score"), positive.alias("positive"), "__unit")
         parts.append(_auroc_rows(auroc_draws(scored, keys, n_bootstrap), [*by, "b"], n_classes))
     return reduce(DataFrame.unionByName, parts)
 
@@ -204,9 +219,9 @@ def bootstrap_ci(
 
     point_cells = _rows(preds, drawn_unit, by, score, n_classes).groupBy(*by, "label", "pred", "score").agg(F.count(F.lit(1)).alias("n"))
     point = measure(point_cells, by).withColumnRenamed("value", "point")
-    if mode == "poisson" and names is not None:
+    if names is not None:
         rows = _rows(preds, drawn_unit, by, score, n_classes)
-        repeats = _weighted_rows(rows, by, names, n_bootstrap, seed, n_classes)
+        repeats = _weighted_rows(rows, by, names, n_bootstrap, seed, n_classes, mode)
     else:
         repeats = measure(resample(preds, drawn_unit, n_bootstrap, seed, by, score, mode, n_classes), [*by, "b"])
     intervals = _intervals(repeats, by, n_bootstrap, alpha)

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from bagstats.functions.keys import uniform
 from bagstats.operators import bootstrap as BS
 from bagstats.operators import weights as W
 
@@ -180,3 +181,48 @@ def test_custom_metrics_get_the_same_draws(preds):
     own = BS.bootstrap_ci(preds, accuracy, n_bootstrap=40).first()
     named = BS.bootstrap_ci(preds, "accuracy", n_bootstrap=40).first()
     assert own.asDict() == pytest.approx(named.asDict())
+
+
+@pytest.mark.parametrize("n", [1, 700])
+def test_exact_draws_are_counted_as_drawn(spark, n):
+    """Each unit's bytes are the number of draws that hit it, per group; a unit that is hit more than 255 times too."""
+    data = [(f, k + 1, n) for f in ("a", None) for k in range(n)]
+    units = spark.createDataFrame(data, "fold string, unit_no long, n_units long")
+    repeats = 3000 if n == 1 else 5
+    drawn = units.select("fold", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("b"), "unit_no", "n_units")
+    drawn = drawn.select("fold", "b", (F.floor(uniform(8, "b", "unit_no") * F.col("n_units")) + 1).alias("unit_no"))
+    wanted = {(r.fold, r.unit_no, r.b): r["count"] for r in drawn.groupBy("fold", "unit_no", "b").count().collect()}
+    found = {}
+    for r in W.drawn_weights(units, ["fold"], 8, repeats).collect():
+        w = W._weights(W.pa.array([bytes(r["__unit"])]), repeats)(slice(0, 1))[0]
+        found |= {(r.fold, r.unit_no, b): int(c) for b, c in enumerate(w) if c}
+    assert found == wanted
+    many = W._weights(W.pa.array([np.array([300, 0, 7], "<u4").tobytes(), bytes([1, 2, 3])]), 3)
+    assert many(np.array([1, 0])).tolist() == [[1, 2, 3], [300, 0, 7]]
+
+
+def test_exact_draws_are_not_rows(preds):
+    """No plan of an exact interval holds a row per draw beside a join: those rows had been taken for few and broadcast."""
+    rows = BS._rows(preds, "slide_id", [], "prob_1", 2)
+    plan = BS._weighted_rows(rows, [], ["accuracy", "auroc"], 2000, 42, 2, "exact")._jdf.queryExecution().optimizedPlan().toString()
+    for side in plan.split("Join")[1:]:
+        assert "Generate" not in side
+    plan = BS.resample(preds, "slide_id", 2000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+
+
+def test_exact_areas_with_ties_and_gaps(spark):
+    """Repeats of exact draws against all pairs; null is the lowest score, NaN the highest, and a row without label has no part."""
+    rng = np.random.default_rng(3)
+    score = [None if k % 11 == 0 else float("nan") if k % 13 == 0 else float(np.round(rng.random(), 1)) for k in range(120)]
+    label = [None if k % 17 == 0 else int(rng.random() < 0.5) for k in range(120)]
+    data = [(k, y, 1, s) for k, (y, s) in enumerate(zip(label, score, strict=True))]
+    rows = spark.createDataFrame(data, "unit long, label int, pred int, score double")
+    weights = {r.unit: W._weights(W.pa.array([bytes(r["__unit"])]), 40)(slice(0, 1))[0] for r in BS._drawn_units(rows, [], 6, 40).collect()}
+    found = {r.b: r.value for r in BS._weighted_rows(rows, [], ["auroc"], 40, 6, 2, "exact").collect()}
+    there = [k for k in range(120) if label[k] is not None]
+    value = np.array([-1.0 if score[k] is None else 2.0 if np.isnan(score[k]) else score[k] for k in there])
+    hit = np.array([label[k] == 1 for k in there])
+    for b in range(40):
+        w = np.array([float(weights[k][b]) if k in weights else 0.0 for k in there])
+        assert found[b] == pytest.approx(_auroc(hit, value, w))
