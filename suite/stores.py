@@ -130,7 +130,7 @@ def patches_indexed(spark, sf):
 def store_written(spark, sf):
     """Capped store read back through its index."""
     path = fresh_path(spark, "store")
-    violations = ST.write_patch_store(V.patches(spark, sf), path, cap=K, strategy="random", n_shards=8, seed=42)
+    violations = ST.write_patch_store(V.stored_patches(spark, sf), path, cap=K, strategy="random", n_shards=8, seed=42)
     index = spark.read.parquet(f"{path}/index")
     total = violations.agg(F.count(F.lit(1))).scalar()
     return index.select("slide_id", "n_patches", "raw_patches", total.alias("n_violations"))
@@ -138,7 +138,7 @@ def store_written(spark, sf):
 
 def store_kept(spark, sf):
     path = fresh_path(spark, "store")
-    ST.write_patch_store(V.patches(spark, sf), path, cap=K, strategy="random", n_shards=8, seed=42)
+    ST.write_patch_store(V.stored_patches(spark, sf), path, cap=K, strategy="random", n_shards=8, seed=42)
     return ST.read_patches(spark, f"{path}/patches", columns=["slide_id", "patch_idx"])
 
 
@@ -218,7 +218,7 @@ def report_stored(spark, sf):
 
 def coverage_stored(spark, sf):
     path = fresh_path(spark, "coverage")
-    rows = V.patches(spark, sf).select("slide_id", "patch_idx", "x", "y")
+    rows = V.stored_patches(spark, sf, "slide_id", "patch_idx", "x", "y")
     T.write_coverage_stats(C.coverage_stats(rows, B.cap_random_k(rows, K, 42)), path)
     schema = "slide_id bigint, n_total bigint, n_kept bigint, n_discarded bigint, coverage_pct double, was_capped boolean"
     return spark.read.option("header", True).schema(schema).csv(path)

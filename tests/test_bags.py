@@ -252,3 +252,36 @@ def test_caps_agree_with_and_without_a_broadcast(spark, monkeypatch, strategy):
     near = rows(B.cap_by_name(df, 12, strategy, **CAPPED[strategy]))
     monkeypatch.setattr(spread, "BESIDE_ROWS", -1)
     assert rows(B.cap_by_name(df, 12, strategy, **CAPPED[strategy])) == near and len(near) == 48
+
+
+@pytest.mark.parametrize("cap", ["spatial_sqrt", "spatial_even", "spatial_proportional"])
+def test_a_cap_selects_once(spark, monkeypatch, cap):
+    """Both kinds of cut-offs come from one written selection, and its order is made after rows are dealt, not carried by an exchange."""
+    from bagstats.functions import spread
+    from bagstats.sources import shared
+
+    data = [(s, k, (k * 7) % 20 * 256, (k * 3) % 11 * 256) for s in (1, 2) for k in range(90)]
+    patches = spark.createDataFrame(data, "slide_id long, patch_idx int, x int, y int")
+    selections = []
+
+    def recorded(df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        if "Window" in plan:
+            selections.append(plan)
+        return shared.written(df, name)
+
+    monkeypatch.setattr(spread, "written", recorded)
+    monkeypatch.setattr(B, "written", recorded, raising=False)
+    assert B.cap_by_name(patches, 20, cap, grid=6).count() == 40
+    assert len(selections) == 1
+    lines = selections[0].splitlines()
+    carried = [below for line, below in zip(lines, lines[1:], strict=False) if "Exchange hashpartitioning" in line and "md5(" in below and "Aggregate" not in below]
+    assert not carried
+
+
+def test_patches_are_ranked_once(spark, sf):
+    """Queries that read the patches several times find them written."""
+    from suite import bags as SB
+
+    plan = SB.grid_cells(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and "l_orderkey" not in plan
