@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bagstats.functions.keys import hash_bucket, hash_key
-from bagstats.functions.spread import beside, even_buckets, running_sums
+from bagstats.functions.spread import beside, even_buckets, running_sums, tasks_for
 from bagstats.operators.bags import cap_by_name
 from bagstats.operators.quality import judge_bags, source_fingerprint, split_judged, validate_bag_index
 from bagstats.sources.shared import written
@@ -16,6 +18,8 @@ from bagstats.sources.shared import written
 # Fixed value: size limit of one export shard.
 SHARD_LIMIT_BYTES = 9_500_000_000
 _BYTES_PER_VALUE = 4
+BLOCK_BAGS = 16_384  # most bags of a packing block, on average
+_PER_BLOCK = 2**32  # numbers of bags in blocks are told apart by this
 LISTED = 1000  # slides that may stand in a filter one by one
 
 
@@ -64,53 +68,139 @@ def pack_by_size(index: DataFrame, limit_bytes: int = SHARD_LIMIT_BYTES, exact:
     at most every other shard holds a single bag.  ``exact`` is the sequential rule: a new shard opens whenever the next bag would
     not fit in the open one (an oversized bag has its own), one result for any partitioning.
     """
+    if exact:
+        return _next_fit(index, limit_bytes)
     keyed = index.select("slide_id", "est_bytes").withColumn("__key", hash_key("pack", "slide_id"))
     order, levels = [F.col("__key"), F.col("slide_id")], [hash_bucket(F.col("__key"))]
-    if exact:
-        return _next_fit(keyed, order, levels, limit_bytes)
     sized = running_sums(keyed, [], order, levels, {"size": F.col("est_bytes")})
     first = F.floor(F.col("size_before") / F.lit(limit_bytes))
     across = F.col("size_before") + F.col("est_bytes") > (first + 1) * F.lit(limit_bytes)
     return sized.select("slide_id", "est_bytes", (first * 2 + across.cast("bigint")).alias("pack"))
 
 
-def _next_fit(keyed: DataFrame, order: Sequence[Column], levels: Sequence[Column], limit: int) -> DataFrame:
+def _followers(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and, for every bag of a block, the first bag that does not fit in a shard opened at it (the block's length: none)."""
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    return starts, ends, np.maximum(np.searchsorted(ends, starts + limit, side="right"), np.arange(1, len(sizes) + 1))
+
+
+def _sizes_of(values: pa.Array) -> np.ndarray:
+    return values.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
+
+
+def _block(limit: int) -> Callable[[pa.Table], pa.Table]:
+    """One row per block: its bags in order, and those whose shard is still open at its end (``pos``) with the place ``at`` up to which that shard reaches."""
+
+    def made(bags: pa.Table) -> pa.Table:
+        bags = bags.sort_by([("__key", "ascending"), ("slide_id", "ascending")])
+        held = {c: bags[c].combine_chunks() for c in ("slide_id", "est_bytes")}
+        starts, ends, follower = _followers(_sizes_of(held["est_bytes"]), limit)
+        n = len(ends)
+        pos = np.flatnonzero(follower == n)
+        # A bag beyond the limit ends its shard, whatever comes next.
+        at = np.where(ends[pos] - starts[pos] > limit, -1, starts[pos] + limit)
+        row = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        return pa.table({
+            "block": bags["block"].slice(0, 1), "n": [n], "bytes": [int(ends[-1])], "slides": row(held["slide_id"]),
+            "sizes": row(held["est_bytes"]), "pos": row(pa.array(pos, pa.int64())), "at": row(pa.array(at, pa.int64())),
+        })
+
+    return made
+
+
+def _links(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From every open shard (``src``) that asks where the next one opens: that bag (``entry``), the shards opened from it on in this
+    block, and the last of these (``next``)."""
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                _, ends, follower = _followers(_sizes_of(batch["sizes"][i].values), limit)
+                last, count, steps = list(range(len(ends))), [1] * len(ends), follower.tolist()
+                for k in range(len(ends) - 1, -1, -1):
+                    if steps[k] < len(ends):
+                        last[k], count[k] = last[steps[k]], count[steps[k]] + 1
+                b, asked = batch["b"][i].as_py(), batch["ats"][i].values.to_numpy()
+                entry = np.searchsorted(ends, np.where(asked < 0, -1, asked - batch["start"][i].as_py()), side="right")
+                yield pa.record_batch({
+                    "src": batch["srcs"][i].values, "next": pa.array(b * _PER_BLOCK + np.array(last)[entry], pa.int64()),
+                    "b": pa.array(np.full(len(entry), b), pa.int64()), "entry": pa.array(entry, pa.int64()), "opened": pa.array(np.array(count)[entry], pa.int64()),
+                })
+
+    return linked
+
+
+def _packed(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The bags of every block with their shard: ``base`` shards were opened before, the first here at ``entry``."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                slides, sizes, at = batch["slides"][i].values, batch["sizes"][i].values, batch["entry"][i].as_py()
+                opens = np.zeros(len(sizes), np.int64)
+                steps = _followers(_sizes_of(sizes), limit)[2].tolist()
+                while at is not None and at < len(steps):
+                    opens[at] = 1
+                    at = steps[at]
+                pack = np.cumsum(opens) + (batch["base"][i].as_py() - 1)
+                yield pa.record_batch({"slide_id": slides, "est_bytes": sizes, "pack": pa.array(pack, pa.int64())})
+
+    return packed
+
+
+def _next_fit(index: DataFrame, limit: int) -> DataFrame:
     """Sequential next-fit without a sequence.
 
-    Were a shard to open at bag i, the next one would open at ``follower(i)``, the first bag whose end passes the start of i plus
-    the limit: a running count over starts and ends merged in one order gives it for all bags at once.  The shards that really open
-    are those reached from bag 0.  Each round adds the followers of all that is reached and doubles the reach of the
-    follower table, so their number of rounds is the logarithm of the number of shards.
+    Bags are dealt in hash order to blocks of bounded numbers of bags.  Inside a block a running sum tells for every bag which one opens the
+    next shard.  Between blocks only the bags whose shard is open at the end of their block count: each asks the block where that shard
+    ends, which answers with the last shard opened there.  The shards that are really open are those reached from the first bag: each round
+    adds what the reached ones lead to and doubles the reach of the links.  So the rounds move a few rows per block, not all bags.
     """
-    sums = {"size": F.col("est_bytes"), "one": F.lit(1).cast("bigint")}
-    bags = running_sums(keyed, [], order, levels, sums)
-    start = F.col("size_before")
-    bags = written(bags.select("slide_id", "est_bytes", F.col("one_before").alias("i"), start.alias("start"), (start + F.col("est_bytes")).alias("end")), "bags")
-
-    marks = bags.select("i", F.inline(F.array(
-        F.struct(F.col("end").alias("at"), F.lit(1).cast("bigint").alias("ends")),
-        F.struct((F.col("start") + F.lit(limit)).alias("at"), F.lit(0).cast("bigint").alias("ends")),
-    )))
-    bucketed = even_buckets(marks, "at", "bucket")
-    # An end at the very limit still fits: ends come first among equal marks.
-    counted = running_sums(bucketed, [], [F.col("at"), F.col("ends").desc(), F.col("i")], [F.col("bucket")], {"fit": F.col("ends")})
-    follower = F.greatest(F.col("fit_before"), F.col("i") + 1)
-    jumps = written(counted.filter("ends = 0").select("i", follower.alias("next")), "followers")
-
-    opened = bags.filter("i = 0").select("i")
+    kinds = {c: index.schema[c].dataType.simpleString() for c in ("slide_id", "est_bytes")}
+    held = written(index.select("slide_id", "est_bytes"), "index")
+    n_bags = held.count()
+    digits = 1
+    while n_bags > BLOCK_BAGS * 16**digits:
+        digits += 1
+    key = hash_key("pack", "slide_id")
+    dealt = held.withColumn("block", hash_bucket(key, digits)).repartition(tasks_for(held, n_bags), "block").withColumn("__key", key)
+    schema = f"block string, n bigint, bytes bigint, slides array<{kinds['slide_id']}>, sizes array<{kinds['est_bytes']}>, pos array<bigint>, at array<bigint>"
+    blocks = written(dealt.groupBy("block").applyInArrow(_block(limit), schema), "blocks")
+
+    coarse = F.substring("block", 1, max(1, digits - 2))
+    sums = {"start": F.col("bytes"), "b": F.lit(1).cast("bigint")}
+    numbers = running_sums(blocks.select("block", "bytes"), [], [F.col("block")], [coarse], sums)
+    numbers = written(numbers.select("block", F.col("b_before").alias("b"), F.col("start_before").alias("start"), (F.col("start_before") + F.col("bytes")).alias("end")), "numbers")
+
+    waiting = blocks.select("block", F.inline(F.arrays_zip("pos", "at"))).join(numbers, "block")
+    waiting = waiting.select((F.col("b") * _PER_BLOCK + F.col("pos")).alias("src"), "b", F.when(F.col("at") < 0, F.col("at")).otherwise(F.col("at") + F.col("start")).alias("at"))
+    no_source, none = F.lit(None).cast("bigint"), F.lit(0).cast("bigint")
+    marks = waiting.filter("at >= 0").select("at", none.alias("ends"), "src").unionByName(numbers.select(F.col("end").alias("at"), F.lit(1).cast("bigint").alias("ends"), no_source.alias("src")))
+    # A block's end at the very limit still fits: ends come first among equal marks.
+    counted = running_sums(even_buckets(marks, "at", "bucket"), [], [F.col("at"), F.col("ends").desc()], [F.col("bucket")], {"fit": F.col("ends")})
+    asks = counted.filter("ends = 0").select("src", F.col("fit_before").alias("b"), "at")
+    asks = asks.unionByName(waiting.filter("at < 0").select("src", (F.col("b") + 1).alias("b"), "at"))
+    first = numbers.filter("b = 0").select(F.lit(-1).cast("bigint").alias("src"), "b", F.lit(-1).cast("bigint").alias("at"))
+    asks = asks.unionByName(first).groupBy("b").agg(F.collect_list(F.struct("src", "at")).alias("asks"))
+    asked = numbers.join(asks, "b").select("block", "b", "start", F.col("asks.src").alias("srcs"), F.col("asks.at").alias("ats"))
+    links = blocks.select("block", "sizes").join(asked, "block").mapInArrow(_links(limit), "src bigint, next bigint, b bigint, entry bigint, opened bigint")
+    links = written(links, "links")
+
+    reached, jumps = first.select("src"), links.select("src", "next")
     while True:
-        reached = opened.join(jumps, "i").select(F.col("next").alias("i"))
-        fresh = reached.join(bags.select("i"), "i", "left_semi").join(opened, "i", "left_anti").distinct()
-        fresh = written(fresh, "opened")
+        fresh = reached.join(jumps, "src").select(F.col("next").alias("src")).join(reached, "src", "left_anti").distinct()
+        fresh = written(fresh, "reached")
         if fresh.isEmpty():
             break
-        opened = written(opened.unionByName(fresh), "opened")
-        beyond = jumps.select(F.col("i").alias("next"), F.col("next").alias("beyond"))
-        jumps = written(jumps.join(beyond, "next").select("i", F.col("beyond").alias("next")), "followers")
-    marked = bags.join(opened.withColumn("opens", F.lit(1).cast("bigint")), "i", "left")
-    marked = marked.withColumn("opens", F.coalesce("opens", F.lit(0)))
-    placed = running_sums(marked, [], [F.col("i")], [F.floor(F.col("i") / 4096)], {"pack": F.col("opens")})
-    return placed.select("slide_id", "est_bytes", (F.col("pack_before") + F.col("opens") - 1).alias("pack"))
+        reached = written(reached.unionByName(fresh), "reached")
+        beyond = jumps.select(F.col("src").alias("next"), F.col("next").alias("beyond"))
+        jumps = written(jumps.join(beyond, "next").select("src", F.col("beyond").alias("next")), "jumps")
+    entries = links.join(reached, "src", "left_semi").select("b", "entry", "opened")
+    based = numbers.join(entries, "b", "left").select("block", "entry", F.coalesce("opened", F.lit(0)).alias("opened"))
+    based = running_sums(based, [], [F.col("block")], [coarse], {"base": F.col("opened")}).select("block", "entry", F.col("base_before").alias("base"))
+    placed = blocks.select("block", "slides", "sizes").join(based, "block")
+    return placed.mapInArrow(_packed(limit), f"slide_id {kinds['slide_id']}, est_bytes {kinds['est_bytes']}, pack bigint")
 
 
 def read_patches(

@@ -81,6 +81,15 @@ def test_exact_packing_is_the_sequential_one(spark, case, parts):
     assert loose.filter("n > 1 and b > 500").count() == 0
 
 
+def test_exact_packing_does_not_write_all_bags_every_round(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(store, "written", lambda df, name: held.append(shared.written(df, name)) or held[-1])
+    index = spark.range(3000).select(F.col("id").alias("slide_id"), (F.col("id") % 7 * 24 + 24).alias("est_bytes"))
+    got = store.pack_by_size(index, 512, exact=True).withColumn("k", hash_key("pack", "slide_id")).toPandas().sort_values(["k", "slide_id"])
+    assert got.pack.tolist() == _sequential(got.est_bytes, 512)
+    assert sum(df.count() for df in held) < 2 * 3000
+
+
 def test_packing_of_no_bags(spark):
     assert store.pack_by_size(spark.createDataFrame([], "slide_id long, est_bytes long"), 500, exact=True).count() == 0
 
