@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from helpers import rows
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bagstats.functions import spread
@@ -285,3 +286,49 @@ def test_patches_are_ranked_once(spark, sf):
 
     plan = SB.grid_cells(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "lineitem" not in plan and "l_orderkey" not in plan
+
+
+def _drawn(df, k, seed):
+    """The first k of every slide in hash order, by one sort per slide."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("slide_id").cast("string"), F.col("patch_idx").cast("string")).cast("binary"))
+    turn = F.row_number().over(Window.partitionBy("slide_id").orderBy(key, "patch_idx", F.xxhash64(F.col("x").cast("double"), F.col("y").cast("double"))))
+    return df.withColumn("turn", turn).filter(F.col("turn") <= k).select("slide_id", "patch_idx", "x")
+
+
+def test_a_random_draw_orders_only_what_may_be_drawn(spark, monkeypatch):
+    bags = spark.range(4000).select(F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("slide_id"), F.col("id").alias("patch_idx"), (F.col("id") * 7).alias("x"), F.lit(0).alias("y"))
+    ordered = []
+    monkeypatch.setattr(B, "keep_lowest", lambda rows, *more, **named: ordered.append(rows.count()) or spread.keep_lowest(rows, *more, **named))
+    assert rows(B.cap_random_k(bags, 20, 5).select("slide_id", "patch_idx", "x")) == rows(_drawn(bags, 20, 5))
+    crops = B.multi_crop(bags, 2, 20, seed=5)
+    assert rows(crops.filter("crop = 1").select("slide_id", "patch_idx", "x")) == rows(_drawn(bags, 20, 1005))
+    assert ordered == []
+
+
+def test_a_random_draw_of_patches_of_one_number(spark):
+    """Equal hashes: the share below the bound may hold too few, so the slide is drawn from all its patches."""
+    one = spark.range(3000).select((F.col("id") % 3).alias("slide_id"), F.lit(4).alias("patch_idx"), F.col("id").alias("x"), F.lit(1).alias("y"))
+    assert rows(B.cap_random_k(one, 20, 2).select("slide_id", "patch_idx", "x")) == rows(_drawn(one, 20, 2))
+    flags = B.cap_bags(one, 20, "random", seed=2)
+    assert flags.count() == 3000 and rows(flags.filter("kept").select("slide_id", "patch_idx", "x")) == rows(_drawn(one, 20, 2))
+
+
+def test_many_kept_patches_meet_in_as_many_tasks_as_they_need(spark, monkeypatch):
+    made = [(None, None, 1), (None, 2, 2), (1, 1, 3), (1, 1, 4), (1, None, 5), (0, 0, 6)]
+    bags = spark.createDataFrame(made, "slide_id int, patch_idx int, x int")
+    kept = spark.createDataFrame([(None, 2, 0), (1, 1, 0), (1, None, 0)], "slide_id int, patch_idx int, x int")
+    want = [(None, 2, 2, True), (None, None, 1, False), (0, 0, 6, False), (1, 1, 3, True), (1, 1, 4, True), (1, None, 5, True)]
+    assert rows(C.kept_vs_all(bags, kept)) == sorted(want, key=repr)
+    monkeypatch.setattr(spread, "BESIDE_ROWS", -1)
+    monkeypatch.setattr(spread, "TASK_ROWS", 1)
+    out = C.kept_vs_all(bags, kept)
+    dealt = [line for line in _plan_lines(out) if "Exchange hashpartitioning" in line]
+    assert rows(out) == sorted(want, key=repr)
+    assert len(dealt) == 2 and all(", 6), REPARTITION_BY_NUM" in line and "string" not in line for line in dealt)
+
+
+def test_ranks_are_taken_in_as_many_tasks_as_given(spark):
+    made = spark.range(90).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    out = spread.ranked(made, ["k"], [F.col("v")], [F.floor(F.col("v") / 10)], rank="r", tasks=11)
+    plain = made.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("v")))
+    assert rows(out) == rows(plain) and any(", 11), REPARTITION_BY_NUM" in line for line in _plan_lines(out))
