@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bagstats.functions.probs import prob_columns
+from bagstats.functions.spread import tasks_for
 from bagstats.operators.manifest import found_and_expected
+from bagstats.sources.shared import written
 
+STRETCH = 4096  # patch numbers of a slide that one task judges together
 # Spark's names for a table without hidden file columns.
 NO_FILES = ("UNRESOLVED_COLUMN.WITH_SUGGESTION", "UNRESOLVED_COLUMN.WITHOUT_SUGGESTION", "FIELD_NOT_FOUND")
 # Reasons a slide is rejected, first failing one wins.
@@ -23,15 +26,24 @@ REJECT_DUPLICATE = "duplicate patch index"
 REJECT_FOREIGN_DIM = "feature dimension differs from the other slides"
 
 
-def bag_facts(patches: DataFrame) -> DataFrame:
-    """Per slide: patches, rows with features, rows with coordinates, dimensions, index range."""
+def bag_facts(patches: DataFrame, rows: int | None = None) -> DataFrame:
+    """Per slide: patches, rows with features, rows with coordinates, dimensions, index range.
+
+    A slide is dealt by stretches of patch numbers, in which copies meet, and leaves a stretch as one row.
+    ``rows`` is the number of patches, if it is known.
+    """
     has_xy = F.col("x").isNotNull() & F.col("y").isNotNull()
-    per_patch = patches.groupBy("slide_id", "patch_idx").agg(
+    stretch = F.floor(F.col("patch_idx") / F.lit(STRETCH))
+    facts = patches.select(
+        "slide_id", "patch_idx", stretch.alias("stretch"), F.col("features").isNotNull().alias("has_features"), has_xy.alias("has_xy"), F.size("features").alias("dim")
+    )
+    tasks = [tasks_for(patches, rows)] if rows is not None else []
+    per_patch = facts.repartition(*tasks, "slide_id", "stretch").groupBy("slide_id", "stretch", "patch_idx").agg(
         F.count(F.lit(1)).alias("copies"),
-        F.count("features").alias("n_features"),
-        F.sum(has_xy.cast("bigint")).alias("n_coords"),
-        F.min(F.size("features")).alias("min_dim"),
-        F.max(F.size("features")).alias("max_dim"),
+        F.count_if("has_features").alias("n_features"),
+        F.count_if("has_xy").alias("n_coords"),
+        F.min("dim").alias("min_dim"),
+        F.max("dim").alias("max_dim"),
     )
     return per_patch.groupBy("slide_id").agg(
         F.sum("copies").alias("n_patches"),
@@ -43,12 +55,13 @@ def bag_facts(patches: DataFrame) -> DataFrame:
     )
 
 
-def judge_bags(patches: DataFrame, feat_dim: int | None = None) -> DataFrame:
+def judge_bags(patches: DataFrame, feat_dim: int | None = None, rows: int | None = None) -> DataFrame:
     """Facts of every slide with the first ``reason`` to reject it (null when it is valid).
 
     The expected dimension is given or is the most common one (the smallest on ties).
     """
-    facts = bag_facts(patches)
+    # Written once: the expected dimension and the reasons come out of one pass over the patches.
+    facts = written(bag_facts(patches, rows), "facts")
     usual = F.lit(feat_dim) if feat_dim else facts.agg(F.mode("max_dim", True)).scalar()
     reason = (
         F.when(F.col("n_features") == 0, REJECT_NO_FEATURES)

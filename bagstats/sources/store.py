@@ -18,6 +18,8 @@ from bagstats.sources.shared import written
 # Fixed value: size limit of one export shard.
 SHARD_LIMIT_BYTES = 9_500_000_000
 _BYTES_PER_VALUE = 4
+_ROW_BYTES = 64  # of a patch without its features, in a sort
+TASK_BYTES = 32_000_000  # of stored patches that a task sorts
 BLOCK_BAGS = 16_384  # most bags of a packing block, on average
 _PER_BLOCK = 2**32  # numbers of bags in blocks are told apart by this
 LISTED = 1000  # slides that may stand in a filter one by one
@@ -248,13 +250,16 @@ def write_patch_store(
     several files.  Returns the violations found when the store is read back.
     """
     spark = patches.sparkSession
-    judge_bags(patches).write.mode("errorifexists").parquet(f"{path}/scan")
+    judge_bags(patches, rows=patches.count()).write.mode("errorifexists").parquet(f"{path}/scan")
     valid, rejects = split_judged(spark.read.parquet(f"{path}/scan"))
     rejects.write.mode("errorifexists").json(f"{path}/rejects")
     accepted = beside(patches, valid.select("slide_id"), ["slide_id"], "left_semi")
     stored = cap_by_name(accepted, cap, strategy, **cap_options) if cap else accepted
+    # Partitions that a task sorts in memory, whatever the length of the feature vectors.
+    kept = F.least(F.col("n_patches"), F.lit(cap)) if cap else F.col("n_patches")
+    size = valid.agg(F.sum(kept * (F.col("feat_dim") * 2 * _BYTES_PER_VALUE + _ROW_BYTES)).alias("size")).first()["size"] or 0
     (
-        stored.repartitionByRange("slide_id", "patch_idx")
+        stored.repartitionByRange(1 + size // TASK_BYTES, "slide_id", "patch_idx")
         .sortWithinPartitions("slide_id", "patch_idx")
         .write.mode("errorifexists")
         .option("maxRecordsPerFile", max_records_per_file)

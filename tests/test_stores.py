@@ -250,3 +250,19 @@ def test_stream_reads_a_table_of_files(spark, tmp_path, files):
     spark.range(90, 99).write.parquet(f"{tmp_path}/orders.parquet")
     out = stores._drained(stores._stream(spark, str(tmp_path), "events"), "stream-test")
     assert rows(out) == [(k,) for k in range(9)]
+
+
+def test_a_store_is_sorted_in_pieces_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(store, "TASK_BYTES", 2000)
+    bags = spark.range(600).select((F.col("id") % 5).alias("slide_id"), F.floor(F.col("id") / 5).cast("int").alias("patch_idx"), F.lit(1).alias("x"), F.col("id").cast("int").alias("y"), F.array(F.lit(0.5), F.lit(1.5)).alias("features"))
+    path = shared.fresh_path(spark, "store")
+    assert store.write_patch_store(bags, path, cap=40, strategy="random", n_shards=2, seed=1).count() == 0
+    back = spark.read.parquet(f"{path}/patches")
+    assert back.groupBy("slide_id").count().filter("count = 40").count() == 5
+    assert back.select(F.input_file_name()).distinct().count() > 5
+
+
+def test_facts_of_bags_are_taken_once(spark, patches, monkeypatch):
+    held = []
+    monkeypatch.setattr(Q, "written", lambda df, name: held.append(name) or shared.written(df, name), raising=False)
+    assert Q.judge_bags(patches).count() == patches.select("slide_id").distinct().count() and held == ["facts"]
