@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from bagstats.functions.spread import lookup
+from bagstats.functions.spread import marked, marks_of
 from bagstats.llm.components import components
 from bagstats.llm.memo import text_slices
 from bagstats.llm.shingles import SLICE_BYTES, mix, set_digest, shingle_sets
@@ -244,11 +244,15 @@ def _against_open(members: DataFrame, block_rows: int) -> DataFrame:
 
 
 def _forest_of_teams(
-    rows: DataFrame, teams: DataFrame, block_rows: int, complete: Callable[[DataFrame], DataFrame], alike: Callable[[pa.RecordBatch], np.ndarray]
+    rows: DataFrame,
+    teams: DataFrame,
+    block_rows: int,
+    complete: Callable[[DataFrame, DataFrame | None], DataFrame],
+    alike: Callable[[pa.RecordBatch], np.ndarray],
 ) -> DataFrame:
     """Edges ``a, b`` that connect what is alike inside every team: ``rows`` (``node, team``) of ``teams`` (``team, first, blocks``, written).
 
-    ``complete`` adds what ``alike`` needs.  Every block is worked off by itself, with the team's first member as a
+    ``complete`` adds what ``alike`` needs to members of all teams, or of those in its second argument.  Every block is worked off by itself, with the team's first member as a
     visitor; then, in teams that are not one group yet, what is outside the largest group meets all members of other groups.
     """
 
@@ -256,7 +260,7 @@ def _forest_of_teams(
         return _forests(batches, alike)
 
     edges = "a binary, b binary"
-    found = written(_own_blocks(complete(rows.join(teams, "team"))).mapInArrow(search, edges), "edges")
+    found = written(_own_blocks(complete(rows.join(teams, "team"), None)).mapInArrow(search, edges), "edges")
     cut = teams.filter("blocks > 1")
     if cut.isEmpty():
         return found
@@ -270,7 +274,7 @@ def _forest_of_teams(
         return found
     parted = large.join(unfinished, "team").withColumn("is_open", F.col("component") != F.col("main"))
     parted = parted.withColumn("kin", F.xxhash64("component")).drop("component", "main")
-    return found.unionByName(_against_open(complete(parted), block_rows).mapInArrow(search, edges))
+    return found.unionByName(_against_open(complete(parted, unfinished), block_rows).mapInArrow(search, edges))
 
 
 def near_duplicates(
@@ -331,17 +335,22 @@ def _grouped(
     shared = written(shared.select("team", "first", F.ceil(F.col("n") / bucket_rows).alias("blocks")), "buckets")
     sizes = nodes.select("node", "n_shingles", "low")
     ratio = percent / 100
-    proposed = _forest_of_teams(buckets, shared, bucket_rows, lambda rows: rows.join(sizes, "node"), lambda rows: _alike(rows, likely, ratio))
+    proposed = _forest_of_teams(buckets, shared, bucket_rows, lambda rows, _: rows.join(sizes, "node"), lambda rows: _alike(rows, likely, ratio))
 
     clusters = components(proposed, "a", "b").withColumnRenamed("component", "team")
     clusters = written(clusters.join(nodes.select("node", "row", "n_shingles", "low"), "node"), "clusters")
+    members = clusters.count()
+
+    def with_sets(rows: DataFrame, only: DataFrame | None) -> DataFrame:
+        wanted = clusters if only is None else clusters.join(only, "team", "left_semi")
+        return _sets(docs, rows, marks_of(wanted, F.xxhash64("row.doc_id", "row.text_hash"), members), members, id_col, text_col, shingle)
+
     sums = clusters.groupBy("team").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
     blocks = F.greatest(F.ceil(F.col("n") / cluster_rows), F.ceil(F.col("total") / BLOCK_SHINGLES)).alias("blocks")
     # A cluster bears the name of its smallest member.
     teams = written(sums.select("team", F.col("team").alias("first"), blocks), "teams")
     links = _forest_of_teams(
-        clusters.drop("n_shingles"), teams, cluster_rows, lambda rows: _sets(docs, rows, id_col, text_col, shingle),
-        lambda rows: _linked(rows, _alike(rows, 0.0, ratio), percent),
+        clusters.drop("n_shingles"), teams, cluster_rows, with_sets, lambda rows: _linked(rows, _alike(rows, 0.0, ratio), percent),
     )
     linked = components(links, "a", "b")
 
@@ -354,10 +363,14 @@ def _grouped(
     return rows.select("doc_id", "text_hash", "n_shingles", "component", component.alias("component_id"))
 
 
-def _sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """The wanted nodes with their full sets, each from one of its rows, found by id and text hash."""
+def _sets(docs: DataFrame, needed: DataFrame, marks: DataFrame, most: int, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """The wanted nodes with their full sets, each from one of its rows, found by id and text hash.
+
+    The bits of the wanted rows (``marks``, for ``most`` rows) stop nearly all other texts where they are read; the join decides.
+    """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
+    texts = marked(texts, F.xxhash64("doc_id", "text_hash"), marks, most)
     same = F.col("doc_id").eqNullSafe(F.col("row.doc_id")) & (F.col("text_hash") == F.col("row.text_hash"))
     carried = [c for c in needed.columns if c != "row"]
     # Repeated rows are one again; two texts of one id and hash stay two, and the digest tells them apart.

@@ -179,3 +179,21 @@ def _linked_to(rows, size, percent):
                         seen.add(n)
                         waiting.append(n)
     return {rows[k][0]: rows[label[k]][0] for k in range(len(rows))}
+
+
+def test_only_texts_in_clusters_meet_the_members(spark, monkeypatch):
+    """Nearly all texts that are like no other are stopped where they are read, and groups are those of brute force."""
+    rng = random.Random(9)
+    rows = [(k if k % 50 else None, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for k in range(600)]
+    rows += [(1000 + k, f"{rows[k][1]} more") for k in range(20)] + [rows[0], (1, rows[5][1])]
+    met = []
+
+    def counted(*given, marked=superminhash.marked):
+        found = marked(*given)
+        met.append(found.count())
+        return found
+
+    monkeypatch.setattr(superminhash, "marked", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert _found(near_duplicates(docs, shingle=4)) == _groups(rows, 4, 80)
+    assert 40 <= met[0] < 120

@@ -117,3 +117,15 @@ def test_exact_quantiles(spark):
     for k in (0, 1):
         want = np.percentile(values[k::2], [10, 50, 90])
         assert np.allclose([got[k].a, got[k].b, got[k].c], want)
+
+
+def test_marked_rows_all_pass_and_few_others(spark):
+    rows = spark.range(200_000).select(F.when(F.col("id") % 1000 != 0, F.col("id")).alias("id"), F.lit("x").alias("map"))
+    wanted = rows.filter("id % 10 = 3 or id is null")
+    mark = F.xxhash64("id", "map")
+    for most in (wanted.count(), 1):  # 1: too few bits lose nothing
+        found = spread.marked(rows, mark, spread.marks_of(wanted, mark, most), most)
+        assert found.columns == rows.columns
+        assert found.join(wanted.distinct(), found.id.eqNullSafe(wanted.id), "left_semi").count() == wanted.count()
+        assert found.count() < 200_000 if most == 1 else wanted.count() <= found.count() < 36_000
+    assert spread.marked(rows, mark, spread.marks_of(wanted.limit(0), mark, 0), 0).count() == 0
