@@ -197,3 +197,14 @@ def test_only_texts_in_clusters_meet_the_members(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert _found(near_duplicates(docs, shingle=4)) == _groups(rows, 4, 80)
     assert 40 <= met[0] < 120
+
+
+def test_chains_in_a_block_leave_it_as_stars():
+    nodes = [bytes([k]) * 16 for k in (9, 4, 7, 1, 8, 2)]
+    columns = {"node": nodes, "team": [5] * 6, "i": [0] * 6, "j": [0] * 6}
+    alike = np.zeros((6, 6), np.int16)
+    for a, b in [(0, 1), (1, 2), (2, 4), (3, 5)]:  # a chain of four and a pair
+        alike[a, b] = alike[b, a] = 90
+    batches = superminhash._forests(iter([pa.RecordBatch.from_pydict(columns)]), lambda rows: alike)
+    found = {(a[0], b[0]) for x in batches for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist(), strict=True)}
+    assert found == {(4, 9), (4, 7), (4, 8), (1, 2)}
