@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bagstats.llm.memo import handed_back
+
 BUCKETS = 4096
 UNKNOWN = "und"
 LEAST_PER_LANGUAGE = 20
@@ -164,7 +166,7 @@ def fit_language_model(
             data = [v.astype(np.float16).tobytes() for block in shares(pa.array(pieces, pa.string())) for v in block]
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(data, pa.binary())], names=["label", "share"])
 
-    found = drawn.select("text", "label").mapInArrow(vectors, "label string, share binary").toArrow()
+    found = drawn.select("text", "label").mapInArrow(lambda batches: handed_back(vectors(batches)), "label string, share binary").toArrow()
     order = np.argsort(np.array(found.column("label").to_pylist(), object), kind="stable")
     labels = np.array(found.column("label").to_pylist(), object)[order]
     features = np.zeros((len(order), BUCKETS), np.float32)  # the one matrix held on the driver
@@ -193,6 +195,9 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lead
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from handed_back(judged(texts))
+
+    def judged(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         found = shared.value
         for given in texts:
             given = pc.fill_null(given, "")

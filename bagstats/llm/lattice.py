@@ -129,13 +129,16 @@ class Lattice:
                 at = np.flatnonzero(piece >= 0)
             target = node[spots[at]] + size
             degree[target] += 1
-            found.append((target, piece[at], size))
+            found.append((target.astype(np.int32), piece[at].astype(np.int32), size))
+        del codes, owner, node, left, spots, rolled
 
         first = np.cumsum(degree, dtype=np.int64) - degree
         count = int(degree.sum())
-        source, number, log = np.empty(count, np.int64), np.empty(count, np.int64), np.empty(count)
+        source, number, log = np.empty(count, np.int32), np.empty(count, np.int32), np.empty(count)
         filled = first.copy()
-        for target, piece, size in found:
+        found.reverse()
+        while found:  # each is gone when it is filed
+            target, piece, size = found.pop()
             slot = filled[target]
             filled[target] += 1
             source[slot], number[slot] = target - size, piece
@@ -145,6 +148,7 @@ class Lattice:
                 code = -1 - piece
                 width = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
             log[slot] = np.where(known, pieces.logs[np.where(known, piece, 0)], pieces.byte_log * width)
+        del filled
 
         alpha, upto, ways = np.zeros(nodes), np.empty(count), np.ones(nodes)
         order = np.argsort(-sizes, kind="stable")

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bagstats.llm.lattice import SPACE, Lattice, Pieces
-from bagstats.llm.memo import concat_ranges
+from bagstats.llm.memo import concat_ranges, handed_back
 from bagstats.llm.shingles import mix
 
-SLICE_CHARS = 800_000
+SLICE_CHARS = 400_000  # bounds the arrays of a task; it changes no draw
 CUT = "\x00"
 TRIES = 32
 DUST = 1e-9  # a rest below this is not taken from a difference
@@ -297,26 +297,34 @@ def segmentations_of(texts: pa.Array, keys: np.ndarray, pieces: Pieces, k: int)
     begin = 0
     while begin < len(texts):
         end = max(begin + 1, int(np.searchsorted(lengths, lengths[begin] + SLICE_CHARS, "right")) - 1)
-        words, offsets = words_of(texts.slice(begin, end - begin), pieces.newline_cuts)
-        coded = words.dictionary_encode()
-        lattice = Lattice.of(coded.dictionary.to_pylist(), pieces)
-        search = _Search(lattice, coded.indices.to_numpy().astype(np.int64), offsets, keys[begin:end])
-        search.start()
-        while len(search.value) < k and (search.value[-1] > -np.inf).any():
-            search.next()
-        limit = search.best()[0]
-        for s, value in enumerate(search.value):
-            has = np.flatnonzero(value > -np.inf)
-            if not len(has):
-                continue
-            ids, counts = search.ids(s, pieces)
-            total = np.bincount(search.text, weights=search.log[s], minlength=end - begin)[has]
-            over = np.where(limit[has] > -np.inf, np.minimum(total - limit[has], 50.0), 50.0)
-            score = np.where(over < -30, over, np.log(-np.expm1(-np.exp(np.maximum(over, -30)))))
-            yield begin + has, s + 1, ids, counts[has], total, value[has], score
+        # in a call of its own: the arrays of one slice are gone before those of the next are made
+        for spots, *found in _of_slice(texts.slice(begin, end - begin), keys[begin:end], pieces, k):
+            yield begin + spots, *found
         begin = end
 
 
+def _of_slice(texts: pa.Array, keys: np.ndarray, pieces: Pieces, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    words, offsets = words_of(texts, pieces.newline_cuts)
+    coded = words.dictionary_encode()
+    del words
+    lattice = Lattice.of(coded.dictionary.to_pylist(), pieces)
+    search = _Search(lattice, coded.indices.to_numpy().astype(np.int64), offsets, keys)
+    del coded
+    search.start()
+    while len(search.value) < k and (search.value[-1] > -np.inf).any():
+        search.next()
+    limit = search.best()[0]
+    for s, value in enumerate(search.value):
+        has = np.flatnonzero(value > -np.inf)
+        if not len(has):
+            continue
+        ids, counts = search.ids(s, pieces)
+        total = np.bincount(search.text, weights=search.log[s], minlength=len(texts))[has]
+        over = np.where(limit[has] > -np.inf, np.minimum(total - limit[has], 50.0), 50.0)
+        score = np.where(over < -30, over, np.log(-np.expm1(-np.exp(np.maximum(over, -30)))))
+        yield has, s + 1, ids, counts[has], total, value[has], score
+
+
 def sample_segmentations(
     docs: DataFrame, model_path: str, k: int = 2, seed: int = 0, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -345,7 +353,7 @@ def sample_segmentations(
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    return rows.mapInArrow(sample, f"`{id_col}` {kind}, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double")
+    return rows.mapInArrow(lambda batches: handed_back(sample(batches)), f"`{id_col}` {kind}, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double")
 
 
 def decoded(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql.types import StructType
 
 from bagstats.functions.spread import marked, marks_of
 from bagstats.llm.components import components
-from bagstats.llm.memo import text_slices
+from bagstats.llm.memo import handed_back, text_slices
 from bagstats.llm.shingles import SLICE_BYTES, mix, set_digest, shingle_sets
 from bagstats.sources.shared import written
 
@@ -107,7 +107,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
             )
 
     columns = [F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col), F.xxhash64(text_col).alias("text_hash")]
-    return docs.select(*columns).mapInArrow(sketch, schema)
+    return docs.select(*columns).mapInArrow(lambda batches: handed_back(sketch(batches)), schema)
 
 
 def _forest(alike: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -264,7 +264,7 @@ def _forest_of_teams(
     """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _forests(batches, alike)
+        return handed_back(_forests(batches, alike))
 
     edges = "a binary, b binary"
     found = written(_own_blocks(complete(rows.join(teams, "team"), None)).mapInArrow(search, edges), "edges")
@@ -401,4 +401,4 @@ def _sets(docs: DataFrame, needed: DataFrame, marks: DataFrame, most: int, id_co
                 yield pa.RecordBatch.from_arrays([*chosen.columns[1:], sizes, pa.array(sets, pa.binary())], names=[*carried, "n_shingles", "hashes"])
 
     schema = StructType([*kinds.fields, *StructType.fromDDL("n_shingles long, hashes binary").fields])
-    return rows.mapInArrow(build, schema)
+    return rows.mapInArrow(lambda batches: handed_back(build(batches)), schema)

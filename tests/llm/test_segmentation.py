@@ -1,4 +1,7 @@
 import collections
+import re
+import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -6,7 +9,9 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 
+from bagstats.llm import segmentation
 from bagstats.llm.lattice import Pieces
+from bagstats.llm.memo import handed_back
 from bagstats.llm.segmentation import _other_path, Lattice, decoded, sample_segmentations, segmentations_of
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -117,3 +122,60 @@ def test_a_long_word_in_the_slice_changes_nothing(pieces):
     alone, beside = rows(["a", "t"]), rows(["a", "t", "x" * 3000])
     assert len(alone[0]) == len(alone[1]) == 2
     assert beside[0] == alone[0] and beside[1] == alone[1]
+
+
+def test_one_slice_is_gone_before_the_next(pieces, monkeypatch):
+    """A task holds the arrays of one slice, however many slices it works off, and a slice takes less than 150 bytes a character."""
+    monkeypatch.setattr(segmentation, "SLICE_CHARS", 40_000)
+    letters = np.random.default_rng(1).integers(97, 123, (64, 4_000)).astype(np.uint8)
+    letters[:, ::8] = 32
+    texts = [bytes(x).decode() for x in letters]
+
+    def most(given):
+        tracemalloc.start()
+        for _ in segmentations_of(pa.array(given), np.arange(len(given), dtype=np.uint64), pieces, 2):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return peak
+
+    most(texts[:9])  # what is made once
+    one, many = most(texts[:9]), most(texts)
+    assert many < 1.25 * one
+    assert one < 150 * 9 * 4_000
+
+
+def test_slices_change_no_draw(pieces, monkeypatch):
+    texts = pa.array([f"some words of text {k} and others " * 20 for k in range(50)])
+    keys = np.arange(50, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def rows(size):
+        monkeypatch.setattr(segmentation, "SLICE_CHARS", size)
+        out = {}
+        for spot, sample, ids, sizes, *numbers in segmentations_of(texts, keys, pieces, 2):
+            for at, found, *own in zip(spot, np.split(ids, np.cumsum(sizes)[:-1]), *numbers, strict=True):
+                out[int(at), sample] = (found.tolist(), own)
+        return out
+
+    small, large = rows(1_000), rows(10**6)
+    assert small.keys() == large.keys() and len(large) == 100
+    assert all(small[k][0] == large[k][0] and small[k][1] == pytest.approx(large[k][1], abs=1e-9) for k in large)
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="needs Linux")
+def test_workers_give_memory_back():
+    """Freed blocks below one that is still held stay with the process unless they are given back."""
+
+    def held():
+        return int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    kept = []
+
+    def task():
+        blocks = [np.ones(8_000) for _ in range(3_000)]
+        kept.append(np.ones(8_000))
+        yield len(blocks)
+
+    before = held()
+    assert list(handed_back(task())) == [3_000]
+    assert held() - before < 60  # of 192
