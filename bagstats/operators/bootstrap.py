@@ -3,7 +3,8 @@
 Two ways to resample.  ``poisson`` gives every unit an independent Poisson(1) weight per
 repeat; weights are handled as arrays over the repeats (see ``weights``), so no row is multiplied and nothing is
 joined: this is the form for tables of any size.  ``exact`` makes n draws of n units, each draw a keyed hash of
-(repeat, draw number): n times repeats draws, packed into bytes and counted per unit, whose counts are its weights from there on.
+(repeat, draw number): n times repeats draws, made and counted where their repeat is evaluated (see ``draws``).  Only for custom metrics
+they are packed into bytes and counted per unit, whose counts are its weights from there on.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from bagstats.functions.keys import hash_bucket, hash_key
 from bagstats.functions.probs import with_prediction, with_probs
 from bagstats.functions.spread import lookup, ranked, spread_out
 from bagstats.operators.confusion import overall_scores
+from bagstats.operators.draws import exact_repeats
 from bagstats.operators.ranking import auroc_from_scores, auroc_macro, refused_unless_scored
 from bagstats.operators.scores import patient_aggregate, sized
 from bagstats.operators.weights import auroc_draws, confusion_draws, drawn_weights, unit_key, weighted_rows
@@ -89,13 +91,18 @@ def resample(
     return drawn.select(*by, "b", "label", "pred", "score", "n")
 
 
-def _drawn_units(rows: DataFrame, by: Sequence[str], seed: int, n_bootstrap: int) -> DataFrame:
-    """``by, unit, __unit`` of n draws of n units, written once: every metric reads the same draws."""
-    by = list(by)
+def _numbered_units(rows: DataFrame, by: Sequence[str], seed: int) -> DataFrame:
+    """``by, unit, unit_no, n_units``: the numbers by which units are drawn."""
     units = rows.select(*by, "unit").distinct().withColumn("__key", hash_key(seed, "unit"))
-    numbered = ranked(
+    return ranked(
         units, by, [F.col("__key"), F.col("unit")], [hash_bucket(F.col("__key"))], rank="unit_no", total="n_units"
     ).drop("__key")
+
+
+def _drawn_units(rows: DataFrame, by: Sequence[str], seed: int, n_bootstrap: int) -> DataFrame:
+    """``by, unit, __unit`` of n draws of n units, written once: every metric reads the same draws."""
+    by = list(by)
+    numbered = _numbered_units(rows, by, seed)
     weights = drawn_weights(numbered, by, seed, n_bootstrap)
     return written(numbered.drop("n_units").join(weights, [*by, "unit_no"]).select(*by, "unit", "__unit"), "draws")
 
@@ -139,25 +146,23 @@ def _weighted_rows(
     rows: DataFrame, by: Sequence[str], names: Sequence[str], n_bootstrap: int, seed: int, n_classes: int, mode: str = "poisson"
 ) -> DataFrame:
     """Long ``b, metric, value`` of resamples, without a row per repeat."""
-    if mode == "exact":
-        weights = _drawn_units(rows, by, seed, n_bootstrap)
-        keyed = rows.join(weights, [*by, "unit"]).select(*by, "label", "pred", "score", "__unit")
-        per_unit = rows.groupBy(*by, "unit", "label", "pred").agg(F.count(F.lit(1)).alias("__times")).join(weights, [*by, "unit"])
-        tables = per_unit.select(*by, "label", "pred", "__unit", "__times")
+    exact = mode == "exact"
+    if exact:
+        numbers = _numbered_units(rows, by, seed)
+        keyed = written(rows.join(numbers, [*by, "unit"]).select(*by, "label", "pred", "score", "unit_no", "n_units"), "draws")
+        unit = ["unit_no", "n_units"]
     else:
         keyed = rows.select(*by, "label", "pred", "score", unit_key(seed, "unit").alias("__unit"))
-        tables = keyed.drop("score")
-    parts = []
+        unit = ["__unit"]
     table_metrics = [m for m in names if m != "auroc"]
-    if table_metrics:
-        counts = confusion_draws(tables, by, n_bootstrap)
-        parts.append(_table_rows(counts, [*by, "b"], table_metrics))
+    keys = [*by, "class_id"] if n_classes > 2 else list(by)
+    tables = keyed.drop("score") if table_metrics else None
+    scored = None
     if "auroc" in names:
-        keys = [*by, "class_id"] if n_classes > 2 else list(by)
-        scored = keyed.select(*by, "label", "__unit", "score")
+        scored = keyed.select(*by, "label", *unit, "score")
         if n_classes > 2:
-            scored = keyed.select(*by, "label", "__unit", F.posexplode("score").alias("class_id", "score"))
-        if mode == "exact":  # as for the point value: null is the lowest score, NaN the highest, and no label is neither outcome
+            scored = keyed.select(*by, "label", *unit, F.posexplode("score").alias("class_id", "score"))
+        if exact:  # as for the point value: null is the lowest score, NaN the highest, and no label is neither outcome
             positive = F.col("label") == (F.col("class_id") if n_classes > 2 else F.lit(1))
             value = F.coalesce(F.col("score").cast("double"), F.lit(float("-inf")))
             value = F.when(F.isnan(value), F.lit(float("inf"))).otherwise(value)
@@ -165,8 +170,15 @@ def _weighted_rows(
         else:
             positive = F.col("label") == F.col("class_id") if n_classes > 2 else F.when(F.col("label").isin(0, 1), F.col("label") == 1)
             value = refused_unless_scored(F.col("score"), positive)
-        scored = scored.select(*keys, value.alias("score"), positive.alias("positive"), "__unit")
-        parts.append(_auroc_rows(auroc_draws(scored, keys, n_bootstrap), [*by, "b"], n_classes))
+        scored = scored.select(*keys, value.alias("score"), positive.alias("positive"), *unit)
+    if exact:
+        counts, areas = exact_repeats(tables, scored, by, keys, seed, n_bootstrap)
+    else:
+        counts = None if tables is None else confusion_draws(tables, by, n_bootstrap)
+        areas = None if scored is None else auroc_draws(scored, keys, n_bootstrap)
+    parts = [] if counts is None else [_table_rows(counts, [*by, "b"], table_metrics)]
+    if areas is not None:
+        parts.append(_auroc_rows(areas, [*by, "b"], n_classes))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -1,10 +1,14 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from bagstats.functions.keys import uniform
 from bagstats.operators import bootstrap as BS
+from bagstats.operators import draws as D
 from bagstats.operators import weights as W
+from bagstats.sources.shared import shared_dir
 
 
 @pytest.fixture(scope="module")
@@ -226,3 +230,54 @@ def test_exact_areas_with_ties_and_gaps(spark):
     for b in range(40):
         w = np.array([float(weights[k][b]) if k in weights else 0.0 for k in there])
         assert found[b] == pytest.approx(_auroc(hit, value, w))
+
+
+def test_numbers_hashed_in_a_task_are_those_of_spark(spark):
+    """Short and long unit numbers, both sides of each piece."""
+    n = 120_010
+    wanted = spark.range(1, n + 1).select(F.col("id").alias("unit_no"), F.lit(1234).alias("b"))
+    wanted = [r[0] for r in wanted.select("unit_no", (uniform(-8, "b", "unit_no") * 2**32).cast("long").alias("v")).orderBy("unit_no").select("v").collect()]
+    found = np.full(n + 1, -1, np.int64)
+    for first, numbers in D.drawn_numbers(-8, 1234, n):
+        assert (found[first : first + len(numbers)] == -1).all()
+        found[first : first + len(numbers)] = numbers
+    assert found[1:].tolist() == wanted
+    assert [int(c.sum()) for c in D.draw_counts(3, 5, [1, 700, n])] == [1, 700, n]
+
+
+def test_exact_repeats_of_groups(spark):
+    """Counts and areas of each group's repeats against its draws; a score of most rows goes on over many blocks."""
+    rng = np.random.default_rng(5)
+    data = [(f, f"{f}{k % (n // 2 + 1)}", int(rng.integers(0, 2)), int(rng.integers(0, 2)), 0.5 if k % 3 else float(rng.random())) for f, n in (("a", 60), ("b", 9)) for k in range(n)]
+    rows = spark.createDataFrame([*data, (None, "c", 1, 1, 0.1), ("a", None, 1, 1, 0.1)], "fold string, unit string, label int, pred int, score double")
+    numbers = {(r.fold, r.unit): r.unit_no for r in BS._numbered_units(rows, ["fold"], 6).collect()}
+    keyed = rows.join(BS._numbered_units(rows, ["fold"], 6), ["fold", "unit"])
+    scored = keyed.select("fold", "score", (F.col("label") == 1).alias("positive"), "unit_no", "n_units")
+    counts, areas = D.exact_repeats(keyed.drop("unit", "score"), scored, ["fold"], ["fold"], 6, 25)
+    counts = {(r.fold, r.b, r.label, r.pred): r.n for r in counts.collect()}
+    areas = {(r.fold, r.b): r.auroc for r in areas.collect()}
+    assert len(areas) == 50
+    wanted = {}
+    for fold in ("a", "b"):
+        own = [r for r in data if r[0] == fold]
+        size = sum(f == fold for f, _ in numbers)  # a missing unit is numbered too and stands beside no row
+        units = spark.range(size).select((F.col("id") + 1).alias("unit_no"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("b"))
+        drawn = units.select("b", (F.floor(uniform(6, "b", "unit_no") * F.lit(size)) + 1).alias("unit_no")).groupBy("b", "unit_no").count().collect()
+        times = {(r.b, r.unit_no): r["count"] for r in drawn}
+        for b in range(25):
+            w = np.array([float(times.get((b, numbers[fold, r[1]]), 0)) for r in own])
+            for r, t in zip(own, w, strict=True):
+                wanted[fold, b, r[2], r[3]] = wanted.get((fold, b, r[2], r[3]), 0) + t
+            area = _auroc(np.array([r[2] == 1 for r in own]), np.array([r[4] for r in own]), w)
+            assert areas[fold, b] == (None if np.isnan(area) else pytest.approx(area))
+    assert counts == {k: v for k, v in wanted.items() if v}
+
+
+def test_exact_draws_stay_in_their_task(spark):
+    """What an exact interval writes grows with rows and repeats, not with their product."""
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = {p for p in shared.rglob("*.parquet")}
+    preds = spark.range(4000).select(F.col("id").alias("slide_id"), (F.col("id") % 2).cast("int").alias("label"), F.rand(3).alias("prob_1"))
+    BS.bootstrap_ci(preds, ["accuracy", "auroc"], "slide_id", 2000, mode="exact").collect()
+    written = sum(p.stat().st_size for p in shared.rglob("*.parquet") if p not in before)
+    assert written < 1_000_000  # 8,000,000 draws
