@@ -8,6 +8,7 @@ from bagstats.functions import spread
 from bagstats.operators import bags as B
 from bagstats.operators import coverage as C
 from bagstats.sources import shared
+from suite import views as V
 
 
 @pytest.fixture(scope="module")
@@ -332,3 +333,38 @@ def test_ranks_are_taken_in_as_many_tasks_as_given(spark):
     out = spread.ranked(made, ["k"], [F.col("v")], [F.floor(F.col("v") / 10)], rank="r", tasks=11)
     plain = made.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("v")))
     assert rows(out) == rows(plain) and any(", 11), REPARTITION_BY_NUM" in line for line in _plan_lines(out))
+
+
+@pytest.mark.parametrize("cap", [B.cap_spatial_sqrt, B.cap_spatial_proportional, B.cap_spatial_even])
+def test_cells_of_more_rows_than_a_task_give_the_same_patches(spark, patches, monkeypatch, cap):
+    """Repeated and missing keys too; a cell is cut by salts first only if it is more than a task should order."""
+    odd = patches.unionByName(patches.filter("patch_idx % 7 = 0")).unionByName(patches.limit(9).withColumn("slide_id", F.lit(None).cast("int")))
+    wanted = rows(cap(odd, 12, 3, 5).select("slide_id", "patch_idx", "x", "y"))
+    monkeypatch.setattr(B, "TASK_ROWS", 4)
+    assert rows(cap(odd, 12, 3, 5).select("slide_id", "patch_idx", "x", "y")) == wanted
+    assert any(r[0] is None for r in wanted)
+
+
+def test_selection_moves_each_patch_once_and_no_hash(spark, patches, monkeypatch):
+    """Of the tables that a cap writes, none has a hash, and none is made from hashes that were dealt."""
+    plans, keep = {}, B.written
+
+    def spy(df, name):
+        plans[name] = (df.columns, df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(B, "written", spy)
+    stored = shared.written(patches, "patches")
+    B.cap_spatial_proportional(stored, 12, 3, 5).collect()
+    columns, plan = plans["cuts"]
+    assert columns == ["slide_id", "pool", "patch_idx", "x", "y"]
+    assert plan.count("Exchange hashpartitioning") == 2  # patches and quotas
+    assert "md5" in plan.split("Exchange hashpartitioning")[0] and "md5" not in plan.split("Exchange hashpartitioning", 1)[1]
+
+
+def test_patches_of_line_items_are_the_same_by_either_ranking(spark, sf, monkeypatch):
+    names = ["slide_id", "patch_idx", "x", "y"]
+    whole = rows(V.patches(spark, sf))
+    assert rows(V.patches(spark, sf, *names)) == sorted((r[:4] for r in whole), key=repr)
+    monkeypatch.setattr(V, "TASK_ROWS", 4)
+    assert rows(V.patches(spark, sf)) == whole

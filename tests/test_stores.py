@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
@@ -266,3 +268,20 @@ def test_facts_of_bags_are_taken_once(spark, patches, monkeypatch):
     held = []
     monkeypatch.setattr(Q, "written", lambda df, name: held.append(name) or shared.written(df, name), raising=False)
     assert Q.judge_bags(patches).count() == patches.select("slide_id").distinct().count() and held == ["facts"]
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def names():
+        files = disk.getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size())}
+
+    before = names()
+    table = shared.written(spark.range(10_000).repartition(7, "id"), "ids")
+    for _ in range(50):
+        if not any(n.startswith("shuffle_") for n in names() - before):
+            break
+        time.sleep(0.2)
+    assert not [n for n in names() - before if n.startswith("shuffle_")]
+    assert table.count() == 10_000 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
